@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id as _language
 from . import minhash_dedup as _minhash
 from . import packing as _packing
+from . import quality as _quality
+from . import secrets as _secrets
+from . import toxicity as _toxicity
 from .common import table
 
 
@@ -18,6 +22,23 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.best_fit_packing(_packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.digest(_secrets.secret_scan(table(spark, sf_dir, "documents")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "keep", "host_posterior", "path_posterior")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op5_toxicity, op6_secret_scan, op9_quality, op10_language_id)}
 #: DuckDB SQL of the queries that it can express on whole tables.
 ORACLES: dict[str, str] = {}
