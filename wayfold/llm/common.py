@@ -140,7 +140,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e, seen = cut(e), None
-    while True:
+    while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -156,6 +156,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.unionByName(roots).select(F.col("u").alias("v"), F.col("v").alias("c"))
 
 
+def renewed(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components ``(v, c)`` after more ``links(a, b)``: only links between known components are worked on."""
+    if comps is None:
+        return cut(components(links))
+    for k in "ab":
+        links = links.join(comps.select(F.col("v").alias(k), F.col("c").alias(f"c{k}")), k, "left").withColumn(k, F.coalesce(f"c{k}", k)).drop(f"c{k}")
+    more = cut(components(links.where("a != b")))
+    old = comps.join(more.select(F.col("v").alias("c"), F.col("c").alias("d")), "c", "left").select("v", F.coalesce("d", "c").alias("c"))
+    return cut(old.unionByName(more.join(comps, "v", "left_anti")))
+
+
 class Forest:
     """Union-find over small integers, for the pairs of one bounded block."""
 

@@ -7,8 +7,9 @@ child that its minimum there names.  Two sets of similarity s take the same
 child with chance s, so unlike ones part quickly.  Small nodes are compared
 exhaustively.  Large nodes are dealt into small blocks, each joined by the
 node's pivot, and branch again while they hold documents of more than one
-known component; nodes that stay large to the last depth are compared block
-by block, which leaves out no pair.  Sketches (minimum values) only choose
+known component.  Where few documents are outside a node's largest component,
+they join each block, which settles the node; nodes that stay large to the
+last depth are compared block by block, which leaves out no pair.  Sketches (minimum values) only choose
 candidates: every link is confirmed on full shingle sets.
 
 Null, empty and blank texts have empty sets and link with nothing.
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, mix, text_chunks, word_hashes
+from .common import Forest, cut, mix, renewed, text_chunks, word_hashes
 
 POSITIONS = 64  #: minimum values in a sketch
 LIMIT = 16  #: documents of a node or block that are compared exhaustively
 TREES = 5
-DEPTH = 10
+DEPTH = 6  #: rounds of branching, of two levels each, before large nodes are compared block by block
+STRAYS = 32  #: documents outside a node's largest component that are compared with all of the node
 #: Shared minima from which a pair is confirmed (0.75 of 64 less four standard deviations), and from which it is taken as linked when other candidates of the same block are weeded.
 LEAST, SURE = 34, 55
 
@@ -92,22 +94,25 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(v.view(np.int64)))], ["id", "items"])
 
 
-def _branch(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """Two children of each (node, id, sig); with ``trees``, of each tree's root for each (id, sig)."""
+def _branch(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...], levels: int) -> Iterator[pa.RecordBatch]:
+    """Two children of each (node, id, sig), and theirs, ``levels`` deep; with ``trees``, of each tree's root for each (id, sig)."""
     for b in batches:
         if not b.num_rows:
             continue
         ids = np.asarray(b.column("id"))
         sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, POSITIONS).astype(np.uint64)
-        own = [np.full(len(ids), t + 1, np.uint64) for t in trees] or [np.asarray(b.column("node")).view(np.uint64)]
+        nodes = [np.full(len(ids), t + 1, np.uint64) for t in trees] or [np.asarray(b.column("node")).view(np.uint64)]
         rows = np.arange(len(ids))
-        for node in own:
-            x = mix(node + np.uint64(0x632BE59BD9B4E019))
-            first = x % np.uint64(POSITIONS)
-            second = (first + np.uint64(1) + (x >> np.uint64(32)) % np.uint64(POSITIONS - 1)) % np.uint64(POSITIONS)
-            for place in (first, second):
-                child = mix(mix(node * np.uint64(0xD6E8FEB86659FD93) + place) + sig[rows, place.astype(np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids)], ["node", "id"])
+        for _ in range(levels):
+            below = []
+            for node in nodes:
+                x = mix(node + np.uint64(0x632BE59BD9B4E019))
+                first = x % np.uint64(POSITIONS)
+                second = (first + np.uint64(1) + (x >> np.uint64(32)) % np.uint64(POSITIONS - 1)) % np.uint64(POSITIONS)
+                below += [mix(mix(node * np.uint64(0xD6E8FEB86659FD93) + place) + sig[rows, place.astype(np.int64)]) for place in (first, second)]
+            nodes = below
+        for node in nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids)], ["node", "id"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,57 +186,59 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
         return rows.withColumn("comp", F.col("id")) if comps is None else rows.join(comps.select(F.col("v").alias("id"), "c"), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
 
     def opened(rows: DataFrame, least: int) -> DataFrame:
-        """Rows of nodes of ``least`` or more documents and of more than one component."""
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        return rows.drop("size", "pivot").join(sizes.where(f"size >= {least} AND lo < hi").drop("lo", "hi"), "node")
+        """Rows of nodes of ``least`` or more documents and of more than one component, with the node's size, its largest component and how many documents are in others."""
+        kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
+        sizes = kinds.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("main"))
+        sizes = sizes.where(f"size >= {least} AND size > main.k").select("node", "size", F.col("main.comp").alias("main"), (F.col("size") - F.col("main.k")).alias("others"))
+        return rows.join(sizes, "node")
 
     def blocks(rows: DataFrame, pairwise: bool) -> DataFrame:
-        """Rows with their block; large nodes have several, each with the pivot, or one for each pair of them."""
-        n = F.ceil(F.col("size") / LIMIT)
-        rows = rows.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id", "node"), "n"))
+        """Rows with their block.  A large node has several: either each has all documents outside the node's largest component, where they are few, or its pivot, or there is one for each pair of them."""
+        rows = rows.withColumn("n", F.ceil(F.col("size") / LIMIT)).withColumn("block", F.pmod(F.xxhash64("id", "node"), "n"))
+        each = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
         if pairwise:
-            pair = lambda x: F.least("block", x) * F.col("n") + F.greatest("block", x)
-            return rows.select("node", "id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), pair)).alias("block"))
-        pivots = rows.where("n > 1 AND id = pivot").select("node", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
-        return rows.select("node", "id", "block").unionByName(pivots).distinct()
+            each_pair = F.transform(each, lambda x: F.least("block", x) * F.col("n") + F.greatest("block", x))
+            return rows.select("node", F.explode(each_pair).alias("block"), "id", "comp")
+        everywhere = F.when(F.col("others") <= STRAYS, F.col("comp") != F.col("main")).otherwise(F.col("id") == F.col("main"))
+        return rows.select("node", F.explode(F.when((F.col("n") > 1) & everywhere, each).otherwise(F.array("block"))).alias("block"), "id", "comp")
 
     def settle(rows: DataFrame, pairwise: bool = False) -> None:
         """Compare the blocks of ``rows``, confirm the candidates, and renew the components."""
         nonlocal links, sets, comps
-        dealt = labelled(blocks(rows, pairwise)).join(reps, "id").select("node", "block", "id", "comp", "sig")
+        dealt = blocks(rows, pairwise).join(reps, "id").select("node", "block", "id", "comp", "sig")
         dealt = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "id")
         pairs = cut(dealt.mapInArrow(_compare, "a long, b long").distinct())
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         if sets is not None:
             ids = ids.join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-        if ids.isEmpty() and pairs.isEmpty():
-            return
         more = cut(known.join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, width=width), "id long, items array<long>").dropDuplicates(["id"]))
         sets = more if sets is None else sets.unionByName(more)
         one, two = (sets.select(F.col("id").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
         both = F.size(F.array_intersect("items_a", "items_b"))
         found = pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("items_a") + F.size("items_b") - both)).select("a", "b")
-        links = cut(found if links is None else links.unionByName(found))
-        comps = cut(components(links))
+        comps = renewed(comps, found)
 
     live = None
     for some in ((0,), tuple(range(1, trees))):
-        if some:
-            rows = cut(opened(labelled(reps.mapInArrow(partial(_branch, trees=some), "node long, id long")), 2))
-            settle(rows)
-            large = rows.where(f"size > {LIMIT}").select("node", "id")
-            live = large if live is None else live.unionByName(large)
-    for depth in range(1, DEPTH + 1):
+        rows = opened(labelled(reps.mapInArrow(partial(_branch, trees=some, levels=1), "node long, id long")), 2)
+        if live is not None:
+            again = opened(labelled(live.select("node", "id")), LIMIT + 1)
+            rows = rows.unionByName(again)
+        rows = cut(rows)
+        settle(rows)
+        live = rows.where(f"size > {LIMIT} AND others > {STRAYS}")
+    for depth in range(DEPTH):
         live = cut(opened(labelled(live.select("node", "id")), LIMIT + 1))
         if live.isEmpty():
             break
-        if depth == DEPTH:
+        if depth == DEPTH - 1:
             settle(live, pairwise=True)
             break
-        rows = live.join(reps, "id").select("node", "id", "sig").mapInArrow(partial(_branch, trees=()), "node long, id long")
-        live = cut(opened(labelled(rows), 2))
-        settle(live)
-        live = live.where(f"size > {LIMIT}")
+        few = live.where(f"others <= {STRAYS}")
+        rows = live.where(f"others > {STRAYS}").join(reps, "id").select("node", "id", "sig").mapInArrow(partial(_branch, trees=(), levels=2), "node long, id long")
+        rows = cut(opened(labelled(rows.distinct()), 2).unionByName(few))
+        settle(rows)
+        live = rows.where(f"size > {LIMIT} AND others > {STRAYS}")
 
     kinds = classes
     if comps is not None:
