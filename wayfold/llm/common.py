@@ -37,16 +37,16 @@ def crc_mod(col: str, k: int) -> F.Column:
 # ---------------------------------------------------------------- text kernels
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+BYTE_LOWER = BYTE.copy()
+BYTE_LOWER[65:91] = BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, for ``n`` places at least."""
     size = 1 << max(16, int(n).bit_length())
     if size not in _POWERS:
@@ -109,9 +109,9 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hashes of byte spans; with ``lower``, A-Z count as a-z."""
-    up, down = _powers(len(buf) + 1)
+    up, down = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * up[: len(buf)], out=total[1:])
+    np.cumsum((BYTE_LOWER if lower else BYTE)[buf] * up[: len(buf)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 

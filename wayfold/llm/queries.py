@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id as _language
+from . import lm as _lm
 from . import minhash_dedup as _minhash
 from . import packing as _packing
 from . import quality as _quality
@@ -34,11 +35,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.digest(_secrets.secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.lm_score(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "held_out", "score", "keep", "host_posterior", "path_posterior")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op5_toxicity, op6_secret_scan, op9_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op5_toxicity, op6_secret_scan, op7_lm_score, op9_quality, op10_language_id)}
 #: DuckDB SQL of the queries that it can express on whole tables.
 ORACLES: dict[str, str] = {}

@@ -3,8 +3,8 @@
 Words are tagged as begin, inside or outside of a secret.  A word's features
 are its shape, its leading letters, those of both neighbours, and the kind of
 file it stands in.  The field is fitted to windows around the patterns'
-matches and to windows elsewhere, in a bounded sample of documents, and is
-decoded by Viterbi.  Stretches in which no path but "outside" can win are
+matches, to windows elsewhere, and to excerpts with made-up secrets and things
+that look like some, from a bounded sample of documents, and is decoded by Viterbi.  Stretches in which no path but "outside" can win are
 found first, by running sums of upper bounds, and skipped; that is exact.
 """
 
@@ -130,9 +130,48 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = max(woff[d], min(c - WINDOW // 2, woff[d + 1] - WINDOW))
             hi = min(woff[d + 1], lo + WINDOW)
             keep.append((x[lo:hi].tobytes(), tags[lo:hi].tobytes()))
+        keep += _planted(texts)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.binary()), pa.array([k[1] for k in keep], pa.binary())], ["x", "tags"])
 
 
+_ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
+_NAMES = ("", "", "", "password", "pwd", "auth", "key", "access_key", "client_secret", "bearer", "credential", "private_key")
+
+
+def _made_up(seed: int) -> tuple[str, bool]:
+    """A made-up secret, or something like one that is none (a number, a mail or web address, an identifier)."""
+    rng = np.random.default_rng(seed)
+    pick = lambda signs, n: "".join(signs[i] for i in rng.integers(0, len(signs), n))
+    if rng.random() < 0.35:
+        word, number = pick(_ALPHABETS[2][:26], rng.integers(3, 9)), pick("0123456789", rng.integers(1, 20))
+        return (number, f"{word}.{number[:3]}@{word}.example.com", f"https://www.{word}.com/{word}/{number[:6]}.html", f"{word}_{word}", f"{word.title()}{word.title()}", f"{word}{number[:2]}", f"{number[:4]}-{number[4:6]}-{number[6:8]}")[rng.integers(0, 7)], False
+    value = ("", "", "sk_", "ghp_", "tok-", "xox-")[rng.integers(0, 6)] + pick(_ALPHABETS[rng.integers(0, len(_ALPHABETS))], rng.integers(16, 56))
+    quote = ("", "", '"', "'")[rng.integers(0, 4)]
+    return _NAMES[k] + ("=", ": ", " = ", " ")[rng.integers(0, 4)] + quote + value + quote if (k := rng.integers(0, len(_NAMES))) > 2 else quote + value + quote, True
+
+
+def _planted(texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+    """Features and tags of excerpts into which something made up was put."""
+    for text in texts.to_pylist():
+        some = (text or "").split()
+        if len(some) < 4:
+            continue
+        seed = int(span_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0]), np.array([len(text.encode())]))[0])
+        at = seed % (len(some) - 2)
+        some = some[at : at + WINDOW - 4]
+        middle = len(some) * (seed >> 32 & 255) // 256
+        new, secret = _made_up(seed)
+        put = new.split()
+        array = pa.array([" ".join(some[:middle] + put + some[middle:])])
+        buf, off = flat(array)
+        start, end, doc = words(buf, off)
+        tags = np.full(len(start), 2, np.int8)
+        if secret:
+            tags[middle : middle + len(put)] = 1
+            tags[middle] = 0
+        yield _features(buf, off, start, end, doc)[:WINDOW].tobytes(), tags[:WINDOW].tobytes()
+
+
 def fit(docs: DataFrame, sample: int = 4000, windows: int = 12000, steps: int = 60) -> dict[str, np.ndarray]:
     """Field from ``sample`` documents in which a pattern's word occurs and as many others, those of the smallest hash of doc_id, and at most ``windows`` of their windows."""
     hint = F.coalesce(F.col("text").rlike(r"AKIA|[0-9a-f]{24}|" + _HINT.replace("(?i)", "(?i:") + ")"), F.lit(False))
