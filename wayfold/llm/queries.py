@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ann as _ann
+from . import embedding_dedup as _embedding
 from . import language_id as _language
 from . import lm as _lm
 from . import minhash_dedup as _minhash
@@ -23,6 +25,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.best_fit_packing(_packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embedding.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,11 +45,16 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lm.lm_score(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return _ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "held_out", "score", "keep", "host_posterior", "path_posterior")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op5_toxicity, op6_secret_scan, op7_lm_score, op9_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op4_embedding_dedup, op5_toxicity, op6_secret_scan, op7_lm_score, op8_nearest, op9_quality, op10_language_id)}
 #: DuckDB SQL of the queries that it can express on whole tables.
 ORACLES: dict[str, str] = {}
