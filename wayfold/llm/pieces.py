@@ -85,5 +85,8 @@ class SpanHasher:
         self.total = np.zeros(len(flat) + 1, np.uint64)
         np.cumsum(BYTE[flat] * up[: len(flat)], out=self.total[1:])
 
+    def each(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mix((self.total[start + size] - self.total[start]) * self.down[start] + size.astype(np.uint64))
+
     def spans(self, start: np.ndarray, k: int) -> np.ndarray:
         return mix((self.total[start + k] - self.total[start]) * self.down[start] + np.uint64(k))

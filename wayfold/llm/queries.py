@@ -13,6 +13,7 @@ from . import minhash_dedup as _minhash
 from . import packing as _packing
 from . import quality as _quality
 from . import secrets as _secrets
+from . import sentencepiece_codec as _pieces
 from . import toxicity as _toxicity
 from .common import table
 
@@ -25,6 +26,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.best_fit_packing(_packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pieces.decode(_pieces.encode(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _embedding.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +61,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "score", "keep", "host_posterior", "path_posterior")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op4_embedding_dedup, op5_toxicity, op6_secret_scan, op7_lm_score, op8_nearest, op9_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_sentencepiece, op4_embedding_dedup, op5_toxicity, op6_secret_scan, op7_lm_score, op8_nearest, op9_quality, op10_language_id)}
 #: DuckDB SQL of the queries that it can express on whole tables.
 ORACLES: dict[str, str] = {}
