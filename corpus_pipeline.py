@@ -1,18 +1,91 @@
-"""Corpus pipeline: stages over documents, each one an operator of ``wayfold.llm``."""
+"""Corpus pipeline: stages over documents, each one an operator of ``wayfold.llm``.
+
+A stage gets all rows that its predecessor kept, and the folder of the input
+tables.  All stages but the last return the columns of documents, whatever
+further columns there are and whatever their names.  Rows that repeat a doc_id
+stay or go together.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfold.llm import language_id as _language
+from wayfold.llm import minhash_dedup as _minhash
+from wayfold.llm import packing as _packing
+from wayfold.llm import quality as _quality
+from wayfold.llm import secrets as _secrets
+from wayfold.llm.common import stored
+
+#: Below it a document goes: low, so that clean documents stay.
+LEAST_QUALITY = 0.2
+#: An ambiguous document goes below this score of its best language.
+LEAST_LANGUAGE = 0.3
+REDACTED = "[SECRET]"
+
+
+def _with(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], keep: F.Column | None = None) -> DataFrame:
+    """Rows of ``operator`` that ``keep`` holds for, with the columns of ``docs``; columns that could clash are set aside meanwhile."""
+    known = {"doc_id", "text", "lang", "source"}
+    names = {c: c if c.lower() in known else f"__{i}" for i, c in enumerate(docs.columns)}
+    rows = operator(docs.withColumnsRenamed(names))
+    if keep is not None:
+        rows = rows.where(keep)
+    return rows.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language go, and those as near to several as to any."""
+    del spark, sf_dir
+    bad = (F.col("lang_pred") == "und") | (F.col("ambiguous") & (F.col("score") < LEAST_LANGUAGE))
+    return _with(docs, _language.language_id, ~bad)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that are of low quality by their own evidence and their site's go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _with(docs, lambda d: _quality.quality(d, labels, threshold=LEAST_QUALITY), F.col("keep"))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, that of the smallest doc_id."""
+    del spark, sf_dir
+    gone = _minhash.minhash_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A fixed word takes the place of each secret."""
+    del spark, sf_dir
+    rows = _with(docs, lambda d: _secrets.secret_scan(d, redact=REDACTED))
+    if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
+        rows = rows.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
+    return rows
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, with their sequence and place."""
+    del spark, sf_dir
+    return _packing.best_fit_packing(_packing.token_pieces(docs))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_stage),
+    ("quality", quality_stage),
+    ("minhash_dedup", dedup_stage),
+    ("secret_scan", secrets_stage),
+    ("best_fit_packing", packing_stage),
+]
+#: No SQL expresses these stages; tests hold each against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage keeps is stored before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
