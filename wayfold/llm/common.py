@@ -41,6 +41,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``most`` rows (of a few numbers each); a shuffled join takes larger ones."""
+    return F.broadcast(df) if len(df.limit(most + 1).agg(F.count("*").alias("n")).where(f"n > {most}").take(1)) == 0 else df
+
+
 def crc_mod(col: str, k: int) -> F.Column:
     """crc32 of an integer column as text, modulo ``k``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % k

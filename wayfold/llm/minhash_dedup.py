@@ -5,12 +5,13 @@ of several independent trees starts with all documents; a node picks two
 minwise positions by a hash of its path, and a document follows both, into the
 child that its minimum there names.  Two sets of similarity s take the same
 child with chance s, so unlike ones part quickly.  Small nodes are compared
-exhaustively.  Large nodes are dealt into small blocks, each joined by the
-node's pivot, and branch again while they hold documents of more than one
-known component.  Where few documents are outside a node's largest component,
-they join each block, which settles the node; nodes that stay large to the
-last depth are compared block by block, which leaves out no pair.  Sketches (minimum values) only choose
-candidates: every link is confirmed on full shingle sets.
+exhaustively, in blocks of two parts each.  Large nodes are dealt into parts,
+each with the node's pivot, and branch again while they hold documents of more
+than one known component.  Where few documents are outside a node's largest
+component, they join each part, which settles the node; nodes that stay large
+to the last depth are compared part by part, which leaves out no pair.
+Sketches (minimum values) only choose candidates: the full shingle sets of a
+block's candidates then meet in it, and confirm its links.
 
 Null, empty and blank texts have empty sets and link with nothing.
 """
@@ -25,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, cut, mix, renewed, text_chunks, word_hashes
+from .common import Forest, cut, mix, renewed, small, text_chunks, word_hashes
 
+#: Whether a node's documents outside its largest component are so few that they join each block.
+FEW = "others <= 32 AND 4 * others <= size"
 POSITIONS = 64  #: minimum values in a sketch
-LIMIT = 16  #: documents of a node or block that are compared exhaustively
+LIMIT = 256  #: documents of a part of a node, all of which are compared
+WHOLE = 2048  #: documents of a node up to which all its parts are compared with each other
 TREES = 5
 DEPTH = 6  #: rounds of branching, of two levels each, before large nodes are compared block by block
-STRAYS = 32  #: documents outside a node's largest component that are compared with all of the node
-#: Shared minima from which a pair is confirmed (0.75 of 64 less four standard deviations), and from which it is taken as linked when other candidates of the same block are weeded.
-LEAST, SURE = 34, 55
+LEAST = 36  #: shared minima from which a pair is confirmed on full sets: 0.75 of 64 less 3.5 standard deviations
 
 _rng = np.random.default_rng(7919)
 _PLACE = (_rng.integers(1, 2**63, 16, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -91,7 +93,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in text_chunks(batches):
         v, off = shingle_sets(b.column("text"), width)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(v.view(np.int64)))], ["id", "items"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([v[i:j].tobytes() for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["id", "items"])
 
 
 def _branch(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...], levels: int) -> Iterator[pa.RecordBatch]:
@@ -115,53 +117,105 @@ def _branch(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...], levels: i
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids)], ["node", "id"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each block; rows come sorted by (node, block), and a block may span batches."""
-    rest = None
+def _whole_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of whole blocks, of about ``rows`` rows, with the places where blocks start; rows come sorted by (node, block)."""
+    held: list[pa.RecordBatch] = []
+
+    def ready(last: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        nonlocal held
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        node, block = np.asarray(b.column("node")), np.asarray(b.column("block"))
+        at = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (block[1:] != block[:-1])]))
+        if last:
+            yield b, np.append(at, b.num_rows)
+        elif len(at) > 1:
+            yield b.slice(0, at[-1]), at
+            held = [b.slice(at[-1])]
+        else:
+            held = [b]
+
     for b in batches:
-        rest = b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-        key = np.asarray(rest.column("node")), np.asarray(rest.column("block"))
-        if not len(key[0]):
-            continue
-        new = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
-        if len(new) and rest.num_rows > 2048:
-            yield _pairs(rest.slice(0, new[-1]))
-            rest = rest.slice(new[-1])
-    if rest is not None and rest.num_rows:
-        yield _pairs(rest)
-
-
-def _pairs(b: pa.RecordBatch) -> pa.RecordBatch:
-    node, block, ids, comp = (np.asarray(b.column(c)) for c in ("node", "block", "id", "comp"))
-    sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, POSITIONS)
-    left, right, shared = [], [], []
-    d = 1
-    while d < len(ids):
-        i = np.flatnonzero((node[d:] == node[:-d]) & (block[d:] == block[:-d]))
-        if not len(i):
-            break
+        for i in range(0, b.num_rows, rows):
+            held.append(b.slice(i, rows))
+            if sum(h.num_rows for h in held) >= rows:
+                yield from ready(False)
+    if held:
+        yield from ready(True)
+
+
+def _candidates(sig: np.ndarray, comp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within each block that share enough minima and are of two components."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    size = np.diff(at)
+    end = np.repeat(at[1:], size)
+    place = np.arange(len(comp))
+    for d in range(1, int(size.max(initial=1))):
+        i = np.flatnonzero(place[: len(comp) - d] + d < end[: len(comp) - d])
         i = i[comp[i] != comp[i + d]]
-        s = (sig[i] == sig[i + d]).sum(1)
-        i, s = i[s >= LEAST], s[s >= LEAST]
+        if not len(i):
+            continue
+        # a quarter of the minima first: far pairs are the most
+        i = i[(sig[i, :16] == sig[i + d, :16]).sum(1) >= 4]
+        i = i[(sig[i] == sig[i + d]).sum(1) >= LEAST]
         left.append(i)
         right.append(i + d)
-        shared.append(s)
-        d += 1
-    if left:
-        i, j, s = np.concatenate(left), np.concatenate(right), np.concatenate(shared)
-        order = np.lexsort((ids[j], ids[i], -s))
-        i, j, s = i[order], j[order], s[order]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _sketches(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, POSITIONS)
+
+
+def _suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each block that are candidates with another one."""
+    for b, at in _whole_blocks(batches, 4096):
+        i, j = _candidates(_sketches(b), np.asarray(b.column("comp")), at)
+        yield b.take(pa.array(np.unique(np.concatenate([i, j])))).select(["node", "block", "id"])
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each block that hold on full sets: a forest over its components."""
+    for b, at in _whole_blocks(batches, 1024):
+        sig, comp, ids = _sketches(b), np.asarray(b.column("comp")), np.asarray(b.column("id"))
+        raw = b.column("items")
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            i, j = _candidates(sig[lo:hi], comp[lo:hi], np.array([0, hi - lo]))
+            if not len(i):
+                continue
+            sets = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in range(lo, hi)]
+            both = _shared(sets, i, j)
+            n = np.array([len(x) for x in sets])
+            on = 100 * both >= percent * (n[i] + n[j] - both)
+            left.append(lo + i[on])
+            right.append(lo + j[on])
+        i, j = np.concatenate(left), np.concatenate(right)
         groups = {c: k for k, c in enumerate(dict.fromkeys(np.concatenate([comp[i], comp[j]]).tolist()))}
-        forest, keep = Forest(len(groups)), np.zeros(len(i), bool)
-        for k, (a, c, same) in enumerate(zip(comp[i].tolist(), comp[j].tolist(), s.tolist(), strict=True)):
-            if same >= SURE:
-                keep[k] = forest.join(groups[a], groups[c])
-            else:
-                keep[k] = forest.find(groups[a]) != forest.find(groups[c])
-        a, c = ids[i[keep]], ids[j[keep]]
-    else:
-        a = c = np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+        forest = Forest(len(groups))
+        keep = np.array([forest.join(groups[p], groups[q]) for p, q in zip(comp[i].tolist(), comp[j].tolist(), strict=True)], bool)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i[keep]]), pa.array(ids[j[keep]])], ["a", "b"])
+
+
+def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Size of the intersection of each pair of sorted sets: one by one, or for all at once as a product where most pairs are asked for."""
+    m = len(sets)
+    values = np.concatenate(sets)
+    distinct, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count > 1)
+    if m * m * len(often) / 2.5e9 > 2.5e-5 * len(i):
+        return np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    column = np.full(len(distinct), -1)
+    column[often] = np.arange(len(often))
+    owner, column = np.repeat(np.arange(m), [len(x) for x in sets]), column[place]
+    total = np.zeros((m, m), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for k in range(0, len(often), 8192):
+        a, z = np.searchsorted(column, [k, k + 8192])
+        x = np.zeros((m, min(8192, len(often) - k)), np.float32)
+        x[owner[a:z], column[a:z] - k] = 1
+        total += x @ x.T
+    return np.round(total[i, j]).astype(np.int64)
 
 
 def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int = TREES) -> DataFrame:
@@ -180,7 +234,7 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
     classes = cut(filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")))
     reps = cut(filled.dropDuplicates(["doc_id"]).join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "sig"))
 
-    links, sets, comps = None, None, None
+    sets, comps = None, None
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.withColumn("comp", F.col("id")) if comps is None else rows.join(comps.select(F.col("v").alias("id"), "c"), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
@@ -192,31 +246,31 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
         sizes = sizes.where(f"size >= {least} AND size > main.k").select("node", "size", F.col("main.comp").alias("main"), (F.col("size") - F.col("main.k")).alias("others"))
         return rows.join(sizes, "node")
 
-    def blocks(rows: DataFrame, pairwise: bool) -> DataFrame:
-        """Rows with their block.  A large node has several: either each has all documents outside the node's largest component, where they are few, or its pivot, or there is one for each pair of them."""
+    def blocks(rows: DataFrame, whole: int) -> DataFrame:
+        """Rows with their block.  A node of up to ``whole`` documents has one for each pair of its parts; a larger one has its parts, each with the documents outside the node's largest component, where they are few, or with its pivot."""
         rows = rows.withColumn("n", F.ceil(F.col("size") / LIMIT)).withColumn("block", F.pmod(F.xxhash64("id", "node"), "n"))
         each = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
-        if pairwise:
-            each_pair = F.transform(each, lambda x: F.least("block", x) * F.col("n") + F.greatest("block", x))
-            return rows.select("node", F.explode(each_pair).alias("block"), "id", "comp")
-        everywhere = F.when(F.col("others") <= STRAYS, F.col("comp") != F.col("main")).otherwise(F.col("id") == F.col("main"))
-        return rows.select("node", F.explode(F.when((F.col("n") > 1) & everywhere, each).otherwise(F.array("block"))).alias("block"), "id", "comp")
+        each_pair = F.transform(each, lambda x: F.least("block", x) * F.col("n") + F.greatest("block", x))
+        everywhere = F.when(F.expr(FEW), F.col("comp") != F.col("main")).otherwise(F.col("id") == F.col("main"))
+        block = F.when(F.col("size") <= whole, each_pair).when(everywhere, each).otherwise(F.array("block"))
+        return rows.select("node", F.explode(block).alias("block"), "id", "comp")
 
-    def settle(rows: DataFrame, pairwise: bool = False) -> None:
+    def settle(rows: DataFrame, whole: int = WHOLE) -> None:
         """Compare the blocks of ``rows``, confirm the candidates, and renew the components."""
-        nonlocal links, sets, comps
-        dealt = blocks(rows, pairwise).join(reps, "id").select("node", "block", "id", "comp", "sig")
+        nonlocal sets, comps
+        dealt = blocks(rows, whole).join(reps, "id").select("node", "block", "id", "comp", "sig")
         dealt = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "id")
-        pairs = cut(dealt.mapInArrow(_compare, "a long, b long").distinct())
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        if sets is not None:
-            ids = ids.join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-        more = cut(known.join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, width=width), "id long, items array<long>").dropDuplicates(["id"]))
+        suspects = cut(dealt.mapInArrow(_suspect, "node long, block long, id long"))
+        ids = cut(suspects.select("id").distinct())
+        if ids.isEmpty():
+            return
+        new = ids if sets is None else ids.join(sets.select("id"), "id", "left_anti")
+        texts = known.join(small(new.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
+        more = cut(texts.mapInArrow(partial(_sets, width=width), "id long, items binary").dropDuplicates(["id"]))
         sets = more if sets is None else sets.unionByName(more)
-        one, two = (sets.select(F.col("id").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
-        both = F.size(F.array_intersect("items_a", "items_b"))
-        found = pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("items_a") + F.size("items_b") - both)).select("a", "b")
-        comps = renewed(comps, found)
+        full = labelled(suspects).join(reps.join(small(ids), "id", "left_semi"), "id").join(sets.join(small(ids), "id", "left_semi"), "id")
+        full = full.select("node", "block", "id", "comp", "sig", "items").repartition("node", "block").sortWithinPartitions("node", "block", "id")
+        comps = renewed(comps, full.mapInArrow(partial(_confirm, percent=percent), "a long, b long"))
 
     live = None
     for some in ((0,), tuple(range(1, trees))):
@@ -226,19 +280,19 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
             rows = rows.unionByName(again)
         rows = cut(rows)
         settle(rows)
-        live = rows.where(f"size > {LIMIT} AND others > {STRAYS}")
+        live = rows.where(f"size > {WHOLE} AND NOT ({FEW})")
     for depth in range(DEPTH):
-        live = cut(opened(labelled(live.select("node", "id")), LIMIT + 1))
+        live = cut(opened(labelled(live.select("node", "id")), WHOLE + 1))
         if live.isEmpty():
             break
         if depth == DEPTH - 1:
-            settle(live, pairwise=True)
+            settle(live, whole=1 << 62)
             break
-        few = live.where(f"others <= {STRAYS}")
-        rows = live.where(f"others > {STRAYS}").join(reps, "id").select("node", "id", "sig").mapInArrow(partial(_branch, trees=(), levels=2), "node long, id long")
+        few = live.where(FEW)
+        rows = live.where(f"NOT ({FEW})").join(reps, "id").select("node", "id", "sig").mapInArrow(partial(_branch, trees=(), levels=2), "node long, id long")
         rows = cut(opened(labelled(rows.distinct()), 2).unionByName(few))
         settle(rows)
-        live = rows.where(f"size > {LIMIT} AND others > {STRAYS}")
+        live = rows.where(f"size > {WHOLE} AND NOT ({FEW})")
 
     kinds = classes
     if comps is not None:
