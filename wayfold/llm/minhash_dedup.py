@@ -31,8 +31,8 @@ from .common import Forest, cut, mix, renewed, small, text_chunks, word_hashes
 #: Whether a node's documents outside its largest component are so few that they join each block.
 FEW = "others <= 32 AND 4 * others <= size"
 POSITIONS = 64  #: minimum values in a sketch
-LIMIT = 256  #: documents of a part of a node, all of which are compared
-WHOLE = 2048  #: documents of a node up to which all its parts are compared with each other
+LIMIT = 512  #: documents of a part of a node, all of which are compared
+WHOLE = 4096  #: documents of a node up to which all its parts are compared with each other
 TREES = 5
 DEPTH = 6  #: rounds of branching, of two levels each, before large nodes are compared block by block
 LEAST = 36  #: shared minima from which a pair is confirmed on full sets: 0.75 of 64 less 3.5 standard deviations
