@@ -597,3 +597,281 @@ def jn_12(spark, d):
 def jn_13(spark, d):
     c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return c.groupBy("n_name", "r_name").agg(F.count("*").alias("customers"))
+
+
+# ---------------------------------------------------------------- spatial
+
+_RINGS = "ring AS (SELECT CAST(k AS BIGINT) AS region_id, CAST(49.995 AS DOUBLE) + CAST(0.002 AS DOUBLE) * k AS la, CAST(-115.998 AS DOUBLE) + CAST(0.003 AS DOUBLE) * k AS lo FROM range(6) r(k)), edge AS (SELECT region_id, la AS alat, lo AS alon, la + CAST(0.004 AS DOUBLE) AS blat, lo + CAST(0.001 AS DOUBLE) AS blon FROM ring UNION ALL SELECT region_id, la + CAST(0.004 AS DOUBLE), lo + CAST(0.001 AS DOUBLE), la + CAST(0.001 AS DOUBLE), lo + CAST(0.006 AS DOUBLE) FROM ring UNION ALL SELECT region_id, la + CAST(0.001 AS DOUBLE), lo + CAST(0.006 AS DOUBLE), la, lo FROM ring)"
+
+
+def _regions(spark):
+    r = spark.range(6).select(F.col("id").alias("region_id"), (49.995 + 0.002 * F.col("id")).alias("la"), (-115.998 + 0.003 * F.col("id")).alias("lo"))
+    at = lambda a, b: F.struct((F.col("la") + a).alias("lat"), (F.col("lo") + b).alias("lon"))
+    return r.select("region_id", F.array(at(0.0, 0.0), at(0.004, 0.001), at(0.001, 0.006)).alias("ring"))
+
+
+_INSIDE = f"{_RINGS}, inside AS (SELECT activity_id, seq, region_id FROM trk, edge WHERE (alat > lat) <> (blat > lat) AND lon < (blon - alon) * (lat - alat) / (blat - alat) + alon GROUP BY 1, 2, 3 HAVING COUNT(*) % 2 = 1)"
+
+
+@query("spa_01", f"WITH {TRK}, {_INSIDE} SELECT activity_id, seq, region_id FROM inside")
+def spa_01(spark, d):
+    return spatial.points_in_regions(track_points(spark, d), spatial.ring_edges(_regions(spark)))
+
+
+@query("spa_02", f"WITH {TRK}, {_INSIDE} SELECT i.activity_id, region_id, COUNT(*) AS inside FROM inside i JOIN (SELECT activity_id, COUNT(*) AS total FROM trk GROUP BY 1) t ON t.activity_id = i.activity_id GROUP BY 1, 2, total HAVING COUNT(*) >= greatest(1, floor(total * CAST(0.15 AS DOUBLE)))")
+def spa_02(spark, d):
+    return spatial.region_tags(track_points(spark, d), spatial.ring_edges(_regions(spark)))
+
+
+@query("spa_03", f"WITH {TRK} SELECT activity_id, round(AVG(lat), 7) AS lat, round(AVG(lon), 7) AS lon FROM trk GROUP BY 1")
+def spa_03(spark, d):
+    return spatial.centroids(track_points(spark, d)).select("activity_id", rnd("lat", 7).alias("lat"), rnd("lon", 7).alias("lon"))
+
+
+_M = "(CAST(3.141592653589793 AS DOUBLE) * CAST(6371000.0 AS DOUBLE) / 180)"
+
+
+@query("spa_05", f"WITH {TRK} SELECT DISTINCT activity_id, CAST(round_even(lat * {_M} / 120, 0) AS BIGINT) AS cn, CAST(round_even(lon * {_M} * cos(radians(lat)) / 120, 0) AS BIGINT) AS ce FROM trk")
+def spa_05(spark, d):
+    return spatial.grid_cells(track_points(spark, d), 120.0).select("activity_id", "cn", "ce").distinct()
+
+
+_CELLS = f"cells AS (SELECT DISTINCT activity_id, CAST(floor(lat * {_M} / 60) AS BIGINT) AS cn, CAST(floor(lon * {_M} * cos(radians(CAST(50.7 AS DOUBLE))) / 60) AS BIGINT) AS ce FROM trk WHERE seq % 3 = 0)"
+
+
+def _cells(spark, d):
+    return spatial.cell_sets(track_points(spark, d), 60.0, 50.7, 3)
+
+
+@query("spa_06", f"WITH {TRK}, {_CELLS} SELECT activity_id, cn, ce FROM cells")
+def spa_06(spark, d):
+    return _cells(spark, d)
+
+
+_BOX = "box AS (SELECT activity_id, MIN(lat) AS a, MIN(lon) AS b, MAX(lat) AS c, MAX(lon) AS d FROM trk GROUP BY 1)"
+
+
+@query("spa_08", f"WITH {TRK}, {_BOX}, p AS (SELECT x.activity_id AS a_id, y.activity_id AS b_id, greatest(0, least(x.c, y.c) - greatest(x.a, y.a)) * greatest(0, least(x.d, y.d) - greatest(x.b, y.b)) AS i, (x.c - x.a) * (x.d - x.b) + (y.c - y.a) * (y.d - y.b) AS s FROM box x JOIN box y ON y.activity_id = x.activity_id + 1) SELECT a_id AS a, b_id AS b, round(i / (s - i), 6) AS iou FROM p")
+def spa_08(spark, d):
+    b = T.bounding_boxes(track_points(spark, d))
+    cols = ["min_lat", "min_lon", "max_lat", "max_lon"]
+    x = b.toDF("a", *(f"{c}_a" for c in cols))
+    y = b.toDF("b", *(f"{c}_b" for c in cols)).withColumn("a", F.col("b") - 1)
+    return x.join(y, "a").select("a", "b", rnd(spatial.box_overlap([F.col(f"{c}_a") for c in cols], [F.col(f"{c}_b") for c in cols])).alias("iou"))
+
+
+# ---------------------------------------------------------------- line matching
+
+_WAYS = "way AS (SELECT s_suppkey AS way_pos, 'W' || CAST(s_suppkey % 12 AS VARCHAR) AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'road' ELSE 'trail' END AS kind, CAST(0 AS BIGINT) AS i, CAST(49.993 AS DOUBLE) + CAST(0.0001 AS DOUBLE) * (s_suppkey * 37 % 140) AS alat, CAST(-116.001 AS DOUBLE) + CAST(0.0001 AS DOUBLE) * (s_suppkey * 53 % 270) AS alon, CAST(49.993 AS DOUBLE) + CAST(0.0001 AS DOUBLE) * (s_suppkey * 71 % 140) AS blat, CAST(-116.001 AS DOUBLE) + CAST(0.0001 AS DOUBLE) * (s_suppkey * 89 % 270) AS blon FROM supplier WHERE s_suppkey <= 40)"
+
+
+def _ways(spark, d):
+    k = F.col("s_suppkey")
+    s = read(spark, d, "supplier").where("s_suppkey <= 40")
+    at = lambda base, m, n: (base + 0.0001 * (k * m % n))
+    return s.select(k.alias("way_pos"), F.concat(F.lit("W"), (k % 12).cast("string")).alias("name"), F.when(k % 3 == 0, "road").otherwise("trail").alias("kind"), F.lit(0).cast("long").alias("i"), at(49.993, 37, 140).alias("alat"), at(-116.001, 53, 270).alias("alon"), at(49.993, 71, 140).alias("blat"), at(-116.001, 89, 270).alias("blon"))
+
+
+_SNAP = f"""xy AS (SELECT l.activity_id, l.seq, way_pos, w.name, (alon - lon) * cos(radians(lat)) * {_M} AS ax, (alat - lat) * {_M} AS ay, (blon - lon) * cos(radians(lat)) * {_M} AS bx, (blat - lat) * {_M} AS byy FROM legs l, way w WHERE NOT l.assisted),
+tt AS (SELECT *, CASE WHEN pow(bx - ax, 2) + pow(byy - ay, 2) > 0 THEN greatest(0.0, least(1.0, (-ax * (bx - ax) - ay * (byy - ay)) / (pow(bx - ax, 2) + pow(byy - ay, 2)))) ELSE 0.0 END AS t FROM xy),
+dd AS (SELECT *, sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (byy - ay), 2)) AS d FROM tt),
+best AS (SELECT activity_id, seq, name, d FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY activity_id, seq ORDER BY d, way_pos) AS r FROM dd WHERE d < 25) WHERE r = 1),
+snapped AS (SELECT l.*, b.name, b.d FROM legs l LEFT JOIN best b ON b.activity_id = l.activity_id AND b.seq = l.seq)"""
+
+
+def _snapped(spark, d):
+    return spatial.snap(legs(spark, d), _ways(spark, d), 25.0, pad=0.0004)
+
+
+@query("tm_01", f"WITH {LEGS}, {_WAYS}, {_SNAP} SELECT activity_id, seq, name, round(d, 4) AS d FROM snapped")
+def tm_01(spark, d):
+    return _snapped(spark, d).select("activity_id", "seq", "name", rnd("d", 4).alias("d"))
+
+
+_RUNS = """sn AS (SELECT *, CASE WHEN name IS NOT DISTINCT FROM LAG(name) OVER w AND seq > 0 THEN 0 ELSE 1 END AS nw FROM snapped WINDOW w AS (PARTITION BY activity_id ORDER BY seq)),
+sr AS (SELECT *, SUM(nw) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM sn),
+tmrun AS (SELECT activity_id, name, MIN(seq) AS "start", MAX(seq) + 1 AS "end", COUNT(*) AS n, MAX(dist_km) - MIN(dist_km) AS ridden_km FROM sr WHERE name IS NOT NULL GROUP BY activity_id, run, name HAVING COUNT(*) >= 2)"""
+
+
+@query("tm_02", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS} SELECT activity_id, name, "start", "end", n, round(ridden_km, 5) AS ridden_km FROM tmrun')
+def tm_02(spark, d):
+    return spatial.runs(_snapped(spark, d), 2).withColumn("ridden_km", rnd("ridden_km", 5))
+
+
+_LENGTHS = f"lens AS (SELECT name, SUM(m) AS length_m, arg_min(kind, r) AS kind FROM (SELECT name, kind, {hav('alat', 'alon', 'blat', 'blon', True)} AS m, ROW_NUMBER() OVER (PARTITION BY name ORDER BY {hav('alat', 'alon', 'blat', 'blon', True)} DESC, way_pos) AS r FROM way) GROUP BY 1)"
+
+
+def _lengths(spark, d):
+    c = F.col
+    return spatial.way_lengths(_ways(spark, d), geo.haversine_of_differences(c("alat"), c("alon"), c("blat"), c("blon")))
+
+
+@query("tm_04", f"WITH {_WAYS}, {_LENGTHS} SELECT name, round(length_m, 3) AS length_m, kind FROM lens")
+def tm_04(spark, d):
+    return _lengths(spark, d).withColumn("length_m", rnd("length_m", 3))
+
+
+@query("tm_12", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, e AS (SELECT r.activity_id, r."start", r.n, a.ele AS e0, b.ele AS e1 FROM tmrun r JOIN trk a ON a.activity_id = r.activity_id AND a.seq = r."start" JOIN trk b ON b.activity_id = r.activity_id AND b.seq = r."end" - 1) SELECT activity_id, "start", CASE WHEN n < 2 OR e1 - e0 IS NULL OR e1 = e0 THEN \'mixed\' WHEN e1 > e0 THEN \'up\' ELSE \'down\' END AS direction FROM e')
+def tm_12(spark, d):
+    p = track_points(spark, d).select("activity_id", "seq", "ele")
+    r = spatial.runs(_snapped(spark, d), 2).join(p.toDF("activity_id", "start", "e0"), ["activity_id", "start"])
+    r = r.join(p.select("activity_id", (F.col("seq") + 1).alias("end"), F.col("ele").alias("e1")), ["activity_id", "end"])
+    return r.select("activity_id", "start", spatial.direction(F.col("e0"), F.col("e1"), F.col("n")).alias("direction"))
+
+
+@query("tm_14", f"WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, {_LENGTHS}, g AS (SELECT activity_id, r.name, COUNT(*) AS visits, SUM(ridden_km) AS km, least(100.0, 100 * SUM(ridden_km) / (any_value(length_m) / 1000)) AS c FROM tmrun r JOIN lens l ON l.name = r.name GROUP BY 1, 2) SELECT activity_id, name, visits, round(km, 5) AS ridden_km, round(c, 3) AS coverage, c >= 85 AS completed FROM g WHERE c >= 1")
+def tm_14(spark, d):
+    s = spatial.summary(spatial.runs(_snapped(spark, d), 2), _lengths(spark, d).select("name", "length_m"), 1.0)
+    return s.withColumns({"ridden_km": rnd("ridden_km", 5), "coverage": rnd("coverage", 3)})
+
+
+@query("tm_15", f"WITH {LEGS}, {_WAYS}, {_SNAP} SELECT activity_id, COUNT(*) AS points, COUNT(name) AS matched, round(COUNT(name) / COUNT(*), 6) AS rate FROM snapped GROUP BY 1")
+def tm_15(spark, d):
+    return spatial.match_rates(_snapped(spark, d)).withColumn("rate", rnd("rate"))
+
+
+def _attempts(spark, d):
+    return activities(spark, d).select("activity_id", F.col("place").alias("name"), "direction", "duration", (F.col("n") > 1).alias("completed"), "type")
+
+
+_ATT = f"{ACT}, att AS (SELECT activity_id, place AS name, direction, duration, n > 1 AS completed, type FROM act)"
+
+
+@query("lb_01", f"WITH {_ATT} SELECT name, direction, activity_id, ROW_NUMBER() OVER (PARTITION BY name, direction ORDER BY duration, activity_id) AS rank, COUNT(*) OVER (PARTITION BY name, direction) AS total FROM att WHERE completed")
+def lb_01(spark, d):
+    return spatial.leaderboards(_attempts(spark, d), ["name", "direction"]).select("name", "direction", "activity_id", "rank", "total")
+
+
+@query("lb_02", f"WITH {_ATT} SELECT type, name, direction, COUNT(*) AS attempts, MIN(duration) AS best, arg_min(activity_id, (duration, activity_id)) AS best_id FROM att WHERE completed GROUP BY 1, 2, 3")
+def lb_02(spark, d):
+    return spatial.trail_index(_attempts(spark, d), ["type", "name", "direction"])
+
+
+@query("lb_03", f"WITH {_ATT} SELECT name, string_agg(DISTINCT direction, ',' ORDER BY direction) AS directions FROM att WHERE completed GROUP BY 1")
+def lb_03(spark, d):
+    return spatial.directions(_attempts(spark, d))
+
+
+@query("win_08", f"WITH {_ATT} SELECT activity_id, ROW_NUMBER() OVER (PARTITION BY name ORDER BY duration, activity_id) AS rank, COUNT(*) OVER (PARTITION BY name) AS total FROM att WHERE completed")
+def win_08(spark, d):
+    return spatial.leaderboards(_attempts(spark, d), ["name"]).select("activity_id", "rank", "total")
+
+
+@query("lb_04", f"WITH {_ATT} SELECT type, COUNT(*) AS attempts, COUNT(DISTINCT name) AS trails FROM att WHERE completed GROUP BY 1")
+def lb_04(spark, d):
+    return spatial.trail_index(_attempts(spark, d), ["type", "name"]).groupBy("type").agg(F.sum("attempts").alias("attempts"), F.count("*").alias("trails"))
+
+
+_LINE = "tl AS (SELECT activity_id, CAST(event_id % 2 AS VARCHAR) AS name, seq AS start_idx, seq + 1 + event_id % 2 AS end_idx, t_s AS start_t, t_s + 5 AS end_t FROM trk WHERE event_id % 3 <> 0)"
+
+
+@query("rte_01", f"WITH {TRK}, {_LINE}, b AS (SELECT *, CASE WHEN name = LAG(name) OVER w AND start_idx - LAG(end_idx) OVER w BETWEEN 0 AND 250 AND start_t - LAG(end_t) OVER w <= 900 THEN 0 ELSE 1 END AS nw FROM tl WINDOW w AS (PARTITION BY activity_id ORDER BY start_idx)), g AS (SELECT *, SUM(nw) OVER (PARTITION BY activity_id ORDER BY start_idx ROWS UNBOUNDED PRECEDING) AS g FROM b) SELECT activity_id, name, MIN(start_idx) AS start_idx, MAX(end_idx) AS end_idx, COUNT(*) AS parts FROM g GROUP BY activity_id, g, name")
+def rte_01(spark, d):
+    p = track_points(spark, d).where("event_id % 3 != 0")
+    tl = p.select("activity_id", (F.col("event_id") % 2).cast("string").alias("name"), F.col("seq").alias("start_idx"), (F.col("seq") + 1 + F.col("event_id") % 2).alias("end_idx"), F.col("t_s").alias("start_t"), (F.col("t_s") + 5).alias("end_t"))
+    return spatial.coalesced(tl)
+
+
+@query("spa_11", f"WITH {TRK}, v AS (SELECT CAST(l AS BIGINT) AS line_id, CAST(k AS BIGINT) AS i, 49.995 + 0.0002 * l + 0.0003 * k AS vlat, -115.999 + 0.0005 * l + 0.0004 * k AS vlon FROM range(8) a(l), range(30) b(k) WHERE k % 3 = 0), h AS (SELECT DISTINCT activity_id, line_id, i FROM v, trk WHERE seq % 3 = 0 AND {hav('vlat', 'vlon', 'lat', 'lon', True)} <= 40) SELECT activity_id, line_id, round(COUNT(*) / 10.0, 6) AS covered FROM h GROUP BY 1, 2")
+def spa_11(spark, d):
+    v = spark.range(240).select(F.floor(F.col("id") / 30).alias("line_id"), (F.col("id") % 30).alias("i"))
+    v = v.select("line_id", "i", (49.995 + 0.0002 * F.col("line_id") + 0.0003 * F.col("i")).alias("vlat"), (-115.999 + 0.0005 * F.col("line_id") + 0.0004 * F.col("i")).alias("vlon"))
+    return spatial.track_coverage(v, track_points(spark, d)).withColumn("covered", rnd("covered"))
+
+
+# ---------------------------------------------------------------- similarity and sets
+
+_PAIR = "sz AS (SELECT activity_id, COUNT(*) AS n FROM cells GROUP BY 1), pr AS (SELECT x.activity_id AS a, y.activity_id AS b, COUNT(*) AS both_n FROM cells x JOIN cells y ON x.cn = y.cn AND x.ce = y.ce AND x.activity_id < y.activity_id GROUP BY 1, 2), score AS (SELECT a, b, both_n, both_n / (p.n + q.n - both_n) AS jaccard, both_n / least(p.n, q.n) AS containment FROM pr JOIN sz p ON p.activity_id = a JOIN sz q ON q.activity_id = b)"
+
+
+@query("sim_04", f"WITH {TRK}, {_CELLS}, {_PAIR} SELECT a, b, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment FROM score")
+def sim_04(spark, d):
+    return similarity.pair_scores(_cells(spark, d)).select("a", "b", rnd("jaccard").alias("jaccard"), rnd("containment").alias("containment"))
+
+
+@query("set_04", f"WITH {TRK}, {_CELLS}, {_PAIR} SELECT a, b, both_n AS \"both\" FROM score WHERE jaccard >= 0.1")
+def set_04(spark, d):
+    return similarity.pair_scores(_cells(spark, d)).where("jaccard >= 0.1").select("a", "b", "both")
+
+
+_DUP = "dact AS (SELECT activity_id, DATE '2024-01-01' + CAST(activity_id % 4 AS INTEGER) AS d, MAX(seq) AS km, MAX(t_s) AS dur FROM trk GROUP BY 1), dup AS (SELECT x.activity_id AS a, y.activity_id AS b, x.d FROM dact x JOIN dact y ON x.d = y.d AND x.activity_id < y.activity_id LEFT JOIN score s ON s.a = x.activity_id AND s.b = y.activity_id WHERE CASE WHEN x.activity_id % 5 > 0 AND y.activity_id % 5 > 0 THEN COALESCE(jaccard >= 0.25, false) ELSE abs(x.km - y.km) <= 0.05 * greatest(x.km, y.km) AND abs(x.dur - y.dur) <= 0.05 * greatest(x.dur, y.dur) END)"
+
+
+def _dups(spark, d):
+    p = track_points(spark, d)
+    a = p.groupBy("activity_id").agg(F.max("seq").alias("km"), F.max("t_s").alias("duration")).withColumns({"d": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("activity_id") % 4).cast("int")), "has_cells": F.col("activity_id") % 5 > 0})
+    return similarity.duplicate_pairs(a, similarity.pair_scores(_cells(spark, d)), 0.25)
+
+
+@query("sim_01", f"WITH {TRK}, {_CELLS}, {_PAIR}, {_DUP} SELECT a, b, CAST(d AS DATE) AS d FROM dup")
+def sim_01(spark, d):
+    return _dups(spark, d)
+
+
+@query("sim_02", f"WITH RECURSIVE {TRK}, {_CELLS}, {_PAIR}, {_DUP}, e AS (SELECT a, b FROM dup UNION SELECT b, a FROM dup), reach AS (SELECT a AS v, a AS c FROM e UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.v) SELECT v, MIN(c) AS c FROM reach GROUP BY 1")
+def sim_02(spark, d):
+    return similarity.duplicate_groups(_dups(spark, d))
+
+
+@query("sim_03", f"WITH {TRK}, {_BOX}, r AS (SELECT b.*, MAX(seq) AS km FROM box b JOIN trk t ON t.activity_id = b.activity_id GROUP BY ALL), g AS (SELECT r.*, CASE WHEN activity_id % 4 = 0 THEN '' ELSE CAST(activity_id % 3 AS VARCHAR) END AS region FROM r) SELECT DISTINCT x.activity_id AS a, y.activity_id AS b FROM g x JOIN g y ON x.region = y.region AND x.activity_id < y.activity_id WHERE abs(x.km - y.km) <= 0.2 * greatest(x.km, y.km) AND COALESCE(greatest(0, least(x.c, y.c) - greatest(x.a, y.a)) * greatest(0, least(x.d, y.d) - greatest(x.b, y.b)) / nullif((x.c - x.a) * (x.d - x.b) + (y.c - y.a) * (y.d - y.b) - greatest(0, least(x.c, y.c) - greatest(x.a, y.a)) * greatest(0, least(x.d, y.d) - greatest(x.b, y.b)), 0), 0) >= 0.3")
+def sim_03(spark, d):
+    p = track_points(spark, d)
+    r = T.bounding_boxes(p).join(p.groupBy("activity_id").agg(F.max("seq").alias("km")), "activity_id")
+    regions = F.when(F.col("activity_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array((F.col("activity_id") % 3).cast("string")))
+    return similarity.candidates(r.withColumn("regions", regions))
+
+
+@query("sim_06", f"WITH {TRK}, {_CELLS}, {_PAIR}, m AS (SELECT DISTINCT activity_id, activity_id % 6 AS cluster FROM trk), s2 AS (SELECT a, b, jaccard FROM score UNION ALL SELECT b, a, jaccard FROM score), g AS (SELECT x.cluster, x.activity_id, SUM(jaccard) AS s FROM m x JOIN s2 ON s2.a = x.activity_id JOIN m y ON y.activity_id = s2.b AND y.cluster = x.cluster GROUP BY 1, 2) SELECT cluster, activity_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY round(s, 9) DESC, activity_id) AS r FROM g) WHERE r = 1")
+def sim_06(spark, d):
+    m = track_points(spark, d).select("activity_id", (F.col("activity_id") % 6).alias("cluster")).distinct().withColumn("d", F.lit("2024-01-01").cast("date"))
+    return similarity.medoids(m, similarity.pair_scores(_cells(spark, d)))
+
+
+@query("set_01", f"WITH {ACT} SELECT activity_id FROM act WHERE km < 1 UNION SELECT activity_id FROM act WHERE gain IS NULL UNION SELECT activity_id FROM act WHERE n > 10")
+def set_01(spark, d):
+    a = activities(spark, d)
+    return a.where("km < 1").select("activity_id").union(a.where("gain IS NULL").select("activity_id")).union(a.where("n > 10").select("activity_id")).distinct()
+
+
+@query("set_02", f"WITH {_WAYS} SELECT way_pos, name, 'trail' AS kind_tag FROM way WHERE kind = 'trail' UNION ALL SELECT way_pos, name, 'road' FROM way WHERE kind = 'road'")
+def set_02(spark, d):
+    w = _ways(spark, d)
+    pick = lambda k: w.where(F.col("kind") == k).select("way_pos", "name", F.lit(k).alias("kind_tag"))
+    return pick("trail").unionByName(pick("road"))
+
+
+@query("set_03", f"WITH {ACT} SELECT activity_id FROM act WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = activity_id AND l_quantity > 10)")
+def set_03(spark, d):
+    gone = read(spark, d, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("activity_id"))
+    return activities(spark, d).select("activity_id").join(gone, "activity_id", "left_anti")
+
+
+# ---------------------------------------------------------------- data quality
+
+
+@query("dq_01", f"WITH {LEGS}, {_SPIKES}, s AS (SELECT activity_id, MAX(dist_km) AS km, MAX(t_s) - MIN(t_s) AS dur, MAX(speed) AS top, SUM(greatest(ele_delta, 0)) AS gain, COUNT(*) FILTER (WHERE spike) AS spikes, MAX(speed) FILTER (WHERE spike) AS peak, COUNT(*) FILTER (WHERE dist > 1000 AND dt < 300) AS jumps FROM spiked GROUP BY 1) SELECT activity_id, concat_ws(',', CASE WHEN km < 0.2 THEN 'tiny_distance' END, CASE WHEN dur > 0 AND dur < 60 THEN 'short' END, CASE WHEN top > 150 THEN 'fast' END, CASE WHEN km > 0.5 AND gain / km > 200 THEN 'steep' END, CASE WHEN jumps > 0 THEN 'teleport' END, CASE WHEN spikes >= 3 OR (spikes >= 1 AND peak >= 80) THEN 'speed_spike' END) AS codes FROM s")
+def dq_01(spark, d):
+    from ..operators.quality import issues
+
+    return issues(T.spikes(legs(spark, d))).select("activity_id", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"))
+
+
+@query("dq_03", f"WITH {LEGS}, {_SPIKES} SELECT activity_id, COUNT(*) AS spikes, round(MAX(speed), 4) AS peak FROM spiked WHERE spike GROUP BY 1 HAVING COUNT(*) >= 3 OR MAX(speed) >= 80")
+def dq_03(spark, d):
+    from ..operators.quality import spike_flagged
+
+    return spike_flagged(T.spikes(legs(spark, d))).withColumn("peak", rnd("peak", 4))
+
+
+@query("dq_04", f"WITH {TRK} SELECT activity_id, hour(MIN(ts) - INTERVAL 7 HOUR) AS hour FROM trk GROUP BY 1 HAVING hour(MIN(ts) - INTERVAL 7 HOUR) IN (21, 22, 23, 0, 1, 2, 3, 4, 5, 6)")
+def dq_04(spark, d):
+    from ..operators.quality import odd_starts
+
+    start = track_points(spark, d).groupBy("activity_id").agg(F.min("ts").alias("start"))
+    return odd_starts(start, F.lit("Etc/GMT+7")).select("activity_id", F.col("hour").cast("long").alias("hour"))
+
+
+@query("cnt_02", f"WITH {LEGS}, {_SPIKES} SELECT 'spikes' AS kind, COUNT(DISTINCT activity_id) AS n FROM spiked WHERE spike UNION ALL SELECT 'no_elevation', COUNT(*) FROM trk WHERE ele IS NULL")
+def cnt_02(spark, d):
+    p = T.spikes(legs(spark, d))
+    return p.where("spike").agg(F.count_distinct("activity_id").alias("n")).select(F.lit("spikes").alias("kind"), "n").unionByName(p.where("ele IS NULL").agg(F.count("*").alias("n")).select(F.lit("no_elevation").alias("kind"), "n"))
