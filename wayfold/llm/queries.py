@@ -27,7 +27,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pieces.decode(_pieces.encode(table(spark, sf_dir, "documents")))
+    rows = _pieces.encode(table(spark, sf_dir, "documents"), with_text=True)
     return rows.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 

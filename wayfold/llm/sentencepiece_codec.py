@@ -24,7 +24,7 @@ from .common import flat, span_hashes, text_chunks
 from .pieces import SPACE, SpanHasher, Vocabulary, substring_ids, vocabulary
 
 MODEL = "piece_bpe_32k.model"
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 1 << 20  #: of text, of which encoding takes about a hundred times as much
 
 
 def take_spans(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -192,40 +192,55 @@ def encode_batch(texts: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.nda
     return take_spans(ids, place[inverse], per_word), total[np.searchsorted(start, new_off)]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+def piece_texts(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that the ids stand for, one after the other, and the number of each one's."""
+    texts = [t.replace(SPACE, b" ") for t in vocab.texts]
+    for byte, i in enumerate(vocab.byte_ids):
+        if i >= 0:
+            texts[i] = bytes([byte])
+    texts[vocab.processor.unk_id()] = " ⁇ ".encode()
+    return np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+
+
+def decode_batch(ids: np.ndarray, off: np.ndarray, blob: np.ndarray, size: np.ndarray) -> list[str]:
+    """Texts of the ids between the offsets, without the space sign that encoding put first."""
+    start, n = np.cumsum(size) - size, size[ids]
+    joined = take_spans(blob, start[ids], n).tobytes()
+    at = np.concatenate([[0], np.cumsum(n)])[off].tolist()
+    return [joined[a:z].removeprefix(b" ").decode("utf-8", "replace") for a, z in zip(at[:-1], at[1:], strict=True)]
+
+
+def _encode(batches: Iterator[pa.RecordBatch], model: str, with_text: bool) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(model)
+    blob, size = piece_texts(vocab)
     for b in text_chunks(batches, limit=BATCH_BYTES):
         ids, off = encode_batch(b.column("text"), vocab)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((off * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])], ["doc_id", "n_ids", "ids"])
+        raw = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((off * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+        columns, names = [b.column("doc_id"), pa.array(np.diff(off), pa.int64()), raw], ["doc_id", "n_ids", "ids"]
+        if with_text:
+            columns.append(pa.array(decode_batch(ids, off, blob, size), pa.string()))
+            names.append("text")
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
-    vocab = vocabulary(model)
-    texts = [t.replace(SPACE, b" ") for t in vocab.texts]
-    for byte, i in enumerate(vocab.byte_ids):
-        if i >= 0:
-            texts[i] = bytes([byte])
-    texts[vocab.processor.unk_id()] = " ⁇ ".encode()
-    size, blob = np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8)
-    start = np.cumsum(size) - size
+    blob, size = piece_texts(vocabulary(model))
     for b in batches:
         for i in range(0, b.num_rows, 512):
             part = b.slice(i, 512)
             raw, off = flat(part.column("ids"))
-            ids = np.frombuffer(raw.tobytes(), "<u4").astype(np.int64)
-            joined = take_spans(blob, start[ids], size[ids]).tobytes()
-            at = np.concatenate([[0], np.cumsum(size[ids])])[off // 4].tolist()
-            out = [joined[a:z].removeprefix(b" ").decode("utf-8", "replace") for a, z in zip(at[:-1], at[1:], strict=True)]
+            out = decode_batch(np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), off // 4, blob, size)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_ids"), part.column("ids"), pa.array(out, pa.string())], ["doc_id", "n_ids", "ids", "text"])
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """``doc_id``, ``n_ids`` and ``ids`` (little-endian unsigned 32-bit) of each row of ``docs(doc_id, text)``.
+def encode(docs: DataFrame, model: str = MODEL, with_text: bool = False) -> DataFrame:
+    """``doc_id``, ``n_ids`` and ``ids`` (little-endian unsigned 32-bit) of each row of ``docs(doc_id, text)``; ``with_text``, also the ``text`` that decoding the ids gives, in the same pass.
 
     Null and empty texts have no ids.  Other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(partial(_encode, model=model), "doc_id long, n_ids long, ids binary")
+    kernel = partial(_encode, model=model, with_text=with_text)
+    return docs.mapInArrow(kernel, "doc_id long, n_ids long, ids binary" + (", text string" if with_text else ""))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
