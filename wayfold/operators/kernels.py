@@ -8,7 +8,6 @@ short loop over positions found by numpy, not by rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -300,7 +299,7 @@ def chains(ways: DataFrame, metres: float = 5.0) -> DataFrame:
 def leaders(points: DataFrame, metres: float, by: str) -> DataFrame:
     """Greedy clusters of ``points(by, id, x, y)``: each joins the first leader within ``metres``, or leads itself."""
 
-    def kernel(pdf: pd.DataFrame, metres: float) -> pd.DataFrame:
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x, lead = pdf[["x", "y"]].to_numpy(float), []
         out = []
@@ -312,4 +311,4 @@ def leaders(points: DataFrame, metres: float, by: str) -> DataFrame:
         return pd.DataFrame({by: pdf[by], "id": pdf["id"], "leader": out})
 
     kind = dict(points.dtypes)
-    return points.groupBy(by).applyInPandas(partial(kernel, metres=metres), f"{by} {kind[by]}, id {kind['id']}, leader long")
+    return points.groupBy(by).applyInPandas(kernel, f"{by} {kind[by]}, id {kind['id']}, leader long")

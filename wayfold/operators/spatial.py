@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, ray_crosses, segment_distance
-from .tracks import SO_FAR, W
+from .tracks import so_far, track
 
 
 def grid_cells(points: DataFrame, metres: float, ref_lat: float | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def snap(points: DataFrame, ways: DataFrame, metres: float = 8.0, cell: float =
 
 def runs(snapped: DataFrame, least: int = 4) -> DataFrame:
     """Runs of consecutive points on one name, of ``least`` points or more; a point on none breaks them; the end is exclusive."""
-    s = snapped.withColumn("new", F.when(F.col("name").eqNullSafe(F.lag("name").over(W)), 0).otherwise(1)).withColumn("run", F.sum("new").over(SO_FAR))
+    s = snapped.withColumn("new", F.when(F.col("name").eqNullSafe(F.lag("name").over(track())), 0).otherwise(1)).withColumn("run", F.sum("new").over(so_far()))
     out = s.where("name IS NOT NULL").groupBy("activity_id", "run", "name").agg(F.min("seq").alias("start"), (F.max("seq") + 1).alias("end"), F.count("*").alias("n"), (F.max("dist_km") - F.min("dist_km")).alias("ridden_km"))
     return out.where(F.col("n") >= least).select("activity_id", "name", "start", "end", "n", "ridden_km")
 

@@ -7,21 +7,32 @@ sees another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine, local_x, local_y, sinuosity
 from ..functions.stats import median_avg, median_upper
 
-W = Window.partitionBy("activity_id").orderBy("seq")
-ALL = Window.partitionBy("activity_id")
+def track() -> WindowSpec:
+    """Points of an activity in their order."""
+    return Window.partitionBy("activity_id").orderBy("seq")
 
 
-def rows(a: int, b: int):
-    return W.rowsBetween(a, b)
+def whole() -> WindowSpec:
+    return Window.partitionBy("activity_id")
 
 
-SO_FAR = W.rowsBetween(Window.unboundedPreceding, 0)
+def rows(a: int, b: int) -> WindowSpec:
+    return track().rowsBetween(a, b)
+
+
+def so_far() -> WindowSpec:
+    return track().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def ahead() -> WindowSpec:
+    return track().rowsBetween(0, Window.unboundedFollowing)
+
 
 #: Speeds above this are no speeds, in km/h.
 MOST_SPEED = 150.0
@@ -32,7 +43,7 @@ def legs(points: DataFrame, guard: bool = True) -> DataFrame:
 
     With ``guard`` a leg back in time counts neither time nor distance.
     """
-    before = lambda c: F.lag(c).over(W)
+    before = lambda c: F.lag(c).over(track())
     dt = F.coalesce(F.col("t_s") - before("t_s"), F.lit(0))
     dist = F.coalesce(haversine(before("lat"), before("lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
     out = points.withColumns({"dt": dt, "dist": dist, "ele_delta": F.coalesce(F.col("ele") - before("ele"), F.lit(0.0))})
@@ -44,7 +55,7 @@ def legs(points: DataFrame, guard: bool = True) -> DataFrame:
 
 def cumulative_km(points: DataFrame) -> DataFrame:
     """Kilometres from the start of the track."""
-    return points.withColumn("dist_km", F.sum("dist").over(SO_FAR) / 1000)
+    return points.withColumn("dist_km", F.sum("dist").over(so_far()) / 1000)
 
 
 def bounding_boxes(points: DataFrame) -> DataFrame:
@@ -60,7 +71,7 @@ def track_sinuosity(points: DataFrame) -> DataFrame:
 
 def range_sums(points: DataFrame, spans: DataFrame, value: str) -> DataFrame:
     """Sum of ``value`` over (start, end] of each of ``spans(activity_id, start, end)``, as a difference of running sums."""
-    running = points.select("activity_id", "seq", F.sum(value).over(SO_FAR).alias("run"))
+    running = points.select("activity_id", "seq", F.sum(value).over(so_far()).alias("run"))
     low = running.select("activity_id", F.col("seq").alias("start"), F.col("run").alias("low"))
     high = running.select("activity_id", F.col("seq").alias("end"), F.col("run").alias("high"))
     return spans.join(low, ["activity_id", "start"]).join(high, ["activity_id", "end"]).select("activity_id", "start", "end", (F.col("high") - F.col("low")).alias("total"))
@@ -94,7 +105,7 @@ def smooth_elevation(points: DataFrame, half: int = 10, out: str = "ele_sm") ->
 def smooth_upper_median(points: DataFrame, value: str, window: int = 9) -> DataFrame:
     """Centred upper median; tracks of fewer than three points stay."""
     around = F.collect_list(value).over(rows(-(window // 2), window // 2))
-    return points.withColumn(f"{value}_sm", F.when(F.count("*").over(ALL) < 3, F.col(value)).otherwise(median_upper(around)))
+    return points.withColumn(f"{value}_sm", F.when(F.count("*").over(whole()) < 3, F.col(value)).otherwise(median_upper(around)))
 
 
 def smooth_positions(points: DataFrame, window: int, start_km: float | None = None, end_km: float | None = None) -> DataFrame:
@@ -108,14 +119,14 @@ def smooth_positions(points: DataFrame, window: int, start_km: float | None = No
         inside &= F.col("dist_km") >= start_km
     if end_km is not None:
         inside &= F.col("dist_km") <= end_km
-    inside &= F.count("*").over(ALL) >= window
+    inside &= F.count("*").over(whole()) >= window
     return points.withColumns({f"{c}_sm": F.when(inside, F.avg(c).over(rows(-half, half))).otherwise(F.col(c)) for c in ("lat", "lon")})
 
 
 def gain_loss(points: DataFrame, half: int = 3) -> DataFrame:
     """Ascent and descent of each track over a smoothed elevation; points without elevation are left out first."""
     sm = smooth_elevation(points.where("ele IS NOT NULL"), half)
-    delta = sm.withColumn("d", F.col("ele_sm") - F.lag("ele_sm").over(W))
+    delta = sm.withColumn("d", F.col("ele_sm") - F.lag("ele_sm").over(track()))
     return delta.groupBy("activity_id").agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("d"))), F.lit(0.0)).alias("gain_m"), F.coalesce(F.sum(F.when(F.col("d") < 0, -F.col("d"))), F.lit(0.0)).alias("loss_m"))
 
 
@@ -134,7 +145,7 @@ def spikes(points: DataFrame) -> DataFrame:
     """
     fast = F.when(F.col("speed") > 0, F.col("speed"))
     around = F.concat(F.collect_list(fast).over(rows(-10, -1)), F.collect_list(fast).over(rows(1, 10)))
-    clear = ~F.col("assisted") & ~F.coalesce(F.lag("assisted").over(W), F.lit(False)) & (F.count("*").over(ALL) >= 21)
+    clear = ~F.col("assisted") & ~F.coalesce(F.lag("assisted").over(track()), F.lit(False)) & (F.count("*").over(whole()) >= 21)
     limit = F.greatest(4 * median_upper(around), F.lit(40.0))
     return points.withColumn("spike", F.coalesce(clear & (F.col("speed") > limit), F.lit(False)))
 
@@ -151,20 +162,20 @@ def segments(points: DataFrame) -> DataFrame:
     """Runs of equal flags; neighbours share the point between them; the first point's flag doesn't count, a track starts riding."""
     flag = F.when(F.col("seq") == 0, False).otherwise(F.col("assisted"))
     p = points.withColumn("flag", flag)
-    p = p.withColumn("run", F.sum(F.when(F.col("flag") != F.lag("flag").over(W), 1).otherwise(0)).over(SO_FAR))
+    p = p.withColumn("run", F.sum(F.when(F.col("flag") != F.lag("flag").over(track()), 1).otherwise(0)).over(so_far()))
     out = p.groupBy("activity_id", "run").agg(F.first("flag").alias("flag"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     return out.select("activity_id", F.col("run").cast("long").alias("seg_no"), F.when(F.col("flag"), "assisted").otherwise("riding").alias("type"), F.greatest(F.when(F.col("run") > 0, F.col("lo") - 1).otherwise(F.col("lo")), F.lit(0)).cast("long").alias("start_seq"), F.col("hi").cast("long").alias("end_seq"))
 
 
 def lift_counts(points: DataFrame) -> DataFrame:
     """Number of assisted runs."""
-    rise = F.col("assisted") & ~F.coalesce(F.lag("assisted").over(W), F.lit(False)) & (F.col("seq") > 0)
+    rise = F.col("assisted") & ~F.coalesce(F.lag("assisted").over(track()), F.lit(False)) & (F.col("seq") > 0)
     return points.withColumn("rise", rise).groupBy("activity_id").agg(F.count_if("rise").alias("lift_count"))
 
 
 def riding_sums(points: DataFrame, ele: str = "ele_sm") -> DataFrame:
     """Distance, ascent, descent and seconds of riding, and ascent of assisted legs, over a smoothed elevation."""
-    p = points.withColumn("d", F.coalesce(F.col(ele) - F.lag(ele).over(W), F.lit(0.0)))
+    p = points.withColumn("d", F.coalesce(F.col(ele) - F.lag(ele).over(track()), F.lit(0.0)))
     on = ~F.col("assisted")
     pick = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), F.lit(0.0))
     return p.groupBy("activity_id").agg(
@@ -190,7 +201,7 @@ def segment_sums(points: DataFrame, segs: DataFrame) -> DataFrame:
 
 def sparklines(points: DataFrame, n: int = 40) -> DataFrame:
     """About ``n`` elevations of each track at an even stride; null if there are fewer than two."""
-    p = points.where("ele IS NOT NULL").withColumn("place", F.row_number().over(W) - 1).withColumn("total", F.count("*").over(ALL))
+    p = points.where("ele IS NOT NULL").withColumn("place", F.row_number().over(track()) - 1).withColumn("total", F.count("*").over(whole()))
     p = p.where(f"place % greatest(1, total div {n}) = 0")
     out = p.groupBy("activity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ele"))), lambda s: s["ele"]).alias("spark"))
     return out.withColumn("spark", F.when(F.size("spark") >= 2, F.col("spark")))
@@ -198,7 +209,7 @@ def sparklines(points: DataFrame, n: int = 40) -> DataFrame:
 
 def thumbnails(points: DataFrame, n: int = 20) -> DataFrame:
     """``n`` evenly placed points of each track and its last; shorter tracks as they are."""
-    p = points.withColumn("total", F.count("*").over(ALL))
+    p = points.withColumn("total", F.count("*").over(whole()))
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("total") / n))
     keep = (F.col("total") <= n) | F.array_contains(places, F.col("seq").cast("bigint")) | (F.col("seq") == F.col("total") - 1)
     return p.where(keep).select("activity_id", "seq", "lat", "lon")
@@ -206,7 +217,7 @@ def thumbnails(points: DataFrame, n: int = 20) -> DataFrame:
 
 def decimated(points: DataFrame, most: int) -> DataFrame:
     """Every k-th point so that about ``most`` remain, and the last."""
-    p = points.withColumn("total", F.count("*").over(ALL))
+    p = points.withColumn("total", F.count("*").over(whole()))
     stride = F.greatest(F.lit(1), F.floor(F.col("total") / most))
     return p.where((F.col("seq") % stride == 0) | (F.col("seq") == F.col("total") - 1)).select("activity_id", "seq", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
 
@@ -218,7 +229,7 @@ def shifted(points: DataFrame, hours: int, stamp: str = "ts") -> DataFrame:
     """Times moved by whole hours, within -23..23, and the date of each track's start derived anew."""
     hours = max(-23, min(23, hours))
     moved = points.withColumn(stamp, F.col(stamp) + F.make_dt_interval(hours=F.lit(hours)))
-    return moved.withColumn("date", F.to_date(F.min(stamp).over(ALL)))
+    return moved.withColumn("date", F.to_date(F.min(stamp).over(whole())))
 
 
 def trimmed(points: DataFrame, start_km: float, end_km: float) -> DataFrame:
@@ -226,19 +237,18 @@ def trimmed(points: DataFrame, start_km: float, end_km: float) -> DataFrame:
 
     An inverted range, or one that keeps fewer than two points, changes nothing.
     """
-    lo = F.min(F.when(F.col("dist_km") >= start_km, F.col("seq"))).over(ALL)
-    hi = F.max(F.when(F.col("dist_km") <= end_km, F.col("seq"))).over(ALL)
+    lo = F.min(F.when(F.col("dist_km") >= start_km, F.col("seq"))).over(whole())
+    hi = F.max(F.when(F.col("dist_km") <= end_km, F.col("seq"))).over(whole())
     p = points.withColumns({"lo": lo, "hi": hi}).withColumn("all", F.coalesce(F.col("hi") <= F.col("lo"), F.lit(True)))
     p = p.where("all OR seq BETWEEN lo AND hi")
-    base = F.min("dist_km").over(ALL)
+    base = F.min("dist_km").over(whole())
     return p.withColumns({"dist_km": F.when(F.col("all"), F.col("dist_km")).otherwise(F.col("dist_km") - base), "seq": F.when(F.col("all"), F.col("seq")).otherwise(F.col("seq") - F.col("lo"))}).drop("lo", "hi", "all")
 
 
 def repaired(points: DataFrame) -> DataFrame:
     """Positions of spike points taken from the last clean point before, or else the first after."""
     clean = lambda c: F.when(~F.col("spike"), F.col(c))
-    ahead = W.rowsBetween(0, Window.unboundedFollowing)
-    return points.withColumns({c: F.coalesce(F.last(clean(c), ignorenulls=True).over(SO_FAR), F.first(clean(c), ignorenulls=True).over(ahead), F.col(c)) for c in ("lat", "lon")})
+    return points.withColumns({c: F.coalesce(F.last(clean(c), ignorenulls=True).over(so_far()), F.first(clean(c), ignorenulls=True).over(ahead()), F.col(c)) for c in ("lat", "lon")})
 
 
 def overridden(computed: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -249,12 +259,11 @@ def overridden(computed: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def unwrapped(points: DataFrame, angle: str) -> DataFrame:
     """Running sum of the differences of an angle, each held to (-pi, pi]."""
-    d = F.col(angle) - F.lag(angle).over(W)
+    d = F.col(angle) - F.lag(angle).over(track())
     turn = d - 2 * F.pi() * F.ceil((d - F.pi()) / (2 * F.pi()))
-    return points.withColumn(f"{angle}_unwrapped", F.first(angle).over(SO_FAR) + F.sum(F.coalesce(turn, F.lit(0.0))).over(SO_FAR))
+    return points.withColumn(f"{angle}_unwrapped", F.first(angle).over(so_far()) + F.sum(F.coalesce(turn, F.lit(0.0))).over(so_far()))
 
 
 def filled(points: DataFrame, value: str) -> DataFrame:
     """Nulls filled from the last value before, or else the first after."""
-    ahead = W.rowsBetween(0, Window.unboundedFollowing)
-    return points.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(SO_FAR), F.first(value, ignorenulls=True).over(ahead)))
+    return points.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(so_far()), F.first(value, ignorenulls=True).over(ahead())))

@@ -25,7 +25,7 @@ def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("activity_id"), "event_id", "event_type", "ts", (F.row_number().over(w) - 1).cast("long").alias("seq"),
         F.when(i % 23 == 0, 240 + i % 60).otherwise(5 + i % 9).alias("step_s"), ((i * 7919) % 11 - 5).alias("dn"), ((i * 6101) % 13 - 4).alias("de"), F.when(i % 23 == 0, F.lit(240).cast("long")).otherwise((i * 104729) % 41 - 22).alias("dz"),
     )
-    run = lambda c: F.sum(c).over(T.SO_FAR)
+    run = lambda c: F.sum(c).over(T.so_far())
     ele = F.when(i % 17 != 3, 1000.0 + run("dz").cast("double") / 2)
     return steps.select("activity_id", "seq", "event_id", "event_type", "ts", run("step_s").cast("long").alias("t_s"), (50.0 + run("dn").cast("double") / 10000).alias("lat"), (-116.0 + run("de").cast("double") / 10000).alias("lon"), ele.alias("ele"))
 

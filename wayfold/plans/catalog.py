@@ -43,7 +43,7 @@ def leg_01(spark, d):
 
 @query("leg_02", f"WITH {TRK} SELECT activity_id, seq, round(COALESCE({hav('LAG(lat) OVER w', 'LAG(lon) OVER w', 'lat', 'lon', True)}, 0.0), 4) AS dist FROM trk WINDOW w AS (PARTITION BY activity_id ORDER BY seq)")
 def leg_02(spark, d):
-    b = lambda c: F.lag(c).over(T.W)
+    b = lambda c: F.lag(c).over(T.track())
     return track_points(spark, d).select("activity_id", "seq", rnd(F.coalesce(geo.haversine_of_differences(b("lat"), b("lon"), F.col("lat"), F.col("lon")), F.lit(0.0)), 4).alias("dist"))
 
 
@@ -70,7 +70,7 @@ def leg_06(spark, d):
 @query("leg_07", f"WITH {TRK}, sm AS (SELECT *, AVG(ele) OVER ({ROWS} 10 PRECEDING AND 10 FOLLOWING) AS ele_sm FROM trk) SELECT activity_id, seq, COALESCE(t_s - LAG(t_s) OVER w, 0) AS dt, round(COALESCE(ele_sm - LAG(ele_sm) OVER w, 0.0), 6) AS ele_delta_sm FROM sm WINDOW w AS (PARTITION BY activity_id ORDER BY seq)")
 def leg_07(spark, d):
     p = T.legs(T.smooth_elevation(track_points(spark, d)), guard=False)
-    return p.select("activity_id", "seq", F.col("dt").cast("long").alias("dt"), rnd(F.coalesce(F.col("ele_sm") - F.lag("ele_sm").over(T.W), F.lit(0.0))).alias("ele_delta_sm"))
+    return p.select("activity_id", "seq", F.col("dt").cast("long").alias("dt"), rnd(F.coalesce(F.col("ele_sm") - F.lag("ele_sm").over(T.track()), F.lit(0.0))).alias("ele_delta_sm"))
 
 
 @query("leg_08", f"WITH {LEGS}, e AS (SELECT activity_id, SUM(dist) AS path_m, {hav('arg_min(lat, seq)', 'arg_min(lon, seq)', 'arg_max(lat, seq)', 'arg_max(lon, seq)')} AS straight_m FROM legs GROUP BY 1) SELECT activity_id, round(path_m, 4) AS path_m, round(CASE WHEN straight_m <= 1 THEN 1.0 ELSE path_m / straight_m END, 4) AS sinuosity FROM e")
@@ -875,3 +875,145 @@ def dq_04(spark, d):
 def cnt_02(spark, d):
     p = T.spikes(legs(spark, d))
     return p.where("spike").agg(F.count_distinct("activity_id").alias("n")).select(F.lit("spikes").alias("kind"), "n").unionByName(p.where("ele IS NULL").agg(F.count("*").alias("n")).select(F.lit("no_elevation").alias("kind"), "n"))
+
+
+# ---------------------------------------------------------------- sources and changes that the tables can show
+
+
+@query("src_10", "SELECT event_id, CAST(k AS BIGINT) AS t, value * k AS temp FROM events, range(3) r(k) WHERE event_id % 20 = 0")
+def src_10(spark, d):
+    e = read(spark, d, "events").where("event_id % 20 = 0")
+    days = e.select("event_id", F.array(*(F.lit(k).cast("long") for k in range(3))).alias("time"), F.array(*(F.col("value") * k for k in range(3))).alias("temp"))
+    return days.select("event_id", F.inline(F.arrays_zip("time", "temp"))).withColumnRenamed("time", "t")
+
+
+@query("snk_04", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view')")
+def snk_04(spark, d):
+    from ..sources.writers import without_archived
+
+    e = read(spark, d, "events")
+    return without_archived(e.select("event_id"), e.where("event_type = 'view'"), "event_id")
+
+
+@query("dml_01", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'patched' ELSE event_type END AS event_type FROM events")
+def dml_01(spark, d):
+    from ..sources.writers import patched
+
+    e = read(spark, d, "events").select("event_id", "event_type")
+    return patched(e, e.where("event_id % 3 = 0").select("event_id", F.lit("patched").alias("event_type")), "event_id")
+
+
+@query("dml_02", "SELECT event_id, event_type FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, 'new' FROM events WHERE event_id % 3 = 0 UNION ALL SELECT -event_id, 'new' FROM events WHERE event_id % 3 = 0 AND event_id > 0")
+def dml_02(spark, d):
+    from ..sources.writers import upserted
+
+    e = read(spark, d, "events").select("event_id", "event_type")
+    hit = e.where("event_id % 3 = 0")
+    new = hit.select("event_id", F.lit("new").alias("event_type")).unionByName(hit.where("event_id > 0").select((-F.col("event_id")).alias("event_id"), F.lit("new").alias("event_type")))
+    return upserted(e, new, "event_id")
+
+
+@query("gl_14", "SELECT CAST(s.d AS DATE) AS d FROM (SELECT unnest(generate_series(DATE '2024-01-05', DATE '2024-02-10', INTERVAL 1 DAY)) AS d) s WHERE CAST(s.d AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events) OR s.d > DATE '2024-02-07'")
+def gl_14(spark, d):
+    days = spark.range(1).select(F.explode(F.expr("sequence(DATE '2024-01-05', DATE '2024-02-10')")).alias("d"))
+    have = read(spark, d, "events").select(F.to_date("ts").alias("d")).distinct()
+    return days.join(have, "d", "left_anti").unionByName(days.where("d > DATE '2024-02-07'")).distinct()
+
+
+@query("gl_16", f"WITH {ACT} SELECT activity_id, COALESCE(CASE WHEN activity_id % 2 = 0 THEN 'kept' END, CASE type WHEN 'BUILDING' THEN 'ride' WHEN 'MACHINERY' THEN 'ski' ELSE 'other' END) AS tag FROM act")
+def gl_16(spark, d):
+    mapped = F.when(F.col("type") == "BUILDING", "ride").when(F.col("type") == "MACHINERY", "ski").otherwise("other")
+    return activities(spark, d).select("activity_id", F.coalesce(F.when(F.col("activity_id") % 2 == 0, "kept"), mapped).alias("tag"))
+
+
+@query("str_05", "WITH o AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw FROM events), s AS (SELECT *, SUM(nw) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o) SELECT user_id, COUNT(*) AS n, CAST(floor(epoch(MIN(ts))) AS BIGINT) AS start_s FROM s GROUP BY user_id, k")
+def str_05(spark, d):
+    from ..streaming.tracks import sessions
+
+    s = sessions(read(spark, d, "events"), "6 hours", "1 day")
+    return s.select("user_id", "n", F.unix_timestamp("start").alias("start_s"))
+
+
+@query("str_01", "SELECT event_id FROM events WHERE event_type IN ('purchase', 'view') AND event_id % 5 = 0")
+def str_01(spark, d):
+    from ..streaming.tracks import thinned
+
+    return thinned(read(spark, d, "events"), ["purchase", "view"]).select("event_id")
+
+
+@query("str_02", "SELECT event_id FROM events WHERE ts > (SELECT MAX(ts) FROM events WHERE day(ts) <= 15)")
+def str_02(spark, d):
+    from ..streaming.tracks import after_high_water
+
+    e = read(spark, d, "events")
+    return after_high_water(e, e.where(F.dayofmonth("ts") <= 15)).select("event_id")
+
+
+# ---------------------------------------------------------------- kernels, which SQL does not express
+
+
+@query("det_17")
+def det_17(spark, d):
+    """All detectors side by side: assisted points and runs of each."""
+    from ..operators.kernels import DETECTORS, detect
+
+    f = detect(legs(spark, d))
+    long = f.select("activity_id", "seq", F.explode(F.create_map(*(x for k in DETECTORS for x in (F.lit(k), F.col(k))))).alias("algorithm", "on"))
+    was = F.lag("on").over(Window.partitionBy("algorithm", "activity_id").orderBy("seq"))
+    return long.withColumn("rise", F.col("on") & ~F.coalesce(was, F.lit(False))).groupBy("algorithm", "activity_id").agg(F.count_if("on").alias("points"), F.count_if("rise").alias("runs"))
+
+
+@query("tm_03")
+def tm_03(spark, d):
+    from ..operators.kernels import coalesce_runs
+
+    r = spatial.runs(_snapped(spark, d), 2)
+    t = track_points(spark, d).select("activity_id", "seq", "t_s")
+    r = r.join(t.toDF("activity_id", "start", "start_t"), ["activity_id", "start"]).join(t.select("activity_id", (F.col("seq") + 1).alias("end"), F.col("t_s").alias("end_t")), ["activity_id", "end"])
+    return coalesce_runs(r.select("activity_id", "name", "start_t", "end_t", "ridden_km"))
+
+
+@query("tm_09")
+def tm_09(spark, d):
+    from ..operators.kernels import traversals
+
+    p = track_points(spark, d)
+    w = Window.partitionBy("activity_id")
+    span = F.nullif(F.max("lat").over(w) - F.min("lat").over(w), F.lit(0.0))
+    return traversals(p.select("activity_id", F.lit("line").alias("name"), "seq", F.coalesce((F.col("lat") - F.min("lat").over(w)) / span, F.lit(0.0)).alias("progress")))
+
+
+@query("tm_07")
+def tm_07(spark, d):
+    from ..operators.kernels import chains
+
+    c = F.col
+    x = lambda lon: geo.local_x(c(lon), F.lit(50.0), F.lit(-116.0))
+    y = lambda lat: geo.local_y(c(lat), F.lit(50.0))
+    return chains(_ways(spark, d).select("name", "way_pos", x("alon").alias("ax"), y("alat").alias("ay"), x("blon").alias("bx"), y("blat").alias("by")), 150.0)
+
+
+@query("rte_05")
+def rte_05(spark, d):
+    from ..operators.kernels import route_attempts
+
+    p = track_points(spark, d)
+    tl = p.select("activity_id", F.col("seq").alias("start_idx"), (F.col("seq") + 1).alias("end_idx"), F.col("t_s").alias("start_t"), (F.col("t_s") + 5).alias("end_t"), F.concat(F.lit("T"), (F.col("event_id") % 3).cast("string")).alias("name"), (F.col("event_id") % 7 == 0).alias("noise"))
+    return route_attempts(tl, ["T0", "T1", "T2"])
+
+
+@query("sim_05")
+def sim_05(spark, d):
+    from ..operators.kernels import complete_linkage
+
+    s = similarity.pair_scores(_cells(spark, d)).select("a", "b", F.col("jaccard").alias("score"))
+    return complete_linkage(s, similarity.duplicate_groups(s.where("score >= 0.15").select("a", "b")), 0.15)
+
+
+@query("rg_02")
+def rg_02(spark, d):
+    from ..operators.kernels import leaders
+
+    w = _ways(spark, d)
+    ends = w.select("kind", F.col("way_pos").alias("id"), geo.local_x(F.col("alon"), F.lit(50.0), F.lit(-116.0)).alias("x"), geo.local_y(F.col("alat"), F.lit(50.0)).alias("y"))
+    return leaders(ends, 250.0, "kind")
