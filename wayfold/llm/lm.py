@@ -4,7 +4,8 @@ The vocabulary is an existing one; its pieces' probabilities start from the
 scores in its file and are estimated anew from the training words by one round
 of expectation maximisation over all segmentations.  A word's probability is
 the sum over its segmentations, by forward recursion in log space; a text's is
-the product over its words and its end.
+the product over its words and its end.  Words of the training part are arcs
+of the lattice themselves, besides.
 
 Texts are read once.  Blocks of them keep their tokens as numbers of the
 block's distinct words; those words travel, with counts, to the bucket of
@@ -104,6 +105,14 @@ def lattice(rows: np.ndarray, logp: np.ndarray, vocab: Vocabulary, counts: np.nd
     return alpha[width], expected
 
 
+def closing(logp: np.ndarray, vocab: Vocabulary) -> float:
+    """Log of the factor by which lattice probabilities of words sum to one: a word goes on while a piece without the space sign follows."""
+    first = np.array([t.startswith(SPACE) for t in vocab.texts])
+    p = np.exp(logp)
+    start, more = p[first].sum(), p[~first].sum()
+    return float(np.log((1 - more) / start)) if 0 < start and more < 1 else 0.0
+
+
 def _by_length(blob: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and bytes of words of the same length, each after the space sign."""
     start = np.cumsum(size) - size
@@ -228,9 +237,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.cumsum(size) - size
         distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
         count = np.bincount(place, c, len(distinct)).astype(np.int64)
-        values = (bucket, int(count.sum()), int((count > 0).sum()), distinct.tobytes(), _pack(count), _pack(size[first].astype(np.int32)), _pack(_take(blob, start[first], size[first])))
-        kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["bucket", "tokens", "known", "hashes", "counts", "sizes", "letters"])
+        values = (bucket, int(count.sum()), int((count > 0).sum()), int((count == 1).sum()), distinct.tobytes(), _pack(count), _pack(size[first].astype(np.int32)), _pack(_take(blob, start[first], size[first])))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["bucket", "tokens", "known", "once", "hashes", "counts", "sizes", "letters"])
 
 
 def _expect(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
@@ -256,22 +265,25 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
 
-def _answer(batches: Iterator[pa.RecordBatch], model: str, logp: np.ndarray, end: float) -> Iterator[pa.RecordBatch]:
-    """Count and log probability of each word that a block asks for."""
+def _answer(batches: Iterator[pa.RecordBatch], model: str, logp: np.ndarray, end: float, tokens: int, new: float) -> Iterator[pa.RecordBatch]:
+    """Count and log probabilities of each word that a block asks for: of its segmentations alone, and with the whole word as one more arc."""
     vocab = vocabulary(model)
     for bucket, rows in _rows(batches, "bucket").items():
         whole = next(r for r in rows if r["block"] == -1)
         h, count = np.frombuffer(whole["hashes"], np.uint64), _unpack(whole["counts"], np.int64)
         size = _unpack(whole["sizes"], np.int32).astype(np.int64)
         score = word_scores(np.frombuffer(_unpack(whole["letters"]), np.uint8), size, logp, vocab)
+        with np.errstate(divide="ignore"):
+            arc = np.log((1 - new) * count / max(1, tokens))
+        both = np.where(h == END, np.maximum(arc, end + np.log(new)), np.logaddexp(arc, np.log(new) + score + closing(logp, vocab)))
         score[h == END] = end
         for r in rows:
             if r["block"] != -1:
                 at = np.searchsorted(h, np.frombuffer(r["hashes"], np.uint64))
-                yield _row(r["block"], bucket, b"", score[at].tobytes(), _pack(count[at]), b"", b"")
+                yield _row(r["block"], bucket, b"", score[at].tobytes(), _pack(count[at]), b"", both[at].tobytes())
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, subword_score double"
 
 
 def _score(batches: Iterator[pa.RecordBatch], tokens: int, known: int) -> Iterator[pa.RecordBatch]:
@@ -279,19 +291,24 @@ def _score(batches: Iterator[pa.RecordBatch], tokens: int, known: int) -> Iterat
         rows.sort(key=lambda r: r["bucket"])
         own, answers = rows[0], rows[1:]
         count = np.concatenate([_unpack(r["counts"], np.int64) for r in answers])
-        score = np.concatenate([np.frombuffer(r["hashes"]) for r in answers]) / np.log(10)
+        subword, score = (np.concatenate([np.frombuffer(r[c]) for r in answers]) / np.log(10) for c in ("hashes", "letters"))
         base = np.log10((count + 0.5) / (tokens + 0.5 * (known + 1)))
         doc = pa.ipc.open_stream(_unpack(own["texts"])).read_all()
         place = _unpack(own["hashes"], np.int32)
         n = doc["n"].to_numpy()
         at = np.cumsum(n) - n
-        sums = [np.add.reduceat(x[place], at) for x in (base, score)]
+        sums = [np.add.reduceat(x[place], at) for x in (base, score, subword)]
         seen = np.add.reduceat((count > 0)[place].astype(np.int64), at)
-        yield from pa.table([doc["doc_id"], doc["held_out"], doc["n"], pa.array(seen), pa.array(sums[0]), pa.array(sums[1])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]).to_batches()
+        yield from pa.table([doc["doc_id"], doc["held_out"], doc["n"], pa.array(seen), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "subword_score"]).to_batches()
 
 
 def lm_score(docs: DataFrame, folds: int = 5, held: int = 1, model: str = MODEL) -> DataFrame:
-    """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10 probabilities) of each row of ``docs(doc_id, text)``.
+    """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` and ``subword_score`` (log10 probabilities) of each row of ``docs(doc_id, text)``.
+
+    ``subword_score`` sums over segmentations into the vocabulary's pieces.
+    ``score`` has one more arc for each word of the training part: the whole
+    word by its count, which shares a word's probability with the pieces as
+    Good and Turing have it (what was seen once weighs for what is new).
 
     Learns from documents whose crc32(doc_id) modulo ``folds`` is not
     ``held``.  Null texts count as empty: an end alone.  Null doc_ids are in
@@ -303,9 +320,9 @@ def lm_score(docs: DataFrame, folds: int = 5, held: int = 1, model: str = MODEL)
     buckets = 1 + size // BUCKET_BYTES
     blocks = cut(docs.mapInArrow(partial(_prepare, buckets=buckets), _BLOCKS))
     asked = blocks.where("bucket >= 0")
-    merged = asked.select("bucket", "hashes", "counts", "sizes", "letters").repartition(buckets, "bucket").mapInArrow(_merge, "bucket int, tokens long, known long, hashes binary, counts binary, sizes binary, letters binary")
+    merged = asked.select("bucket", "hashes", "counts", "sizes", "letters").repartition(buckets, "bucket").mapInArrow(_merge, "bucket int, tokens long, known long, once long, hashes binary, counts binary, sizes binary, letters binary")
     merged = cut(merged)
-    tokens, known = merged.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    tokens, known, once = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "known", "once"))).first()
     train = docs.where("NOT held_out").count()
     parts = merged.select("counts", "sizes", "letters").mapInArrow(partial(_expect, model=model), "v binary").repartition(4).mapInArrow(_sum, "v binary").collect()
     vocab = vocabulary(model)
@@ -316,10 +333,11 @@ def lm_score(docs: DataFrame, folds: int = 5, held: int = 1, model: str = MODEL)
     total = p.sum() + train + 0.5
     with np.errstate(divide="ignore"):
         logp, end = np.log(p / total), float(np.log((train + 0.5) / total))
+    new = min(max(once / max(1, tokens), 1e-6), 1 - 1e-6) if tokens else 1 - 1e-6
     whole = merged.select(F.lit(-1).cast("long").alias("block"), "bucket", F.lit(b"").alias("texts"), "hashes", "counts", "sizes", "letters")
     empty = F.lit(b"")
     ask = asked.select("block", "bucket", empty.alias("texts"), "hashes", empty.alias("counts"), empty.alias("sizes"), empty.alias("letters"))
-    answers = whole.unionByName(ask).repartition(buckets, "bucket").mapInArrow(partial(_answer, model=model, logp=logp, end=end), _BLOCKS)
+    answers = whole.unionByName(ask).repartition(buckets, "bucket").mapInArrow(partial(_answer, model=model, logp=logp, end=end, tokens=tokens, new=new), _BLOCKS)
     texts = blocks.where("bucket < 0")
     scored = texts.unionByName(answers).repartition(F.col("block")).mapInArrow(partial(_score, tokens=tokens, known=known), _SCORED)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "subword_score")
