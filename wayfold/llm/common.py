@@ -34,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``cut``, in partitions of about ``rows`` rows (eight at least): many nearly empty ones would each write files in every later shuffle."""
+    d = cut(df)
+    return d.coalesce(max(8, -(-d.count() // rows)))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, for rows with whole texts."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
@@ -155,16 +161,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     checkpointed after each round, and nothing but a count and a checksum of
     it comes to the driver.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e, seen = cut(e), None
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    parts, seen = max(8, -(-e.count() // 50_000)), None
+    e = e.coalesce(parts)
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct())
+        e = cut(small.coalesce(parts).distinct().coalesce(parts))
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
@@ -176,12 +183,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def renewed(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components ``(v, c)`` after more ``links(a, b)``: only links between known components are worked on."""
     if comps is None:
-        return cut(components(links))
+        return compact(components(links))
     for k in "ab":
         links = links.join(comps.select(F.col("v").alias(k), F.col("c").alias(f"c{k}")), k, "left").withColumn(k, F.coalesce(f"c{k}", k)).drop(f"c{k}")
-    more = cut(components(links.where("a != b")))
+    more = compact(components(links.where("a != b")))
     old = comps.join(more.select(F.col("v").alias("c"), F.col("c").alias("d")), "c", "left").select("v", F.coalesce("d", "c").alias("c"))
-    return cut(old.unionByName(more.join(comps, "v", "left_anti")))
+    return compact(old.unionByName(more.join(comps, "v", "left_anti")))
 
 
 class Forest:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, cut, mix, renewed, small, text_chunks, word_hashes
+from .common import Forest, compact, mix, renewed, small, text_chunks, word_hashes
 
 #: Whether a node's documents outside its largest component are so few that they join each block.
 FEW = "others <= 32 AND 4 * others <= size"
@@ -229,10 +229,10 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id IS NOT NULL")
-    sketches = cut(known.mapInArrow(partial(_sketch, width=width), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"))
+    sketches = compact(known.mapInArrow(partial(_sketch, width=width), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"))
     filled = sketches.where("n_shingles > 0")
-    classes = cut(filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")))
-    reps = cut(filled.dropDuplicates(["doc_id"]).join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "sig"))
+    classes = compact(filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")))
+    reps = compact(filled.dropDuplicates(["doc_id"]).join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "sig"))
 
     sets, comps = None, None
 
@@ -260,13 +260,13 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
         nonlocal sets, comps
         dealt = blocks(rows, whole).join(reps, "id").select("node", "block", "id", "comp", "sig")
         dealt = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "id")
-        suspects = cut(dealt.mapInArrow(_suspect, "node long, block long, id long"))
-        ids = cut(suspects.select("id").distinct())
+        suspects = compact(dealt.mapInArrow(_suspect, "node long, block long, id long"))
+        ids = compact(suspects.select("id").distinct())
         if ids.isEmpty():
             return
         new = ids if sets is None else ids.join(sets.select("id"), "id", "left_anti")
         texts = known.join(small(new.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
-        more = cut(texts.mapInArrow(partial(_sets, width=width), "id long, items binary").dropDuplicates(["id"]))
+        more = compact(texts.mapInArrow(partial(_sets, width=width), "id long, items binary").dropDuplicates(["id"]))
         sets = more if sets is None else sets.unionByName(more)
         full = labelled(suspects).join(reps.join(small(ids), "id", "left_semi"), "id").join(sets.join(small(ids), "id", "left_semi"), "id")
         full = full.select("node", "block", "id", "comp", "sig", "items").repartition("node", "block").sortWithinPartitions("node", "block", "id")
@@ -278,11 +278,11 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
         if live is not None:
             again = opened(labelled(live.select("node", "id")), LIMIT + 1)
             rows = rows.unionByName(again)
-        rows = cut(rows)
+        rows = compact(rows)
         settle(rows)
         live = rows.where(f"size > {WHOLE} AND NOT ({FEW})")
     for depth in range(DEPTH):
-        live = cut(opened(labelled(live.select("node", "id")), WHOLE + 1))
+        live = compact(opened(labelled(live.select("node", "id")), WHOLE + 1))
         if live.isEmpty():
             break
         if depth == DEPTH - 1:
@@ -290,7 +290,7 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
             break
         few = live.where(FEW)
         rows = live.where(f"NOT ({FEW})").join(reps, "id").select("node", "id", "sig").mapInArrow(partial(_branch, trees=(), levels=2), "node long, id long")
-        rows = cut(opened(labelled(rows.distinct()), 2).unionByName(few))
+        rows = compact(opened(labelled(rows.distinct()), 2).unionByName(few))
         settle(rows)
         live = rows.where(f"size > {WHOLE} AND NOT ({FEW})")
 
