@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats
-from ..operators import asof, reports, similarity, spatial
+from ..operators import asof, network, reports, similarity, spatial
 from ..operators import tracks as T
 from .bindings import ACT, AS_OF, LEGS, TRK, activities, hav, legs, read, track_points
 
@@ -1017,3 +1017,233 @@ def rg_02(spark, d):
     w = _ways(spark, d)
     ends = w.select("kind", F.col("way_pos").alias("id"), geo.local_x(F.col("alon"), F.lit(50.0), F.lit(-116.0)).alias("x"), geo.local_y(F.col("alat"), F.lit(50.0)).alias("y"))
     return leaders(ends, 250.0, "kind")
+
+
+# ---------------------------------------------------------------- networks and routes
+
+
+@query("tm_05", f"WITH {_WAYS}, e AS (SELECT name, way_pos * 2 AS p, alat AS lat, alon AS lon FROM way UNION ALL SELECT name, way_pos * 2 + 1, blat, blon FROM way) SELECT name, p0, p1, round(d, 3) AS d FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY name ORDER BY d DESC, p0, p1) AS r FROM (SELECT x.name, x.p AS p0, y.p AS p1, {hav('x.lat', 'x.lon', 'y.lat', 'y.lon', True)} AS d FROM e x JOIN e y ON x.name = y.name AND x.p < y.p)) WHERE r = 1")
+def tm_05(spark, d):
+    return network.termini(_ways(spark, d)).withColumn("d", rnd("d", 3))
+
+
+@query("tm_06", f"WITH {_WAYS}, e AS (SELECT name, concat_ws(',', round(alat, 3), round(alon, 3)) AS p FROM way UNION ALL SELECT name, concat_ws(',', round(blat, 3), round(blon, 3)) FROM way), n AS (SELECT name, p, COUNT(*) AS n FROM e GROUP BY 1, 2), g AS (SELECT name, COUNT(*) FILTER (WHERE n = 1) AS free, MAX(n) AS most FROM n GROUP BY 1) SELECT name, free, most, CASE WHEN free = 0 AND most = 2 THEN 'loop' WHEN free = 2 AND most <= 2 THEN 'linear' ELSE 'messy' END AS topology FROM g")
+def tm_06(spark, d):
+    return network.degrees(_ways(spark, d), 3)
+
+
+@query("rg_03", f"WITH {_WAYS}, e AS (SELECT name, way_pos * 2 AS id, alat AS lat, alon AS lon FROM way UNION ALL SELECT name, way_pos * 2 + 1, blat, blon FROM way) SELECT x.id, x.name, COUNT(DISTINCT y.name) AS others FROM e x JOIN e y ON x.name <> y.name AND {hav('x.lat', 'x.lon', 'y.lat', 'y.lon', True)} <= 60 GROUP BY 1, 2")
+def rg_03(spark, d):
+    return network.junctions(_ways(spark, d), 60.0)
+
+
+@query("rg_05", f"WITH {TRK}, n AS (SELECT activity_id AS chain, seq AS place, event_id AS node FROM trk WHERE event_id % 11 = 0), l AS (SELECT *, LEAD(node) OVER w AS e, LEAD(place) OVER w AS ep FROM n WINDOW w AS (PARTITION BY chain ORDER BY place)) SELECT chain, node AS start_node, e AS end_node, ep - place AS steps, substr(md5(concat_ws('|', chain, node, e)), 1, 12) AS edge_id FROM l WHERE e IS NOT NULL")
+def rg_05(spark, d):
+    n = track_points(spark, d).where("event_id % 11 = 0").select(F.col("activity_id").alias("chain"), F.col("seq").alias("place"), F.col("event_id").alias("node"))
+    return network.split_edges(n)
+
+
+_ROUTE = "rt AS (SELECT l_orderkey AS route_id, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, 'N' || CAST(l_partkey % 3 AS VARCHAR) AS name, l_quantity AS length_m, l_partkey % 50 AS a, l_suppkey % 50 AS b FROM lineitem WHERE l_orderkey % 10 = 0)"
+
+
+def _route(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    r = read(spark, d, "lineitem").where("l_orderkey % 10 = 0").withColumn("pos", F.row_number().over(w).cast("long"))
+    return r.select(F.col("l_orderkey").alias("route_id"), "pos", F.concat(F.lit("N"), (F.col("l_partkey") % 3).cast("string")).alias("name"), F.col("l_quantity").alias("length_m"), (F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50).alias("b"))
+
+
+@query("rte_02", f"WITH {_ROUTE}, c AS (SELECT *, CASE WHEN pos > 1 AND name IS NOT DISTINCT FROM LAG(name) OVER w THEN 0 ELSE 1 END AS nw FROM rt WINDOW w AS (PARTITION BY route_id ORDER BY pos)), g AS (SELECT *, SUM(nw) OVER (PARTITION BY route_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS macro FROM c) SELECT route_id, CAST(macro AS BIGINT) AS macro, name, MIN(pos) AS first_pos, MAX(pos) AS last_pos, SUM(length_m) AS length_m FROM g GROUP BY 1, 2, 3")
+def rte_02(spark, d):
+    return network.macro_segments(_route(spark, d))
+
+
+@query("rg_07", f"WITH {_ROUTE}, s AS (SELECT *, CAST(pos * 7 + a AS VARCHAR) AS edge_id FROM rt), e AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS edge_id, 'N' || CAST(p_size % 2 AS VARCHAR) AS name, p_partkey % 50 AS sn, p_size AS en FROM part WHERE p_partkey % 4 = 0), k AS (SELECT route_id, CASE WHEN edge_id IN (SELECT edge_id FROM e) THEN 0 WHEN EXISTS (SELECT 1 FROM e WHERE e.name = s.name AND least(sn, en) = least(a, b) AND greatest(sn, en) = greatest(a, b)) THEN 1 WHEN name IN (SELECT name FROM e) THEN 2 ELSE 3 END AS r FROM s) SELECT route_id, COUNT(*) AS segments, CASE MAX(r) WHEN 0 THEN 'fresh' WHEN 1 THEN 'exact' WHEN 2 THEN 'approximate' ELSE 'failed' END AS status FROM k GROUP BY 1")
+def rg_07(spark, d):
+    s = _route(spark, d).select("route_id", "name", F.col("a").alias("start_node"), F.col("b").alias("end_node"), (F.col("pos") * 7 + F.col("a")).cast("string").alias("edge_id"))
+    e = read(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").cast("string").alias("edge_id"), F.concat(F.lit("N"), (F.col("p_size") % 2).cast("string")).alias("name"), (F.col("p_partkey") % 50).alias("start_node"), F.col("p_size").alias("end_node"))
+    return network.resolved(s, e)
+
+
+_TRY = "tries AS (SELECT o_orderkey AS activity_id, o_custkey % 40 * 10 AS route_id, o_totalprice AS duration FROM orders WHERE o_orderstatus = 'F')"
+
+
+def _tries(spark, d):
+    return read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("activity_id"), (F.col("o_custkey") % 40 * 10).alias("route_id"), F.col("o_totalprice").alias("duration"))
+
+
+@query("rg_08", f"WITH {_ROUTE}, {_TRY}, l AS (SELECT route_id, SUM(length_m) AS length_m FROM rt GROUP BY 1), t AS (SELECT route_id, COUNT(*) AS n, MIN(duration) AS best, arg_min(activity_id, (duration, activity_id)) AS best_id FROM tries GROUP BY 1) SELECT l.route_id, length_m, COALESCE(n, 0) AS attempts, best, best_id FROM l LEFT JOIN t ON t.route_id = l.route_id")
+def rg_08(spark, d):
+    return network.route_list(_route(spark, d), _tries(spark, d))
+
+
+@query("rte_07", f"WITH {_TRY}, o AS (SELECT route_id, activity_id, MIN(duration) AS duration FROM tries GROUP BY 1, 2), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY route_id ORDER BY duration, activity_id) AS rank, COUNT(*) OVER (PARTITION BY route_id) AS total FROM o) SELECT *, rank = 1 AS is_best FROM r")
+def rte_07(spark, d):
+    return network.routes_ridden(_tries(spark, d))
+
+
+@query("rte_06", f"WITH {_TRY} SELECT route_id, MIN(duration) AS best, arg_min(activity_id, (duration, activity_id)) AS best_id FROM tries GROUP BY 1")
+def rte_06(spark, d):
+    return _tries(spark, d).groupBy("route_id").agg(F.min("duration").alias("best"), F.min_by("activity_id", F.struct("duration", "activity_id")).alias("best_id"))
+
+
+@query("rte_09", f"WITH {TRK}, {_LINE}, b AS (SELECT *, LAG(name) OVER (PARTITION BY activity_id ORDER BY start_idx) AS p FROM tl) SELECT activity_id, substr(string_agg(name, ' > ' ORDER BY start_idx), 1, 80) AS title FROM b WHERE name IS DISTINCT FROM p GROUP BY 1")
+def rte_09(spark, d):
+    p = track_points(spark, d).where("event_id % 3 != 0")
+    return network.name_chain(p.select("activity_id", (F.col("event_id") % 2).cast("string").alias("name"), F.col("seq").alias("start_idx")))
+
+
+@query("spa_12", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, f AS (SELECT name, arg_min(alat, way_pos) AS alat, arg_min(alon, way_pos) AS alon, arg_min(blat, way_pos) AS blat, arg_min(blon, way_pos) AS blon FROM way GROUP BY 1) SELECT r.activity_id, r.name, r."start", bool_or({hav("lat", "lon", "alat", "alon", True)} <= 150) AND bool_or({hav("lat", "lon", "blat", "blon", True)} <= 150) AS "both" FROM tmrun r JOIN trk t ON t.activity_id = r.activity_id AND t.seq >= r."start" AND t.seq < r."end" JOIN f ON f.name = r.name GROUP BY 1, 2, 3')
+def spa_12(spark, d):
+    ends = _ways(spark, d).groupBy("name").agg(*(F.min_by(c, "way_pos").alias(c) for c in ("alat", "alon", "blat", "blon")))
+    return network.touches(track_points(spark, d), spatial.runs(_snapped(spark, d), 2), ends, 150.0)
+
+
+@query("spa_10", f"WITH {TRK}, v AS (SELECT activity_id, seq AS i, lat AS vlat, lon AS vlon FROM trk WHERE seq % 10 = 0), q AS (SELECT activity_id, seq AS id, lat, lon FROM trk WHERE seq % 7 = 3) SELECT activity_id AS line_id, id, arg_min(i, (d, i)) AS i, round(MIN(d), 4) AS d FROM (SELECT q.activity_id, id, i, {hav('lat', 'lon', 'vlat', 'vlon', True)} AS d FROM q JOIN v ON v.activity_id = q.activity_id) GROUP BY 1, 2")
+def spa_10(spark, d):
+    p = track_points(spark, d)
+    v = p.where("seq % 10 = 0").select(F.col("activity_id").alias("line_id"), F.col("seq").alias("i"), F.col("lat").alias("vlat"), F.col("lon").alias("vlon"))
+    return network.nearest_vertex(p.where("seq % 7 = 3").select(F.col("activity_id").alias("line_id"), F.col("seq").alias("id"), "lat", "lon"), v).withColumn("d", rnd("d", 4))
+
+
+@query("spa_04", f"WITH {TRK}, {_INSIDE} SELECT DISTINCT activity_id AS line_id, region_id FROM inside WHERE seq % 5 = 0")
+def spa_04(spark, d):
+    p = track_points(spark, d)
+    inside = spatial.points_in_regions(p, spatial.ring_edges(_regions(spark)))
+    return network.ways_in_region(p.where("seq % 5 = 0").select(F.col("activity_id").alias("line_id"), F.col("seq").alias("i")), inside)
+
+
+@query("spa_09", f"WITH {TRK}, {_WAYS} SELECT DISTINCT t.activity_id, seq FROM trk t, way w WHERE {hav('lat', 'lon', 'alat', 'alon', True)} <= 25")
+def spa_09(spark, d):
+    p = track_points(spark, d).select("activity_id", "seq", F.col("lat").alias("lata"), F.col("lon").alias("lona"))
+    w = _ways(spark, d).select("way_pos", F.col("alat").alias("latb"), F.col("alon").alias("lonb"))
+    return network.close_pairs(p, w, 25.0).select("activity_id", "seq").distinct()
+
+
+@query("spa_07", f"WITH {_WAYS} SELECT way_pos, COUNT(*) AS cells FROM way, range(-10, 10) a(di), range(-10, 10) b(dj) WHERE floor((alat - CAST(0.0002 AS DOUBLE)) / CAST(0.001 AS DOUBLE)) + di BETWEEN floor((least(alat, blat) - CAST(0.0002 AS DOUBLE)) / CAST(0.001 AS DOUBLE)) AND floor((greatest(alat, blat) + CAST(0.0002 AS DOUBLE)) / CAST(0.001 AS DOUBLE)) AND dj = 0 GROUP BY 1")
+def spa_07(spark, d):
+    lo, hi = F.floor((F.least("alat", "blat") - 0.0002) / 0.001), F.floor((F.greatest("alat", "blat") + 0.0002) / 0.001)
+    base = F.floor((F.col("alat") - 0.0002) / 0.001)
+    rows = _ways(spark, d).select("way_pos", base.alias("base"), F.explode(F.sequence(lo, hi)).alias("ci")).where("ci - base BETWEEN -10 AND 9")
+    return rows.groupBy("way_pos").agg(F.count("*").alias("cells"))
+
+
+# ---------------------------------------------------------------- the rest of the reports
+
+
+@query("agg_02", f"WITH {LEGS} SELECT activity_id, round(COALESCE(SUM(CASE WHEN NOT assisted AND ele_delta > 0 THEN ele_delta END), 0), 4) AS gain, round(COALESCE(SUM(CASE WHEN NOT assisted AND ele_delta < 0 THEN -ele_delta END), 0), 4) AS loss FROM legs GROUP BY 1")
+def agg_02(spark, d):
+    p = legs(spark, d)
+    on = lambda c, v: F.round(F.coalesce(F.sum(F.when(~F.col("assisted") & c, v)), F.lit(0.0)), 4)
+    return p.groupBy("activity_id").agg(on(F.col("ele_delta") > 0, F.col("ele_delta")).alias("gain"), on(F.col("ele_delta") < 0, -F.col("ele_delta")).alias("loss"))
+
+
+@query("fit_02", f"WITH {ACT}, {_RIDES}, wk AS (SELECT CAST(unnest(generate_series(DATE '2001-01-07', DATE '2001-07-29', INTERVAL 7 DAY)) AS DATE) AS week_end) SELECT week_end, round(SUM(hr_load * z2) / nullif(SUM(z2), 0), 4) AS weighted FROM wk JOIN rides ON d BETWEEN week_end - 28 AND week_end GROUP BY 1")
+def fit_02(spark, d):
+    ends = F.expr("sequence(DATE '2001-01-07', DATE '2001-07-29', interval 7 days)")
+    near = F.filter(ends, lambda e: (F.col("d") <= e) & (F.col("d") >= F.date_sub(e, 28)))
+    r = _rides(spark, d).where("d BETWEEN DATE '2000-12-10' AND DATE '2001-07-29'").withColumn("z2", F.col("zones")[1]).withColumn("week_end", F.explode(near))
+    return r.groupBy("week_end").agg(F.round(F.sum(F.col("hr_load") * F.col("z2")) / F.nullif(F.sum("z2"), F.lit(0.0)), 4).alias("weighted"))
+
+
+@query("fit_13", f"WITH {TRK}, {_SENSOR} SELECT activity_id, round(15.3 * MAX(bpm) / MIN(bpm), 1) AS vo2max FROM sensor GROUP BY 1")
+def fit_13(spark, d):
+    return _sensor(spark, d).groupBy("activity_id").agg(F.round(15.3 * F.max("bpm") / F.min("bpm"), 1).alias("vo2max"))
+
+
+@query("fit_14", f"WITH {TRK}, {_SENSOR}, l AS (SELECT activity_id, list_sort(list(bpm)) AS l FROM sensor GROUP BY 1) SELECT activity_id, l[len(l) // 2 + 1] AS baseline FROM l")
+def fit_14(spark, d):
+    return _sensor(spark, d).groupBy("activity_id").agg(F.collect_list("bpm").alias("l")).select("activity_id", stats.median_upper(F.col("l")).alias("baseline"))
+
+
+@query("fit_16", f"WITH {ACT}, {_RIDES} SELECT round(100 * SUM(z1) / SUM(z1 + z2 + z3 + z4 + z5), 4) AS p1, round(100 * SUM(z5) / SUM(z1 + z2 + z3 + z4 + z5), 4) AS p5 FROM rides WHERE d > DATE '2001-07-04'")
+def fit_16(spark, d):
+    r = _rides(spark, d).where("d > DATE '2001-07-04'")
+    total = F.sum(F.aggregate("zones", F.lit(0.0), lambda a, x: a + x))
+    return r.agg(F.round(100 * F.sum(F.col("zones")[0]) / total, 4).alias("p1"), F.round(100 * F.sum(F.col("zones")[4]) / total, 4).alias("p5"))
+
+
+@query("win_06", f"WITH {ACT}, {_DAYS}, {_FF}, w AS (SELECT CAST(unnest(generate_series(DATE '2001-01-07', DATE '2001-09-02', INTERVAL 7 DAY)) AS DATE) AS d) SELECT w.d, round(fitness, 4) AS fitness FROM w ASOF LEFT JOIN ff ON ff.d <= w.d")
+def win_06(spark, d):
+    ends = spark.range(1).select(F.explode(F.expr("sequence(DATE '2001-01-07', DATE '2001-09-02', interval 7 days)")).alias("d"))
+    f = reports.ewma(_days(spark, d), 42.0, "fitness").select("d", rnd("fitness", 4).alias("fitness"))
+    return asof.asof_backward(ends, f, "d", "fitness")
+
+
+@query("win_07", f"WITH {ACT}, {_DAYS} SELECT d, round(v, 4) AS v FROM days ORDER BY t DESC LIMIT 84")
+def win_07(spark, d):
+    r = _days(spark, d).withColumn("r", F.row_number().over(Window.orderBy(F.desc("t"))))
+    return r.where("r <= 84").select("d", rnd("v", 4).alias("v"))
+
+
+@query("flt_04", f"WITH {ACT} SELECT type, COUNT(*) AS n FROM act WHERE NOT assisted GROUP BY 1")
+def flt_04(spark, d):
+    return reports.log_query(activities(spark, d), assisted=False).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("flt_06", f"WITH {ACT} SELECT activity_id FROM act WHERE gain IS NULL OR type = ''")
+def flt_06(spark, d):
+    return activities(spark, d).where("gain IS NULL OR type = ''").select("activity_id")
+
+
+@query("flt_07", f"WITH {TRK}, {_INSIDE} SELECT DISTINCT activity_id FROM trk WHERE activity_id NOT IN (SELECT activity_id FROM inside)")
+def flt_07(spark, d):
+    p = track_points(spark, d)
+    return p.select("activity_id").distinct().join(spatial.points_in_regions(p, spatial.ring_edges(_regions(spark))).select("activity_id").distinct(), "activity_id", "left_anti")
+
+
+@query("flt_10", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%1%' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def flt_10(spark, d):
+    hidden = read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return read(spark, d, "part").where(F.lower("p_name").contains("1")).select("p_partkey", "p_name").join(hidden, "p_partkey", "left_anti")
+
+
+@query("top_05", f"WITH {_ATT}, g AS (SELECT name, direction, COUNT(*) AS attempts, MIN(duration) AS best FROM att WHERE completed GROUP BY 1, 2) SELECT *, ROW_NUMBER() OVER (ORDER BY best, attempts DESC, name, direction) AS place FROM g")
+def top_05(spark, d):
+    g = spatial.trail_index(_attempts(spark, d), ["name", "direction"]).select("name", "direction", "attempts", "best")
+    return g.withColumn("place", F.row_number().over(Window.orderBy("best", F.desc("attempts"), "name", "direction")).cast("long"))
+
+
+@query("top_08", f"WITH {_ATT}, g AS (SELECT type, name, COUNT(*) AS attempts FROM att WHERE completed GROUP BY 1, 2) SELECT *, ROW_NUMBER() OVER (PARTITION BY type ORDER BY attempts DESC, name) AS place, SUM(attempts) OVER (PARTITION BY type) AS total FROM g")
+def top_08(spark, d):
+    g = spatial.trail_index(_attempts(spark, d), ["type", "name"]).select("type", "name", "attempts")
+    w = Window.partitionBy("type")
+    return g.withColumns({"place": F.row_number().over(w.orderBy(F.desc("attempts"), "name")).cast("long"), "total": F.sum("attempts").over(w)})
+
+
+@query("set_05", f"WITH {TRK}, {_INSIDE} SELECT activity_id, string_agg(CAST(region_id AS VARCHAR), ',' ORDER BY region_id) AS regions FROM (SELECT DISTINCT activity_id, region_id FROM inside UNION SELECT DISTINCT activity_id, activity_id % 6 FROM trk) GROUP BY 1")
+def set_05(spark, d):
+    p = track_points(spark, d)
+    tags = spatial.points_in_regions(p, spatial.ring_edges(_regions(spark))).groupBy("activity_id").agg(F.array_sort(F.collect_set("region_id")).alias("m"))
+    pins = p.select("activity_id", F.array(F.col("activity_id") % 6).alias("pins")).distinct()
+    both = pins.join(tags, "activity_id", "left")
+    return both.select("activity_id", F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce("m", F.array().cast("array<bigint>")), "pins"))).cast("array<string>"), ",").alias("regions"))
+
+
+@query("sim_07", f"WITH {TRK}, {_CELLS}, {_PAIR} SELECT activity_id FROM sz WHERE activity_id NOT IN (SELECT b FROM score WHERE containment >= 0.55)")
+def sim_07(spark, d):
+    c = _cells(spark, d)
+    covered = similarity.pair_scores(c).where("containment >= 0.55").select(F.col("b").alias("activity_id"))
+    return c.select("activity_id").distinct().join(covered, "activity_id", "left_anti")
+
+
+@query("gl_19", f"WITH {ACT} SELECT activity_id, md5(concat_ws('|', activity_id, type, n)) AS fingerprint FROM act")
+def gl_19(spark, d):
+    return activities(spark, d).select("activity_id", F.md5(F.concat_ws("|", F.col("activity_id").cast("string"), "type", F.col("n").cast("string"))).alias("fingerprint"))
+
+
+@query("gl_13", f"WITH {TRK}, {_CELLS}, {_PAIR}, {_DUP} SELECT d, COUNT(*) AS pairs, COUNT(DISTINCT a) AS firsts FROM (SELECT a, b, CAST(d AS DATE) AS d FROM dup) GROUP BY 1")
+def gl_13(spark, d):
+    return _dups(spark, d).groupBy("d").agg(F.count("*").alias("pairs"), F.count_distinct("a").alias("firsts"))
+
+
+@query("edt_05", f"WITH {LEGS}, {_SPIKES} SELECT activity_id, COUNT(*) FILTER (WHERE spike) AS changed, COUNT(*) AS points FROM spiked GROUP BY 1")
+def edt_05(spark, d):
+    raw = T.spikes(legs(spark, d))
+    return raw.groupBy("activity_id").agg(F.count_if("spike").alias("changed"), F.count("*").alias("points"))
+
+
+@query("dq_05", f"WITH {LEGS}, s AS (SELECT activity_id, MAX(dist_km) AS km, SUM(greatest(ele_delta, 0)) AS gain FROM legs GROUP BY 1) SELECT activity_id FROM s WHERE km > 0.5 AND gain / km > 200")
+def dq_05(spark, d):
+    from ..operators.quality import issues
+
+    return issues(T.spikes(legs(spark, d))).where(F.exists("issues", lambda i: i["code"] == "steep")).select("activity_id")
