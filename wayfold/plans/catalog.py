@@ -1191,10 +1191,10 @@ def flt_07(spark, d):
     return p.select("activity_id").distinct().join(spatial.points_in_regions(p, spatial.ring_edges(_regions(spark))).select("activity_id").distinct(), "activity_id", "left_anti")
 
 
-@query("flt_10", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%1%' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+@query("flt_10", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%red%' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def flt_10(spark, d):
     hidden = read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
-    return read(spark, d, "part").where(F.lower("p_name").contains("1")).select("p_partkey", "p_name").join(hidden, "p_partkey", "left_anti")
+    return read(spark, d, "part").where(F.lower("p_name").contains("red")).select("p_partkey", "p_name").join(hidden, "p_partkey", "left_anti")
 
 
 @query("top_05", f"WITH {_ATT}, g AS (SELECT name, direction, COUNT(*) AS attempts, MIN(duration) AS best FROM att WHERE completed GROUP BY 1, 2) SELECT *, ROW_NUMBER() OVER (ORDER BY best, attempts DESC, name, direction) AS place FROM g")
