@@ -21,7 +21,7 @@ from wayfold.llm import secrets as _secrets
 from wayfold.llm.common import stored
 
 #: Below it a document goes: low, so that clean documents stay.
-LEAST_QUALITY = 0.2
+LEAST_QUALITY = 0.3
 #: An ambiguous document goes below this score of its best language.
 LEAST_LANGUAGE = 0.3
 REDACTED = "[SECRET]"

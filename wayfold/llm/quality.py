@@ -165,7 +165,7 @@ def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
     return both.select("host", "path", "host_posterior", ((F.col("s") + strength * F.col("host_posterior")) / (F.col("n") + strength)).alias("path_posterior")), mean
 
 
-def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", folds: int = 5, held: int = 0, threshold: float = 0.5, per_class: int = 6000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", folds: int = 5, held: int = 0, threshold: float = 0.3, per_class: int = 6000) -> DataFrame:
     """All columns of ``docs(doc_id, text, ...)`` with ``log_odds``, ``host_posterior``, ``path_posterior``, ``score``, ``keep`` and ``held_out``.
 
     Learns from ``labels(doc_id, quality)`` of documents whose crc32(doc_id)

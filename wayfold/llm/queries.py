@@ -63,4 +63,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_sentencepiece, op4_embedding_dedup, op5_toxicity, op6_secret_scan, op7_lm_score, op8_nearest, op9_quality, op10_language_id)}
 #: DuckDB SQL of the queries that it can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1 : k + 5], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 4))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT e.y, reach.c FROM reach JOIN e ON e.x = reach.v),
+m AS (SELECT v, MIN(c) AS c FROM reach GROUP BY 1)
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d JOIN m ON m.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op4_embedding_dedup": """
+WITH RECURSIVE u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS r FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.r > 0 AND b.r > 0 AND isfinite(a.r) AND isfinite(b.r) AND list_dot_product(a.e, b.e) / (a.r * b.r) >= 0.95),
+reach AS (SELECT vec_id AS v, vec_id AS c FROM u UNION SELECT l.y, reach.c FROM reach JOIN l ON l.x = reach.v),
+m AS (SELECT v, MIN(c) AS c FROM reach GROUP BY 1), k AS (SELECT x, COUNT(*) AS k FROM l GROUP BY 1)
+SELECT vec_id, COALESCE(k, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM u JOIN m ON m.v = vec_id LEFT JOIN k ON k.x = vec_id""",
+}
