@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats
-from ..operators import asof, network, reports, similarity, spatial
+from ..operators import asof, lifts, network, reports, similarity, spatial
 from ..operators import tracks as T
 from .bindings import ACT, AS_OF, LEGS, TRK, activities, hav, legs, read, track_points
 
@@ -1247,3 +1247,57 @@ def dq_05(spark, d):
     from ..operators.quality import issues
 
     return issues(T.spikes(legs(spark, d))).where(F.exists("issues", lambda i: i["code"] == "steep")).select("activity_id")
+
+
+# ---------------------------------------------------------------- lifts
+
+_LIFTS = "lift AS (SELECT s_suppkey AS lift, alat, alon, blat, blon FROM (SELECT s_suppkey, CAST(49.995 AS DOUBLE) + CAST(0.0002 AS DOUBLE) * (s_suppkey * 37 % 60) AS alat, CAST(-116.0 AS DOUBLE) + CAST(0.0002 AS DOUBLE) * (s_suppkey * 53 % 90) AS alon, CAST(49.995 AS DOUBLE) + CAST(0.0002 AS DOUBLE) * (s_suppkey * 71 % 60) AS blat, CAST(-116.0 AS DOUBLE) + CAST(0.0002 AS DOUBLE) * (s_suppkey * 89 % 90) AS blon FROM supplier WHERE s_suppkey <= 10))"
+
+
+def _lifts(spark, d):
+    k = F.col("s_suppkey")
+    at = lambda base, m, n: (base + 0.0002 * (k * m % n))
+    return read(spark, d, "supplier").where("s_suppkey <= 10").select(k.alias("lift"), at(49.995, 37, 60).alias("alat"), at(-116.0, 53, 90).alias("alon"), at(49.995, 71, 60).alias("blat"), at(-116.0, 89, 90).alias("blon"))
+
+
+@query("det_07", f"WITH {TRK}, {_LIFTS}, n AS (SELECT activity_id, seq, t_s, ele, lift, 'a' AS stop FROM trk, lift WHERE {hav('lat', 'lon', 'alat', 'alon', True)} <= 100 UNION ALL SELECT activity_id, seq, t_s, ele, lift, 'b' FROM trk, lift WHERE {hav('lat', 'lon', 'blat', 'blon', True)} <= 100), p AS (SELECT *, LAG(seq) OVER w AS ps, LAG(t_s) OVER w AS pt, LAG(ele) OVER w AS pe, LAG(stop) OVER w AS pp FROM n WINDOW w AS (PARTITION BY activity_id, lift ORDER BY seq, stop)) SELECT activity_id, lift, ps AS \"start\", seq AS \"end\" FROM p WHERE stop <> pp AND t_s - pt BETWEEN 30 AND 1800 AND ele - pe >= 5")
+def det_07(spark, d):
+    return lifts.station_rides(track_points(spark, d), _lifts(spark, d), least_s=30, gain=5.0)
+
+
+_SPANS = "spans AS (SELECT activity_id, CAST(10 AS BIGINT) AS \"start\", MAX(seq) - 5 AS \"end\" FROM legs GROUP BY 1)"
+
+
+def _spans(p):
+    return p.groupBy("activity_id").agg(F.lit(10).cast("long").alias("start"), (F.max("seq") - 5).alias("end"))
+
+
+@query("det_09", f"WITH {LEGS}, {_SPANS} SELECT s.activity_id, COALESCE(MIN(seq) FILTER (WHERE speed >= 20), s.\"start\") AS \"from\" FROM spans s JOIN legs l ON l.activity_id = s.activity_id AND seq BETWEEN s.\"start\" AND s.\"start\" + least(45, (s.\"end\" - s.\"start\") // 4) GROUP BY s.activity_id, s.\"start\"")
+def det_09(spark, d):
+    p = legs(spark, d)
+    return lifts.trimmed_to_cable_speed(p, _spans(p), 20.0).select("activity_id", "from")
+
+
+@query("det_10", f"WITH {LEGS}, {_SPANS}, j AS (SELECT s.activity_id, \"start\", \"end\", seq, COALESCE(speed, 0.0) AS speed FROM spans s JOIN legs l ON l.activity_id = s.activity_id AND seq BETWEEN \"start\" AND \"end\") SELECT activity_id, arg_min(seq, (speed, seq)) FILTER (WHERE seq <= least(\"start\" + 30, \"end\")) AS \"from\", arg_min(seq, (speed, seq)) FILTER (WHERE seq >= greatest(\"end\" - 30, \"start\")) AS \"to\" FROM j GROUP BY 1")
+def det_10(spark, d):
+    p = legs(spark, d)
+    return lifts.trimmed_to_slowest(p, _spans(p)).select("activity_id", "from", "to")
+
+
+@query("det_08")
+def det_08(spark, d):
+    p = track_points(spark, d)
+    return lifts.snapped_spans(p, _spans(p), _lifts(spark, d))
+
+
+def _one_detector(name):
+    def run(spark, d):
+        from ..operators.kernels import detect
+
+        return detect(legs(spark, d), [name]).where(name).select("activity_id", "seq")
+
+    return run
+
+
+for _id, _name in (("det_02", "speed_sinuosity"), ("det_04", "elevation_rate"), ("det_05", "elevation_rate_high"), ("det_06", "shuttle"), ("det_11", "heuristic"), ("det_15", "lift"), ("det_16", "bike")):
+    query(_id)(_one_detector(_name))
