@@ -41,7 +41,5 @@ def differences(con: duckdb.DuckDBPyConnection, sql: str, df: DataFrame) -> str:
     want, have = _rows(names, rel.fetchall()), _rows(df.columns, [tuple(r) for r in got])
     if len(want) != len(have):
         return f"{len(have)} rows, {len(want)} expected"
-    if not want:
-        return "no rows"
-    bad = [(a, b) for a, b in zip(have, want, strict=True) if a != b and not all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-6 * max(1, abs(y))) for x, y in zip(a, b, strict=True))]
+    bad = [(a, b) for a, b in zip(have, want, strict=True) if a != b and not all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1e-9 * max(1, abs(y))) for x, y in zip(a, b, strict=True))]
     return f"{len(bad)} of {len(want)} rows differ, e.g. {bad[0]}" if bad else ""

@@ -284,14 +284,14 @@ def win_10(spark, d):
 
 # ---------------------------------------------------------------- reports
 
-_WINDOW = """SELECT type, COUNT(*) FILTER (WHERE nw) AS n, COUNT(DISTINCT CASE WHEN nw THEN d END) AS days, round(COALESCE(SUM(CASE WHEN nw THEN km END), 0), 4) AS km, round(COALESCE(SUM(CASE WHEN nw THEN gain END), 0), 4) AS gain, round(COALESCE(SUM(CASE WHEN nw THEN hours END), 0), 4) AS hours,
- round(MAX(CASE WHEN nw THEN km END), 6) AS max_km, MAX(CASE WHEN nw THEN d END) AS last_day, COUNT(*) FILTER (WHERE pr) AS prior_n, round(COALESCE(SUM(CASE WHEN pr THEN km END), 0), 4) AS prior_km
+_WINDOW = """SELECT type, COUNT(*) FILTER (WHERE nw) AS n, COUNT(DISTINCT CASE WHEN nw THEN d END) AS days, round(COALESCE(SUM(CASE WHEN nw THEN km END), 0), 6) AS km, round(COALESCE(SUM(CASE WHEN nw THEN gain END), 0), 6) AS gain, round(COALESCE(SUM(CASE WHEN nw THEN hours END), 0), 6) AS hours,
+ round(MAX(CASE WHEN nw THEN km END), 6) AS max_km, MAX(CASE WHEN nw THEN d END) AS last_day, COUNT(*) FILTER (WHERE pr) AS prior_n, round(COALESCE(SUM(CASE WHEN pr THEN km END), 0), 6) AS prior_km
 FROM (SELECT *, d BETWEEN DATE '2001-05-04' AND DATE '2001-08-01' AS nw, d BETWEEN DATE '2001-02-03' AND DATE '2001-05-03' AS pr FROM act) WHERE nw OR pr"""
 
 
 def _rollup(spark, d):
     r = reports.window_rollup(activities(spark, d), AS_OF, 90)
-    return r.withColumns({c: F.round(c, 4) for c in ("km", "gain", "hours", "prior_km")}).withColumn("max_km", rnd("max_km"))
+    return r.withColumns({c: F.round(c, 6) for c in ("km", "gain", "hours", "prior_km")}).withColumn("max_km", rnd("max_km"))
 
 
 @query("sum_01", f"WITH {ACT} {_WINDOW} GROUP BY type")
@@ -309,9 +309,9 @@ def sum_03(spark, d):
     return _rollup(spark, d)
 
 
-@query("sum_04", f"WITH {ACT}, t AS (SELECT type, date_trunc('month', MIN(d)) AS first FROM act GROUP BY 1), m AS (SELECT CAST(unnest(generate_series(DATE '1994-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS month), s AS (SELECT type, CAST(date_trunc('month', d) AS DATE) AS month, COUNT(*) AS n, SUM(km) AS km FROM act GROUP BY 1, 2) SELECT t.type, m.month, CASE WHEN m.month >= first AND m.month <= DATE '2001-08-01' THEN COALESCE(n, 0) END AS n, round(CASE WHEN m.month >= first AND m.month <= DATE '2001-08-01' THEN COALESCE(km, 0.0) END, 4) AS km FROM t CROSS JOIN m LEFT JOIN s ON s.type = t.type AND s.month = m.month")
+@query("sum_04", f"WITH {ACT}, t AS (SELECT type, date_trunc('month', MIN(d)) AS first FROM act GROUP BY 1), m AS (SELECT CAST(unnest(generate_series(DATE '1994-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS month), s AS (SELECT type, CAST(date_trunc('month', d) AS DATE) AS month, COUNT(*) AS n, SUM(km) AS km FROM act GROUP BY 1, 2) SELECT t.type, m.month, CASE WHEN m.month >= first AND m.month <= DATE '2001-08-01' THEN COALESCE(n, 0) END AS n, round(CASE WHEN m.month >= first AND m.month <= DATE '2001-08-01' THEN COALESCE(km, 0.0) END, 6) AS km FROM t CROSS JOIN m LEFT JOIN s ON s.type = t.type AND s.month = m.month")
 def sum_04(spark, d):
-    return reports.history(activities(spark, d), AS_OF, 8).select("type", "month", "n", rnd("km", 4).alias("km"))
+    return reports.history(activities(spark, d), AS_OF, 8).select("type", "month", "n", rnd("km", 6).alias("km"))
 
 
 @query("sum_05", f"WITH {ACT}, r AS (SELECT type, MAX(d) AS last_day FROM act GROUP BY 1) SELECT d, type FROM (SELECT d, a.type, ROW_NUMBER() OVER (PARTITION BY d ORDER BY last_day DESC, a.type DESC) AS k FROM (SELECT DISTINCT d, type FROM act) a JOIN r ON a.type = r.type) WHERE k = 1")
@@ -324,9 +324,9 @@ def sum_06(spark, d):
     return reports.type_order(activities(spark, d))
 
 
-@query("sum_07", f"WITH {ACT}, g AS (SELECT type, SUM(CASE WHEN month(d) <= 8 AND year(d) = 2001 THEN km ELSE 0 END) AS km, SUM(CASE WHEN month(d) <= 8 AND year(d) = 2000 THEN km ELSE 0 END) AS km_before FROM act GROUP BY 1) SELECT type, round(km, 4) AS km, round(km_before, 4) AS km_before, round(100 * (km - km_before) / nullif(km_before, 0), 4) AS growth FROM g")
+@query("sum_07", f"WITH {ACT}, g AS (SELECT type, SUM(CASE WHEN month(d) <= 8 AND year(d) = 2001 THEN km ELSE 0 END) AS km, SUM(CASE WHEN month(d) <= 8 AND year(d) = 2000 THEN km ELSE 0 END) AS km_before FROM act GROUP BY 1) SELECT type, round(km, 6) AS km, round(km_before, 6) AS km_before, round(100 * (km - km_before) / nullif(km_before, 0), 6) AS growth FROM g")
 def sum_07(spark, d):
-    return reports.year_over_year(activities(spark, d), AS_OF).select("type", *(rnd(c, 4).alias(c) for c in ("km", "km_before", "growth")))
+    return reports.year_over_year(activities(spark, d), AS_OF).select("type", *(rnd(c, 6).alias(c) for c in ("km", "km_before", "growth")))
 
 
 _STREAK = """runs AS (SELECT type, COUNT(*) AS n, MAX(d) AS last_day FROM (SELECT type, d, d - CAST(ROW_NUMBER() OVER (PARTITION BY type ORDER BY d) AS INTEGER) AS g FROM (SELECT DISTINCT type, d FROM act)) GROUP BY type, g)"""
@@ -337,14 +337,14 @@ def win_01(spark, d):
     return reports.streaks(activities(spark, d), AS_OF)
 
 
-@query("top_01", f"WITH {ACT}, l AS (SELECT type, activity_id, d, 'longest' AS metric, km AS value FROM act UNION ALL SELECT type, activity_id, d, 'climbing', gain FROM act UNION ALL SELECT type, activity_id, d, 'pieces', CAST(n AS DOUBLE) FROM act) SELECT type, metric, activity_id, d, round(value, 5) AS value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY type, metric ORDER BY value DESC, activity_id) AS r FROM l WHERE value IS NOT NULL) WHERE r = 1")
+@query("top_01", f"WITH {ACT}, l AS (SELECT type, activity_id, d, 'longest' AS metric, km AS value FROM act UNION ALL SELECT type, activity_id, d, 'climbing', gain FROM act UNION ALL SELECT type, activity_id, d, 'pieces', CAST(n AS DOUBLE) FROM act) SELECT type, metric, activity_id, d, round(value, 6) AS value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY type, metric ORDER BY value DESC, activity_id) AS r FROM l WHERE value IS NOT NULL) WHERE r = 1")
 def top_01(spark, d):
-    return reports.records(activities(spark, d), {"longest": "km", "climbing": "gain", "pieces": "n"}).withColumn("value", rnd("value", 5))
+    return reports.records(activities(spark, d), {"longest": "km", "climbing": "gain", "pieces": "n"}).withColumn("value", rnd("value", 6))
 
 
-@query("top_02", f"WITH {ACT}, l AS (SELECT type, activity_id, d, 'longest' AS metric, km AS value FROM act WHERE d > DATE '2001-05-03') SELECT type, metric, activity_id, d, round(value, 5) AS value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY type ORDER BY value DESC, activity_id) AS r FROM l) WHERE r = 1")
+@query("top_02", f"WITH {ACT}, l AS (SELECT type, activity_id, d, 'longest' AS metric, km AS value FROM act WHERE d > DATE '2001-05-03') SELECT type, metric, activity_id, d, round(value, 6) AS value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY type ORDER BY value DESC, activity_id) AS r FROM l) WHERE r = 1")
 def top_02(spark, d):
-    return reports.records(reports.log_query(activities(spark, d), since="2001-05-04"), {"longest": "km"}).withColumn("value", rnd("value", 5))
+    return reports.records(reports.log_query(activities(spark, d), since="2001-05-04"), {"longest": "km"}).withColumn("value", rnd("value", 6))
 
 
 @query("top_03", f"WITH {ACT}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY type ORDER BY d DESC, activity_id) AS k FROM act), m AS (SELECT activity_id, d, type, CAST(round(hours * 60) AS BIGINT) AS mins FROM r WHERE k <= 5 ORDER BY d DESC, activity_id LIMIT 25) SELECT activity_id, d, type, CAST(mins // 60 AS VARCHAR) || ':' || lpad(CAST(mins % 60 AS VARCHAR), 2, '0') AS duration FROM m")
@@ -357,9 +357,9 @@ def top_04(spark, d):
     return reports.log_query(activities(spark, d), since="2001-07-01").orderBy(F.desc("d"), "activity_id").select("activity_id", "d", "type")
 
 
-@query("flt_01", f"WITH {ACT} SELECT activity_id, d, type, round(km, 4) AS km FROM act WHERE type IN ('BUILDING', 'MACHINERY') AND d BETWEEN DATE '2000-01-01' AND DATE '2000-03-31' AND NOT assisted")
+@query("flt_01", f"WITH {ACT} SELECT activity_id, d, type, round(km, 6) AS km FROM act WHERE type IN ('BUILDING', 'MACHINERY') AND d BETWEEN DATE '2000-01-01' AND DATE '2000-03-31' AND NOT assisted")
 def flt_01(spark, d):
-    return reports.log_query(activities(spark, d), ["BUILDING", "MACHINERY"], "2000-01-01", "2000-03-31", False).select("activity_id", "d", "type", rnd("km", 4).alias("km"))
+    return reports.log_query(activities(spark, d), ["BUILDING", "MACHINERY"], "2000-01-01", "2000-03-31", False).select("activity_id", "d", "type", rnd("km", 6).alias("km"))
 
 
 @query("flt_02", f"WITH {ACT} SELECT activity_id, COALESCE(CASE WHEN activity_id % 5 = 0 THEN type END, CASE WHEN month(d) IN (12, 1, 2) THEN 'SNOW' END, 'RIDE') AS effective FROM act")
@@ -391,20 +391,20 @@ ws AS (SELECT CAST(date_trunc('week', d) AS DATE) AS week, COUNT(*) AS rides, SU
 weeks AS (SELECT wk.week, COALESCE(rides, 0) AS rides, COALESCE(hours, 0.0) AS hours, COALESCE(gain, 0.0) AS gain, COALESCE(km, 0.0) AS km FROM wk LEFT JOIN ws ON wk.week = ws.week)"""
 
 
-@query("fit_01", f"WITH {ACT}, {_WEEK} SELECT week, rides, round(hours, 4) AS hours, round(gain, 4) AS gain, round(km, 4) AS km FROM weeks")
+@query("fit_01", f"WITH {ACT}, {_WEEK} SELECT week, rides, round(hours, 6) AS hours, round(gain, 6) AS gain, round(km, 6) AS km FROM weeks")
 def fit_01(spark, d):
-    return reports.weekly(activities(spark, d), AS_OF, 26).select("week", "rides", *(rnd(c, 4).alias(c) for c in ("hours", "gain", "km")))
+    return reports.weekly(activities(spark, d), AS_OF, 26).select("week", "rides", *(rnd(c, 6).alias(c) for c in ("hours", "gain", "km")))
 
 
-@query("fit_15", f"WITH {ACT}, {_WEEK} SELECT week, round(AVG(km) OVER (ORDER BY week ROWS 3 PRECEDING), 4) AS km_4, round(AVG(km) OVER (ORDER BY week ROWS 7 PRECEDING), 4) AS km_8 FROM weeks")
+@query("fit_15", f"WITH {ACT}, {_WEEK} SELECT week, round(AVG(km) OVER (ORDER BY week ROWS 3 PRECEDING), 9) AS km_4, round(AVG(km) OVER (ORDER BY week ROWS 7 PRECEDING), 9) AS km_8 FROM weeks")
 def fit_15(spark, d):
-    return reports.rolling_weeks(reports.weekly(activities(spark, d), AS_OF, 26), "km").select("week", rnd("km_4", 4).alias("km_4"), rnd("km_8", 4).alias("km_8"))
+    return reports.rolling_weeks(reports.weekly(activities(spark, d), AS_OF, 26), "km").select("week", rnd("km_4", 9).alias("km_4"), rnd("km_8", 9).alias("km_8"))
 
 
-@query("fit_04", f"WITH {ACT} SELECT type, COUNT(DISTINCT d) AS days, round(SUM(hours), 4) AS hours, COALESCE(SUM(gain), 0) AS gain, COUNT(*) AS n FROM act WHERE d >= DATE '2001-05-04' GROUP BY 1")
+@query("fit_04", f"WITH {ACT} SELECT type, COUNT(DISTINCT d) AS days, round(SUM(hours), 6) AS hours, COALESCE(SUM(gain), 0) AS gain, COUNT(*) AS n FROM act WHERE d >= DATE '2001-05-04' GROUP BY 1")
 def fit_04(spark, d):
     a = reports.log_query(activities(spark, d), since="2001-05-04")
-    return a.groupBy("type").agg(F.count_distinct("d").alias("days"), F.round(F.sum("hours"), 4).alias("hours"), F.coalesce(F.sum("gain"), F.lit(0.0)).alias("gain"), F.count("*").alias("n")).orderBy(F.desc("hours"))
+    return a.groupBy("type").agg(F.count_distinct("d").alias("days"), F.round(F.sum("hours"), 6).alias("hours"), F.coalesce(F.sum("gain"), F.lit(0.0)).alias("gain"), F.count("*").alias("n")).orderBy(F.desc("hours"))
 
 
 def _rides(spark, d):
@@ -459,9 +459,9 @@ def _days(spark, d):
     return reports.daily(activities(spark, d), "km", AS_OF)
 
 
-@query("fit_09", f"WITH {ACT}, {_DAYS} SELECT d, CAST(t AS INTEGER) AS t, round(v, 4) AS v FROM days")
+@query("fit_09", f"WITH {ACT}, {_DAYS} SELECT d, CAST(t AS INTEGER) AS t, round(v, 6) AS v FROM days")
 def fit_09(spark, d):
-    return _days(spark, d).select("d", "t", rnd("v", 4).alias("v"))
+    return _days(spark, d).select("d", "t", rnd("v", 6).alias("v"))
 
 
 @query("fit_11", f"WITH {ACT}, {_DAYS} SELECT d, round(CASE WHEN t >= 27 THEN AVG(v) OVER w / nullif(stddev_pop(v) OVER w, 0) END, 5) AS monotony FROM days WINDOW w AS (ORDER BY t ROWS 27 PRECEDING)")
@@ -623,9 +623,9 @@ def spa_02(spark, d):
     return spatial.region_tags(track_points(spark, d), spatial.ring_edges(_regions(spark)))
 
 
-@query("spa_03", f"WITH {TRK} SELECT activity_id, round(AVG(lat), 7) AS lat, round(AVG(lon), 7) AS lon FROM trk GROUP BY 1")
+@query("spa_03", f"WITH {TRK} SELECT activity_id, round(AVG(lat), 10) AS lat, round(AVG(lon), 10) AS lon FROM trk GROUP BY 1")
 def spa_03(spark, d):
-    return spatial.centroids(track_points(spark, d)).select("activity_id", rnd("lat", 7).alias("lat"), rnd("lon", 7).alias("lon"))
+    return spatial.centroids(track_points(spark, d)).select("activity_id", rnd("lat", 10).alias("lat"), rnd("lon", 10).alias("lon"))
 
 
 _M = "(CAST(3.141592653589793 AS DOUBLE) * CAST(6371000.0 AS DOUBLE) / 180)"
@@ -1169,10 +1169,10 @@ def win_06(spark, d):
     return asof.asof_backward(ends, f, "d", "fitness")
 
 
-@query("win_07", f"WITH {ACT}, {_DAYS} SELECT d, round(v, 4) AS v FROM days ORDER BY t DESC LIMIT 84")
+@query("win_07", f"WITH {ACT}, {_DAYS} SELECT d, round(v, 6) AS v FROM days ORDER BY t DESC LIMIT 84")
 def win_07(spark, d):
     r = _days(spark, d).withColumn("r", F.row_number().over(Window.orderBy(F.desc("t"))))
-    return r.where("r <= 84").select("d", rnd("v", 4).alias("v"))
+    return r.where("r <= 84").select("d", rnd("v", 6).alias("v"))
 
 
 @query("flt_04", f"WITH {ACT} SELECT type, COUNT(*) AS n FROM act WHERE NOT assisted GROUP BY 1")
