@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, compact, mix, renewed, small, text_chunks, word_hashes
+from .common import Forest, arrow_rows, compact, mix, renewed, small, text_chunks, word_hashes
 
 #: Whether a node's documents outside its largest component are so few that they join each block.
 FEW = "others <= 32 AND 4 * others <= size"
@@ -210,9 +210,9 @@ def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     total = np.zeros((m, m), np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    for k in range(0, len(often), 8192):
-        a, z = np.searchsorted(column, [k, k + 8192])
-        x = np.zeros((m, min(8192, len(often) - k)), np.float32)
+    for k in range(0, len(often), 2048):
+        a, z = np.searchsorted(column, [k, k + 2048])
+        x = np.zeros((m, min(2048, len(often) - k)), np.float32)
         x[owner[a:z], column[a:z] - k] = 1
         total += x @ x.T
     return np.round(total[i, j]).astype(np.int64)
@@ -270,7 +270,8 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
         sets = more if sets is None else sets.unionByName(more)
         full = labelled(suspects).join(reps.join(small(ids), "id", "left_semi"), "id").join(sets.join(small(ids), "id", "left_semi"), "id")
         full = full.select("node", "block", "id", "comp", "sig", "items").repartition("node", "block").sortWithinPartitions("node", "block", "id")
-        comps = renewed(comps, full.mapInArrow(partial(_confirm, percent=percent), "a long, b long"))
+        with arrow_rows(docs.sparkSession, 1024):
+            comps = renewed(comps, full.mapInArrow(partial(_confirm, percent=percent), "a long, b long"))
 
     live = None
     for some in ((0,), tuple(range(1, trees))):
