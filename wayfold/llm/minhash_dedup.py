@@ -35,6 +35,7 @@ LIMIT = 512  #: documents of a part of a node, all of which are compared
 WHOLE = 4096  #: documents of a node up to which all its parts are compared with each other
 TREES = 5
 DEPTH = 6  #: rounds of branching, of two levels each, before large nodes are compared block by block
+ROWS = 1024  #: rows of texts, sketches or sets that Python gets at once
 LEAST = 36  #: shared minima from which a pair is confirmed on full sets: 0.75 of 64 less 3.5 standard deviations
 
 _rng = np.random.default_rng(7919)
@@ -227,6 +228,11 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
     Repeated rows give repeated rows; documents of a null doc_id come back
     with an empty component, and link with nothing.  Other columns are left out.
     """
+    with arrow_rows(docs.sparkSession, ROWS):
+        return _classes(docs, width, percent, trees)
+
+
+def _classes(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id IS NOT NULL")
     sketches = compact(known.mapInArrow(partial(_sketch, width=width), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"))
@@ -270,8 +276,7 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
         sets = more if sets is None else sets.unionByName(more)
         full = labelled(suspects).join(reps.join(small(ids), "id", "left_semi"), "id").join(sets.join(small(ids), "id", "left_semi"), "id")
         full = full.select("node", "block", "id", "comp", "sig", "items").repartition("node", "block").sortWithinPartitions("node", "block", "id")
-        with arrow_rows(docs.sparkSession, 1024):
-            comps = renewed(comps, full.mapInArrow(partial(_confirm, percent=percent), "a long, b long"))
+        comps = renewed(comps, full.mapInArrow(partial(_confirm, percent=percent), "a long, b long"))
 
     live = None
     for some in ((0,), tuple(range(1, trees))):
