@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, flat, span_hashes, text_chunks, words
+from .common import crc_mod, cut, flat, small, span_hashes, text_chunks, words
 
 BINS = 12
 _CLASSES = np.zeros((256, 8), bool)
@@ -152,7 +152,7 @@ def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
     The prior's weight is the beta distribution's that has the spread between
     groups which sampling leaves unexplained; it is found from one row of sums.
     """
-    paths = evidence.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v"))
+    paths = cut(evidence.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v")))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"), F.sum("v").alias("hv"))
     r = hosts.agg(F.sum("hs"), F.sum("hn"), F.count("*"), F.avg(F.col("hs") / F.col("hn")), F.var_pop(F.col("hs") / F.col("hn")), F.avg(F.col("hv") / F.col("hn") ** 2)).first()
     if not r[1]:
@@ -182,7 +182,8 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     groups, mean = posteriors(evidence.select("host", "path", (1 / (1 + F.exp(-F.col("log_odds")))).alias("p")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     rows = docs.mapInArrow(partial(_evidence, model=model, keep=True), schema + ", log_odds double")
-    groups = groups.withColumnsRenamed({"host": "_host", "path": "_path"})
+    # so that texts need no shuffle by host, and a host with many documents no task of its own
+    groups = small(groups.withColumnsRenamed({"host": "_host", "path": "_path"}))
     rows = rows.join(groups, (place["host"] == F.col("_host")) & (place["path"] == F.col("_path")), "left").drop("_host", "_path")
     z = F.col("log_odds") + F.log(F.col("path_posterior") / (1 - F.col("path_posterior"))) - float(np.log(mean / (1 - mean)))
     rows = rows.withColumn("score", 1 / (1 + F.exp(-z)))
