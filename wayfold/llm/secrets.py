@@ -54,9 +54,12 @@ def _may_match(texts: pa.Array, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     may = np.asarray(pc.fill_null(pc.match_substring_regex(texts, _HINT), False).to_numpy(zero_copy_only=False), bool)
     may |= np.asarray(pc.fill_null(pc.match_substring(texts, "AKIA"), False).to_numpy(zero_copy_only=False), bool)
     if len(buf):
-        other = np.flatnonzero(np.concatenate([[True], ~_IS_HEX[buf], [True]]))
-        long = other[:-1][np.diff(other) > 24]
-        may[np.searchsorted(off, long, "right") - 1] = True
+        ishex = _IS_HEX[buf]
+        edge = np.zeros(len(buf) + 1, bool)  # a run ends where its text ends
+        edge[off] = edge[0] = edge[-1] = True
+        first = np.flatnonzero(ishex & (edge[:-1] | ~np.roll(ishex, 1)))
+        last = np.flatnonzero(ishex & (edge[1:] | ~np.roll(ishex, -1)))
+        may[np.searchsorted(off, first[last - first >= 23], "right") - 1] = True
     return may
 
 
