@@ -43,26 +43,39 @@ def rising(dt: np.ndarray, dz: np.ndarray, rate: float, gain: float, seconds: fl
     return flag
 
 
-def steady(dt: np.ndarray, dist: np.ndarray, dz: np.ndarray, speed: np.ndarray, window: int = 60) -> np.ndarray:
-    """Legs of even, straight climbs at the speed of a lift: windows of legs whose mean speed is within 6 to 25 km/h, extended while the last 20 stay there."""
+def _metres(lat0: float, lon0: float, lat1: float, lon1: float) -> float:
+    p, q = np.radians(lat0), np.radians(lat1)
+    a = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon1 - lon0) / 2) ** 2
+    return 12742000.0 * float(np.arcsin(np.sqrt(min(a, 1.0))))
+
+
+def steady(dt: np.ndarray, dist: np.ndarray, dz: np.ndarray, speed: np.ndarray, lat: np.ndarray, lon: np.ndarray, window: int = 60) -> np.ndarray:
+    """Legs of even or straight climbs at the speed of a lift: windows of legs, shorter at the end of the track, whose mean speed is within 6 to 25 km/h, extended while that of the last 20 is.
+
+    Even is a deviation of speeds below 13 km/h, straight a sinuosity of at most 1.15; without positions only the first counts.
+    """
     n = len(dt)
     valid = (dt > 0) & (dt < 5) & ~np.isnan(speed)
     v = np.where(valid, speed, 0.0)
-    cv, cs, cs2, cz, ct = _sums(valid), _sums(v), _sums(v * v), _sums(dz), _sums(dt)
-    flag, i = np.zeros(n, bool), 0
+    cv, cs, cs2, cz, ct, cd = _sums(valid), _sums(v), _sums(v * v), _sums(dz), _sums(dt), _sums(dist)
+    flag, i = np.zeros(n, bool), 1
 
     def mean(a: int, b: int) -> float:
         k = cv[b] - cv[a]
         return (cs[b] - cs[a]) / k if k else 0.0
 
-    while i + window <= n:
-        j = i + window
-        if cv[j] - cv[i] >= 30 and cz[j] - cz[i] >= 25 and 6 < mean(i, j) < 25:
-            while j < n and 6 < mean(j - 19, j + 1) < 25:
+    def straight(a: int, b: int) -> bool:
+        d = _metres(lat[a], lon[a], lat[b], lon[b])
+        return not np.isnan(d) and (d <= 1 or (cd[b + 1] - cd[a]) / d <= 1.15)
+
+    while i < n:
+        j = min(i + window, n)
+        if cv[j] - cv[i] >= window // 2 and cz[j] - cz[i] >= 25 and 6 < mean(i, j) < 25:
+            while j < n and 6 < mean(max(i, j - 20), j) < 25:
                 j += 1
             k = cv[j] - cv[i]
             spread = np.sqrt(max(0.0, (cs2[j] - cs2[i] - k * mean(i, j) ** 2) / (k - 1))) if k > 1 else 0.0
-            if cz[j] - cz[i] >= 40 and ct[j] - ct[i] >= 90 and spread < 13:
+            if cz[j] - cz[i] >= 40 and ct[j] - ct[i] >= 90 and (spread < 13 or straight(i, j - 1)):
                 flag[i:j] = True
                 i = j
                 continue
@@ -70,20 +83,20 @@ def steady(dt: np.ndarray, dist: np.ndarray, dz: np.ndarray, speed: np.ndarray,
     return flag
 
 
-def shuttle(dt: np.ndarray, dist: np.ndarray, dz: np.ndarray, seconds: float = 90.0) -> np.ndarray:
-    """Legs of fast climbs, as by car: ``seconds`` with 50 metres up at 20 km/h or more, extended over 30 legs while as fast."""
-    n, t, s, z = len(dt), _sums(dt), _sums(dist), _sums(dz)
-    flag, i = np.zeros(n, bool), 0
+def shuttle(dt: np.ndarray, dz: np.ndarray, speed: np.ndarray, seconds: float = 90.0) -> np.ndarray:
+    """Legs of fast climbs, as by car: ``seconds`` (half of them at the end of the track) with 50 metres up at a mean speed of 20 km/h or more, extended while the last 30 legs are as fast and don't fall."""
+    n, t, z = len(dt), _sums(dt), _sums(dz)
+    cv, cs = _sums(~np.isnan(speed)), _sums(speed)
+    flag, i = np.zeros(n, bool), 1
 
-    def pace(a: int, b: int) -> float:
-        return (s[b] - s[a]) / (t[b] - t[a]) * 3.6 if t[b] > t[a] else 0.0
+    def fast(a: int, b: int) -> bool:
+        k = cv[b] - cv[a]
+        return bool(k) and (cs[b] - cs[a]) / k >= 20
 
     while i < n:
-        j = int(np.searchsorted(t, t[i] + seconds, "left"))
-        if j > n:
-            break
-        if z[j] - z[i] >= 50 and pace(i, j) >= 20:
-            while j < n and pace(max(i, j - 29), j + 1) >= 20:
+        j = min(n, int(np.searchsorted(t, t[i] + seconds, "left")))
+        if t[j] - t[i] >= seconds / 2 and z[j] - z[i] >= 50 and fast(i, j):
+            while j < n and fast(max(i, j - 30), j) and z[j] - z[max(i, j - 30)] >= 0:
                 j += 1
             flag[i:j] = True
             i = j
@@ -96,21 +109,25 @@ def gaps(dt: np.ndarray, dz: np.ndarray) -> np.ndarray:
     return (dt >= 200) & (dz >= 100)
 
 
-#: Detectors over legs: name to function of (dt, dist, ele_delta, speed).
-DETECTORS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {
-    "time_gap": lambda t, s, z, v: gaps(t, z),
-    "speed_sinuosity": lambda t, s, z, v: steady(t, s, z, v),
-    "elevation_rate": lambda t, s, z, v: rising(t, z, 5.0, 25.0),
-    "elevation_rate_high": lambda t, s, z, v: rising(t, z, 15.0, 40.0),
-    "shuttle": lambda t, s, z, v: shuttle(t, s, z),
-    "heuristic": lambda t, s, z, v: gaps(t, z) | steady(t, s, z, v),
-    "lift": lambda t, s, z, v: rising(t, z, 5.0, 25.0) | gaps(t, z),
-    "bike": lambda t, s, z, v: rising(t, z, 15.0, 40.0) | gaps(t, z) | shuttle(t, s, z),
+#: Detectors over legs: name to function of (dt, dist, ele_delta, speed, lat, lon).  ``lift`` and ``bike`` are candidates, which ``lifts.detected`` completes.
+DETECTORS: dict[str, Callable[..., np.ndarray]] = {
+    "time_gap": lambda t, s, z, v, y, x: gaps(t, z),
+    "speed_sinuosity": lambda t, s, z, v, y, x: steady(t, s, z, v, y, x),
+    "elevation_rate": lambda t, s, z, v, y, x: rising(t, z, 5.0, 25.0),
+    "elevation_rate_high": lambda t, s, z, v, y, x: rising(t, z, 15.0, 40.0),
+    "shuttle": lambda t, s, z, v, y, x: shuttle(t, z, v),
+    "heuristic": lambda t, s, z, v, y, x: gaps(t, z) | steady(t, s, z, v, y, x),
+    "lift": lambda t, s, z, v, y, x: rising(t, z, 5.0, 25.0) | gaps(t, z),
+    "bike": lambda t, s, z, v, y, x: rising(t, z, 15.0, 40.0) | gaps(t, z) | shuttle(t, z, v),
 }
 
 
+def _leg_columns(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [pdf[c].to_numpy(float) if c in pdf else np.full(len(pdf), np.nan) for c in ("dt", "dist", "ele_delta", "speed", "lat", "lon")]
+
+
 def detect(legs: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """A flag column for each detector, for each point of ``legs(activity_id, seq, dt, dist, ele_delta, speed)``.
+    """A flag column for each detector, for each point of ``legs(activity_id, seq, dt, dist, ele_delta, speed)``, which may have ``lat`` and ``lon``.
 
     All detectors run in one pass over a track; where tracks are filtered, filter before.
     """
@@ -118,12 +135,93 @@ def detect(legs: DataFrame, names: list[str] | None = None) -> DataFrame:
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        cols = [pdf[c].to_numpy(float) for c in ("dt", "dist", "ele_delta", "speed")]
+        cols = _leg_columns(pdf)
         out = {"activity_id": pdf["activity_id"], "seq": pdf["seq"]}
         return pd.DataFrame(out | {k: DETECTORS[k](*cols) for k in names})
 
     schema = ASSIST + "".join(f", {k} boolean" for k in names)
-    return legs.select("activity_id", "seq", "dt", "dist", "ele_delta", "speed").groupBy("activity_id").applyInPandas(kernel, schema)
+    given = [c for c in ("activity_id", "seq", "dt", "dist", "ele_delta", "speed", "lat", "lon") if c in legs.columns]
+    return legs.select(*given).groupBy("activity_id").applyInPandas(kernel, schema)
+
+
+def flagged_segments(flag: np.ndarray) -> list[tuple[int, int]]:
+    """First and last place of each flagged run; a run begins with the point before it."""
+    turn = np.flatnonzero(flag[1:] != np.concatenate([[False], flag[1:-1]])) + 1 if len(flag) > 1 else np.zeros(0, int)
+    at = [int(k) for k in turn] + [len(flag)] * (len(turn) % 2)
+    return [(a - 1, b - 1) for a, b in zip(at[::2], at[1::2], strict=True)]
+
+
+def _trim_to_cable_speed(start: int, end: int, speed: np.ndarray) -> tuple[int, int]:
+    trim = min(45, (end - start) // 4)
+    fast = np.nan_to_num(speed) >= 6.0
+    head, tail = np.flatnonzero(fast[start : start + trim]), np.flatnonzero(fast[end - trim + 1 : end + 1])
+    return start + int(head[0]) if len(head) else start, end - trim + 1 + int(tail[-1]) if len(tail) else end
+
+
+def _trim_to_slowest(start: int, end: int, speed: np.ndarray) -> tuple[int, int]:
+    def slowest(a: int, b: int, other: int) -> int:
+        part = speed[a:b]
+        return a + int(np.nanargmin(part)) if len(part) and not np.isnan(part).all() else other
+
+    first = slowest(start, min(start + 30, end), start)
+    return first, slowest(max(end - 30, first), end + 1, end)
+
+
+#: Detectors with known lifts: the flags whose union they start from, and how a segment that no lift matches is trimmed.
+COMPOSED: dict[str, tuple[tuple[str, ...], Callable[[int, int, np.ndarray], tuple[int, int]]]] = {
+    "speed_osm": (("speed_sinuosity", "time_gap"), _trim_to_cable_speed),
+    "smart": (("elevation_rate", "speed_sinuosity", "time_gap"), _trim_to_cable_speed),
+    "lift": (("elevation_rate", "time_gap"), _trim_to_slowest),
+    "bike": (("elevation_rate_high", "time_gap", "shuttle", "osm"), lambda start, end, speed: (start, end)),
+}
+
+
+def candidate_segments(legs: DataFrame, names: list[str], gain: float = 50.0) -> DataFrame:
+    """Segments of the union of flags of each of ``names`` in ``COMPOSED`` that climb ``gain`` metres, with their ends as trimmed; ``legs`` has ``lat``, ``lon`` and ``osm`` too."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        cols, seq = _leg_columns(pdf), pdf["seq"].to_numpy()
+        flags = {"osm": pdf["osm"].to_numpy(bool)} | {k: DETECTORS[k](*cols) for k in sorted({p for n in names for p in COMPOSED[n][0]} - {"osm"})}
+        z, rows = _sums(cols[2]), []
+        for name in names:
+            parts, trim = COMPOSED[name]
+            for a, b in flagged_segments(np.logical_or.reduce([flags[p] for p in parts])):
+                if z[b + 1] - z[a] >= gain:
+                    lo, hi = trim(a, b, cols[3])
+                    rows.append((name, int(pdf["activity_id"].iloc[0]), int(seq[a]), int(seq[b]), int(seq[lo]), int(seq[hi])))
+        return pd.DataFrame(rows, columns=["algorithm", "activity_id", "start", "end", "from", "to"])
+
+    legs = legs.select("activity_id", "seq", "dt", "dist", "ele_delta", "speed", "lat", "lon", "osm")
+    return legs.groupBy("activity_id").applyInPandas(kernel, "algorithm string, activity_id long, start long, end long, `from` long, `to` long")
+
+
+def rides_between(stops: DataFrame, least_s: float = 60, most_s: float = 1800, gain: float = 50.0) -> DataFrame:
+    """Rides of ``stops(activity_id, lift, seq, t_s, up, stop)`` from a lift's one station to the other, in either direction: from the first point near the one after the last ride to the first near the other within the time, if ``up``, the climb so far, grows by ``gain``."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, pdf = [], pdf.sort_values(["lift", "stop", "seq"])
+        key, stop = pdf["lift"].to_numpy(), pdf["stop"].to_numpy() == "b"
+        seqs, times, ups = pdf["seq"].to_numpy(), pdf["t_s"].to_numpy(float), pdf["up"].to_numpy(float)
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (stop[1:] != stop[:-1])) + 1
+        sides = [slice(x, y) for x, y in zip([0, *cuts], [*cuts, len(key)], strict=True)]
+        both = [(x, y) for x, y in zip(sides[:-1], sides[1:], strict=True) if key[x.start] == key[y.start]]
+        for low, high in [*both, *((y, x) for x, y in both)]:
+            s0, t0, u0, s1, t1, u1 = seqs[low], times[low], ups[low], seqs[high], times[high], ups[high]
+            far = np.maximum(np.searchsorted(t1, t0 + least_s, "left"), np.searchsorted(s1, s0, "right"))
+            past = np.searchsorted(s0, s1, "right")
+            able = (far < len(s1)) & (t1[np.minimum(far, len(s1) - 1)] - t0 <= most_s)
+            i = 0
+            for k in np.flatnonzero(able):
+                if k < i:
+                    continue
+                j = far[k]
+                i = past[j]
+                if u1[j] - u0[k] >= gain:
+                    rows.append((int(pdf["activity_id"].iloc[0]), int(key[low.start]), int(s0[k]), int(s1[j])))
+        return pd.DataFrame(rows, columns=["activity_id", "lift", "start", "end"])
+
+    return stops.groupBy("activity_id").applyInPandas(kernel, "activity_id long, lift long, start long, end long")
 
 
 def _split_linear(progress: np.ndarray, turn: float = 0.2) -> list[int]:

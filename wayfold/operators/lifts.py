@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import COMPOSED, candidate_segments, rides_between
 from .network import close_pairs
 
 
@@ -24,19 +25,54 @@ def station_rides(points: DataFrame, lifts: DataFrame, metres: float = 100.0, le
 
 
 def snapped_spans(points: DataFrame, spans: DataFrame, lifts: DataFrame, samples: int = 60, metres: float = 250.0) -> DataFrame:
-    """Of each span the lift and the points near its two ends, within ``samples`` of the span's, of least summed distance; the first of equals."""
-    near = _near(points, lifts, metres).select("activity_id", "seq", "lift", "stop", "d")
-    s = near.join(spans, "activity_id").where(f"seq BETWEEN start - {samples} AND start + {samples}").select("activity_id", "start", "end", "lift", F.col("stop").alias("stop0"), F.col("seq").alias("from"), F.col("d").alias("d0"))
-    e = near.join(spans, "activity_id").where(f"seq BETWEEN `end` - {samples} AND `end` + {samples}").select("activity_id", "start", "lift", F.col("stop").alias("stop1"), F.col("seq").alias("to"), F.col("d").alias("d1"))
-    w0 = Window.partitionBy("activity_id", "start", "lift", "stop0").orderBy("d0", "from")
-    w1 = Window.partitionBy("activity_id", "start", "lift", "stop1").orderBy("d1", "to")
+    """Of each span the lift and the points near its two ends, from ``samples`` before the span's to less than that after, of least summed distance; the first of equals."""
+    ends = spans.select("activity_id", F.explode(F.flatten(F.array(*(F.sequence(F.col(c) - samples, F.col(c) + samples) for c in ("start", "end"))))).alias("seq")).distinct()
+    near = _near(points.join(ends, ["activity_id", "seq"], "left_semi"), lifts, metres).select("activity_id", "seq", "lift", "stop", "d")
+    s = near.join(spans, "activity_id").where(f"seq >= start - {samples} AND seq < start + {samples}").select("activity_id", "start", "end", "lift", F.col("stop").alias("stop0"), F.col("seq").alias("from"), F.col("d").alias("d0"))
+    e = near.join(spans, "activity_id").where(f"seq >= `end` - {samples} AND seq < `end` + {samples}").select("activity_id", "start", "end", "lift", F.col("stop").alias("stop1"), F.col("seq").alias("to"), F.col("d").alias("d1"))
+    w0 = Window.partitionBy("activity_id", "start", "end", "lift", "stop0").orderBy("d0", "from")
+    w1 = Window.partitionBy("activity_id", "start", "end", "lift", "stop1").orderBy("d1", "to")
     s = s.withColumn("r", F.row_number().over(w0)).where("r = 1").drop("r")
     e = e.withColumn("r", F.row_number().over(w1)).where("r = 1").drop("r")
-    both = s.join(e, ["activity_id", "start", "lift"]).where("stop0 != stop1 AND `to` > `from`")
-    w = Window.partitionBy("activity_id", "start").orderBy(F.col("d0") + F.col("d1"), "lift", "stop0")
+    both = s.join(e, ["activity_id", "start", "end", "lift"]).where("stop0 != stop1 AND `to` > `from`")
+    w = Window.partitionBy("activity_id", "start", "end").orderBy(F.col("d0") + F.col("d1"), "lift", "stop0")
     return both.withColumn("r", F.row_number().over(w)).where("r = 1").select("activity_id", "start", "end", "lift", "from", "to")
 
 
+def station_flags(legs: DataFrame, lifts: DataFrame, metres: float = 100.0, least_s: int = 60, most_s: int = 1800, gain: float = 50.0) -> DataFrame:
+    """Points on rides between the stations of a lift; the climb is the sum of ``ele_delta``, to which points without elevation add nothing."""
+    up = F.sum("ele_delta").over(Window.partitionBy("activity_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    p = legs.select("activity_id", "seq", "t_s", "lat", "lon", up.alias("ele"))
+    rides = rides_between(_near(p, lifts, metres).select("activity_id", F.col("lift").cast("long"), "seq", "t_s", F.col("ele").alias("up"), "stop"), least_s, most_s, gain)
+    return _points_of(rides.select("activity_id", F.col("start").alias("from"), F.col("end").alias("to")))
+
+
+def _points_of(spans: DataFrame, *by: str) -> DataFrame:
+    return spans.select(*by, "activity_id", F.explode(F.sequence("from", "to")).alias("seq")).distinct()
+
+
+def detected(legs: DataFrame, lifts: DataFrame, names: list[str]) -> DataFrame:
+    """Assisted points (algorithm, activity_id, seq) by each of ``names``: ``osm``, or a detector of ``COMPOSED``.
+
+    Segments of the detector's flags that climb enough are snapped to a lift where one matches, else trimmed.
+    """
+    composed = [n for n in names if n in COMPOSED]
+    out = []
+    if "osm" in names or any("osm" in COMPOSED[n][0] for n in composed):
+        osm = station_flags(legs, lifts)
+        flagged = legs.join(osm.withColumn("osm", F.lit(True)), ["activity_id", "seq"], "left").withColumn("osm", F.coalesce("osm", F.lit(False)))
+    else:
+        flagged = legs.withColumn("osm", F.lit(False))
+    if "osm" in names:
+        out.append(osm.select(F.lit("osm").alias("algorithm"), "activity_id", "seq"))
+    if composed:
+        segments = candidate_segments(flagged, composed)
+        snapped = snapped_spans(legs, segments.select("activity_id", "start", "end").distinct(), lifts).select("activity_id", "start", "end", F.col("from").alias("_from"), F.col("to").alias("_to"))
+        ends = segments.join(snapped, ["activity_id", "start", "end"], "left").withColumns({"from": F.coalesce("_from", "from"), "to": F.coalesce("_to", "to")})
+        out.append(_points_of(ends, "algorithm"))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
 def trimmed_to_cable_speed(points: DataFrame, spans: DataFrame, kmh: float = 6.0, most: int = 45) -> DataFrame:
     """Spans that begin at the first point of cable speed among their first ``most`` or quarter of points."""
     reach = F.least(F.lit(most), F.floor((F.col("end") - F.col("start")) / 4))

@@ -955,10 +955,15 @@ def str_02(spark, d):
 @query("det_17")
 def det_17(spark, d):
     """All detectors side by side: assisted points and runs of each."""
-    from ..operators.kernels import DETECTORS, detect
-
-    f = detect(legs(spark, d))
-    long = f.select("activity_id", "seq", F.explode(F.create_map(*(x for k in DETECTORS for x in (F.lit(k), F.col(k))))).alias("algorithm", "on"))
+    from ..operators.kernels import COMPOSED, DETECTORS, detect
+
+    known, p = ["osm", *COMPOSED], legs(spark, d)
+    plain = [k for k in DETECTORS if k not in known]
+    f = detect(p, plain)
+    long = f.select("activity_id", "seq", F.explode(F.create_map(*(x for k in plain for x in (F.lit(k), F.col(k))))).alias("algorithm", "on"))
+    with_lifts = p.select("activity_id", "seq", F.explode(F.array(*map(F.lit, known))).alias("algorithm"))
+    found = lifts.detected(p, _lifts(spark, d), known).withColumn("on", F.lit(True))
+    long = long.unionByName(with_lifts.join(found, ["algorithm", "activity_id", "seq"], "left").withColumn("on", F.coalesce("on", F.lit(False))))
     was = F.lag("on").over(Window.partitionBy("algorithm", "activity_id").orderBy("seq"))
     return long.withColumn("rise", F.col("on") & ~F.coalesce(was, F.lit(False))).groupBy("algorithm", "activity_id").agg(F.count_if("on").alias("points"), F.count_if("rise").alias("runs"))
 
@@ -1301,5 +1306,16 @@ def _one_detector(name):
     return run
 
 
-for _id, _name in (("det_02", "speed_sinuosity"), ("det_04", "elevation_rate"), ("det_05", "elevation_rate_high"), ("det_06", "shuttle"), ("det_11", "heuristic"), ("det_15", "lift"), ("det_16", "bike")):
+for _id, _name in (("det_02", "speed_sinuosity"), ("det_04", "elevation_rate"), ("det_05", "elevation_rate_high"), ("det_06", "shuttle"), ("det_11", "heuristic")):
     query(_id)(_one_detector(_name))
+
+
+def _detector_with_lifts(name):
+    def run(spark, d):
+        return lifts.detected(legs(spark, d), _lifts(spark, d), [name]).select("activity_id", "seq")
+
+    return run
+
+
+for _id, _name in (("det_12", "osm"), ("det_13", "speed_osm"), ("det_14", "smart"), ("det_15", "lift"), ("det_16", "bike")):
+    query(_id)(_detector_with_lifts(_name))
