@@ -30,11 +30,14 @@ def degrees(ways: DataFrame, places: int = 5) -> DataFrame:
 
 
 def close_pairs(a: DataFrame, b: DataFrame, metres: float, condition: Column | None = None) -> DataFrame:
-    """Pairs of ``a(ida, lata, lona)`` and ``b(idb, latb, lonb)`` within ``metres``, met on cells of that size and their neighbours."""
+    """Pairs of ``a(ida, lata, lona)`` and ``b(idb, latb, lonb)`` within ``metres``, met on cells of twice that size and their neighbours; a band of cells is as wide in degrees of longitude as its end nearer to the pole needs."""
     side = metres / _M * 2
-    cell = lambda c: F.floor(F.col(c) / side)
-    left = a.withColumn("ci", F.explode(F.array(*(cell("lata") + k for k in (-1, 0, 1))))).withColumn("cj", F.explode(F.array(*(cell("lona") + k for k in (-1, 0, 1)))))
-    near = left.join(b.withColumns({"ci": cell("latb"), "cj": cell("lonb")}), ["ci", "cj"])
+    band = lambda c: F.floor(F.col(c) / side)
+    # a pair may reach one band further than its cell's
+    pole = F.least((F.greatest(F.abs(F.col("ci")), F.abs(F.col("ci") + 1)) + 1) * side, F.lit(89.9))
+    cell = lambda c: F.floor(F.col(c) * F.cos(F.radians(pole)) / side)
+    left = a.withColumn("ci", F.explode(F.array(*(band("lata") + k for k in (-1, 0, 1))))).withColumn("cj", F.explode(F.array(*(cell("lona") + k for k in (-1, 0, 1)))))
+    near = left.join(b.withColumn("ci", band("latb")).withColumn("cj", cell("lonb")), ["ci", "cj"])
     near = near.withColumn("d", haversine_of_differences(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb"))).where(F.col("d") <= metres).drop("ci", "cj")
     return near.where(condition) if condition is not None else near
 
