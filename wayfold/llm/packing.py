@@ -10,7 +10,7 @@ anew.  The rounds end with one partition, which is as small as any other.
 
 from __future__ import annotations
 
-import base64
+import json
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -27,23 +27,32 @@ PIECES, FAN_IN = 20_000, 8
 _ENCODERS: dict[str, object] = {}
 
 
-def encoder(ranks: str):
-    """Byte-level BPE from a file of ranks, once for each worker."""
-    if ranks not in _ENCODERS:
+def encoder(model: str):
+    """Byte-level BPE from a ``tokenizers`` file, once for each worker.
+
+    The file's pieces, merges and added tokens go into the quicker of the two
+    public encoders; both give the same ids, added tokens in a text included.
+    """
+    if model not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
-        with open(public_tokenizers.path(ranks), "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[ranks] = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return _ENCODERS[ranks]
+        with open(public_tokenizers.path(model), encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # letters that stand for bytes: printable ones for themselves, the others in order from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(letter[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
+        _ENCODERS[model] = tiktoken.Encoding(model, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return _ENCODERS[model]
 
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], ranks: str, end: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode = encoder(ranks).encode_ordinary
+def _pieces(batches: Iterator[pa.RecordBatch], model: str, end: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    encode = partial(encoder(model).encode, allowed_special="all")
     for b in text_chunks(batches):
         out = []
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -61,16 +70,17 @@ def _pieces(batches: Iterator[pa.RecordBatch], ranks: str, end: int, capacity: i
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def token_pieces(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", end: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, model: str = "byte_bpe_50k.json", end: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens of ``docs(doc_id, text)``, each document closed by ``end``.
 
     Null text counts as empty: one piece, of ``end`` alone.  Only documents
     longer than ``capacity`` are cut; then every piece but the first is full.
-    Strings of special tokens are ordinary text.  With ``with_ids`` a column
+    Strings of the file's added tokens give these tokens, as ``tokenizers`` has it.
+    Very long texts are encoded whole; an empty table has no pieces.  With ``with_ids`` a column
     ``ids`` has the little-endian unsigned 32-bit ids.  Other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kernel = partial(_pieces, ranks=ranks, end=end, capacity=capacity, with_ids=with_ids)
+    kernel = partial(_pieces, model=model, end=end, capacity=capacity, with_ids=with_ids)
     return docs.mapInArrow(kernel, PIECE_SCHEMA + (", ids binary" if with_ids else ""))
 
 
