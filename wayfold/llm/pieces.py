@@ -24,6 +24,13 @@ class Vocabulary:
     keys: np.ndarray  #: sorted hashes of the pieces that stand for text
     ids: np.ndarray  #: their ids
     table: np.ndarray
+    _by_text: dict[bytes, int] | None = None
+
+    def by_text(self) -> dict[bytes, int]:
+        """Pieces that stand for text, by their bytes."""
+        if self._by_text is None:
+            self._by_text = {self.texts[i]: i for i in self.ids.tolist()}
+        return self._by_text
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """Id of the piece with each hash, or -1: the sorted keys are entered through a table of their leading bits."""

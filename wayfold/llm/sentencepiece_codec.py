@@ -12,6 +12,7 @@ Characters that no piece covers fall back to bytes, or else to the unknown piece
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,6 +25,7 @@ from .common import flat, span_hashes, text_chunks
 from .pieces import SPACE, SpanHasher, Vocabulary, substring_ids, vocabulary
 
 MODEL = "piece_bpe_32k.model"
+LONG = 1024  #: bytes of a word from which a BPE word is merged alone, by a heap
 BATCH_BYTES = 1 << 20  #: of text, of which encoding takes about a hundred times as much
 
 
@@ -136,6 +138,41 @@ def merges(rows: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     return out, np.bincount(r, size, n).astype(np.int64)
 
 
+def merge_long(raw: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """Ids of one long word by the same merges, in n log n steps: a heap of pairs over a linked list of symbols."""
+    data, known = raw.tobytes(), vocab.by_text()
+    start = np.flatnonzero((raw & 0xC0) != 0x80).tolist()
+    end = [*start[1:], len(data)]
+    n = len(start)
+    left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
+    score, heap = vocab.scores, []
+
+    def offer(i: int) -> None:
+        j = right[i]
+        if j >= 0 and end[j] - start[i] <= vocab.longest and (piece := known.get(data[start[i] : end[j]])) is not None:
+            heapq.heappush(heap, (-score[piece], i, end[j]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = right[i] if alive[i] else -1
+        if j < 0 or end[j] != stop:
+            continue  # one of the two has been merged since
+        end[i], alive[j], right[i] = stop, False, right[j]
+        if right[j] >= 0:
+            left[right[j]] = i
+        offer(i)
+        if left[i] >= 0:
+            offer(left[i])
+    ids, i = [], 0
+    while i >= 0:
+        piece = known.get(data[start[i] : end[i]])
+        ids += [piece] if piece is not None else _unknown(raw[start[i] : end[i]], vocab)
+        i = right[i]
+    return np.array(ids, np.int32)
+
+
 def encode_words(blob: np.ndarray, start: np.ndarray, size: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all words in one array, with each word's place and number in it."""
     advance = merges if vocab.kind == "bpe" else viterbi
@@ -146,6 +183,12 @@ def encode_words(blob: np.ndarray, start: np.ndarray, size: np.ndarray, vocab: V
         length = int(size[order[i]])
         if not length:
             continue
+        if vocab.kind == "bpe" and length >= LONG:
+            for k in order[i:j].tolist():
+                ids.append(merge_long(blob[start[k] : start[k] + length], vocab))
+                place[k], count[k] = n, len(ids[-1])
+                n += len(ids[-1])
+            continue
         step = max(1, 1_000_000 // length)
         for k in range(i, j, step):
             some = order[k : min(j, k + step)]
@@ -236,7 +279,8 @@ def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Record
 def encode(docs: DataFrame, model: str = MODEL, with_text: bool = False) -> DataFrame:
     """``doc_id``, ``n_ids`` and ``ids`` (little-endian unsigned 32-bit) of each row of ``docs(doc_id, text)``; ``with_text``, also the ``text`` that decoding the ids gives, in the same pass.
 
-    Null and empty texts have no ids.  Other columns are left out.
+    Null and empty texts have no ids; very long texts and words are encoded
+    whole; repeated rows give repeated rows, an empty table none.  Other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kernel = partial(_encode, model=model, with_text=with_text)
