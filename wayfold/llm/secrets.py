@@ -17,7 +17,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import flat, mix, span_hashes, text_chunks, words
@@ -30,6 +30,7 @@ _HINT = r"(?i)password|passwd|secret|token|api_?key"
 
 TABLE, FEATURES = 1 << 14, 8
 WINDOW = 20
+PER_TEXT = 32  #: windows of a text around matches that the field is fitted to, evenly over the text
 _DIGIT, _UPPER, _LOWER, _HIGH = (np.zeros(256, bool) for _ in range(4))
 _DIGIT[48:58] = _UPPER[65:91] = _LOWER[97:123] = _HIGH[128:] = True
 _SIGN = ~(_DIGIT | _UPPER | _LOWER | _HIGH)
@@ -115,15 +116,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _features(buf, off, start, end, doc)
         tags = np.full(len(start), 2, np.int8)
         woff = np.searchsorted(doc, np.arange(len(off)))
-        centres = []
+        centres: list[int] = []
         for d in np.flatnonzero(_may_match(texts, buf, off)):
             text = texts[int(d)].as_py()
-            spans = base_spans(text)
+            spans, own = base_spans(text), []
             for lo, hi in _char_bytes(text, spans):
                 i, j = np.searchsorted(end, off[d] + lo, "right"), np.searchsorted(start, off[d] + hi)
                 tags[i:j] = np.where(tags[i:j] == 0, 0, 1)
                 tags[i] = 0 if i == 0 or tags[i - 1] == 2 or doc[i - 1] != d else tags[i]
-                centres.append((i + j) // 2)
+                own.append((i + j) // 2)
+            centres += own if len(own) <= PER_TEXT else [own[k * len(own) // PER_TEXT] for k in range(PER_TEXT)]
         filled = np.flatnonzero(np.diff(woff))
         for k in (0.3, 0.8):
             centres += (woff[filled] + (np.diff(woff)[filled] * k)).astype(int).tolist()
@@ -175,12 +177,24 @@ def _planted(texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
         yield _features(buf, off, start, end, doc)[:WINDOW].tobytes(), tags[:WINDOW].tobytes()
 
 
-def fit(docs: DataFrame, sample: int = 4000, windows: int = 12000, steps: int = 60) -> dict[str, np.ndarray]:
-    """Field from ``sample`` documents in which a pattern's word occurs and as many others, those of the smallest hash of doc_id, and at most ``windows`` of their windows."""
+def _drawn(docs: DataFrame, draw: int, sample: int) -> DataFrame:
+    """Ids of at most ``sample`` documents with a pattern's word, and of as many others, among about ``draw`` documents of the smallest hash of doc_id.
+
+    The hash goes first, so that only the texts of the draw are searched; what
+    is ranked after it has no more than about ``draw`` rows, whatever the table's size.
+    """
+    share = min(1.0, draw / max(1, docs.count()))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 24)
+    few = docs.where(F.col("doc_id").isNotNull() & (place < int(share * (1 << 40))))
     hint = F.coalesce(F.col("text").rlike(r"AKIA|[0-9a-f]{24}|" + _HINT.replace("(?i)", "(?i:") + ")"), F.lit(False))
-    ids = docs.select("doc_id", hint.alias("hint")).where("doc_id IS NOT NULL")
-    chosen = [ids.where(F.col("hint") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id") for k in (True, False)]
-    chosen = F.broadcast(chosen[0].unionByName(chosen[1]).distinct())  # 2 * sample ids
+    ranked = few.select("doc_id", hint.alias("hint"), place.alias("place")).distinct()
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("hint").orderBy("place", "doc_id")))
+    return ranked.where(f"r <= {sample}").select("doc_id").distinct()
+
+
+def fit(docs: DataFrame, sample: int = 4000, windows: int = 12000, steps: int = 60, draw: int = 200_000) -> dict[str, np.ndarray]:
+    """Field from ``sample`` documents in which a pattern's word occurs and as many others, among about ``draw`` of the smallest hash of doc_id, and at most ``windows`` of their windows (``PER_TEXT`` of one text)."""
+    chosen = F.broadcast(_drawn(docs, draw, sample))  # 2 * sample ids
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text").mapInArrow(_windows, "x binary, tags binary")
     rows = rows.orderBy(F.xxhash64("x", "tags")).limit(windows).collect()
     weights, moves = np.zeros((FEATURES * TABLE, 3), np.float32), np.zeros((3, 3), np.float32)
@@ -343,7 +357,9 @@ def secret_scan(docs: DataFrame, redact: str | None = None, sample: int = 4000)
     The fixed patterns' kinds are ``assign``, ``access`` and ``hex``; ``crf``
     spans are those which the field adds, and overlap none of the others.  With
     ``redact`` that string takes the place of each span, overlapping ones as
-    one.  Null texts have no span.  A column ``spans`` that is there before is replaced.
+    one.  Null and empty texts have no span, very long ones are scanned whole;
+    repeated rows give repeated rows, an empty table none.  A column ``spans``
+    that is there before is replaced.
     """
     docs = docs.drop("spans").withColumn("text", F.col("text").cast("string"))
     model = fit(docs.select("doc_id", "text"), sample)
