@@ -15,8 +15,10 @@ answers travel back to the blocks.  No table of words is ever whole in one place
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import partial
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +87,7 @@ def lattice(rows: np.ndarray, logp: np.ndarray, vocab: Vocabulary, counts: np.nd
         return alpha[width], None
     beta = np.full((width + 1, n), -np.inf)
     beta[width] = 0
-    expected = np.zeros(len(logp))
+    expected, pieces, shares, held = np.zeros(len(logp)), [], [], 0
     for i in range(width - 1, -1, -1):
         paths = np.stack([beta[i + k] + weights[k - 1][:, i] for k in range(1, min(width - i, len(weights)) + 1)])
         top = paths.max(0)
@@ -98,10 +100,16 @@ def lattice(rows: np.ndarray, logp: np.ndarray, vocab: Vocabulary, counts: np.nd
             if k == 1:  # a byte's own piece and the text piece of one byte share what that step has
                 byte = fallback[:, i]
                 part = np.where(piece >= 0, np.exp(np.where(piece >= 0, logp[piece], 0) - single[:, i]), 0)
-                np.add.at(expected, byte[byte >= 0], (s * (1 - part))[byte >= 0])
+                pieces.append(byte[byte >= 0])
+                shares.append((s * (1 - part))[byte >= 0])
                 s = s * part
             on = piece >= 0
-            expected += np.bincount(piece[on], s[on], len(logp))
+            pieces.append(piece[on])
+            shares.append(s[on])
+            held += 2 * n
+        if held > 1 << 20 or i == 0:
+            expected += np.bincount(np.concatenate(pieces), np.concatenate(shares), len(logp))
+            pieces, shares, held = [], [], 0
     return alpha[width], expected
 
 
@@ -219,17 +227,16 @@ def _row(*values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], _NAMES)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], key: str) -> dict[int, list[dict]]:
-    out: dict[int, list[dict]] = {}
-    for b in batches:
-        for r in b.to_pylist():
-            out.setdefault(r[key], []).append(r)
-    return out
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows that follow each other with the same ``key``, one row at a time; no more of a run is held than its reader holds."""
+    one = (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows))
+    yield from itertools.groupby(one, itemgetter(key))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of each bucket with their counts in all blocks."""
-    for bucket, rows in _rows(batches, "bucket").items():
+    for bucket, run in _runs(batches, "bucket"):
+        rows = list(run)
         h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
         c = np.concatenate([_unpack(r["counts"], np.int32) for r in rows]).astype(np.int64)
         size = np.concatenate([_unpack(r["sizes"], np.int32) for r in rows]).astype(np.int64)
@@ -265,31 +272,39 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
 
+def token_scores(h: np.ndarray, score: np.ndarray, arc: np.ndarray, end: float, new: float, close: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of tokens by segmentations alone, and mixed with whole words: an end has ``end``, words share what it leaves.
+
+    ``score`` has the words' lattices, which ``close`` makes sum to one, and ``arc`` the whole words' part of the mixture, ``1 - new`` in all.
+    """
+    ends = h == END
+    alone = np.where(ends, end, score)
+    words_ = score + close + np.log1p(-np.exp(end))
+    return alone, np.logaddexp(arc, np.log(new) + np.where(ends, end, words_))
+
+
 def _answer(batches: Iterator[pa.RecordBatch], model: str, logp: np.ndarray, end: float, tokens: int, new: float) -> Iterator[pa.RecordBatch]:
     """Count and log probabilities of each word that a block asks for: of its segmentations alone, and with the whole word as one more arc."""
     vocab = vocabulary(model)
-    for bucket, rows in _rows(batches, "bucket").items():
-        whole = next(r for r in rows if r["block"] == -1)
+    for bucket, rows in _runs(batches, "bucket"):
+        whole = next(rows)  # its block is -1, the least
         h, count = np.frombuffer(whole["hashes"], np.uint64), _unpack(whole["counts"], np.int64)
         size = _unpack(whole["sizes"], np.int32).astype(np.int64)
         score = word_scores(np.frombuffer(_unpack(whole["letters"]), np.uint8), size, logp, vocab)
         with np.errstate(divide="ignore"):
             arc = np.log((1 - new) * count / max(1, tokens))
-        both = np.where(h == END, np.maximum(arc, end + np.log(new)), np.logaddexp(arc, np.log(new) + score + closing(logp, vocab)))
-        score[h == END] = end
+        score, both = token_scores(h, score, arc, end, new, closing(logp, vocab))
         for r in rows:
-            if r["block"] != -1:
-                at = np.searchsorted(h, np.frombuffer(r["hashes"], np.uint64))
-                yield _row(r["block"], bucket, b"", score[at].tobytes(), _pack(count[at]), b"", both[at].tobytes())
+            at = np.searchsorted(h, np.frombuffer(r["hashes"], np.uint64))
+            yield _row(r["block"], bucket, b"", score[at].tobytes(), _pack(count[at]), b"", both[at].tobytes())
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, subword_score double"
 
 
 def _score(batches: Iterator[pa.RecordBatch], tokens: int, known: int) -> Iterator[pa.RecordBatch]:
-    for rows in _rows(batches, "block").values():
-        rows.sort(key=lambda r: r["bucket"])
-        own, answers = rows[0], rows[1:]
+    for _, rows in _runs(batches, "block"):
+        own, *answers = rows  # sorted by bucket, the block's own first
         count = np.concatenate([_unpack(r["counts"], np.int64) for r in answers])
         subword, score = (np.concatenate([np.frombuffer(r[c]) for r in answers]) / np.log(10) for c in ("hashes", "letters"))
         base = np.log10((count + 0.5) / (tokens + 0.5 * (known + 1)))
@@ -312,7 +327,9 @@ def lm_score(docs: DataFrame, folds: int = 5, held: int = 1, model: str = MODEL)
 
     Learns from documents whose crc32(doc_id) modulo ``folds`` is not
     ``held``.  Null texts count as empty: an end alone.  Null doc_ids are in
-    the training part.  Other columns are left out.
+    the training part.  Very long texts are scored whole; repeated rows give
+    repeated rows, and count as often as they come; an empty table has none.
+    Other columns are left out.
     """
     out = F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), out.alias("held_out"))
@@ -320,7 +337,7 @@ def lm_score(docs: DataFrame, folds: int = 5, held: int = 1, model: str = MODEL)
     buckets = 1 + size // BUCKET_BYTES
     blocks = cut(docs.mapInArrow(partial(_prepare, buckets=buckets), _BLOCKS))
     asked = blocks.where("bucket >= 0")
-    merged = asked.select("bucket", "hashes", "counts", "sizes", "letters").repartition(buckets, "bucket").mapInArrow(_merge, "bucket int, tokens long, known long, once long, hashes binary, counts binary, sizes binary, letters binary")
+    merged = asked.select("bucket", "hashes", "counts", "sizes", "letters").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "bucket int, tokens long, known long, once long, hashes binary, counts binary, sizes binary, letters binary")
     merged = cut(merged)
     tokens, known, once = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "known", "once"))).first()
     train = docs.where("NOT held_out").count()
@@ -337,7 +354,9 @@ def lm_score(docs: DataFrame, folds: int = 5, held: int = 1, model: str = MODEL)
     whole = merged.select(F.lit(-1).cast("long").alias("block"), "bucket", F.lit(b"").alias("texts"), "hashes", "counts", "sizes", "letters")
     empty = F.lit(b"")
     ask = asked.select("block", "bucket", empty.alias("texts"), "hashes", empty.alias("counts"), empty.alias("sizes"), empty.alias("letters"))
-    answers = whole.unionByName(ask).repartition(buckets, "bucket").mapInArrow(partial(_answer, model=model, logp=logp, end=end, tokens=tokens, new=new), _BLOCKS)
+    answers = whole.unionByName(ask).repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(partial(_answer, model=model, logp=logp, end=end, tokens=tokens, new=new), _BLOCKS)
     texts = blocks.where("bucket < 0")
-    scored = texts.unionByName(answers).repartition(F.col("block")).mapInArrow(partial(_score, tokens=tokens, known=known), _SCORED)
+    # a number, so that adaptive execution joins no blocks in one task; a task reads its blocks one after the other
+    number = max(1, texts.count())
+    scored = texts.unionByName(answers).repartition(number, "block").sortWithinPartitions("block", "bucket").mapInArrow(partial(_score, tokens=tokens, known=known), _SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "subword_score")
