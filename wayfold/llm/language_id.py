@@ -111,8 +111,12 @@ def fit(docs: DataFrame) -> dict:
     return {"langs": langs, "code": code, "w": np.stack(weights, 1), "shift": np.array(shift), "scale": np.array(scale), "weight": apart / apart.sum()}
 
 
-def decode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Language number, score and margin of each row of counts."""
+def decode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language number, score, margin and loss of each row of counts.
+
+    The loss, of the nearest codeword, is 0 where all bits agree with it and 1
+    where they say nothing, however many languages there are.
+    """
     f = (x @ model["w"] / np.maximum(1, x.sum(1, keepdims=True)) - model["shift"]) / model["scale"]
     f = np.clip(f, -3, 3)
     loss = np.stack([(np.maximum(0, 1 - f * c) ** 2) @ model["weight"] for c in model["code"]], 1)
@@ -120,7 +124,7 @@ def decode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
     e /= e.sum(1, keepdims=True)
     top = e.argmax(1)
     second = np.sort(e, 1)[:, -2] if e.shape[1] > 1 else np.zeros(len(e))
-    return top, e.max(1), e.max(1) - second
+    return top, e.max(1), e.max(1) - second, loss.min(1)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
@@ -132,26 +136,28 @@ def _predict(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Reco
                 high = np.diff(np.concatenate([[0], np.cumsum(_HIGH[buf])])[off]) > 0
                 for i in np.flatnonzero(~letters & high):
                     letters[i] = any(map(str.isalpha, part.column("text")[i].as_py()))
-            pred, score, margin = np.full(part.num_rows, "und", object), np.zeros(part.num_rows), np.zeros(part.num_rows)
+            pred, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
+            margin, loss = np.zeros(part.num_rows), np.ones(part.num_rows)
             if model["langs"]:
-                top, s, m = decode(counts(buf, off), model)
+                top, s, m, far = decode(counts(buf, off), model)
                 pred[letters] = np.array(model["langs"], object)[top[letters]]
-                score[letters], margin[letters] = s[letters], m[letters]
-            arrays = [part.column(i) for i in range(part.num_columns)] + [pa.array(pred, pa.string()), pa.array(score), pa.array(margin < AMBIGUOUS)]
-            yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "lang_pred", "score", "ambiguous"])
+                score[letters], margin[letters], loss[letters] = s[letters], m[letters], far[letters]
+            arrays = [part.column(i) for i in range(part.num_columns)] + [pa.array(pred, pa.string()), pa.array(score), pa.array(margin < AMBIGUOUS), pa.array(loss)]
+            yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "lang_pred", "score", "ambiguous", "loss"])
 
 
 def language_id(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """All columns of ``docs(doc_id, text, lang, ...)`` with ``held_out``, ``lang_pred``, ``score`` and ``ambiguous``.
+    """All columns of ``docs(doc_id, text, lang, ...)`` with ``held_out``, ``lang_pred``, ``score``, ``ambiguous`` and ``loss`` (of the nearest codeword, see ``decode``).
 
     Learns from text and language of documents whose crc32(doc_id) modulo
     ``folds`` is not ``held``.  Null texts, texts without a letter, and all
-    texts where nothing was learnt, are ``und`` with score 0.  Columns of
-    these four names that are there before are replaced.
+    texts where nothing was learnt, are ``und`` with score 0 and loss 1.  Very
+    long texts are read whole; repeated rows give repeated rows, an empty
+    table none.  Columns of these five names that are there before are replaced.
     """
-    docs = docs.drop("held_out", "lang_pred", "score", "ambiguous").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("held_out", "lang_pred", "score", "ambiguous", "loss").withColumn("text", F.col("text").cast("string"))
     out = F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False))
     model = fit(docs.where(~out).select("text", F.col("lang").cast("string").alias("lang")))
     rows = docs.withColumn("held_out", out)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(partial(_predict, model=model), schema + ", lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(partial(_predict, model=model), schema + ", lang_pred string, score double, ambiguous boolean, loss double")
