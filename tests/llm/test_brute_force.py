@@ -105,7 +105,6 @@ def test_packing_is_gapless_whole_and_near_the_bound(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in docs.items()}
     rows = Q.op2_best_fit_packing(spark, SF).collect()
     by_doc, by_seq = {}, {}
@@ -131,6 +130,16 @@ def test_packing_is_gapless_whole_and_near_the_bound(spark, docs):
     assert len(by_seq) <= packing.lower_bound(np.array([r.length for r in rows]), 2048) + 1
 
 
+def test_packing_ids_with_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|> hi", " <|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endof", "日本語 𝄞 😀\ttab\n", " " * 50, "", None]
+    rows = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
 def test_packing_rounds(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(1, 100, 3000)
@@ -164,7 +173,7 @@ def test_sequences_hold_the_ids(spark, docs):
 
 
 def test_sentencepiece_equals_the_library_and_round_trips(spark, docs):
-    texts = dict(docs) | {9001: "", 9002: "  two  spaces ", 9003: "日本語 𝄞 😀\ttab\n", 9004: "y" * 5000, 9005: None}
+    texts = dict(docs) | {9001: "", 9002: "  two  spaces ", 9003: "日本語 𝄞 😀\ttab\n", 9004: "y" * 5000, 9005: None, 9006: "".join(np.random.default_rng(8).choice(list("abcdeé日"), 3000)), 9007: "x " + "ab" * 2000 + "\0é𝄞" * 200}
     sp = pieces.vocabulary().processor
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for r in sentencepiece_codec.decode(sentencepiece_codec.encode(df)).collect():
@@ -235,8 +244,22 @@ def test_lm_base_scores(spark, docs):
 
 def test_lm_probabilities_sum_to_one():
     vocab = made_vocabulary({"▁": -1.0, "a": -2.0, "▁a": -1.5})
-    p = np.exp(lm.starting_weights(vocab))
-    assert p.sum() == pytest.approx(1)
+    start = np.exp(lm.starting_weights(vocab))
+    assert start.sum() == pytest.approx(1)
+    # all words of one letter up to a length beyond which next to nothing is left, and the end
+    end, new = math.log(0.07), 0.2
+    with np.errstate(divide="ignore"):
+        logp = np.log(start * (1 - 0.07))
+    size = np.arange(1, 200)
+    score = lm.word_scores(np.full(int(size.sum()), ord("a"), np.uint8), size, logp, vocab)
+    bare = lm.word_scores(np.zeros(0, np.uint8), np.array([0]), logp, vocab)
+    h = np.append(np.arange(1, 201, dtype=np.uint64), lm.END)
+    counts = np.zeros(201)
+    counts[[3, 7, 200]] = 5, 2, 3
+    with np.errstate(divide="ignore"):
+        arc = np.log((1 - new) * counts / counts.sum())
+    _, both = lm.token_scores(h, np.concatenate([bare, score, [0.0]]), arc, end, new, lm.closing(logp, vocab))
+    assert np.exp(both).sum() == pytest.approx(1, abs=1e-6)
 
 
 def test_secret_patterns(spark, docs):

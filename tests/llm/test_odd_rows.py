@@ -20,6 +20,7 @@ ROWS = [
     (6, LONG, "de", "t", 9, 2.0, "x", 1, "y", 1, 1, "z"),
     (7, "123 456 !!! 😀", "de", "t", 9, 2.0, "x", 1, "y", 1, 1, "z"),
     (8, "ein kurzer satz mit password=abcdef123 darin", "de", "t", 9, 2.0, "x", 1, "y", 1, 1, "z"),
+    (9, "the same words come here again and again " + "x7" * 50_000, "en", "s", 9, 2.0, "x", 1, "y", 1, 1, "z"),
 ]
 LABELS = [(4, 1, 0), (5, None, None), (6, 0, 1), (None, 1, 1), (8, 1, 0), (8, 1, 0)]
 
@@ -87,7 +88,7 @@ def test_stages(spark, tables, name, stage):
     assert stage(spark, docs.where("false"), folder).count() == 0
     ids = {r.doc_id for r in rows}
     if name == "language_id":
-        assert ids == {None, 4, 5, 6, 8}
+        assert ids >= {None, 4, 5, 6, 8} and not ids & {1, 2, 3, 7}
     if name == "minhash_dedup":
         assert 5 not in ids and {1, 2, 3, 4, 6, 7, 8} <= ids
     if name == "secret_scan":

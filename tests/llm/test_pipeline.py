@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_brute_force import closure, shingles
 
 import corpus_pipeline as P
@@ -29,6 +30,19 @@ def test_language_stage_drops_only_texts_without_language(spark, documents):
             assert r.doc_id not in kept
 
 
+@pytest.mark.parametrize("languages", [2, 3, 4])
+def test_language_stage_drops_gibberish_by_any_number_of_languages(spark, documents, languages):
+    known = sorted(r.lang for r in documents.where("lang IS NOT NULL").select("lang").distinct().collect())[:languages]
+    rng = np.random.default_rng(3)
+    letters = [(10**6 + k, "".join(rng.choice(list("bcdfghjklmnpqrstvwxyz    "), 400))) for k in range(20)]
+    other = [(2 * 10**6 + k, "".join(rng.choice(list("日本語テキスト漢字 "), 200))) for k in range(10)]
+    mixed = documents.where(F.col("lang").isin(known)).unionByName(spark.createDataFrame(letters + other, "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in P.language_stage(spark, mixed, SF).collect()}
+    clean = {r.doc_id for r in documents.where(F.col("lang").isin(known) & F.expr("length(text) > 200")).collect()}
+    assert clean <= kept
+    assert sum(i in kept for i, _ in letters + other) <= 4
+
+
 def test_quality_stage_keeps_clean_documents(spark, documents):
     kept = {r.doc_id for r in P.quality_stage(spark, documents, SF).collect()}
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
