@@ -2,8 +2,11 @@
 
 A stage gets all rows that its predecessor kept, and the folder of the input
 tables.  All stages but the last return the columns of documents, whatever
-further columns there are and whatever their names.  Rows that repeat a doc_id
-stay or go together.
+further columns there are and whatever their names.  Null and empty texts go in
+the first stage, which finds no language in them; a later stage that gets some
+keeps them (packing gives each one piece).  Very long texts are read whole.
+Rows that repeat a doc_id stay or go together; of documents that tie for a
+class, the one of the smallest doc_id stays.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ from wayfold.llm import minhash_dedup as _minhash
 from wayfold.llm import packing as _packing
 from wayfold.llm import quality as _quality
 from wayfold.llm import secrets as _secrets
-from wayfold.llm.common import stored
+from wayfold.llm.common import discard, stored
 
 #: Below it a document goes: low, so that clean documents stay.
 LEAST_QUALITY = 0.3
-#: An ambiguous document goes below this score of its best language.
-LEAST_LANGUAGE = 0.3
+#: A document goes whose nearest codeword has this loss or more (1: its bits say nothing): text of no language learnt.
+MOST_LOSS = 0.7
 REDACTED = "[SECRET]"
 
 
@@ -38,9 +41,9 @@ def _with(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], keep: F.C
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language go, and those as near to several as to any."""
+    """Texts without a letter go, and those that no codeword is near to, by a loss that doesn't depend on how many languages were learnt."""
     del spark, sf_dir
-    bad = (F.col("lang_pred") == "und") | (F.col("ambiguous") & (F.col("score") < LEAST_LANGUAGE))
+    bad = (F.col("lang_pred") == "und") | (F.col("loss") >= MOST_LOSS)
     return _with(docs, _language.language_id, ~bad)
 
 
@@ -84,8 +87,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is stored before the next one reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what a stage keeps is stored before the next one reads it, and goes when that has read it."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before = path
+        docs, path = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(spark, before)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # it cuts the lineage after its one pass over the texts
+    if path is not None:
+        discard(spark, path)
+    return out
