@@ -99,10 +99,11 @@ def name_chain(entries: DataFrame, most: int = 80) -> DataFrame:
 
 
 def touches(points: DataFrame, spans: DataFrame, ends: DataFrame, metres: float = 30.0) -> DataFrame:
-    """Whether each of ``spans(activity_id, name, start, end)`` comes within ``metres`` of both termini of its name (``ends(name, alat, alon, blat, blon)``)."""
-    p = spans.join(points.select("activity_id", "seq", "lat", "lon"), "activity_id").where("seq >= start AND seq < `end`").join(ends, "name")
+    """Whether each of ``spans(activity_id, name, start, end)`` comes within ``metres`` of the one and the other terminus of its name (``ends(name, alat, alon, blat, blon)``): columns ``a``, ``b`` and ``both``."""
+    s = spans.select("activity_id", "name", "start", F.explode(F.sequence("start", F.col("end") - 1)).alias("seq"))
+    p = s.join(points.select("activity_id", "seq", "lat", "lon"), ["activity_id", "seq"]).join(ends, "name")
     near = lambda k: F.bool_or(haversine_of_differences(F.col("lat"), F.col("lon"), F.col(f"{k}lat"), F.col(f"{k}lon")) <= metres)
-    return p.groupBy("activity_id", "name", "start").agg(near("a").alias("_a"), near("b").alias("_b")).select("activity_id", "name", "start", (F.col("_a") & F.col("_b")).alias("both"))
+    return p.groupBy("activity_id", "name", "start").agg(near("a").alias("a"), near("b").alias("b")).withColumn("both", F.col("a") & F.col("b"))
 
 
 def ways_in_region(vertices: DataFrame, inside: DataFrame) -> DataFrame:

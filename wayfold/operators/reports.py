@@ -6,6 +6,8 @@ and more where a function says so; "today" is always a parameter.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,11 +143,19 @@ def daily(acts: DataFrame, value: str, as_of: str) -> DataFrame:
 
 
 def ewma(days: DataFrame, tau: float, out: str) -> DataFrame:
-    """Exponentially weighted mean with seed 0, as one window sum; a series by days is short, whatever the number of activities."""
-    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    rate = F.lit(1.0) - F.exp(F.lit(-1.0 / tau))
-    # summed in spans of 300 time constants, so that the growing weights stay within a double
-    return days.withColumn(out, F.exp(-F.col("t") / tau) * F.sum(rate * F.col("v") * F.exp(F.col("t") / tau)).over(w))
+    """Exponentially weighted mean of dense ``days(t, v)`` with seed 0; a series by days is short, whatever the number of activities.
+
+    Growing weights are summed within spans of 300 time constants, so that they
+    stay within a double; a span starts from the last value of the one before.
+    """
+    rate, size = 1.0 - math.exp(-1.0 / tau), int(300 * tau)
+    w = Window.partitionBy("_span").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    p = days.withColumn("_span", F.floor(F.col("t") / size)).withColumn("_at", F.col("t") - F.col("_span") * size)
+    p = p.withColumn("_own", F.exp(-F.col("_at") / tau) * F.sum(rate * F.col("v") * F.exp(F.col("_at") / tau)).over(w))
+    # what a span leaves of the one before it is below the last place of its own end
+    ends = p.groupBy("_span").agg(F.max_by("_own", "t").alias("_end")).withColumn("_span", F.col("_span") + 1)
+    carried = F.coalesce("_end", F.lit(0.0)) * F.exp(-(F.col("_at") + 1) / tau)
+    return p.join(ends, "_span", "left").withColumn(out, F.col("_own") + carried).drop("_span", "_at", "_own", "_end")
 
 
 def fitness(days: DataFrame) -> DataFrame:
@@ -167,11 +177,17 @@ def monotony(days: DataFrame) -> DataFrame:
     return days.withColumn("monotony", F.when(F.col("t") >= 27, F.avg("v").over(w) / F.nullif(F.stddev_pop("v").over(w), F.lit(0.0))))
 
 
-def trend(days: DataFrame, n: int) -> DataFrame:
-    """One row: change of the mean of the last n values against that of the n before."""
-    r = days.withColumn("r", F.row_number().over(Window.orderBy(F.desc("t"))))
-    g = r.agg(F.avg(F.when(F.col("r") <= n, F.col("v"))).alias("last_n"), F.avg(F.when((F.col("r") > n) & (F.col("r") <= 2 * n), F.col("v"))).alias("before_n"))
-    return g.withColumn("change", (F.col("last_n") - F.col("before_n")) / F.nullif("before_n", F.lit(0.0)))
+def trend(days: DataFrame, n: int = 4) -> DataFrame:
+    """One row: signed change of the mean of the last ``n`` values that aren't null against the mean of up to ``n`` before them, relative to that mean's size.
+
+    Where there are none before, the first value stands for them; fewer than
+    two values, or a mean of zero before, have no change.
+    """
+    r = days.where("v IS NOT NULL").withColumn("r", F.row_number().over(Window.orderBy(F.desc("t"))))
+    pick = lambda cond: F.avg(F.when(cond, F.col("v")))
+    g = r.agg(F.count("*").alias("n"), pick(F.col("r") <= n).alias("last_n"), F.coalesce(pick((F.col("r") > n) & (F.col("r") <= 2 * n)), F.max_by("v", "r")).alias("before_n"))
+    change = (F.col("last_n") - F.col("before_n")) / F.nullif(F.abs("before_n"), F.lit(0.0))
+    return g.select("last_n", "before_n", F.when(F.col("n") >= 2, change).alias("change"))
 
 
 def week_ends(days: DataFrame, value: str) -> DataFrame:
@@ -191,14 +207,52 @@ def polarization(low: Column, middle: Column, high: Column) -> list[Column]:
     return [(low / total).alias("low"), (middle / total).alias("middle"), (high / total).alias("high")]
 
 
+def _votes(*signals: tuple[Column, Column]) -> Column:
+    """Sum of the signals' signs: 1 where the first condition holds, -1 where the second does."""
+    return sum((F.when(up, 1).when(down, -1).otherwise(0) for up, down in signals), F.lit(0))
+
+
+# The verdicts' words and bounds.
+
+
+def fitness_verdict(resting_change: Column, easy_change: Column, fitness_change: Column) -> Column:
+    """Rising or falling by the sum of three signs: resting rate and rate at easy effort count down, fitness up; unknown without any."""
+    none = F.coalesce(resting_change, easy_change, fitness_change).isNull()
+    score = _votes((resting_change < -0.02, resting_change > 0.02), (easy_change < -0.02, easy_change > 0.02), (fitness_change > 0.05, fitness_change < -0.05))
+    return F.when(none, "unknown").when(score >= 1, "rising").when(score <= -1, "falling").otherwise("steady")
+
+
+def readiness_verdict(reserve: Column, resting: Column, baseline: Column, sleep_h: Column, form: Column) -> Column:
+    """By how many of four signals are fresh and how many tired: two of the one kind, and more of it than of the other, decide."""
+    known = baseline.isNotNull() & (baseline != 0)
+    fresh = [reserve >= 60, known & (resting <= baseline - 1), sleep_h >= 7.5, form > 1]
+    tired = [reserve < 25, known & (resting >= baseline + 5), sleep_h < 6, form < -1]
+    n_fresh, n_tired = (sum((F.when(c, 1).otherwise(0) for c in cs), F.lit(0)) for cs in (fresh, tired))
+    none = reserve.isNull() & (resting.isNull() | ~known) & sleep_h.isNull() & form.isNull()
+    return F.when(none, "unknown").when((n_tired >= 2) & (n_tired > n_fresh), "easy").when((n_fresh >= 2) & (n_fresh > n_tired), "go_hard").otherwise("steady")
+
+
 def load_verdict(acwr: Column) -> Column:
-    return F.when(acwr.isNull(), "unknown").when(acwr < 0.8, "low").when(acwr <= 1.3, "optimal").when(acwr <= 1.5, "high").otherwise("very high")
+    return F.when(acwr.isNull(), "unknown").when(acwr > 1.5, "ramping_hard").when(acwr >= 0.8, "safe").otherwise("detraining")
 
 
-def difficulty(km: Column, gain: Column, loss: Column) -> Column:
-    """Score from distance and the harder of climb and descent, at least 1; null without distance."""
-    steep = F.greatest(gain, loss) / F.nullif(km, F.lit(0.0))
-    return F.when(km > 0, F.greatest(F.lit(1.0), F.pow(km, F.lit(0.5)) * (1 + steep / 50)))
+def mix_verdict(hard: Column) -> Column:
+    """By the share of hard time."""
+    return F.when(hard.isNull(), "unknown").when(hard > 0.25, "too_hard").when(hard < 0.08, "too_easy").otherwise("balanced")
+
+
+def difficulty(km: Column, gain: Column, loss: Column, descent: Column) -> Column:
+    """Whole score, at least 1, null without distance; of a climb or, for lift-assisted sports, of a descent.
+
+    A climb counts 55 m of ascent as a km and grows with steepness beyond 30 m
+    a km; a descent counts km alone and grows beyond 90 m a km.
+    """
+    gain, loss = F.coalesce(gain, F.lit(0.0)), F.coalesce(loss, F.lit(0.0))
+    per = lambda m: m / F.nullif(km, F.lit(0.0))
+    base = lambda x: F.pow(x, F.lit(0.83)) / 3.2
+    up = base(km + gain / 55) * (1 + F.greatest(F.lit(0.0), per(gain) - 30) / 60)
+    down = base(km) * (1 + F.greatest(F.lit(0.0), per(loss) - 90) / 90)
+    return F.when(km > 0, F.greatest(F.lit(1.0), F.rint(F.when(descent, down).otherwise(up))).cast("int"))
 
 
 # ---------------------------------------------------------------- filters

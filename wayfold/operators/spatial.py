@@ -65,25 +65,74 @@ def region_tags(points: DataFrame, edges: DataFrame, share: float = 0.15) -> Dat
     return inside.join(total, "activity_id").where(F.col("inside") >= F.greatest(F.lit(1), F.floor(F.col("total") * share))).select("activity_id", "region_id", "inside")
 
 
-def snap(points: DataFrame, ways: DataFrame, metres: float = 8.0, cell: float = 0.01, pad: float = 0.0002) -> DataFrame:
-    """Nearest way of each unassisted point, nearer than ``metres``; of equally near ones the first in order.
+_DEGREE = 3.141592653589793 * EARTH_M / 180
+
+
+def _band(lat: Column, side: float) -> Column:
+    return F.floor(lat / side)
+
+
+def _narrowest(band: Column, side: float, reach: float) -> Column:
+    """Cosine of the latitude, within ``reach`` degrees of a band, that is nearest to a pole."""
+    return F.cos(F.radians(F.least((F.greatest(F.abs(band), F.abs(band + 1))) * side + reach, F.lit(89.9))))
+
+
+def registered(segments: DataFrame, metres: float) -> DataFrame:
+    """``segments(..., alat, alon, blat, blon)`` with each cell ``ci, cj``, of twice ``metres``, that a point within ``metres`` of the segment can be in.
 
-    ``ways(way_pos, name, i, alat, alon, blat, blon)``.  Segments are
-    registered in each cell that their padded box touches.
+    A segment is registered along its course: in each band of latitude that it
+    comes near to, in the cells of the part of it that runs there, so that a
+    long oblique one has as many cells as it has length, not as its box has area.
     """
-    lo = lambda c, d: F.floor((F.least(f"a{c}", f"b{c}") - pad) / d)
-    hi = lambda c, d: F.floor((F.greatest(f"a{c}", f"b{c}") + pad) / d)
-    cells = ways.withColumn("ci", F.explode(F.sequence(lo("lat", cell), hi("lat", cell)))).withColumn("cj", F.explode(F.sequence(lo("lon", cell), hi("lon", cell))))
-    p = points.where(~F.col("assisted")).withColumns({"ci": F.floor(F.col("lat") / cell), "cj": F.floor(F.col("lon") / cell)})
-    k = F.cos(F.radians("lat")) * (3.141592653589793 * EARTH_M / 180)
-    m = F.lit(3.141592653589793 * EARTH_M / 180)
+    side, reach = 2 * metres / _DEGREE, metres / _DEGREE
+    at = lambda pick, c: pick(f"a{c}", f"b{c}")
+    s = segments.withColumn("ci", F.explode(F.sequence(_band(at(F.least, "lat") - reach, side), _band(at(F.greatest, "lat") + reach, side))))
+    slope = (F.col("blon") - F.col("alon")) / F.nullif(F.col("blat") - F.col("alat"), F.lit(0.0))
+    here = lambda edge: F.col("alon") + (F.greatest(at(F.least, "lat"), F.least(at(F.greatest, "lat"), edge)) - F.col("alat")) * slope
+    one, two = F.coalesce(here(F.col("ci") * side - reach), "alon"), F.coalesce(here((F.col("ci") + 1) * side + reach), "blon")
+    cosine = _narrowest(F.col("ci"), side, reach)
+    cell = lambda lon: F.floor(lon * cosine / side)
+    # the reach once more, for the rounding of the interpolation
+    return s.withColumn("cj", F.explode(F.sequence(cell(F.least(one, two) - 1.01 * reach / cosine), cell(F.greatest(one, two) + 1.01 * reach / cosine))))
+
+
+def segment_pairs(points: DataFrame, segments: DataFrame, metres: float) -> DataFrame:
+    """Pairs of ``points(..., lat, lon)`` and ``segments(..., alat, alon, blat, blon)`` with their distance ``d`` on the plane at the point: all within ``metres``, and few beyond.
+
+    They meet on cells of twice the distance.  What a pair must pass there is
+    plain arithmetic: the segment's box, and a cross product for the distance
+    from its whole line; the distance itself is computed once, for those that pass.
+    """
+    side, reach = 2 * metres / _DEGREE, metres / _DEGREE
+    p = points.withColumn("ci", _band(F.col("lat"), side)).withColumn("cj", F.floor(F.col("lon") * _narrowest(F.col("ci"), side, reach) / side))
+    p = p.withColumn("_k", F.cos(F.radians("lat")) * _DEGREE)
+    s = registered(segments, metres).withColumns({"_dx": F.col("blon") - F.col("alon"), "_dy": F.col("blat") - F.col("alat")})
+    k, m = F.col("_k"), F.lit(_DEGREE)
+    cross = (F.col("alon") - F.col("lon")) * F.col("_dy") - (F.col("alat") - F.col("lat")) * F.col("_dx")
+    size = (F.col("_dx") * k) * (F.col("_dx") * k) + (F.col("_dy") * m) * (F.col("_dy") * m)
+    line = (cross * cross) * (k * k) * (m * m) <= size * (1.0201 * metres * metres)
+    tall = F.col("lat").between(F.least("alat", "blat") - 1.01 * reach, F.greatest("alat", "blat") + 1.01 * reach)
+    wide = ((F.least("alon", "blon") - F.col("lon")) * k <= 1.01 * metres) & ((F.col("lon") - F.greatest("alon", "blon")) * k <= 1.01 * metres)
     xy = lambda a: ((F.col(f"{a}lon") - F.col("lon")) * k, (F.col(f"{a}lat") - F.col("lat")) * m)
     (ax, ay), (bx, by) = xy("a"), xy("b")
-    d = segment_distance(F.lit(0.0), F.lit(0.0), ax, ay, bx, by)
-    near = p.join(cells, ["ci", "cj"]).withColumn("d", d).where(F.col("d") < metres)
-    w = Window.partitionBy("activity_id", "seq").orderBy("d", "way_pos", "i")
-    best = near.withColumn("r", F.row_number().over(w)).where("r = 1").select("activity_id", "seq", "name", "d")
-    return points.join(best, ["activity_id", "seq"], "left")
+    near = p.join(s, ["ci", "cj"]).where(line & tall & wide)
+    return near.withColumn("d", segment_distance(F.lit(0.0), F.lit(0.0), ax, ay, bx, by)).drop("ci", "cj", "alat", "alon", "blat", "blon", "_k", "_dx", "_dy")
+
+
+def snap(points: DataFrame, ways: DataFrame, metres: float = 8.0) -> DataFrame:
+    """Nearest way of each unassisted point, nearer than ``metres``; of equally near ones the first in order.
+
+    ``ways(way_pos, name, i, alat, alon, blat, blon)``.  Only keys and
+    coordinates go through the join.  Points are dealt by their own key, in a
+    number of partitions that adaptive execution keeps (a few small rows of a
+    point become many pairs), so that the minimum of a point's pairs needs no
+    further shuffle where the ways are broadcast.
+    """
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = points.where(~F.col("assisted")).select("activity_id", "seq", "lat", "lon").repartition(parts, "activity_id", "seq")
+    near = segment_pairs(p, ways.select("way_pos", "name", "i", "alat", "alon", "blat", "blon"), metres)
+    best = near.groupBy("activity_id", "seq").agg(F.min(F.struct("d", "way_pos", "i", "name")).alias("best")).where(F.col("best.d") < metres)
+    return points.join(best.select("activity_id", "seq", F.col("best.name").alias("name"), F.col("best.d").alias("d")), ["activity_id", "seq"], "left")
 
 
 def runs(snapped: DataFrame, least: int = 4) -> DataFrame:
@@ -100,21 +149,53 @@ def way_lengths(ways: DataFrame, length: Column) -> DataFrame:
     return per.withColumn("r", F.row_number().over(w)).groupBy("name").agg(F.sum("m").alias("length_m"), F.max(F.when(F.col("r") == 1, F.col("kind"))).alias("kind"))
 
 
-def direction(first_ele: Column, last_ele: Column, points: Column) -> Column:
-    """Up or down by the difference in elevation, mixed for fewer than two points or none."""
-    d = last_ele - first_ele
-    return F.when((points < 2) | d.isNull() | (d == 0), "mixed").when(d > 0, "up").otherwise("down")
+def direction(first_ele: Column, last_ele: Column, points: Column, along: Column, loop: Column, least: float = 10.0) -> Column:
+    """Up or down by a difference in elevation of ``least`` metres, else forward or reverse as the line runs; around a loop always the latter; mixed for fewer than two points.
+
+    A missing elevation counts as zero.
+    """
+    d = F.coalesce(last_ele, F.lit(0.0)) - F.coalesce(first_ele, F.lit(0.0))
+    way = F.when(along, "forward").otherwise("reverse")
+    return F.when(points < 2, "mixed").when(loop, way).when(d >= least, "up").when(d <= -least, "down").otherwise(way)
 
 
 def match_rates(snapped: DataFrame) -> DataFrame:
     return snapped.groupBy("activity_id").agg(F.count("*").alias("points"), F.count("name").alias("matched"), (F.count("name") / F.count("*")).alias("rate"))
 
 
-def summary(traversals: DataFrame, lengths: DataFrame, least: float = 5.0) -> DataFrame:
-    """Visits, ridden km and coverage (at most 100 %) of each name in each activity; below ``least`` % it goes."""
+def completion(coverage: Column, both_ends: Column, whole: float = 85.0, part: float = 60.0) -> tuple[Column, Column]:
+    """Whether a trail was completed, by coverage alone or by less of it and a touch of both its ends, and whether it took the touch."""
+    by_ends = (coverage < whole) & (coverage >= part) & F.coalesce(both_ends, F.lit(False))
+    return (coverage >= whole) | by_ends, by_ends
+
+
+def summary(traversals: DataFrame, lengths: DataFrame, touched: DataFrame, least: float = 5.0) -> DataFrame:
+    """Visits, ridden km and coverage (at most 100 %) of each name in each activity, and whether it was completed; below ``least`` % it goes.
+
+    ``touched(activity_id, name, start, a, b)`` tells which ends each visit
+    came near to; the ends may be touched on different visits.
+    """
     g = traversals.groupBy("activity_id", "name").agg(F.count("*").alias("visits"), F.sum("ridden_km").alias("ridden_km"))
-    c = F.least(F.lit(100.0), 100 * F.col("ridden_km") / (F.col("length_m") / 1000))
-    return g.join(lengths, "name").withColumn("coverage", c).where(F.col("coverage") >= least).select("activity_id", "name", "visits", "ridden_km", "coverage", (F.col("coverage") >= 85).alias("completed"))
+    ends = touched.groupBy("activity_id", "name").agg((F.bool_or("a") & F.bool_or("b")).alias("both_ends"))
+    raw = 100 * F.col("ridden_km") / (F.col("length_m") / 1000)
+    completed, by_ends = completion(F.col("raw"), F.col("both_ends"))
+    rows = g.join(lengths, "name").withColumn("raw", raw).where(F.col("raw") >= least).join(ends, ["activity_id", "name"], "left")
+    return rows.select("activity_id", "name", "visits", "ridden_km", F.least(F.lit(100.0), F.col("raw")).alias("coverage"), completed.alias("completed"), by_ends.alias("by_ends"))
+
+
+def timeline(visits: DataFrame, lengths: DataFrame, touched: DataFrame, least_km: float = 0.05) -> DataFrame:
+    """Visits of ``least_km`` or more in their order along the ride, each with its own coverage and completion."""
+    raw = 100 * F.col("ridden_km") / (F.col("length_m") / 1000)
+    completed, by_ends = completion(F.col("raw"), F.col("a") & F.col("b"))
+    v = visits.where(F.col("ridden_km") >= least_km).join(lengths, "name").withColumn("raw", raw).join(touched, ["activity_id", "name", "start"], "left")
+    w = Window.partitionBy("activity_id").orderBy("start")
+    return v.select(*visits.columns, F.least(F.lit(100.0), F.col("raw")).alias("coverage"), completed.alias("completed"), by_ends.alias("by_ends")).withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def by_direction(entries: DataFrame) -> DataFrame:
+    """Timeline entries by name and direction: visits, completions, km, best and last duration of completed ones."""
+    done = lambda v: F.when(F.col("completed"), v)
+    return entries.groupBy("activity_id", "name", "direction").agg(F.count("*").alias("visits"), F.count_if("completed").alias("completions"), F.sum("ridden_km").alias("ridden_km"), F.min(done(F.col("duration"))).alias("best"), F.max_by(done(F.col("duration")), done(F.col("start"))).alias("last"))
 
 
 def leaderboards(attempts: DataFrame, by: list[str]) -> DataFrame:
@@ -146,14 +227,11 @@ def track_coverage(vertices: DataFrame, points: DataFrame, metres: float = 40.0,
 
     Both meet on cells of that size and their neighbours.
     """
-    deg = metres / (3.141592653589793 * EARTH_M / 180)
-    side = deg / 0.5  # a cell holds the distance also in longitude, up to 60 degrees of latitude
-    v = vertices.where(F.col("i") % stride == 0)
-    spread = v.withColumn("ci", F.explode(F.array(*(F.floor(F.col("vlat") / side) + k for k in (-1, 0, 1))))).withColumn("cj", F.explode(F.array(*(F.floor(F.col("vlon") / side) + k for k in (-1, 0, 1)))))
-    p = points.where(F.col("seq") % stride == 0).select("activity_id", "lat", "lon", F.floor(F.col("lat") / side).alias("ci"), F.floor(F.col("lon") / side).alias("cj"))
-    from ..functions.geo import haversine_of_differences
+    from .network import close_pairs
 
-    hit = spread.join(p, ["ci", "cj"]).where(haversine_of_differences(F.col("vlat"), F.col("vlon"), F.col("lat"), F.col("lon")) <= metres)
+    v = vertices.where(F.col("i") % stride == 0)
+    p = points.where(F.col("seq") % stride == 0).select("activity_id", F.col("lat").alias("latb"), F.col("lon").alias("lonb"))
+    hit = close_pairs(v.withColumnsRenamed({"vlat": "lata", "vlon": "lona"}), p, metres)
     hits = hit.select("activity_id", "line_id", "i").distinct().groupBy("activity_id", "line_id").agg(F.count("*").alias("hit"))
     total = v.groupBy("line_id").agg(F.count("*").alias("n"))
     return hits.join(total, "line_id").select("activity_id", "line_id", (F.col("hit") / F.col("n")).alias("covered"))

@@ -139,15 +139,19 @@ def gain_by_hysteresis(points: DataFrame, threshold: float) -> DataFrame:
 
 
 def spikes(points: DataFrame) -> DataFrame:
-    """Legs that are far faster than their neighbours: above four times the upper median of the ten legs on either side, and above 40 km/h.
+    """Legs that are far faster than their neighbours, with their speed as ``raw_kmh``: above four times the upper median of the ten legs on either side, and above 40 km/h.
 
-    Legs that touch an assisted point are left out, and so are tracks of fewer than 21 points.
+    Speeds here are distance over time as they come, whatever the bound on
+    speeds elsewhere.  Legs that touch an assisted point are left out, of the
+    neighbours too, and so are tracks of fewer than 21 points.
     """
-    fast = F.when(F.col("speed") > 0, F.col("speed"))
+    clear = ~F.col("assisted") & ~F.coalesce(F.lag("assisted").over(track()), F.lit(False)) & (F.col("dt") > 0)
+    raw = F.when(clear, F.col("dist") / F.nullif(F.col("dt"), F.lit(0)) * 3.6)
+    fast = F.when(F.col("raw_kmh") > 0, F.col("raw_kmh"))
     around = F.concat(F.collect_list(fast).over(rows(-10, -1)), F.collect_list(fast).over(rows(1, 10)))
-    clear = ~F.col("assisted") & ~F.coalesce(F.lag("assisted").over(track()), F.lit(False)) & (F.count("*").over(whole()) >= 21)
     limit = F.greatest(4 * median_upper(around), F.lit(40.0))
-    return points.withColumn("spike", F.coalesce(clear & (F.col("speed") > limit), F.lit(False)))
+    spike = (F.count("*").over(whole()) >= 21) & (F.size(around) > 0) & (F.col("raw_kmh") > limit)
+    return points.withColumn("raw_kmh", raw).withColumn("spike", F.coalesce(spike, F.lit(False)))
 
 
 # ---------------------------------------------------------------- segments and statistics
@@ -245,10 +249,58 @@ def trimmed(points: DataFrame, start_km: float, end_km: float) -> DataFrame:
     return p.withColumns({"dist_km": F.when(F.col("all"), F.col("dist_km")).otherwise(F.col("dist_km") - base), "seq": F.when(F.col("all"), F.col("seq")).otherwise(F.col("seq") - F.col("lo"))}).drop("lo", "hi", "all")
 
 
-def repaired(points: DataFrame) -> DataFrame:
-    """Positions of spike points taken from the last clean point before, or else the first after."""
+def rederived(points: DataFrame, leg_km: Column, places: int = 2) -> DataFrame:
+    """``points`` with km so far from ``leg_km`` (to 4 decimals), and speeds from them, smoothed; a first point without speed has the second's."""
+    p = points.withColumn("_leg", leg_km).withColumn("dist_km", F.round(F.sum("_leg").over(so_far()), 4))
+    step = F.col("dist_km") - F.lag("dist_km").over(track())
+    p = p.withColumn("speed", F.when(F.col("dt") > 0, step / (F.nullif(F.col("dt"), F.lit(0)) / 3600)))
+    p = smooth_speed(p).withColumn("speed", F.round("speed_sm", places))
+    first = F.coalesce("speed", F.lead("speed").over(track()))
+    return p.withColumn("speed", F.when(F.col("seq") == F.min("seq").over(whole()), first).otherwise(F.col("speed"))).drop("_leg", "speed_sm")
+
+
+def repaired(points: DataFrame, places: int = 2) -> DataFrame:
+    """Tracks without their spikes: a spike's leg has the upper median length of the clean legs among the ten on either side, its point stands where the last clean one before (or else the first after) does; km and speeds are derived anew.
+
+    Tracks without a spike, and of fewer than three points, stay as they are.
+    """
+    leg = F.col("dist") / 1000
+    clean_leg = F.when(~F.col("spike") & (F.col("seq") > 0), leg)
+    around = F.concat(F.collect_list(clean_leg).over(rows(-10, -1)), F.collect_list(clean_leg).over(rows(1, 10)))
+    any_spike = F.bool_or("spike").over(whole()) & (F.count("*").over(whole()) >= 3)
+    p = points.withColumns({"_fix": any_spike, "_leg_km": F.when(F.col("spike"), F.coalesce(median_upper(around), F.lit(0.0))).otherwise(leg), "_km": F.col("dist_km"), "_speed": F.col("speed")})
     clean = lambda c: F.when(~F.col("spike"), F.col(c))
-    return points.withColumns({c: F.coalesce(F.last(clean(c), ignorenulls=True).over(so_far()), F.first(clean(c), ignorenulls=True).over(ahead()), F.col(c)) for c in ("lat", "lon")})
+    p = p.withColumns({c: F.coalesce(F.last(clean(c), ignorenulls=True).over(so_far()), F.first(clean(c), ignorenulls=True).over(ahead()), F.col(c)) for c in ("lat", "lon")})
+    p = rederived(p, F.col("_leg_km"), places)
+    return p.withColumns({"dist_km": F.when(F.col("_fix"), F.col("dist_km")).otherwise(F.col("_km")), "speed": F.when(F.col("_fix"), F.coalesce("speed", "_speed")).otherwise(F.col("_speed"))}).drop("_fix", "_leg_km", "_km", "_speed")
+
+
+def smoothed_track(points: DataFrame, window: int, places: int = 2) -> DataFrame:
+    """Tracks with smoothed positions, and km and speeds derived anew from them; ``points`` has km and seconds."""
+    p = smooth_positions(points, window).drop("lat", "lon").withColumnsRenamed({"lat_sm": "lat", "lon_sm": "lon"})
+    back = lambda c: F.lag(c).over(track())
+    leg = F.coalesce(haversine(back("lat"), back("lon"), F.col("lat"), F.col("lon")), F.lit(0.0)) / 1000
+    return rederived(p, leg, places)
+
+
+def edited(points: DataFrame, hours: int = 0, start_km: float | None = None, end_km: float | None = None, repair: bool = False, window: int = 0, shift: bool = True, trim: bool = True, repairs: bool = True, smoothing: bool = True) -> DataFrame:
+    """The edits of a track in their fixed order: shift, trim, repair, smooth; ``shift``, ``trim``, ``repairs`` and ``smoothing`` bypass one each where false."""
+    if shift and hours:
+        points = shifted(points, hours)
+    if trim and start_km is not None and end_km is not None:
+        points = trimmed(points, start_km, end_km)
+    if repairs and repair:
+        points = repaired(spikes(points))
+    if smoothing and window:
+        points = smoothed_track(points, window)
+    return points
+
+
+def clipped(segments_: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Segments within ``cuts(activity_id, lo, hi)``, counted from ``lo``; those of which no leg is left go."""
+    s = segments_.join(cuts, "activity_id")
+    start, end = F.greatest("start_seq", "lo") - F.col("lo"), F.least("end_seq", "hi") - F.col("lo")
+    return s.withColumns({"start_seq": start, "end_seq": end}).where("end_seq > start_seq").drop("lo", "hi")
 
 
 def overridden(computed: DataFrame, overrides: DataFrame) -> DataFrame:

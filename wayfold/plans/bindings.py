@@ -18,7 +18,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def track_points(spark: SparkSession, sf_dir: str, jumpy: bool = False) -> DataFrame:
+    """Points of all tracks; ``jumpy`` ones have single points thrown off by some 330 m."""
     e, i = read(spark, sf_dir, "events"), F.col("event_id")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     steps = e.select(
@@ -27,11 +28,11 @@ def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     run = lambda c: F.sum(c).over(T.so_far())
     ele = F.when(i % 17 != 3, 1000.0 + run("dz").cast("double") / 2)
-    return steps.select("activity_id", "seq", "event_id", "event_type", "ts", run("step_s").cast("long").alias("t_s"), (50.0 + run("dn").cast("double") / 10000).alias("lat"), (-116.0 + run("de").cast("double") / 10000).alias("lon"), ele.alias("ele"))
+    return steps.select("activity_id", "seq", "event_id", "event_type", "ts", run("step_s").cast("long").alias("t_s"), (50.0 + run("dn").cast("double") / 10000 + (F.when(i % 89 == 7, 0.003).otherwise(0.0) if jumpy else F.lit(0.0))).alias("lat"), (-116.0 + run("de").cast("double") / 10000).alias("lon"), ele.alias("ele"))
 
 
-def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.gap_flags(T.cumulative_km(T.legs(track_points(spark, sf_dir))))
+def legs(spark: SparkSession, sf_dir: str, jumpy: bool = False) -> DataFrame:
+    return T.gap_flags(T.cumulative_km(T.legs(track_points(spark, sf_dir, jumpy))))
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,9 @@ SELECT *, COALESCE(t_s - LAG(t_s) OVER w, 0) AS dt, COALESCE({hav("LAG(lat) OVER
 leg1 AS (SELECT *, CASE WHEN dt > 0 AND dist > 0 AND dist / dt * 3.6 <= 150 THEN dist / dt * 3.6 END AS speed, dt >= 200 AND ele_delta >= 100 AS assisted FROM leg0),
 legs AS (SELECT *, SUM(dist) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) / 1000 AS dist_km FROM leg1)"""
 
+_LAT = "CAST(SUM(dn) OVER w AS DOUBLE) / 10000 AS lat"
+JLEGS = LEGS.replace(_LAT, _LAT.replace(" AS lat", " + CASE WHEN event_id % 89 = 7 THEN CAST(0.003 AS DOUBLE) ELSE 0 END AS lat"))
+
 ACT = """act AS (
 SELECT o_orderkey AS activity_id, CAST(o_orderdate AS DATE) AS d, c_mktsegment AS type, CAST(c_nationkey AS BIGINT) AS place, o_orderstatus AS direction,
   o_totalprice / 10000 AS km, o_totalprice / 150000 AS hours, o_orderstatus = 'P' AS assisted, COALESCE(n, 0) AS n, gain, o_totalprice AS duration

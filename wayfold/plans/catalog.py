@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, stats
 from ..operators import asof, lifts, network, reports, similarity, spatial
 from ..operators import tracks as T
-from .bindings import ACT, AS_OF, LEGS, TRK, activities, hav, legs, read, track_points
+from .bindings import ACT, AS_OF, JLEGS, LEGS, TRK, activities, hav, legs, read, track_points
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,9 +130,9 @@ def sm_03(spark, d):
     return T.smooth_upper_median(track_points(spark, d), "lat").select("activity_id", "seq", "lat_sm")
 
 
-@query("sm_04", f"WITH {LEGS}, c AS (SELECT *, COUNT(*) OVER (PARTITION BY activity_id) AS n, AVG(lat) OVER w AS la, AVG(lon) OVER w AS lo FROM legs WINDOW w AS ({ROWS} 2 PRECEDING AND 2 FOLLOWING)) SELECT activity_id, seq, round(CASE WHEN n >= 5 AND dist_km >= 0.5 AND dist_km <= 2 THEN la ELSE lat END, 7) AS lat_sm, round(CASE WHEN n >= 5 AND dist_km >= 0.5 AND dist_km <= 2 THEN lo ELSE lon END, 7) AS lon_sm FROM c")
+@query("sm_04", f"WITH {LEGS}, c AS (SELECT *, COUNT(*) OVER (PARTITION BY activity_id) AS n, AVG(lat) OVER w AS la, AVG(lon) OVER w AS lo FROM legs WINDOW w AS ({ROWS} 2 PRECEDING AND 2 FOLLOWING)) SELECT activity_id, seq, round(CASE WHEN n >= 5 AND dist_km >= 0.1 AND dist_km <= 0.35 THEN la ELSE lat END, 7) AS lat_sm, round(CASE WHEN n >= 5 AND dist_km >= 0.1 AND dist_km <= 0.35 THEN lo ELSE lon END, 7) AS lon_sm FROM c")
 def sm_04(spark, d):
-    return T.smooth_positions(legs(spark, d), 5, 0.5, 2.0).select("activity_id", "seq", rnd("lat_sm", 7).alias("lat_sm"), rnd("lon_sm", 7).alias("lon_sm"))
+    return T.smooth_positions(legs(spark, d), 5, 0.1, 0.35).select("activity_id", "seq", rnd("lat_sm", 7).alias("lat_sm"), rnd("lon_sm", 7).alias("lon_sm"))
 
 
 @query("sm_05", f"WITH {TRK}, s AS (SELECT activity_id, seq, AVG(ele) OVER ({ROWS} 3 PRECEDING AND 3 FOLLOWING) AS e FROM trk WHERE ele IS NOT NULL), x AS (SELECT activity_id, e - LAG(e) OVER (PARTITION BY activity_id ORDER BY seq) AS d FROM s) SELECT activity_id, round(COALESCE(SUM(CASE WHEN d > 0 THEN d END), 0.0), 5) AS gain_m, round(COALESCE(SUM(CASE WHEN d < 0 THEN -d END), 0.0), 5) AS loss_m FROM x GROUP BY 1")
@@ -148,14 +148,14 @@ def sm_06(spark, d):
     return T.gain_by_hysteresis(track_points(spark, d), 3.0).select("activity_id", rnd("gain_m", 4).alias("gain_m"))
 
 
-_SPIKES = f"""around AS (SELECT *, COUNT(*) OVER (PARTITION BY activity_id) AS n, LAG(assisted) OVER (PARTITION BY activity_id ORDER BY seq) AS was,
- list_sort(list_filter(list_concat(list(speed) OVER ({ROWS} 10 PRECEDING AND 1 PRECEDING), list(speed) OVER ({ROWS} 1 FOLLOWING AND 10 FOLLOWING)), lambda x: x > 0)) AS l FROM legs),
-spiked AS (SELECT *, COALESCE(NOT assisted AND NOT COALESCE(was, false) AND n >= 21 AND speed > greatest(40.0, 4 * l[len(l) // 2 + 1]), false) AS spike FROM around)"""
+_SPIKES = f"""raws AS (SELECT *, COUNT(*) OVER (PARTITION BY activity_id) AS n, CASE WHEN NOT assisted AND NOT COALESCE(LAG(assisted) OVER (PARTITION BY activity_id ORDER BY seq), false) AND dt > 0 THEN dist / dt * 3.6 END AS raw_kmh FROM legs),
+around AS (SELECT *, list_sort(list_filter(list_concat(list(raw_kmh) OVER ({ROWS} 10 PRECEDING AND 1 PRECEDING), list(raw_kmh) OVER ({ROWS} 1 FOLLOWING AND 10 FOLLOWING)), lambda x: x > 0)) AS l FROM raws),
+spiked AS (SELECT *, COALESCE(n >= 21 AND len(l) > 0 AND raw_kmh > greatest(40.0, 4 * l[len(l) // 2 + 1]), false) AS spike FROM around)"""
 
 
-@query("sm_07", f"WITH {LEGS}, {_SPIKES} SELECT activity_id, seq, spike FROM spiked")
+@query("sm_07", f"WITH {JLEGS}, {_SPIKES} SELECT activity_id, seq, spike FROM spiked")
 def sm_07(spark, d):
-    return T.spikes(legs(spark, d)).select("activity_id", "seq", "spike")
+    return T.spikes(legs(spark, d, True)).select("activity_id", "seq", "spike")
 
 
 # ---------------------------------------------------------------- segments and statistics
@@ -206,9 +206,10 @@ def agg_05(spark, d):
     return s.select("activity_id", "duration_sec", *(rnd(c, 4).alias(c) for c in ("avg_speed_kmh", "max_speed_kmh", "max_speed_kmh_riding")), "peak_ele_m")
 
 
-@query("agg_06", f"WITH {ACT} SELECT activity_id, round(CASE WHEN km > 0 THEN greatest(1.0, sqrt(km) * (1 + greatest(COALESCE(gain, 0.0), n) / km / 50)) END, 5) AS score FROM act")
+@query("agg_06", f"WITH {ACT}, x AS (SELECT *, COALESCE(gain, 0.0) * 12 AS up, n * 900.0 AS down, km * 2 AS dist FROM act) SELECT activity_id, CASE WHEN dist > 0 THEN greatest(1, CAST(round_even(CASE WHEN type = 'MACHINERY' THEN pow(dist, 0.83) / 3.2 * (1 + greatest(0, down / dist - 90) / 90) ELSE pow(dist + up / 55, 0.83) / 3.2 * (1 + greatest(0, up / dist - 30) / 60) END, 0) AS INTEGER)) END AS score FROM x")
 def agg_06(spark, d):
-    return activities(spark, d).select("activity_id", rnd(reports.difficulty(F.col("km"), F.coalesce("gain", F.lit(0.0)), F.col("n").cast("double")), 5).alias("score"))
+    km, gain, loss = F.col("km") * 2, F.coalesce("gain", F.lit(0.0)) * 12, F.col("n") * 900.0
+    return activities(spark, d).select("activity_id", reports.difficulty(km, gain, loss, F.col("type") == "MACHINERY").alias("score"))
 
 
 @query("agg_07", f"WITH {TRK}, p AS (SELECT activity_id, seq, ele, ROW_NUMBER() OVER (PARTITION BY activity_id ORDER BY seq) - 1 AS k, COUNT(*) OVER (PARTITION BY activity_id) AS n FROM trk WHERE ele IS NOT NULL) SELECT activity_id, COUNT(*) AS n, SUM(ele) AS total, arg_max(ele, seq) AS last_ele FROM p WHERE k % greatest(1, n // 40) = 0 GROUP BY 1")
@@ -243,25 +244,57 @@ def edt_01(spark, d):
     return T.shifted(track_points(spark, d), 20).select("activity_id", "seq", "ts", "date")
 
 
-_TRIM = """b AS (SELECT activity_id, MIN(seq) FILTER (WHERE dist_km >= 0.5) AS lo, MAX(seq) FILTER (WHERE dist_km <= 2.0) AS hi FROM legs GROUP BY 1),
+_TRIM = """b AS (SELECT activity_id, MIN(seq) FILTER (WHERE dist_km >= 0.1) AS lo, MAX(seq) FILTER (WHERE dist_km <= 0.35) AS hi FROM legs GROUP BY 1),
 cutp AS (SELECT l.*, lo, hi, COALESCE(hi <= lo, true) AS whole FROM legs l JOIN b USING (activity_id) WHERE COALESCE(hi <= lo, true) OR seq BETWEEN lo AND hi)"""
 
 
 @query("edt_02", f"WITH {LEGS}, {_TRIM} SELECT activity_id, CASE WHEN whole THEN seq ELSE seq - lo END AS seq, round(CASE WHEN whole THEN dist_km ELSE dist_km - MIN(dist_km) OVER (PARTITION BY activity_id) END, 6) AS dist_km FROM cutp")
 def edt_02(spark, d):
-    return T.trimmed(legs(spark, d), 0.5, 2.0).select("activity_id", "seq", rnd("dist_km").alias("dist_km"))
+    return T.trimmed(legs(spark, d), 0.1, 0.35).select("activity_id", "seq", rnd("dist_km").alias("dist_km"))
 
 
-@query("edt_03", f"WITH {LEGS}, {_SPIKES} SELECT activity_id, seq, COALESCE(last_value(CASE WHEN NOT spike THEN lat END IGNORE NULLS) OVER ({ROWS} UNBOUNDED PRECEDING AND CURRENT ROW), first_value(CASE WHEN NOT spike THEN lat END IGNORE NULLS) OVER ({ROWS} CURRENT ROW AND UNBOUNDED FOLLOWING), lat) AS lat FROM spiked")
+_REDERIVED = f"""rd1 AS (SELECT *, round(SUM(leg2) OVER ({ROWS} UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS km2 FROM rd0),
+rd2 AS (SELECT *, CASE WHEN dt > 0 THEN (km2 - LAG(km2) OVER (PARTITION BY activity_id ORDER BY seq)) / (dt / 3600.0) END AS sp FROM rd1),
+rd3 AS (SELECT *, round(COALESCE(median(sp) OVER ({ROWS} 2 PRECEDING AND 2 FOLLOWING), sp), 4) AS sp2 FROM rd2),
+rd4 AS (SELECT *, CASE WHEN seq = 0 THEN COALESCE(sp2, LEAD(sp2) OVER (PARTITION BY activity_id ORDER BY seq)) ELSE sp2 END AS sp3 FROM rd3)"""
+_REPAIR = f"""rp AS (SELECT *, bool_or(spike) OVER (PARTITION BY activity_id) AND n >= 3 AS fix, CASE WHEN NOT spike AND seq > 0 THEN dist / 1000 END AS clean FROM spiked),
+rq AS (SELECT *, list_sort(list_filter(list_concat(list(clean) OVER ({ROWS} 10 PRECEDING AND 1 PRECEDING), list(clean) OVER ({ROWS} 1 FOLLOWING AND 10 FOLLOWING)), lambda x: x IS NOT NULL)) AS nb,
+ COALESCE(last_value(CASE WHEN NOT spike THEN lat END IGNORE NULLS) OVER b, first_value(CASE WHEN NOT spike THEN lat END IGNORE NULLS) OVER f, lat) AS lat2, COALESCE(last_value(CASE WHEN NOT spike THEN lon END IGNORE NULLS) OVER b, first_value(CASE WHEN NOT spike THEN lon END IGNORE NULLS) OVER f, lon) AS lon2
+ FROM rp WINDOW b AS ({ROWS} UNBOUNDED PRECEDING AND CURRENT ROW), f AS ({ROWS} CURRENT ROW AND UNBOUNDED FOLLOWING)),
+rd0 AS (SELECT *, CASE WHEN spike THEN COALESCE(nb[len(nb) // 2 + 1], 0) ELSE dist / 1000 END AS leg2 FROM rq), {_REDERIVED},
+fixed AS (SELECT activity_id, seq, spike, lat2, lon2, dist_km AS km0, speed AS speed0, CASE WHEN fix THEN km2 ELSE dist_km END AS km1, CASE WHEN fix THEN COALESCE(sp3, speed) ELSE speed END AS speed1 FROM rd4)"""
+
+
+@query("edt_03", f"WITH {JLEGS}, {_SPIKES}, {_REPAIR} SELECT activity_id, seq, round(lat2, 7) AS lat, round(lon2, 7) AS lon, round(km1, 6) AS dist_km, round(speed1, 4) AS speed FROM fixed")
 def edt_03(spark, d):
-    return T.repaired(T.spikes(legs(spark, d))).select("activity_id", "seq", "lat")
+    p = T.repaired(T.spikes(legs(spark, d, True)), 4)
+    return p.select("activity_id", "seq", rnd("lat", 7).alias("lat"), rnd("lon", 7).alias("lon"), rnd("dist_km").alias("dist_km"), rnd("speed", 4).alias("speed"))
+
 
+def _smoothed_sql(half):
+    return f"""sm0 AS (SELECT *, COUNT(*) OVER (PARTITION BY activity_id) AS n, AVG(lat) OVER w AS la, AVG(lon) OVER w AS lo FROM legs WINDOW w AS ({ROWS} {half} PRECEDING AND {half} FOLLOWING)),
+sm1 AS (SELECT * REPLACE (CASE WHEN n >= {2 * half + 1} THEN la ELSE lat END AS lat, CASE WHEN n >= {2 * half + 1} THEN lo ELSE lon END AS lon) FROM sm0),
+rd0 AS (SELECT *, COALESCE({hav("LAG(lat) OVER w", "LAG(lon) OVER w", "lat", "lon")}, 0.0) / 1000 AS leg2 FROM sm1 WINDOW w AS (PARTITION BY activity_id ORDER BY seq)), {_REDERIVED}"""
 
-@query("edt_04", f"WITH {TRK}, s AS (SELECT activity_id, seq, AVG(lat) OVER w AS la, AVG(lon) OVER w AS lo FROM trk WINDOW w AS ({ROWS} 3 PRECEDING AND 3 FOLLOWING)) SELECT activity_id, round(SUM(COALESCE({hav('pla', 'plo', 'la', 'lo')}, 0.0)) / 1000, 5) AS km FROM (SELECT *, LAG(la) OVER w AS pla, LAG(lo) OVER w AS plo FROM s WINDOW w AS (PARTITION BY activity_id ORDER BY seq)) GROUP BY 1")
+
+@query("edt_04", f"WITH {LEGS}, {_smoothed_sql(3)} SELECT activity_id, seq, round(lat, 7) AS lat, round(lon, 7) AS lon, km2 AS dist_km, sp3 AS speed FROM rd4")
 def edt_04(spark, d):
-    p = T.smooth_positions(T.cumulative_km(T.legs(track_points(spark, d))), 7)
-    p = p.drop("lat", "lon").withColumnsRenamed({"lat_sm": "lat", "lon_sm": "lon"})
-    return T.legs(p.drop("dt", "dist", "speed", "ele_delta", "dist_km")).groupBy("activity_id").agg(F.round(F.sum("dist") / 1000, 5).alias("km"))
+    p = T.smoothed_track(legs(spark, d), 7, 4)
+    return p.select("activity_id", "seq", rnd("lat", 7).alias("lat"), rnd("lon", 7).alias("lon"), "dist_km", "speed")
+
+
+@query("edt_06", f"WITH {LEGS}, {_smoothed_sql(2)} SELECT activity_id, MAX(km2) AS km, round(MIN(lat), 7) AS min_lat, round(MAX(lat), 7) AS max_lat FROM rd4 GROUP BY 1")
+def edt_06(spark, d):
+    """All four edits asked for, three of them bypassed: smoothing alone is left."""
+    p = T.edited(legs(spark, d), hours=5, start_km=0.5, end_km=1.0, repair=True, window=5, shift=False, trim=False, repairs=False)
+    return p.groupBy("activity_id").agg(F.max("dist_km").alias("km"), F.round(F.min("lat"), 7).alias("min_lat"), F.round(F.max("lat"), 7).alias("max_lat"))
+
+
+@query("edt_02_segments", f"WITH {LEGS}, {_SEG}, c AS (SELECT activity_id, MIN(seq) FILTER (WHERE dist_km >= 0.1) AS lo, MAX(seq) FILTER (WHERE dist_km <= 0.35) AS hi FROM legs GROUP BY 1) SELECT s.activity_id, seg_no, type, CAST(greatest(start_seq, lo) - lo AS BIGINT) AS start_seq, CAST(least(end_seq, hi) - lo AS BIGINT) AS end_seq FROM seg s JOIN c ON c.activity_id = s.activity_id WHERE lo < hi AND least(end_seq, hi) > greatest(start_seq, lo)")
+def edt_02_segments(spark, d):
+    p = legs(spark, d)
+    cuts = p.groupBy("activity_id").agg(F.min(F.when(F.col("dist_km") >= 0.1, F.col("seq"))).alias("lo"), F.max(F.when(F.col("dist_km") <= 0.35, F.col("seq"))).alias("hi")).where("lo < hi")
+    return T.clipped(T.segments(p), cuts)
 
 
 @query("edt_07", f"WITH {LEGS}, {_SEG} SELECT activity_id, seg_no, type FROM seg WHERE activity_id % 7 <> 0 UNION ALL SELECT DISTINCT activity_id, CAST(0 AS BIGINT), 'riding' FROM trk WHERE activity_id % 7 = 0")
@@ -490,14 +523,26 @@ def win_04(spark, d):
     return reports.acute_chronic(_days(spark, d)).select("d", rnd("acwr", 5).alias("acwr"))
 
 
-@query("dq_06", f"WITH {ACT}, {_DAYS}, {_ACWR} SELECT d, CASE WHEN acwr IS NULL THEN 'unknown' WHEN acwr < 0.8 THEN 'low' WHEN acwr <= 1.3 THEN 'optimal' WHEN acwr <= 1.5 THEN 'high' ELSE 'very high' END AS verdict FROM ac")
+_VERDICT_DAYS = "vd AS (SELECT d, t, acwr, CASE WHEN t % 5 > 0 THEN (t % 7 - 3) / 100.0 END AS rhr_change, CASE WHEN t % 3 > 0 THEN (t % 11 - 5) / 100.0 END AS easy_change, CASE WHEN t % 4 > 0 THEN (t % 13 - 6) / 50.0 END AS fit_change, CASE WHEN t % 6 > 0 THEN t % 80 END AS reserve, CASE WHEN t % 8 > 0 THEN 48 + t % 12 END AS rhr, 53 AS baseline, CASE WHEN t % 9 > 0 THEN (t % 10) END AS sleep_h, CASE WHEN t % 10 > 0 THEN t % 9 - 4 END AS form, CASE WHEN t % 7 > 0 THEN t % 40 / 100.0 END AS hard FROM ac)"
+
+
+@query("dq_06", f"""WITH {ACT}, {_DAYS}, {_ACWR}, {_VERDICT_DAYS}, votes AS (SELECT *, CASE WHEN rhr_change < -0.02 THEN 1 WHEN rhr_change > 0.02 THEN -1 ELSE 0 END + CASE WHEN easy_change < -0.02 THEN 1 WHEN easy_change > 0.02 THEN -1 ELSE 0 END + CASE WHEN fit_change > 0.05 THEN 1 WHEN fit_change < -0.05 THEN -1 ELSE 0 END AS score,
+ CASE WHEN reserve >= 60 THEN 1 ELSE 0 END + CASE WHEN rhr <= baseline - 1 THEN 1 ELSE 0 END + CASE WHEN sleep_h >= 7.5 THEN 1 ELSE 0 END + CASE WHEN form > 1 THEN 1 ELSE 0 END AS fresh, CASE WHEN reserve < 25 THEN 1 ELSE 0 END + CASE WHEN rhr >= baseline + 5 THEN 1 ELSE 0 END + CASE WHEN sleep_h < 6 THEN 1 ELSE 0 END + CASE WHEN form < -1 THEN 1 ELSE 0 END AS tired FROM vd)
+SELECT d, CASE WHEN rhr_change IS NULL AND easy_change IS NULL AND fit_change IS NULL THEN 'unknown' WHEN score >= 1 THEN 'rising' WHEN score <= -1 THEN 'falling' ELSE 'steady' END AS fitness, CASE WHEN reserve IS NULL AND rhr IS NULL AND sleep_h IS NULL AND form IS NULL THEN 'unknown' WHEN tired >= 2 AND tired > fresh THEN 'easy' WHEN fresh >= 2 AND fresh > tired THEN 'go_hard' ELSE 'steady' END AS readiness,
+ CASE WHEN acwr IS NULL THEN 'unknown' WHEN acwr > 1.5 THEN 'ramping_hard' WHEN acwr >= 0.8 THEN 'safe' ELSE 'detraining' END AS load_risk, CASE WHEN hard IS NULL THEN 'unknown' WHEN hard > 0.25 THEN 'too_hard' WHEN hard < 0.08 THEN 'too_easy' ELSE 'balanced' END AS mix FROM votes""")
 def dq_06(spark, d):
-    return reports.acute_chronic(_days(spark, d)).select("d", reports.load_verdict(F.col("acwr")).alias("verdict"))
+    t = F.col("t")
+    on = lambda k, v: F.when(t % k > 0, v)
+    return reports.acute_chronic(_days(spark, d)).select(
+        "d", reports.fitness_verdict(on(5, (t % 7 - 3) / 100), on(3, (t % 11 - 5) / 100), on(4, (t % 13 - 6) / 50)).alias("fitness"),
+        reports.readiness_verdict(on(6, t % 80), on(8, 48 + t % 12), F.lit(53), on(9, t % 10), on(10, t % 9 - 4)).alias("readiness"), reports.load_verdict(F.col("acwr")).alias("load_risk"), reports.mix_verdict(on(7, t % 40 / 100)).alias("mix"),
+    )
 
 
-@query("win_05", f"WITH {ACT}, {_DAYS}, r AS (SELECT v, ROW_NUMBER() OVER (ORDER BY t DESC) AS k FROM days), g AS (SELECT AVG(CASE WHEN k <= 28 THEN v END) AS last_n, AVG(CASE WHEN k > 28 AND k <= 56 THEN v END) AS before_n FROM r) SELECT round(last_n, 5) AS last_n, round(before_n, 5) AS before_n, round((last_n - before_n) / nullif(before_n, 0), 6) AS change FROM g")
+@query("win_05", f"WITH {ACT}, {_DAYS}, r AS (SELECT t, CASE WHEN t % 3 > 0 THEN v END AS v FROM days), s AS (SELECT list(v ORDER BY t) AS a FROM r WHERE v IS NOT NULL), g AS (SELECT list_avg(a[-28:]) AS last_n, list_avg(CASE WHEN len(a) > 28 THEN a[greatest(1, len(a) - 55) : len(a) - 28] ELSE a[1:1] END) AS before_n, len(a) AS n FROM s) SELECT round(last_n, 5) AS last_n, round(before_n, 5) AS before_n, round(CASE WHEN n >= 2 THEN (last_n - before_n) / nullif(abs(before_n), 0) END, 6) AS change FROM g")
 def win_05(spark, d):
-    return reports.trend(_days(spark, d), 28).select(rnd("last_n", 5).alias("last_n"), rnd("before_n", 5).alias("before_n"), rnd("change").alias("change"))
+    days = _days(spark, d).withColumn("v", F.when(F.col("t") % 3 > 0, F.col("v")))
+    return reports.trend(days, 28).select(rnd("last_n", 5).alias("last_n"), rnd("before_n", 5).alias("before_n"), rnd("change").alias("change"))
 
 
 @query("fit_12", f"WITH {ACT}, {_DAYS}, {_FF} SELECT CAST(date_trunc('week', d) AS DATE) AS week, round(arg_max(fitness, d), 4) AS fitness FROM ff GROUP BY 1")
@@ -680,7 +725,7 @@ snapped AS (SELECT l.*, b.name, b.d FROM legs l LEFT JOIN best b ON b.activity_i
 
 
 def _snapped(spark, d):
-    return spatial.snap(legs(spark, d), _ways(spark, d), 25.0, pad=0.0004)
+    return spatial.snap(legs(spark, d), _ways(spark, d), 25.0)
 
 
 @query("tm_01", f"WITH {LEGS}, {_WAYS}, {_SNAP} SELECT activity_id, seq, name, round(d, 4) AS d FROM snapped")
@@ -849,18 +894,76 @@ def set_03(spark, d):
 # ---------------------------------------------------------------- data quality
 
 
-@query("dq_01", f"WITH {LEGS}, {_SPIKES}, s AS (SELECT activity_id, MAX(dist_km) AS km, MAX(t_s) - MIN(t_s) AS dur, MAX(speed) AS top, SUM(greatest(ele_delta, 0)) AS gain, COUNT(*) FILTER (WHERE spike) AS spikes, MAX(speed) FILTER (WHERE spike) AS peak, COUNT(*) FILTER (WHERE dist > 1000 AND dt < 300) AS jumps FROM spiked GROUP BY 1) SELECT activity_id, concat_ws(',', CASE WHEN km < 0.2 THEN 'tiny_distance' END, CASE WHEN dur > 0 AND dur < 60 THEN 'short' END, CASE WHEN top > 150 THEN 'fast' END, CASE WHEN km > 0.5 AND gain / km > 200 THEN 'steep' END, CASE WHEN jumps > 0 THEN 'teleport' END, CASE WHEN spikes >= 3 OR (spikes >= 1 AND peak >= 80) THEN 'speed_spike' END) AS codes FROM s")
-def dq_01(spark, d):
+_ISSUES = f"""sk AS (SELECT activity_id, COALESCE({hav("LAG(la) OVER w", "LAG(lo) OVER w", "la", "lo")}, 0.0) / 1000 AS leg FROM (SELECT activity_id, seq, AVG(lat) OVER v AS la, AVG(lon) OVER v AS lo FROM legs WINDOW v AS ({ROWS} 2 PRECEDING AND 2 FOLLOWING)) WINDOW w AS (PARTITION BY activity_id ORDER BY seq)),
+sl AS (SELECT activity_id, SUM(leg) AS smooth_km FROM sk GROUP BY 1),
+s AS (SELECT activity_id, MAX(dist_km) AS km, MAX(t_s) - MIN(t_s) AS dur, MAX(speed) AS top, SUM(greatest(ele_delta, 0)) AS gain, COUNT(*) AS n, COUNT(*) FILTER (WHERE spike) AS spikes, MAX(raw_kmh) FILTER (WHERE spike) AS peak, COUNT(*) FILTER (WHERE dist > 1000 AND dt < 300) AS jumps FROM spiked GROUP BY 1),
+iss AS (SELECT activity_id, 'tiny_distance' AS code, 'low' AS severity, 1 AS rule FROM s WHERE km < 0.2 UNION ALL SELECT activity_id, 'tiny_duration', 'low', 2 FROM s WHERE dur > 0 AND dur < 60 UNION ALL SELECT activity_id, 'max_speed', 'high', 3 FROM s WHERE top > 150
+ UNION ALL SELECT activity_id, 'climb_rate', 'med', 4 FROM s WHERE km > 0.5 AND gain / km > 200 UNION ALL SELECT activity_id, 'teleport', 'high', 5 FROM s WHERE jumps > 0 UNION ALL SELECT activity_id, 'speed_spike', 'med', 6 FROM s WHERE spikes >= 3 OR (spikes >= 1 AND peak >= 80)
+ UNION ALL SELECT s.activity_id, 'jitter', 'med', 7 FROM s JOIN sl ON sl.activity_id = s.activity_id WHERE n >= 30 AND km > 1 AND km / smooth_km > 1.3)"""
+
+
+def _issues(spark, d):
     from ..operators.quality import issues
 
-    return issues(T.spikes(legs(spark, d))).select("activity_id", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"))
+    return issues(T.spikes(legs(spark, d, True)))
+
+
+@query("dq_01", f"WITH {JLEGS}, {_SPIKES}, {_ISSUES} SELECT s.activity_id, COALESCE(string_agg(code || ':' || severity, ',' ORDER BY rule), '') AS issues FROM s LEFT JOIN iss ON iss.activity_id = s.activity_id GROUP BY 1")
+def dq_01(spark, d):
+    return _issues(spark, d).select("activity_id", F.array_join(F.transform("issues", lambda i: F.concat(i["code"], F.lit(":"), i["severity"])), ",").alias("issues"))
+
+
+@query("dq_02", f"WITH {JLEGS}, {_SPIKES} SELECT activity_id, COUNT(*) >= 3 OR (COUNT(*) >= 1 AND MAX(raw_kmh) >= 80) AS flagged FROM spiked WHERE spike GROUP BY 1")
+def dq_02(spark, d):
+    from ..operators.quality import flagged
+
+    g = T.spikes(legs(spark, d, True)).where("spike").groupBy("activity_id").agg(F.count("*").alias("n"), F.max("raw_kmh").alias("peak"))
+    return g.select("activity_id", flagged(F.col("n"), F.col("peak")).alias("flagged"))
+
 
+_SPIKED_LIST = "fl AS (SELECT activity_id, COUNT(*) AS spikes, MAX(raw_kmh) AS peak FROM spiked WHERE spike AND activity_id % 5 > 0 GROUP BY 1 HAVING COUNT(*) >= 3 OR MAX(raw_kmh) >= 80)"
 
-@query("dq_03", f"WITH {LEGS}, {_SPIKES} SELECT activity_id, COUNT(*) AS spikes, round(MAX(speed), 4) AS peak FROM spiked WHERE spike GROUP BY 1 HAVING COUNT(*) >= 3 OR MAX(speed) >= 80")
+
+def _spike_list(spark, d):
+    from ..operators.quality import spike_list
+
+    p = T.spikes(legs(spark, d, True))
+    return spike_list(p, p.where("activity_id % 5 = 0").select("activity_id").distinct())
+
+
+@query("dq_03", f"WITH {JLEGS}, {_SPIKES}, {_SPIKED_LIST} SELECT activity_id, spikes, round(peak, 4) AS peak FROM fl")
 def dq_03(spark, d):
-    from ..operators.quality import spike_flagged
+    """Spiked activities; those of ids divisible by 5 stand for approved ones."""
+    return _spike_list(spark, d).withColumn("peak", rnd("peak", 4))
+
+
+@query("top_07", f"WITH {JLEGS}, {_SPIKES}, {_SPIKED_LIST} SELECT activity_id, ROW_NUMBER() OVER (ORDER BY peak DESC, spikes DESC, activity_id) AS place FROM fl")
+def top_07(spark, d):
+    w = Window.orderBy(F.desc("peak"), F.desc("spikes"), "activity_id")
+    return _spike_list(spark, d).select("activity_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+_LEFT = "lf AS (SELECT activity_id, DATE '2024-01-01' + CAST(activity_id % 9 AS INTEGER) AS d, COUNT(*) AS n, MAX(CASE severity WHEN 'high' THEN 3 WHEN 'med' THEN 2 ELSE 1 END) AS worst, string_agg(code, ',' ORDER BY rule) AS codes FROM iss WHERE code <> 'speed_spike' AND NOT (code = 'jitter' AND activity_id % 4 = 0) GROUP BY 1)"
+
+
+def _report(spark, d):
+    from ..operators.quality import report
 
-    return spike_flagged(T.spikes(legs(spark, d))).withColumn("peak", rnd("peak", 4))
+    found = _issues(spark, d)
+    approved = found.where("activity_id % 4 = 0").select("activity_id", F.lit("jitter").alias("code"))
+    return report(found, approved, found.select("activity_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("activity_id") % 9).cast("int")).alias("d")))
+
+
+@query("dq_05", f"WITH {JLEGS}, {_SPIKES}, {_ISSUES}, {_LEFT} SELECT activity_id, codes, n FROM lf")
+def dq_05(spark, d):
+    """Issues but for spikes and approved ones; jitter of ids divisible by 4 stands for approved."""
+    return _report(spark, d).select("activity_id", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"), F.col("n").cast("long").alias("n"))
+
+
+@query("top_06", f"WITH {JLEGS}, {_SPIKES}, {_ISSUES}, {_LEFT} SELECT activity_id, ROW_NUMBER() OVER (ORDER BY d DESC, worst DESC, n DESC, activity_id) AS place FROM lf")
+def top_06(spark, d):
+    w = Window.orderBy(F.desc("d"), F.desc("worst"), F.desc("n"), "activity_id")
+    return _report(spark, d).select("activity_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("dq_04", f"WITH {TRK} SELECT activity_id, hour(MIN(ts) - INTERVAL 7 HOUR) AS hour FROM trk GROUP BY 1 HAVING hour(MIN(ts) - INTERVAL 7 HOUR) IN (21, 22, 23, 0, 1, 2, 3, 4, 5, 6)")
@@ -1243,17 +1346,12 @@ def gl_13(spark, d):
     return _dups(spark, d).groupBy("d").agg(F.count("*").alias("pairs"), F.count_distinct("a").alias("firsts"))
 
 
-@query("edt_05", f"WITH {LEGS}, {_SPIKES} SELECT activity_id, COUNT(*) FILTER (WHERE spike) AS changed, COUNT(*) AS points FROM spiked GROUP BY 1")
+@query("edt_05", f"WITH {JLEGS}, {_SPIKES}, {_REPAIR} SELECT activity_id, seq, spike AS changed, round(km0, 6) AS raw_km, round(km1, 6) AS repaired_km, round(speed0, 4) AS raw_speed, round(speed1, 4) AS repaired_speed FROM fixed")
 def edt_05(spark, d):
-    raw = T.spikes(legs(spark, d))
-    return raw.groupBy("activity_id").agg(F.count_if("spike").alias("changed"), F.count("*").alias("points"))
-
-
-@query("dq_05", f"WITH {LEGS}, s AS (SELECT activity_id, MAX(dist_km) AS km, SUM(greatest(ele_delta, 0)) AS gain FROM legs GROUP BY 1) SELECT activity_id FROM s WHERE km > 0.5 AND gain / km > 200")
-def dq_05(spark, d):
-    from ..operators.quality import issues
-
-    return issues(T.spikes(legs(spark, d))).where(F.exists("issues", lambda i: i["code"] == "steep")).select("activity_id")
+    """Tracks before and after repair, point by point."""
+    raw = T.spikes(legs(spark, d, True))
+    after = T.repaired(raw, 4).select("activity_id", "seq", rnd("dist_km").alias("repaired_km"), rnd("speed", 4).alias("repaired_speed"))
+    return raw.select("activity_id", "seq", F.col("spike").alias("changed"), rnd("dist_km").alias("raw_km"), rnd("speed", 4).alias("raw_speed")).join(after, ["activity_id", "seq"])
 
 
 # ---------------------------------------------------------------- lifts
