@@ -21,7 +21,8 @@ def haversine_of_differences(lat1: Column, lon1: Column, lat2: Column, lon2: Col
 
 def _arc(dlat: Column, dlon: Column, lat1: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(dlat / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), F.lit(2.0))
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    # not least(), which leaves nulls out: a distance from nowhere is null
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def local_x(lon: Column, lat0: Column, lon0: Column) -> Column:

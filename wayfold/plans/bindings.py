@@ -42,9 +42,9 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hav(a: str, b: str, c: str, d: str, difference: bool = False) -> str:
-    """The haversine as SQL."""
+    """The haversine as SQL; null if a coordinate is, which least() alone would leave out."""
     dlat, dlon = (f"radians({c}-{a})", f"radians({d}-{b})") if difference else (f"(radians({c})-radians({a}))", f"(radians({d})-radians({b}))")
-    return f"(12742000.0*asin(sqrt(least(1.0, pow(sin({dlat}/2),2)+cos(radians({a}))*cos(radians({c}))*pow(sin({dlon}/2),2)))))"
+    return f"(12742000.0*(1+0*({a}+{b}+{c}+{d}))*asin(sqrt(least(1.0, pow(sin({dlat}/2),2)+cos(radians({a}))*cos(radians({c}))*pow(sin({dlon}/2),2)))))"
 
 
 TRK = """trk AS (

@@ -130,9 +130,9 @@ def sm_03(spark, d):
     return T.smooth_upper_median(track_points(spark, d), "lat").select("activity_id", "seq", "lat_sm")
 
 
-@query("sm_04", f"WITH {LEGS}, c AS (SELECT *, COUNT(*) OVER (PARTITION BY activity_id) AS n, AVG(lat) OVER w AS la, AVG(lon) OVER w AS lo FROM legs WINDOW w AS ({ROWS} 2 PRECEDING AND 2 FOLLOWING)) SELECT activity_id, seq, round(CASE WHEN n >= 5 AND dist_km >= 0.1 AND dist_km <= 0.35 THEN la ELSE lat END, 7) AS lat_sm, round(CASE WHEN n >= 5 AND dist_km >= 0.1 AND dist_km <= 0.35 THEN lo ELSE lon END, 7) AS lon_sm FROM c")
+@query("sm_04", f"WITH {LEGS}, c AS (SELECT *, COUNT(*) OVER (PARTITION BY activity_id) AS n, AVG(lat) OVER w AS la, AVG(lon) OVER w AS lo FROM legs WINDOW w AS ({ROWS} 2 PRECEDING AND 2 FOLLOWING)) SELECT activity_id, seq, round(CASE WHEN n >= 5 AND dist_km >= 0.5 AND dist_km <= 2 THEN la ELSE lat END, 7) AS lat_sm, round(CASE WHEN n >= 5 AND dist_km >= 0.5 AND dist_km <= 2 THEN lo ELSE lon END, 7) AS lon_sm FROM c")
 def sm_04(spark, d):
-    return T.smooth_positions(legs(spark, d), 5, 0.1, 0.35).select("activity_id", "seq", rnd("lat_sm", 7).alias("lat_sm"), rnd("lon_sm", 7).alias("lon_sm"))
+    return T.smooth_positions(legs(spark, d), 5, 0.5, 2.0).select("activity_id", "seq", rnd("lat_sm", 7).alias("lat_sm"), rnd("lon_sm", 7).alias("lon_sm"))
 
 
 @query("sm_05", f"WITH {TRK}, s AS (SELECT activity_id, seq, AVG(ele) OVER ({ROWS} 3 PRECEDING AND 3 FOLLOWING) AS e FROM trk WHERE ele IS NOT NULL), x AS (SELECT activity_id, e - LAG(e) OVER (PARTITION BY activity_id ORDER BY seq) AS d FROM s) SELECT activity_id, round(COALESCE(SUM(CASE WHEN d > 0 THEN d END), 0.0), 5) AS gain_m, round(COALESCE(SUM(CASE WHEN d < 0 THEN -d END), 0.0), 5) AS loss_m FROM x GROUP BY 1")
@@ -244,13 +244,13 @@ def edt_01(spark, d):
     return T.shifted(track_points(spark, d), 20).select("activity_id", "seq", "ts", "date")
 
 
-_TRIM = """b AS (SELECT activity_id, MIN(seq) FILTER (WHERE dist_km >= 0.1) AS lo, MAX(seq) FILTER (WHERE dist_km <= 0.35) AS hi FROM legs GROUP BY 1),
+_TRIM = """b AS (SELECT activity_id, MIN(seq) FILTER (WHERE dist_km >= 0.5) AS lo, MAX(seq) FILTER (WHERE dist_km <= 2.0) AS hi FROM legs GROUP BY 1),
 cutp AS (SELECT l.*, lo, hi, COALESCE(hi <= lo, true) AS whole FROM legs l JOIN b USING (activity_id) WHERE COALESCE(hi <= lo, true) OR seq BETWEEN lo AND hi)"""
 
 
 @query("edt_02", f"WITH {LEGS}, {_TRIM} SELECT activity_id, CASE WHEN whole THEN seq ELSE seq - lo END AS seq, round(CASE WHEN whole THEN dist_km ELSE dist_km - MIN(dist_km) OVER (PARTITION BY activity_id) END, 6) AS dist_km FROM cutp")
 def edt_02(spark, d):
-    return T.trimmed(legs(spark, d), 0.1, 0.35).select("activity_id", "seq", rnd("dist_km").alias("dist_km"))
+    return T.trimmed(legs(spark, d), 0.5, 2.0).select("activity_id", "seq", rnd("dist_km").alias("dist_km"))
 
 
 _REDERIVED = f"""rd1 AS (SELECT *, round(SUM(leg2) OVER ({ROWS} UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS km2 FROM rd0),
@@ -290,10 +290,10 @@ def edt_06(spark, d):
     return p.groupBy("activity_id").agg(F.max("dist_km").alias("km"), F.round(F.min("lat"), 7).alias("min_lat"), F.round(F.max("lat"), 7).alias("max_lat"))
 
 
-@query("edt_02_segments", f"WITH {LEGS}, {_SEG}, c AS (SELECT activity_id, MIN(seq) FILTER (WHERE dist_km >= 0.1) AS lo, MAX(seq) FILTER (WHERE dist_km <= 0.35) AS hi FROM legs GROUP BY 1) SELECT s.activity_id, seg_no, type, CAST(greatest(start_seq, lo) - lo AS BIGINT) AS start_seq, CAST(least(end_seq, hi) - lo AS BIGINT) AS end_seq FROM seg s JOIN c ON c.activity_id = s.activity_id WHERE lo < hi AND least(end_seq, hi) > greatest(start_seq, lo)")
+@query("edt_02_segments", f"WITH {LEGS}, {_SEG}, c AS (SELECT activity_id, MIN(seq) FILTER (WHERE dist_km >= 0.5) AS lo, MAX(seq) FILTER (WHERE dist_km <= 2.0) AS hi FROM legs GROUP BY 1) SELECT s.activity_id, seg_no, type, CAST(greatest(start_seq, lo) - lo AS BIGINT) AS start_seq, CAST(least(end_seq, hi) - lo AS BIGINT) AS end_seq FROM seg s JOIN c ON c.activity_id = s.activity_id WHERE lo < hi AND least(end_seq, hi) > greatest(start_seq, lo)")
 def edt_02_segments(spark, d):
     p = legs(spark, d)
-    cuts = p.groupBy("activity_id").agg(F.min(F.when(F.col("dist_km") >= 0.1, F.col("seq"))).alias("lo"), F.max(F.when(F.col("dist_km") <= 0.35, F.col("seq"))).alias("hi")).where("lo < hi")
+    cuts = p.groupBy("activity_id").agg(F.min(F.when(F.col("dist_km") >= 0.5, F.col("seq"))).alias("lo"), F.max(F.when(F.col("dist_km") <= 2.0, F.col("seq"))).alias("hi")).where("lo < hi")
     return T.clipped(T.segments(p), cuts)
 
 
