@@ -43,6 +43,13 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return F.sqrt(F.pow(px - (ax + t * dx), F.lit(2.0)) + F.pow(py - (ay + t * dy), F.lit(2.0)))
 
 
+def segment_fraction(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """How far along a segment, from 0 to 1, it is nearest to a point; 0 on one without length."""
+    dx, dy = bx - ax, by - ay
+    size = dx * dx + dy * dy
+    return F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / F.nullif(size, F.lit(0.0))))).otherwise(F.lit(0.0))
+
+
 def sinuosity(path_m: Column, straight_m: Column) -> Column:
     """Path over straight length; 1 where the ends are within a metre."""
     return F.when(straight_m <= 1, F.lit(1.0)).otherwise(path_m / F.nullif(straight_m, F.lit(0.0)))

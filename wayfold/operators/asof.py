@@ -11,16 +11,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, on: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """``left`` with the latest ``value`` of ``right`` at or before its ``on``; null if there is none."""
-    by = by or []
+def _number(df: DataFrame, on: str) -> Column:
+    """A time as a number whose differences count: days of dates, seconds of time stamps."""
+    kind = dict(df.dtypes)[on]
+    return F.unix_date(on) if kind == "date" else F.unix_micros(F.col(on).cast("timestamp")) / 1_000_000 if kind.startswith("timestamp") else F.col(on)
+
+
+def asof_backward(left: DataFrame, right: DataFrame, on: str, value: str, by: list[str] | None = None, bucket: float = 32) -> DataFrame:
+    """``left`` with the latest ``value`` of ``right`` at or before its ``on``; null if there is none.
+
+    With keys, both sides meet in a window of each key.  Without, the right
+    side's few change points become spans up to the next one, and rows of the
+    left meet them on buckets of ``bucket`` days, seconds or units, so that no
+    task sees them all.
+    """
     cols = left.columns
-    mine = left.select(*cols, F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"))
-    theirs = right.select(*by, on, F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    both = mine.unionByName(theirs, allowMissingColumns=True)
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    w = w.orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*cols, value)
+    if by:
+        mine = left.select(*cols, F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"))
+        theirs = right.select(*by, on, F.col(value).alias("_v"), F.lit(0).alias("_side"))
+        both = mine.unionByName(theirs, allowMissingColumns=True)
+        w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*cols, value)
+    # one row for each change point; their order is a window over them alone
+    points = right.where(F.col(value).isNotNull()).groupBy(_number(right, on).alias("_lo")).agg(F.max(value).alias(value))
+    spans = points.withColumn("_next", F.lead("_lo").over(Window.orderBy("_lo")))
+    mine = left.withColumn("_at", _number(left, on)).withColumn("_k", F.floor(F.col("_at") / bucket))
+    last = mine.agg(F.max("_at").alias("_last"))  # one row
+    spans = spans.crossJoin(F.broadcast(last)).where("_lo <= _last").withColumn("_end", F.least(F.coalesce("_next", "_last"), "_last"))
+    spans = spans.select(F.explode(F.sequence(F.floor(F.col("_lo") / bucket), F.floor(F.col("_end") / bucket))).alias("_k2"), "_lo", "_next", F.col(value).alias("_v"))
+    inside = (F.col("_k") == F.col("_k2")) & (F.col("_at") >= F.col("_lo")) & (F.col("_next").isNull() | (F.col("_at") < F.col("_next")))
+    return mine.join(spans, inside, "left").select(*cols, F.col("_v").alias(value))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, on: str, value: str, by: str) -> DataFrame:
@@ -71,18 +91,18 @@ def percentile_by_place(values: DataFrame, value: str, q: float) -> DataFrame:
     return run.where(F.col("upto") > place).agg(F.min(value).alias(value))
 
 
-def weather_overlap(spans: DataFrame, hours: DataFrame) -> DataFrame:
-    """Of each span of seconds the hours that overlap it: least and greatest temperature, rain, wind, and the commonest code, the earliest of equals.
+def weather_overlap(spans: DataFrame, hours: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of each span of seconds the hours (of the same place, with ``by``) that overlap it: least and greatest temperature, rain, snow, greatest wind, and the commonest code, the earliest of equals.
 
     A span that doesn't end after its start lasts an hour.
     """
+    by = by or []
     s = spans.withColumn("end_s", F.when(F.col("end_s") <= F.col("start_s"), F.col("start_s") + 3600).otherwise(F.col("end_s")))
     s = s.withColumn("_k", F.explode(F.sequence(F.floor(F.col("start_s") / 3600), F.floor((F.col("end_s") - 1) / 3600))))
-    j = s.join(hours.withColumn("_k", F.floor(F.col("t") / 3600)), "_k").where((F.col("t") + 3600 > F.col("start_s")) & (F.col("t") < F.col("end_s")))
-    base = j.groupBy("activity_id").agg(F.min("temp").alias("temp_min"), F.max("temp").alias("temp_max"), F.sum("rain").alias("rain"), F.max("wind").alias("wind"))
-    codes = j.groupBy("activity_id", "code").agg(F.count("*").alias("n"), F.min("t").alias("seen"))
-    top = codes.withColumn("r", F.row_number().over(Window.partitionBy("activity_id").orderBy(F.desc("n"), "seen"))).where("r = 1")
-    return base.join(top.select("activity_id", "code"), "activity_id")
+    j = s.join(hours.withColumn("_k", F.floor(F.col("t") / 3600)), [*by, "_k"]).where((F.col("t") + 3600 > F.col("start_s")) & (F.col("t") < F.col("end_s")))
+    # by code first, whose counts are few; then over the codes
+    g = j.groupBy("activity_id", "code").agg(F.count("*").alias("n"), F.min("t").alias("seen"), F.min("temp").alias("lo"), F.max("temp").alias("hi"), F.sum("rain").alias("rain"), F.sum("snow").alias("snow"), F.max("wind").alias("wind"))
+    return g.groupBy("activity_id").agg(F.min("lo").alias("temp_min"), F.max("hi").alias("temp_max"), F.sum("rain").alias("rain"), F.sum("snow").alias("snow"), F.max("wind").alias("wind"), F.max_by("code", F.struct("n", -F.col("seen"))).alias("code"))
 
 
 def near_in_time(a: DataFrame, b: DataFrame, seconds: int) -> DataFrame:
@@ -92,6 +112,11 @@ def near_in_time(a: DataFrame, b: DataFrame, seconds: int) -> DataFrame:
     return left.join(right, "_k").where(F.abs(F.col("t_a") - F.col("t_b")) <= seconds).select("id_a", "id_b")
 
 
+def preferred(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows(id)`` of the less preferred source that have no twin in ``pairs(id_a, id_b)``."""
+    return rows.join(pairs.select(F.col("id_b").alias("id")).distinct(), "id", "left_anti")
+
+
 def latest_value(rows: DataFrame, value: str, order: str) -> DataFrame:
     """One row: the newest value that isn't null."""
     return rows.agg(F.expr(f"max_by({value}, {order}) FILTER (WHERE {value} IS NOT NULL)").alias(value))

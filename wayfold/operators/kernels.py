@@ -12,6 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ASSIST = "activity_id long, seq long"
 
@@ -224,53 +225,73 @@ def rides_between(stops: DataFrame, least_s: float = 60, most_s: float = 1800, g
     return stops.groupBy("activity_id").applyInPandas(kernel, "activity_id long, lift long, start long, end long")
 
 
-def _split_linear(progress: np.ndarray, turn: float = 0.2) -> list[int]:
-    """Places where a ride along a line turns back by ``turn`` of its length."""
-    cuts, low, high, way = [0], 0, 0, 0
+Part = tuple[int, int, bool]  #: first place, place after the last, and whether it runs forward
+
+
+def _split_linear(progress: np.ndarray, turn: float = 0.2) -> list[Part]:
+    """Parts of a ride along a line, split at the extremes where it turns back by ``turn`` of the length; the extreme belongs to both parts."""
+    parts, start, low, high, way = [], 0, 0, 0, 0
     for k, p in enumerate(progress):
-        low, high = (k if p <= progress[low] else low), (k if p >= progress[high] else high)
-        if way >= 0 and progress[high] - p >= turn and high > cuts[-1]:
-            cuts.append(high)
-            low = high = k
-            way = -1
-        elif way <= 0 and p - progress[low] >= turn and low > cuts[-1]:
-            cuts.append(low)
-            low = high = k
-            way = 1
-        elif way == 0 and abs(p - progress[0]) >= turn:
-            way = 1 if p > progress[0] else -1
-    return [*cuts, len(progress)]
-
-
-def _split_loop(angle: np.ndarray) -> list[int]:
-    """Places where a ride around a loop has closed it; a rest of less than an eighth goes with the turn before."""
-    cuts, start = [0], 0
+        low, high = (k if p < progress[low] else low), (k if p > progress[high] else high)
+        if way >= 0 and progress[high] - p >= turn:
+            if way or high > start:
+                parts.append((start, high + 1, True))
+                start = high
+            way, low, high = -1, k, k
+        elif way <= 0 and p - progress[low] >= turn:
+            if way or low > start:
+                parts.append((start, low + 1, False))
+                start = low
+            way, low, high = 1, k, k
+    return [*parts, (start, len(progress), way > 0 or (way == 0 and progress[-1] >= progress[0]))]
+
+
+def _split_loop(angle: np.ndarray) -> list[Part]:
+    """Laps of a ride around a loop; what is left after the last one counts from an eighth of a turn on, or if it is all."""
+    parts, start = [], 0
     for k in range(len(angle)):
-        if abs(angle[k] - angle[start]) >= 2 * np.pi:
-            cuts.append(k)
+        moved = angle[k] - angle[start]
+        if abs(moved) >= 2 * np.pi:
+            parts.append((start, k + 1, bool(moved > 0)))
             start = k
-    if len(cuts) > 1 and abs(angle[-1] - angle[start]) <= np.pi / 4:
-        cuts.pop()
-    return [*cuts, len(angle)]
+    rest = angle[-1] - angle[start]
+    return [*parts, (start, len(angle), bool(rest >= 0))] if abs(rest) > np.pi / 4 or not parts else parts
+
+
+def _fold_short(parts: list[Part], least: int) -> list[Part]:
+    """Parts of fewer than ``least`` points with the longer of their neighbours, the one before of equals, whose way they take."""
+    size = lambda p: p[1] - p[0]
+    while len(parts) > 1 and (k := next((i for i, p in enumerate(parts) if size(p) < least), None)) is not None:
+        before = k > 0 and (k == len(parts) - 1 or size(parts[k - 1]) >= size(parts[k + 1]))
+        i = k - 1 if before else k
+        one, two = parts[i], parts[i + 1]
+        parts[i : i + 2] = [(one[0], two[1], one[2] if before else two[2])]
+    return parts
+
 
+def _median(x: np.ndarray, window: int) -> np.ndarray:
+    """Centred upper median, over what there is at the ends."""
+    if len(x) < 3:
+        return x
+    half, n = window // 2, len(x)
+    padded = np.sort(np.stack([np.concatenate([np.full(max(0, -d), np.inf), x[max(0, d) : n + min(0, d)], np.full(max(0, d), np.inf)]) for d in range(-half, half + 1)]), 0)
+    count = np.minimum(np.arange(n), half) + np.minimum(np.arange(n)[::-1], half) + 1
+    return padded[count // 2, np.arange(n)]
 
-def traversals(points: DataFrame, loop: bool = False, least: int = 8) -> DataFrame:
-    """Traversals of ``points(activity_id, name, seq, progress)``: each run split where it turns back (or, around a loop, comes round), chunks of fewer than ``least`` points with the one before."""
+
+def traversals(points: DataFrame, loop: bool = False, least: int = 8, turn: float = 0.2, window: int = 9) -> DataFrame:
+    """Traversals of ``points(activity_id, name, seq, progress)``: each run, smoothed, split where it turns back (or, around a loop, comes round), parts of fewer than ``least`` points with a neighbour."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        x = pdf["progress"].to_numpy(float)
-        cuts = _split_loop(x) if loop else _split_linear(x)
-        kept = [cuts[0]]
-        for c in cuts[1:-1]:
-            if c - kept[-1] >= least and cuts[-1] - c >= least:
-                kept.append(c)
-        kept.append(cuts[-1])
+        x = _median(pdf["progress"].to_numpy(float), window)
+        whole = [(0, len(x), len(x) == 0 or bool(x[-1] >= x[0]))]
+        parts = _fold_short((_split_loop(x) if loop else _split_linear(x, turn)) if len(x) >= 4 else whole, least)
         seq = pdf["seq"].to_numpy()
-        rows = [(pdf["activity_id"].iloc[0], pdf["name"].iloc[0], k, int(seq[a]), int(seq[b - 1]), float(x[b - 1] - x[a])) for k, (a, b) in enumerate(zip(kept[:-1], kept[1:], strict=True))]
-        return pd.DataFrame(rows, columns=["activity_id", "name", "part", "start", "end", "moved"])
+        rows = [(pdf["activity_id"].iloc[0], pdf["name"].iloc[0], k, int(seq[a]), int(seq[b - 1]), ahead, float(x[b - 1] - x[a])) for k, (a, b, ahead) in enumerate(parts)]
+        return pd.DataFrame(rows, columns=["activity_id", "name", "part", "start", "end", "along", "moved"])
 
-    return points.groupBy("activity_id", "name").applyInPandas(kernel, "activity_id long, name string, part int, start long, end long, moved double")
+    return points.groupBy("activity_id", "name").applyInPandas(kernel, "activity_id long, name string, part int, start long, end long, along boolean, moved double")
 
 
 def coalesce_runs(runs: DataFrame, gap: float = 120.0, detour: float = 60.0) -> DataFrame:
@@ -282,7 +303,7 @@ def coalesce_runs(runs: DataFrame, gap: float = 120.0, detour: float = 60.0) ->
             row = [r.activity_id, r.name, r.start_t, r.end_t, r.ridden_km]
             if out and out[-1][1] == row[1] and row[2] - out[-1][3] <= gap:
                 out[-1][3], out[-1][4] = row[3], out[-1][4] + row[4]
-            elif len(out) > 1 and out[-2][1] == row[1] and out[-1][3] - out[-1][2] <= detour and row[2] - out[-2][3] <= gap + detour:
+            elif len(out) > 1 and out[-2][1] == row[1] and out[-1][3] - out[-1][2] <= detour:
                 out.pop()
                 out[-1][3], out[-1][4] = row[3], out[-1][4] + row[4]
             else:
@@ -292,39 +313,75 @@ def coalesce_runs(runs: DataFrame, gap: float = 120.0, detour: float = 60.0) ->
     return runs.groupBy("activity_id").applyInPandas(kernel, "activity_id long, name string, start_t long, end_t long, ridden_km double")
 
 
-def _attempts(names: list[str], noise: list[bool], pattern: list[str]) -> list[tuple[int, int]]:
-    """First and last entry of each time that the pattern occurs in order; noise and wiggles on a neighbouring name are skipped, anything else starts over."""
-    found, at, first = [], 0, -1
-    for k, name in enumerate(names):
-        if name == pattern[at]:
-            first = k if at == 0 else first
-            at += 1
-            if at == len(pattern):
-                found.append((first, k))
-                at = 0
-        elif at and (noise[k] or name == pattern[at - 1]):
-            continue
-        elif at:
-            at = 0
-            if name == pattern[0]:
-                first, at = k, 1
+def _close(before: dict, after: dict, most_idx: int = 250, most_s: float = 900.0) -> bool:
+    """Whether an entry goes on where the one before stopped: a bounded gap in points and time."""
+    return 0 <= after["start_idx"] - before["end_idx"] <= most_idx and after["start_t"] - before["end_t"] <= most_s
+
+
+def _satisfied(entries: list[dict], at: int, seg: dict) -> int | None:
+    """Place after the entries from ``at`` on that together touch both ends of a route's segment, or cover it; the fewest that do."""
+    one = two = False
+    seen: set[int] = set()
+    for k in range(at, len(entries)):
+        e = entries[k]
+        if (e["name"], e["kind"]) != (seg["name"], seg["kind"]) or (k > at and not _close(entries[k - 1], e)):
+            return None
+        for part in ("gap", "own") if k > at else ("own",):
+            a, b, covered = e["marks"].get((seg["pos"], part), (False, False, ()))
+            one, two = one or a, two or b
+            seen.update(covered)
+        if (one and two) or (seg["vertices"] and len(seen) >= 0.75 * seg["vertices"]):
+            return k + 1
+    return None
+
+
+def _attempts(entries: list[dict], route: list[dict]) -> list[tuple[int, int]]:
+    """First and last entry of each time that all segments of the route are satisfied in order.
+
+    Small noise is passed over, and so are entries on the trail of the segment
+    before or after that follow the last match closely; anything else starts over.
+    """
+    found, at, first, last, k = [], 0, None, None, 0
+    while k < len(entries):
+        stop = _satisfied(entries, k, route[at])
+        if stop is not None:
+            first, last, at, k = k if first is None else first, stop - 1, at + 1, stop
+            if at == len(route):
+                found.append((first, last))
+                at, first = 0, None
+        elif first is None or entries[k]["noise"]:
+            k += 1
+        elif (entries[k]["name"], entries[k]["kind"]) in {(route[i]["name"], route[i]["kind"]) for i in (at - 1, at)} and _close(entries[last], entries[k]):
+            k += 1
+        else:
+            at, first = 0, None
     return found
 
 
-def route_attempts(timeline: DataFrame, pattern: list[str]) -> DataFrame:
-    """Times that ``timeline(activity_id, start_idx, end_idx, start_t, end_t, name, noise)`` follows the route's names in order.
+def scan_routes(timeline: DataFrame, marks: DataFrame, route: list[dict]) -> DataFrame:
+    """Attempts at ``route`` (segments with ``pos, name, kind, vertices``) in ``timeline(activity_id, entry, start_idx, end_idx, start_t, end_t, name, kind, noise)``.
 
-    Only activities that have the first name are scanned.
+    ``marks(activity_id, entry, pos, part, a, b, covered)`` tells which ends
+    and which vertices of a segment the points of an entry (part ``own``) or
+    those just before it (``gap``) come near to.  Only activities that have
+    the first segment's name and kind are scanned.
     """
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_idx").reset_index(drop=True)
-        hits = _attempts(pdf["name"].tolist(), pdf["noise"].tolist(), pattern)
-        rows = [(int(pdf["activity_id"][0]), int(pdf["start_idx"][a]), int(pdf["end_idx"][b]), int(pdf["end_t"][b] - pdf["start_t"][a])) for a, b in hits]
-        return pd.DataFrame(rows, columns=["activity_id", "first_idx", "last_idx", "duration"])
+    def kernel(key: tuple, entries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = entries.sort_values("start_idx").to_dict("records")
+        near: dict[int, dict] = {}
+        for m in found.itertuples(index=False):
+            near.setdefault(m.entry, {})[m.pos, m.part] = (m.a, m.b, m.covered)
+        for r in rows:
+            r["marks"] = near.get(r["entry"], {})
+        hits = [(key[0], rows[a]["start_idx"], rows[b]["end_idx"], rows[b]["end_t"] - rows[a]["start_t"]) for a, b in _attempts(rows, route)]
+        return pd.DataFrame(hits, columns=["activity_id", "first_idx", "last_idx", "duration"])
 
-    able = timeline.where(timeline["name"] == pattern[0]).select("activity_id").distinct()
-    return timeline.join(able, "activity_id", "left_semi").groupBy("activity_id").applyInPandas(kernel, "activity_id long, first_idx long, last_idx long, duration long")
+    able = timeline.where((F.col("name") == route[0]["name"]) & (F.col("kind") == route[0]["kind"])).select("activity_id").distinct()
+    t = timeline.join(able, "activity_id", "left_semi")
+    given = ["activity_id", "entry", "start_idx", "end_idx", "start_t", "end_t", "name", "kind", "noise"]
+    t, marks = (df.toDF(*df.columns) for df in (t.select(*given), marks))  # both come from the same points
+    return t.groupBy("activity_id").cogroup(marks.groupBy("activity_id")).applyInPandas(kernel, "activity_id long, first_idx long, last_idx long, duration long")
 
 
 def complete_linkage(pairs: DataFrame, groups: DataFrame, least: float = 0.5) -> DataFrame:
@@ -358,55 +415,51 @@ def complete_linkage(pairs: DataFrame, groups: DataFrame, least: float = 0.5) ->
     return alike.groupBy("c").applyInPandas(kernel, "v long, cluster long")
 
 
-def chains(ways: DataFrame, metres: float = 5.0) -> DataFrame:
-    """Ways of the same name linked end to end: for each the chain and its place in it, greedily from the first way on.
+def chains(ways: DataFrame, groups: DataFrame, metres: float = 5.0) -> DataFrame:
+    """Ways of the same name linked end to end: for each the chain (its first way), its place in it and whether it runs backwards there; greedily from the first way on.
 
-    ``ways(name, way_pos, ax, ay, bx, by)``, ends in metres.
+    ``ways(name, way_pos, ax, ay, bx, by)``, ends in metres; ``groups(way_pos, c)``
+    has the ways that hang together, outside which no chain can reach, so
+    that a name with many ways is no single task.  Ends are found on cells.
     """
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = [tuple(r) for r in pdf.sort_values("way_pos")[["way_pos", "ax", "ay", "bx", "by"]].to_numpy()]
-        rows, chain = [], 0
+        ids = pdf.sort_values("way_pos")[["way_pos", "ax", "ay", "bx", "by"]].to_numpy()
+        ends = {int(r[0]): ((r[1], r[2]), (r[3], r[4])) for r in ids}
+        cells: dict[tuple[int, int], dict[int, None]] = {}
+        cell = lambda p: (int(p[0] // (2 * metres)), int(p[1] // (2 * metres)))
+        for v, pair in ends.items():
+            for p in pair:
+                cells.setdefault(cell(p), {})[v] = None
         near = lambda p, q: np.hypot(p[0] - q[0], p[1] - q[1]) <= metres
-        while left:
-            w = left.pop(0)
-            row, head, tail = [w[0]], w[1:3], w[3:5]
-            moved = True
-            while moved:
-                moved = False
-                for k, x in enumerate(left):
-                    a, b = x[1:3], x[3:5]
-                    if near(tail, a) or near(tail, b):
-                        row.append(x[0])
-                        tail = b if near(tail, a) else a
-                    elif near(head, a) or near(head, b):
-                        row.insert(0, x[0])
-                        head = b if near(head, a) else a
-                    else:
-                        continue
-                    left.pop(k)
-                    moved = True
-                    break
-            rows += [(pdf["name"].iloc[0], int(v), chain, i) for i, v in enumerate(row)]
-            chain += 1
-        return pd.DataFrame(rows, columns=["name", "way_pos", "chain", "place"])
 
-    return ways.groupBy("name").applyInPandas(kernel, "name string, way_pos long, chain int, place int")
+        def found(p: tuple[float, float]) -> int | None:
+            """First way left with an end near to ``p``."""
+            x, y = cell(p)
+            able = [v for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for v in cells.get((i, j), ()) if v in ends and any(near(p, q) for q in ends[v])]
+            return min(able, default=None)
 
-
-def leaders(points: DataFrame, metres: float, by: str) -> DataFrame:
-    """Greedy clusters of ``points(by, id, x, y)``: each joins the first leader within ``metres``, or leads itself."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x, lead = pdf[["x", "y"]].to_numpy(float), []
-        out = []
-        for k, p in enumerate(x):
-            near = next((i for i in lead if np.hypot(*(x[i] - p)) <= metres), k)
-            if near == k:
-                lead.append(k)
-            out.append(int(pdf["id"].iloc[near]))
-        return pd.DataFrame({by: pdf[by], "id": pdf["id"], "leader": out})
-
-    kind = dict(points.dtypes)
-    return points.groupBy(by).applyInPandas(kernel, f"{by} {kind[by]}, id {kind['id']}, leader long")
+        rows = []
+        for first in [int(r[0]) for r in ids]:
+            if first not in ends:
+                continue
+            head, tail = ends.pop(first)
+            chain = [(first, False)]
+            while True:
+                after, before = found(tail), found(head)
+                if after is None and before is None:
+                    break
+                if before is None or (after is not None and after <= before):
+                    a, b = ends.pop(after)
+                    back = not near(tail, a)
+                    chain.append((after, back))
+                    tail = a if back else b
+                else:
+                    a, b = ends.pop(before)
+                    back = near(head, a)
+                    chain.insert(0, (before, back))
+                    head = b if back else a
+            rows += [(pdf["name"].iloc[0], v, first, i, back) for i, (v, back) in enumerate(chain)]
+        return pd.DataFrame(rows, columns=["name", "way_pos", "chain", "place", "back"])
+
+    return ways.join(groups, "way_pos").groupBy("name", "c").applyInPandas(kernel, "name string, way_pos long, chain long, place int, back boolean")

@@ -6,26 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_of_differences
+from ..functions.lineage import cut
 
 _M = 3.141592653589793 * 6371000.0 / 180
 
 
-def termini(ways: DataFrame) -> DataFrame:
-    """The two farthest ends of the ways of each name; the first of equals in the order of the ways."""
+def _ends(ways: DataFrame) -> DataFrame:
+    """Both ends of each way, numbered in the order of the ways."""
     a = ways.select("name", (F.col("way_pos") * 2).alias("p"), F.col("alat").alias("lat"), F.col("alon").alias("lon"))
-    ends = a.unionByName(ways.select("name", (F.col("way_pos") * 2 + 1).alias("p"), F.col("blat").alias("lat"), F.col("blon").alias("lon")))
-    one, two = (ends.withColumnsRenamed({c: f"{c}{k}" for c in ("p", "lat", "lon")}) for k in (0, 1))
+    return a.unionByName(ways.select("name", (F.col("way_pos") * 2 + 1).alias("p"), F.col("blat").alias("lat"), F.col("blon").alias("lon")))
+
+
+def termini(ways: DataFrame) -> DataFrame:
+    """The two farthest ends of the ways of each name; the first of equals in the order of the ways.
+
+    Before ends are paired, those go that can't be of a farthest pair: whose
+    distance from the farthest corner of the name's box is below that of two
+    of the name's extreme ends.
+    """
+    ends = _ends(ways)
+    by = {"n": F.col("lat"), "s": -F.col("lat"), "e": F.col("lon"), "w": -F.col("lon"), "ne": F.col("lat") + F.col("lon"), "sw": -F.col("lat") - F.col("lon"), "nw": F.col("lat") - F.col("lon"), "se": F.col("lon") - F.col("lat")}
+    g = ends.groupBy("name").agg(F.min("lat").alias("la"), F.max("lat").alias("lb"), F.min("lon").alias("oa"), F.max("lon").alias("ob"), *(F.max_by(F.struct("lat", "lon"), v).alias(k) for k, v in by.items()))
+    apart = lambda x, y: haversine_of_differences(F.col(f"{x}.lat"), F.col(f"{x}.lon"), F.col(f"{y}.lat"), F.col(f"{y}.lon"))
+    sure = F.greatest(*(apart(x, y) for x, y in (("n", "s"), ("e", "w"), ("ne", "sw"), ("nw", "se"))))
+    corner = F.greatest(*(haversine_of_differences(F.col("lat"), F.col("lon"), F.col(a), F.col(o)) for a in ("la", "lb") for o in ("oa", "ob")))
+    # a box of less than a degree is flat enough for corners to be farthest; the share left over covers the rest
+    able = ends.join(g.select("name", "la", "lb", "oa", "ob", sure.alias("sure")), "name").where(corner * 1.001 >= F.col("sure")).select("name", "p", "lat", "lon")
+    one, two = (able.withColumnsRenamed({c: f"{c}{k}" for c in ("p", "lat", "lon")}) for k in (0, 1))
     pairs = one.join(two, "name").where("p0 < p1").withColumn("d", haversine_of_differences(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")))
-    w = Window.partitionBy("name").orderBy(F.desc("d"), "p0", "p1")
-    return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("name", "p0", "p1", "d")
+    return pairs.groupBy("name").agg(F.min(F.struct((-F.col("d")).alias("far"), "p0", "p1")).alias("best")).select("name", "best.p0", "best.p1", (-F.col("best.far")).alias("d"))
 
 
-def degrees(ways: DataFrame, places: int = 5) -> DataFrame:
-    """Ends of each name by how many of its ways meet there, at ends rounded to ``places`` decimals; a name is a loop without ends of degree one, a line with two, else messy."""
-    end = lambda k: F.concat_ws(",", F.round(f"{k}lat", places), F.round(f"{k}lon", places))
-    ends = ways.select("name", F.explode(F.array(end("a"), end("b"))).alias("end")).groupBy("name", "end").agg(F.count("*").alias("n"))
-    g = ends.groupBy("name").agg(F.count_if(F.col("n") == 1).alias("free"), F.max("n").alias("most"))
-    kind = F.when((F.col("free") == 0) & (F.col("most") == 2), "loop").when((F.col("free") == 2) & (F.col("most") <= 2), "linear").otherwise("messy")
+def degrees(ways: DataFrame, metres: float = 5.0) -> DataFrame:
+    """Names by how many ends of their ways meet, within ``metres``: a name is a loop if no end is free and none meets more than one other, a line if two are free, else messy."""
+    ends = _ends(ways)
+    side = lambda k: ends.select(F.col("name").alias(f"name{k}"), F.col("p").alias(f"id{k}"), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}"))
+    near = close_pairs(side("a"), side("b"), metres, (F.col("namea") == F.col("nameb")) & (F.col("ida") != F.col("idb")))
+    met = near.groupBy(F.col("ida").alias("p")).agg(F.count("*").alias("n"))
+    g = ends.join(met, "p", "left").groupBy("name").agg(F.count_if(F.col("n").isNull()).alias("free"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    kind = F.when((F.col("free") == 0) & (F.col("most") == 1), "loop").when((F.col("free") == 2) & (F.col("most") <= 1), "linear").otherwise("messy")
     return g.select("name", "free", "most", kind.alias("topology"))
 
 
@@ -42,12 +61,101 @@ def close_pairs(a: DataFrame, b: DataFrame, metres: float, condition: Column | N
     return near.where(condition) if condition is not None else near
 
 
-def junctions(ways: DataFrame, metres: float = 8.0) -> DataFrame:
-    """Ends of ways within ``metres`` of an end of another name, with how many other names there are."""
-    ends = ways.select("name", (F.col("way_pos") * 2).alias("id"), F.col("alat").alias("lat"), F.col("alon").alias("lon")).unionByName(ways.select("name", (F.col("way_pos") * 2 + 1).alias("id"), F.col("blat").alias("lat"), F.col("blon").alias("lon")))
-    one, two = (ends.withColumnsRenamed({c: f"{c}{k}" for c in ends.columns}) for k in "ab")
-    near = close_pairs(one, two, metres, F.col("namea") != F.col("nameb"))
-    return near.groupBy(F.col("ida").alias("id"), F.col("namea").alias("name")).agg(F.count_distinct("nameb").alias("others"))
+def leaders(points: DataFrame, metres: float) -> DataFrame:
+    """Greedy clusters of ``points(id, lat, lon)`` in the order of ids: each joins the first leader within ``metres``, or leads itself; ``(id, leader)``.
+
+    Whoever has no earlier point near leads; who is near to a leader follows
+    the first such; each round settles those whose earlier neighbours are
+    settled.  Points meet on cells, so that no group holds them all.
+    """
+    side = lambda k: points.select(F.col("id").alias(f"id{k}"), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}"))
+    earlier = cut(close_pairs(side("a"), side("b"), metres, F.col("idb") < F.col("ida")).select("ida", "idb"))
+    state = cut(points.select("id", F.lit(None).cast("long").alias("leader")))
+    while True:
+        known = state.select(F.col("id").alias("idb"), F.col("leader").alias("l"))
+        seen = earlier.join(known, "idb").groupBy("ida").agg(F.min(F.when(F.col("l") == F.col("idb"), F.col("idb"))).alias("first"), F.min(F.when(F.col("l").isNull(), F.col("idb"))).alias("open"))
+        s = state.join(seen, state["id"] == seen["ida"], "left")
+        # the first leader near is sure once no open point comes before it
+        follows = F.when(F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("open") > F.col("first"))), F.col("first"))
+        leads = F.when(F.col("first").isNull() & F.col("open").isNull(), F.col("id"))
+        state = cut(s.select("id", F.coalesce("leader", follows, leads).alias("leader")))
+        if state.where("leader IS NULL").isEmpty():
+            return state
+
+
+def end_clusters(ways: DataFrame, metres: float = 5.0) -> DataFrame:
+    """Clusters of ends of ways that two names or more share: the leading end's place and the names."""
+    ends = _ends(ways).withColumnRenamed("p", "id")
+    led = ends.join(leaders(ends.select("id", "lat", "lon"), metres), "id")
+    g = led.groupBy(F.col("leader").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("names"), F.min_by("lat", "id").alias("lat"), F.min_by("lon", "id").alias("lon"))
+    return g.where(F.size("names") >= 2)
+
+
+def interior_junctions(vertices: DataFrame, segments: DataFrame, metres: float = 8.0) -> DataFrame:
+    """Vertices of ``vertices(id, name, lat, lon)`` within ``metres`` of a segment of another name, with the first such name."""
+    from .spatial import segment_pairs
+
+    near = segment_pairs(vertices, segments.select(F.col("name").alias("other"), "alat", "alon", "blat", "blon"), metres).where((F.col("d") <= metres) & (F.col("name") != F.col("other")))
+    first = near.groupBy("id", "name").agg(F.min("other").alias("other"))
+    return vertices.join(first.select("id", "other"), "id").select("id", "lat", "lon", F.array_sort(F.array("name", "other")).alias("names"))
+
+
+def junctions(raw: DataFrame, metres: float = 25.0) -> DataFrame:
+    """``raw(id, lat, lon, names)`` in clusters of ``metres``: mean place, all names, and an id from the place, so that a rebuild gives the same."""
+    led = raw.join(leaders(raw.select("id", "lat", "lon"), metres), "id")
+    g = led.groupBy("leader").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+    place = F.concat_ws(",", F.round("lat", 5).cast("string"), F.round("lon", 5).cast("string"))
+    return g.select(F.concat(F.lit("j_"), F.substring(F.md5(place), 1, 8)).alias("junction_id"), "lat", "lon", "names")
+
+
+def pinned(junctions_: DataFrame, vertices: DataFrame, metres: float = 15.0) -> DataFrame:
+    """Nodes along each component of ``vertices(name, chain, i, lat, lon)``: its two ends, and the junctions of its name whose nearest vertex is within ``metres`` and no end; one for each vertex.
+
+    Returns ``(name, chain, i, node)``; an end's node is named after its component.
+    """
+    size = vertices.groupBy("name", "chain").agg(F.max("i").alias("last"))
+    j = junctions_.select("junction_id", F.col("lat").alias("lata"), F.col("lon").alias("lona"), F.explode("names").alias("namea"))
+    v = vertices.select("name", "chain", "i", F.col("lat").alias("latb"), F.col("lon").alias("lonb"))
+    near = close_pairs(j, v, metres, F.col("namea") == F.col("name"))
+    best = near.groupBy("junction_id", "name", "chain").agg(F.min(F.struct("d", "i")).alias("b")).select("junction_id", "name", "chain", F.col("b.i").alias("i"))
+    inner = best.join(size, ["name", "chain"]).where("i > 0 AND i < last").groupBy("name", "chain", "i").agg(F.min("junction_id").alias("node"))
+    end = lambda at, tag: size.select("name", "chain", at.alias("i"), F.concat_ws("|", F.lit(tag), "name", "chain").alias("node"))
+    return inner.unionByName(end(F.lit(0).cast("long"), "start")).unionByName(end(F.col("last").cast("long"), "end"))
+
+
+def edges(nodes: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Edges between consecutive nodes of each component, with their length, mid vertex and an id from what they join."""
+    w = Window.partitionBy("name", "chain").orderBy("i")
+    e = nodes.withColumns({"end_node": F.lead("node").over(w), "end_i": F.lead("i").over(w)}).where("end_i > i")
+    back = lambda c: F.lag(c).over(w)
+    v = vertices.withColumn("leg", F.coalesce(haversine_of_differences(back("lat"), back("lon"), F.col("lat"), F.col("lon")), F.lit(0.0)))
+    v = v.withColumn("along", F.sum("leg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda tag: v.select("name", "chain", F.col("i").alias(f"{tag}_i"), F.col("along").alias(f"{tag}_m"))
+    e = e.withColumnRenamed("i", "start_i").join(at("start"), ["name", "chain", "start_i"]).join(at("end"), ["name", "chain", "end_i"])
+    edge = F.concat(F.lit("e_"), F.substring(F.md5(F.concat_ws("|", "name", "chain", "node", "end_node")), 1, 8))
+    mid = F.col("start_i") + F.floor((F.col("end_i") - F.col("start_i") + 1) / 2)
+    return e.select(edge.alias("edge_id"), "name", "chain", F.col("node").alias("start_node"), "end_node", "start_i", "end_i", mid.alias("mid_i"), (F.col("end_m") - F.col("start_m")).alias("length_m"))
+
+
+def artifact(edges_: DataFrame) -> DataFrame:
+    """Trails of a region with their edges, number of components, length, and a digest by which a rebuild is compared."""
+    g = edges_.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("edge_id", "chain", "start_node", "end_node", "length_m"))).alias("edges"), F.count_distinct("chain").alias("components"), F.sum("length_m").alias("length_m"))
+    return g.withColumn("digest", F.md5(F.array_join(F.transform("edges", lambda e: e["edge_id"]), ",")))
+
+
+def edge_lines(edges_: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Edges with their polylines, as arrays of places."""
+    e = edges_.withColumn("i", F.explode(F.sequence("start_i", "end_i"))).join(vertices.select("name", "chain", "i", "lat", "lon"), ["name", "chain", "i"])
+    g = e.groupBy("name", "chain", "edge_id", "length_m").agg(F.array_sort(F.collect_list(F.struct("i", "lat", "lon"))).alias("s"))
+    return g.select("name", "chain", "edge_id", "length_m", F.transform("s", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("line"))
+
+
+def node_places(junctions_: DataFrame, edges_: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Place of each node: junctions first, then ends of components, of which the later entry of a name holds."""
+    j = junctions_.select(F.col("junction_id").alias("node"), "lat", "lon", F.lit(0).alias("pass"))
+    at = lambda node, i, tag: edges_.where(F.col(node).startswith(tag)).select(F.col(node).alias("node"), "name", "chain", F.col(i).alias("i")).join(vertices.select("name", "chain", "i", "lat", "lon"), ["name", "chain", "i"]).select("node", "lat", "lon", F.lit(1).alias("pass"))
+    both = j.unionByName(at("start_node", "start_i", "start|")).unionByName(at("end_node", "end_i", "end|"))
+    return both.groupBy("node").agg(F.max_by(F.struct("lat", "lon"), "pass").alias("p")).select("node", "p.lat", "p.lon")
 
 
 def split_edges(nodes: DataFrame) -> DataFrame:
@@ -64,6 +172,21 @@ def macro_segments(route: DataFrame) -> DataFrame:
     return r.groupBy("route_id", "macro", "name").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("length_m").alias("length_m"))
 
 
+def macro_lines(route: DataFrame) -> DataFrame:
+    """``macro_segments`` with the nodes where each starts and ends, and its line: that of its segments, one after the other."""
+    w = Window.partitionBy("route_id").orderBy("pos")
+    r = route.withColumn("new", F.when(F.col("name").eqNullSafe(F.lag("name").over(w)), 0).otherwise(1)).withColumn("macro", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    g = r.groupBy("route_id", "macro", "name").agg(F.min_by("start_node", "pos").alias("start_node"), F.max_by("end_node", "pos").alias("end_node"), parts.alias("s"))
+    return g.select("route_id", "macro", "name", "start_node", "end_node", F.flatten(F.transform("s", lambda x: x["line"])).alias("line"))
+
+
+def stale_routes(segments: DataFrame, edges_: DataFrame) -> DataFrame:
+    """Whether a route has a segment whose edge is gone."""
+    known = edges_.select("edge_id").distinct().withColumn("_on", F.lit(True))
+    return segments.join(known, "edge_id", "left").groupBy("route_id").agg(F.bool_or(F.col("_on").isNull()).alias("stale"))
+
+
 def resolved(segments: DataFrame, edges: DataFrame) -> DataFrame:
     """Saved segments against today's edges: by id (fresh), by the junctions in either order (exact), by name (approximate), or failed; a route has its worst status."""
     ids = edges.select("edge_id", F.lit(True).alias("by_id")).distinct()

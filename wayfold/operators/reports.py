@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import median_upper
+
 # ---------------------------------------------------------------- summaries
 
 
@@ -29,14 +31,15 @@ def window_rollup(acts: DataFrame, as_of: str, days: int, by: str = "type") -> D
     )
 
 
-def history(acts: DataFrame, as_of: str, years: int) -> DataFrame:
-    """Type x year x month: count and distance; zero in empty months, null before the first activity's month and after ``as_of``'s."""
+def history(acts: DataFrame, as_of: str, years: int, measures: tuple[str, ...] = ("km",)) -> DataFrame:
+    """Type x month: count and sums of ``measures``; zero in empty months, null before the first activity's month and after ``as_of``'s."""
     months = F.explode(F.sequence(F.add_months(F.trunc(F.to_date(F.lit(as_of)), "year"), -12 * (years - 1)), F.add_months(F.trunc(F.to_date(F.lit(as_of)), "year"), 11), F.expr("interval 1 month")))
     types = acts.groupBy("type").agg(F.trunc(F.min("d"), "month").alias("first"))
     spine = types.withColumn("month", months)  # types are few
-    sums = acts.groupBy("type", F.trunc("d", "month").alias("month")).agg(F.count("*").alias("n"), F.sum("km").alias("km"))
+    sums = acts.groupBy("type", F.trunc("d", "month").alias("month")).agg(F.count("*").alias("n"), *(F.sum(m).alias(m) for m in measures))
     known = (F.col("month") >= F.col("first")) & (F.col("month") <= F.to_date(F.lit(as_of)))
-    return spine.join(sums, ["type", "month"], "left").select("type", "month", F.when(known, F.coalesce("n", F.lit(0))).alias("n"), F.when(known, F.coalesce("km", F.lit(0.0))).alias("km"))
+    kept = lambda c: F.when(known, F.coalesce(c, F.lit(0).cast(sums.schema[c].dataType))).alias(c)
+    return spine.join(sums, ["type", "month"], "left").select("type", "month", kept("n"), *map(kept, measures))
 
 
 def stepwise_sums(acts: DataFrame) -> DataFrame:
@@ -83,6 +86,21 @@ def records(acts: DataFrame, metrics: dict[str, str], by: str = "type") -> DataF
     return long.withColumn("r", F.row_number().over(w)).where("r = 1").select(by, "metric", "activity_id", "d", "value")
 
 
+def record_book(acts: DataFrame, snow: list[str]) -> DataFrame:
+    """Records of each type: snow sports by vertical, others by climbing and descent; length and duration of unassisted activities alone."""
+    free = lambda c: f"CASE WHEN NOT assisted THEN {c} END"
+    common = {"Longest": free("km"), "Top speed": "speed", "Duration": free("hours")}
+    is_snow = F.col("type").isin(snow)
+    return records(acts.where(is_snow), {"Vertical": "loss"} | common).unionByName(records(acts.where(~is_snow), {"Climbing": "gain", "Descent": "loss"} | common))
+
+
+def recency(acts: DataFrame, as_of: str, days: int = 14) -> DataFrame:
+    """One row: active days among the last ``days``, and days since the last activity."""
+    today = F.to_date(F.lit(as_of))
+    upto = F.when(F.col("d") <= today, F.col("d"))
+    return acts.agg(F.count_distinct(F.when(upto > F.date_sub(today, days), upto)).alias(f"active_{days}"), F.datediff(today, F.max(upto)).cast("long").alias("days_since"))
+
+
 def recent(acts: DataFrame, per_type: int = 5, most: int = 25) -> DataFrame:
     """Newest activities: some of each type, then the newest of all, duration as H:MM."""
     w = Window.partitionBy("type").orderBy(F.desc("d"), "activity_id")
@@ -103,6 +121,21 @@ def weekly(acts: DataFrame, as_of: str, weeks: int) -> DataFrame:
     return spine.join(sums, "week", "left").select("week", zero("rides", 0), zero("hours", 0.0), zero("gain", 0.0), zero("km", 0.0))
 
 
+def weekly_zones(rides: DataFrame, as_of: str, weeks: int) -> DataFrame:
+    """Dense Monday weeks with seconds in each of the five zones, and energy."""
+    end = F.trunc(F.to_date(F.lit(as_of)), "week")
+    spine = rides.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(end, 7 * (weeks - 1)), end, F.expr("interval 7 days"))).alias("week"))
+    sums = rides.groupBy(F.trunc("d", "week").alias("week")).agg(*(F.sum(F.col("zones")[k]).alias(f"_z{k}") for k in range(5)), F.sum("kcal").alias("kcal"))
+    return spine.join(sums, "week", "left").select("week", F.array(*(F.coalesce(f"_z{k}", F.lit(0.0)) for k in range(5))).alias("zones"), F.coalesce("kcal", F.lit(0.0)).alias("kcal"))
+
+
+def resting_baseline(days: DataFrame, as_of: str, by: str, length: int = 30) -> DataFrame:
+    """Upper median of the resting rates known of the last ``length`` days."""
+    today = F.to_date(F.lit(as_of))
+    last = days.where((F.col("d") > F.date_sub(today, length)) & (F.col("d") <= today))
+    return last.groupBy(by).agg(F.collect_list("rhr").alias("_l")).select(by, median_upper(F.col("_l")).alias("baseline"))
+
+
 def zone_load(zones: Column) -> Column:
     """Load of seconds in five zones: minutes times 0, 1, 2, 3 and 5."""
     weights = F.array(*(F.lit(float(w)) for w in (0, 1, 2, 3, 5)))
@@ -258,8 +291,8 @@ def difficulty(km: Column, gain: Column, loss: Column, descent: Column) -> Colum
 # ---------------------------------------------------------------- filters
 
 
-def log_query(acts: DataFrame, types: list[str] | None = None, since: str | None = None, until: str | None = None, assisted: bool | None = None) -> DataFrame:
-    """Activities by type, dates and assistance; a filter that isn't given doesn't hold any back."""
+def log_query(acts: DataFrame, types: list[str] | None = None, since: str | None = None, until: str | None = None, assisted: bool | None = None, region: object = None, issues_only: bool = False, flagged_only: bool = False) -> DataFrame:
+    """Activities by type, dates, assistance, region (``"unassigned"``: of none), issues and flags; a filter that isn't given doesn't hold any back."""
     if types is not None:
         acts = acts.where(F.col("type").isin(types))
     if since is not None:
@@ -268,9 +301,42 @@ def log_query(acts: DataFrame, types: list[str] | None = None, since: str | None
         acts = acts.where(F.col("d") <= F.to_date(F.lit(until)))
     if assisted is not None:
         acts = acts.where(F.col("assisted") == assisted)
+    if region is not None:
+        acts = acts.where(F.size("regions") == 0 if region == "unassigned" else F.array_contains("regions", F.lit(region)))
+    if issues_only:
+        acts = acts.where("has_issues")
+    if flagged_only:
+        acts = acts.where("flagged")
     return acts
 
 
+def _by_region(acts: DataFrame, regions: DataFrame) -> DataFrame:
+    """Activities' regions in their order, with what is known of them."""
+    return acts.select("activity_id", "d", F.posexplode("regions").alias("pos", "region_id")).join(regions, "region_id")
+
+
+def types_by_region(acts: DataFrame, regions: DataFrame) -> DataFrame:
+    """``effective``: the explicit type, else that of the first region that has one, in its winter months its winter type first; else empty."""
+    winter = F.when(F.array_contains("winter_months", F.month("d")), F.nullif("winter_default_type", F.lit("")))
+    t = _by_region(acts, regions).withColumn("t", F.coalesce(winter, F.nullif("default_type", F.lit("")))).where("t IS NOT NULL")
+    first = t.groupBy("activity_id").agg(F.min_by("t", "pos").alias("t"))
+    return acts.join(first, "activity_id", "left").withColumn("effective", F.coalesce(F.nullif("explicit", F.lit("")), "t", F.lit(""))).drop("t")
+
+
+def assisted_by_region(acts: DataFrame, regions: DataFrame) -> DataFrame:
+    """``effective``: the explicit flag, else whether any region is assisted."""
+    r = regions.withColumnRenamed("assisted", "_lifts")
+    known = _by_region(acts, r).groupBy("activity_id").agg(F.bool_or("_lifts").alias("_any"))
+    return acts.join(known, "activity_id", "left").withColumn("effective", F.coalesce("explicit", "_any", F.lit(False))).drop("_any")
+
+
+def with_pins(acts: DataFrame, known: DataFrame) -> DataFrame:
+    """``regions``: the matched ones, then the pinned ones that exist, each once, in their order; ``known`` is one row with all regions' ids."""
+    both = acts.crossJoin(F.broadcast(known))  # one row
+    matched = F.coalesce("matched", F.array().cast("array<bigint>"))
+    return both.withColumn("regions", F.array_distinct(F.concat(matched, F.filter("pinned", lambda p: F.array_contains("known", p))))).drop("known")
+
+
 def clamp_days(days: int) -> int:
     return max(1, min(3650, days))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M, ray_crosses, segment_distance
+from ..functions.geo import EARTH_M, ray_crosses, segment_distance, segment_fraction
 from .tracks import so_far, track
 
 
@@ -97,7 +97,7 @@ def registered(segments: DataFrame, metres: float) -> DataFrame:
 
 
 def segment_pairs(points: DataFrame, segments: DataFrame, metres: float) -> DataFrame:
-    """Pairs of ``points(..., lat, lon)`` and ``segments(..., alat, alon, blat, blon)`` with their distance ``d`` on the plane at the point: all within ``metres``, and few beyond.
+    """Pairs of ``points(..., lat, lon)`` and ``segments(..., alat, alon, blat, blon)`` with their distance ``d`` on the plane at the point and the fraction ``t`` of the segment where it is: all within ``metres``, and few beyond.
 
     They meet on cells of twice the distance.  What a pair must pass there is
     plain arithmetic: the segment's box, and a cross product for the distance
@@ -116,7 +116,8 @@ def segment_pairs(points: DataFrame, segments: DataFrame, metres: float) -> Data
     xy = lambda a: ((F.col(f"{a}lon") - F.col("lon")) * k, (F.col(f"{a}lat") - F.col("lat")) * m)
     (ax, ay), (bx, by) = xy("a"), xy("b")
     near = p.join(s, ["ci", "cj"]).where(line & tall & wide)
-    return near.withColumn("d", segment_distance(F.lit(0.0), F.lit(0.0), ax, ay, bx, by)).drop("ci", "cj", "alat", "alon", "blat", "blon", "_k", "_dx", "_dy")
+    zero = F.lit(0.0)
+    return near.withColumns({"d": segment_distance(zero, zero, ax, ay, bx, by), "t": segment_fraction(zero, zero, ax, ay, bx, by)}).drop("ci", "cj", "alat", "alon", "blat", "blon", "_k", "_dx", "_dy")
 
 
 def snap(points: DataFrame, ways: DataFrame, metres: float = 8.0) -> DataFrame:
@@ -132,9 +133,39 @@ def snap(points: DataFrame, ways: DataFrame, metres: float = 8.0) -> DataFrame:
     p = points.where(~F.col("assisted")).select("activity_id", "seq", "lat", "lon").repartition(parts, "activity_id", "seq")
     near = segment_pairs(p, ways.select("way_pos", "name", "i", "alat", "alon", "blat", "blon"), metres)
     best = near.groupBy("activity_id", "seq").agg(F.min(F.struct("d", "way_pos", "i", "name")).alias("best")).where(F.col("best.d") < metres)
-    return points.join(best.select("activity_id", "seq", F.col("best.name").alias("name"), F.col("best.d").alias("d")), ["activity_id", "seq"], "left")
+    return points.join(best.select("activity_id", "seq", F.col("best.name").alias("name"), F.col("best.d").alias("d"), F.col("best.way_pos").alias("way_pos")), ["activity_id", "seq"], "left")
 
 
+def boxed_cells(segments: DataFrame, cell: float = 0.01, pad: float = 0.0002) -> DataFrame:
+    """``segments`` with each cell ``ci, cj`` (of ``cell`` degrees) that its padded box touches: an index by boxes, for short segments."""
+    span = lambda c: F.sequence(F.floor((F.least(f"a{c}", f"b{c}") - pad) / cell), F.floor((F.greatest(f"a{c}", f"b{c}") + pad) / cell))
+    return segments.withColumn("ci", F.explode(span("lat"))).withColumn("cj", F.explode(span("lon")))
+
+
+def near_any_segment(points: DataFrame, segments: DataFrame, metres: float, *keys: str) -> DataFrame:
+    """``keys`` of ``points`` with the distance to the nearest of ``segments``, where that is at most ``metres``."""
+    return segment_pairs(points, segments, metres).groupBy(*keys).agg(F.min("d").alias("d")).where(F.col("d") <= metres)
+
+
+def majority_kinds(snapped: DataFrame, ways: DataFrame) -> DataFrame:
+    """Of each name on each track the kind that most of its points were snapped to; of equals the one seen first."""
+    s = snapped.where("name IS NOT NULL").join(ways.select("way_pos", "kind").distinct(), "way_pos")
+    g = s.groupBy("activity_id", "name", "kind").agg(F.count("*").alias("n"), F.min("seq").alias("seen"))
+    return g.groupBy("activity_id", "name").agg(F.max_by("kind", F.struct("n", -F.col("seen"))).alias("kind"))
+
+
+def progress(points: DataFrame, chain: DataFrame, metres: float) -> DataFrame:
+    """``points(activity_id, name, seq, lat, lon)`` with how far along the chain of its name each is, from 0 to 1: at the nearest of the chain's segments within ``metres``, the first of equals; a point without one has the last before it.
+
+    ``chain(name, place, alat, alon, blat, blon, before_m, length_m, total_m)``.
+    """
+    near = segment_pairs(points, chain.withColumnRenamed("name", "_name"), metres).where(F.col("name") == F.col("_name"))
+    at = (F.col("before_m") + F.col("t") * F.col("length_m")) / F.nullif("total_m", F.lit(0.0))
+    best = near.withColumn("at", at).groupBy("activity_id", "name", "seq").agg(F.min(F.struct("d", "place", "at")).alias("best")).where(F.col("best.d") <= metres)
+    p = points.join(best.select("activity_id", "name", "seq", F.col("best.at").alias("progress")), ["activity_id", "name", "seq"], "left")
+    w = Window.partitionBy("activity_id", "name").orderBy("seq")
+    return p.withColumn("progress", F.coalesce(F.last("progress", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("progress", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0)))
+
 def runs(snapped: DataFrame, least: int = 4) -> DataFrame:
     """Runs of consecutive points on one name, of ``least`` points or more; a point on none breaks them; the end is exclusive."""
     s = snapped.withColumn("new", F.when(F.col("name").eqNullSafe(F.lag("name").over(track())), 0).otherwise(1)).withColumn("run", F.sum("new").over(so_far()))
@@ -209,6 +240,12 @@ def trail_index(attempts: DataFrame, by: list[str]) -> DataFrame:
     return attempts.where("completed AND name IS NOT NULL").groupBy(*by).agg(F.count("*").alias("attempts"), F.min("duration").alias("best"), F.min_by("activity_id", F.struct("duration", "activity_id")).alias("best_id"))
 
 
+def region_cards(index: DataFrame, hidden: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Trails of each region with whether they are hidden, and their length."""
+    h = hidden.select("name").distinct().withColumn("hidden", F.lit(True))
+    return index.join(h, "name", "left").withColumn("hidden", F.coalesce("hidden", F.lit(False))).join(lengths, "name", "left")
+
+
 def directions(attempts: DataFrame) -> DataFrame:
     return attempts.where("completed").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("direction")), ",").alias("directions"))
 

@@ -138,6 +138,14 @@ def gain_by_hysteresis(points: DataFrame, threshold: float) -> DataFrame:
     return series.select("activity_id", F.aggregate("s", zero, step)["gain"].alias("gain_m"))
 
 
+def gain_strategies(points: DataFrame, windows: tuple[int, ...] = (10, 15, 20)) -> DataFrame:
+    """Ascent of each track from its elevations as they are, and from means over each of ``windows``; see ``gain_by_hysteresis`` for the others, which may follow a mean."""
+    e = points.where("ele IS NOT NULL").select("activity_id", "seq", "ele", *(F.avg("ele").over(rows(-(k // 2), k // 2)).alias(f"_m{k}") for k in windows))
+    up = lambda c: F.greatest(F.col(c) - F.lag(c).over(track()), F.lit(0.0))
+    e = e.select("activity_id", up("ele").alias("raw"), *(up(f"_m{k}").alias(f"ma_{k}") for k in windows))
+    return e.groupBy("activity_id").agg(*(F.sum(c).alias(c) for c in e.columns[1:]))
+
+
 def spikes(points: DataFrame) -> DataFrame:
     """Legs that are far faster than their neighbours, with their speed as ``raw_kmh``: above four times the upper median of the ten legs on either side, and above 40 km/h.
 
@@ -195,11 +203,12 @@ def activity_stats(points: DataFrame) -> DataFrame:
     return out.select(*base.columns, F.nullif("d", F.lit(0)).cast("long").alias("duration_sec"), (F.col("distance_km") / F.nullif(F.col("riding_s") / 3600, F.lit(0.0))).alias("avg_speed_kmh"), "max_speed_kmh", "max_speed_kmh_riding", F.nullif("peak", F.lit(0.0)).alias("peak_ele_m"))
 
 
-def segment_sums(points: DataFrame, segs: DataFrame) -> DataFrame:
-    """Of each segment: distance and ascent over (start, end], greatest speed over [start, end]."""
+def segment_sums(points: DataFrame, segs: DataFrame, closed: bool = False) -> DataFrame:
+    """Of each segment: distance and ascent over (start, end], or with ``closed`` over [start, end], greatest speed over [start, end]."""
     p = points.select("activity_id", "seq", "dist", "ele_delta", "speed")
-    both = segs.join(p, "activity_id").where("seq BETWEEN start_seq AND end_seq")
-    inner = F.col("seq") > F.col("start_seq")
+    s = segs.withColumn("seq", F.explode(F.sequence("start_seq", "end_seq")))
+    both = s.join(p, ["activity_id", "seq"])
+    inner = F.lit(True) if closed else F.col("seq") > F.col("start_seq")
     return both.groupBy("activity_id", "seg_no", "type").agg(F.sum(F.when(inner, F.col("dist")).otherwise(0.0)).alias("dist_m"), F.sum(F.when(inner & (F.col("ele_delta") > 0), F.col("ele_delta")).otherwise(0.0)).alias("gain_m"), F.max("speed").alias("max_speed"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats
-from ..operators import asof, lifts, network, reports, similarity, spatial
+from ..operators import asof, lifts, network, reports, routes, similarity, spatial
 from ..operators import tracks as T
 from .bindings import ACT, AS_OF, JLEGS, LEGS, TRK, activities, hav, legs, read, track_points
 
@@ -720,8 +720,8 @@ def _ways(spark, d):
 _SNAP = f"""xy AS (SELECT l.activity_id, l.seq, way_pos, w.name, (alon - lon) * cos(radians(lat)) * {_M} AS ax, (alat - lat) * {_M} AS ay, (blon - lon) * cos(radians(lat)) * {_M} AS bx, (blat - lat) * {_M} AS byy FROM legs l, way w WHERE NOT l.assisted),
 tt AS (SELECT *, CASE WHEN pow(bx - ax, 2) + pow(byy - ay, 2) > 0 THEN greatest(0.0, least(1.0, (-ax * (bx - ax) - ay * (byy - ay)) / (pow(bx - ax, 2) + pow(byy - ay, 2)))) ELSE 0.0 END AS t FROM xy),
 dd AS (SELECT *, sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (byy - ay), 2)) AS d FROM tt),
-best AS (SELECT activity_id, seq, name, d FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY activity_id, seq ORDER BY d, way_pos) AS r FROM dd WHERE d < 25) WHERE r = 1),
-snapped AS (SELECT l.*, b.name, b.d FROM legs l LEFT JOIN best b ON b.activity_id = l.activity_id AND b.seq = l.seq)"""
+best AS (SELECT activity_id, seq, name, d, way_pos FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY activity_id, seq ORDER BY d, way_pos) AS r FROM dd WHERE d < 25) WHERE r = 1),
+snapped AS (SELECT l.*, b.name, b.d, b.way_pos FROM legs l LEFT JOIN best b ON b.activity_id = l.activity_id AND b.seq = l.seq)"""
 
 
 def _snapped(spark, d):
@@ -756,17 +756,59 @@ def tm_04(spark, d):
     return _lengths(spark, d).withColumn("length_m", rnd("length_m", 3))
 
 
-@query("tm_12", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, e AS (SELECT r.activity_id, r."start", r.n, a.ele AS e0, b.ele AS e1 FROM tmrun r JOIN trk a ON a.activity_id = r.activity_id AND a.seq = r."start" JOIN trk b ON b.activity_id = r.activity_id AND b.seq = r."end" - 1) SELECT activity_id, "start", CASE WHEN n < 2 OR e1 - e0 IS NULL OR e1 = e0 THEN \'mixed\' WHEN e1 > e0 THEN \'up\' ELSE \'down\' END AS direction FROM e')
+@query("tm_04_kinds", f"WITH {LEGS}, {_WAYS}, {_SNAP}, k AS (SELECT activity_id, s.name, w.kind, COUNT(*) AS n, MIN(seq) AS seen FROM snapped s JOIN way w ON w.way_pos = s.way_pos GROUP BY 1, 2, 3) SELECT activity_id, name, arg_max(kind, (n, -seen)) AS kind FROM k GROUP BY 1, 2")
+def tm_04_kinds(spark, d):
+    return spatial.majority_kinds(_snapped(spark, d), _ways(spark, d))
+
+
+_BOTH = """e AS (SELECT r.*, a.ele AS e0, b.ele AS e1, a.t_s AS t0, b.t_s AS t1, b.lon >= a.lon AS along FROM tmrun r JOIN trk a ON a.activity_id = r.activity_id AND a.seq = r."start" JOIN trk b ON b.activity_id = r.activity_id AND b.seq = r."end" - 1),
+dirs AS (SELECT *, CASE WHEN n < 2 THEN 'mixed' WHEN name <> 'W3' AND COALESCE(e1, 0) - COALESCE(e0, 0) >= 10 THEN 'up' WHEN name <> 'W3' AND COALESCE(e1, 0) - COALESCE(e0, 0) <= -10 THEN 'down' WHEN along THEN 'forward' ELSE 'reverse' END AS direction FROM e)"""
+
+
+def _directed(spark, d):
+    """Runs with their direction; W3 stands for a loop."""
+    p = track_points(spark, d).select("activity_id", "seq", "ele", "lon", "t_s")
+    r = spatial.runs(_snapped(spark, d), 2).join(p.toDF("activity_id", "start", "e0", "lon0", "t0"), ["activity_id", "start"])
+    r = r.join(p.select("activity_id", (F.col("seq") + 1).alias("end"), F.col("ele").alias("e1"), F.col("lon").alias("lon1"), F.col("t_s").alias("t1")), ["activity_id", "end"])
+    way = spatial.direction(F.col("e0"), F.col("e1"), F.col("n"), F.col("lon1") >= F.col("lon0"), F.col("name") == "W3")
+    return r.select("activity_id", "name", "start", "end", "n", "ridden_km", way.alias("direction"), (F.col("t1") - F.col("t0")).alias("duration"))
+
+
+@query("tm_12", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, {_BOTH} SELECT activity_id, "start", direction FROM dirs')
 def tm_12(spark, d):
-    p = track_points(spark, d).select("activity_id", "seq", "ele")
-    r = spatial.runs(_snapped(spark, d), 2).join(p.toDF("activity_id", "start", "e0"), ["activity_id", "start"])
-    r = r.join(p.select("activity_id", (F.col("seq") + 1).alias("end"), F.col("ele").alias("e1")), ["activity_id", "end"])
-    return r.select("activity_id", "start", spatial.direction(F.col("e0"), F.col("e1"), F.col("n")).alias("direction"))
+    return _directed(spark, d).select("activity_id", "start", "direction")
 
 
-@query("tm_14", f"WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, {_LENGTHS}, g AS (SELECT activity_id, r.name, COUNT(*) AS visits, SUM(ridden_km) AS km, least(100.0, 100 * SUM(ridden_km) / (any_value(length_m) / 1000)) AS c FROM tmrun r JOIN lens l ON l.name = r.name GROUP BY 1, 2) SELECT activity_id, name, visits, round(km, 5) AS ridden_km, round(c, 3) AS coverage, c >= 85 AS completed FROM g WHERE c >= 1")
+_TOUCH = f"""f AS (SELECT name, arg_min(alat, way_pos) AS alat, arg_min(alon, way_pos) AS alon, arg_min(blat, way_pos) AS blat, arg_min(blon, way_pos) AS blon FROM way GROUP BY 1),
+tch AS (SELECT r.activity_id, r.name, r."start", bool_or({hav("lat", "lon", "alat", "alon", True)} <= 150) AS a, bool_or({hav("lat", "lon", "blat", "blon", True)} <= 150) AS b FROM tmrun r JOIN trk t ON t.activity_id = r.activity_id AND t.seq >= r."start" AND t.seq < r."end" JOIN f ON f.name = r.name GROUP BY 1, 2, 3)"""
+_SHORT = "slen AS (SELECT name, length_m / 40 AS length_m FROM lens)"
+
+
+def _touched(spark, d):
+    ends = _ways(spark, d).groupBy("name").agg(*(F.min_by(c, "way_pos").alias(c) for c in ("alat", "alon", "blat", "blon")))
+    return network.touches(track_points(spark, d), spatial.runs(_snapped(spark, d), 2), ends, 150.0)
+
+
+def _short(spark, d):
+    """Lengths of a fortieth, so that tracks come to cover some."""
+    return _lengths(spark, d).select("name", (F.col("length_m") / 40).alias("length_m"))
+
+
+@query("tm_13", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, {_LENGTHS}, {_SHORT}, {_TOUCH}, {_BOTH}, v AS (SELECT r.*, 100 * ridden_km / (length_m / 1000) AS raw, COALESCE(a AND b, false) AS ab FROM dirs r JOIN slen l ON l.name = r.name LEFT JOIN tch ON tch.activity_id = r.activity_id AND tch.name = r.name AND tch."start" = r."start" WHERE ridden_km >= 0.05) SELECT activity_id, name, "start", direction, round(least(100.0, raw), 3) AS coverage, raw >= 85 OR (raw >= 60 AND ab) AS completed, raw >= 60 AND raw < 85 AND ab AS by_ends, ROW_NUMBER() OVER (PARTITION BY activity_id ORDER BY "start") AS place FROM v')
+def tm_13(spark, d):
+    t = spatial.timeline(_directed(spark, d), _short(spark, d), _touched(spark, d))
+    return t.select("activity_id", "name", "start", "direction", rnd("coverage", 3).alias("coverage"), "completed", "by_ends", "place")
+
+
+@query("tm_13_directions", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, {_LENGTHS}, {_SHORT}, {_TOUCH}, {_BOTH}, v AS (SELECT r.*, CAST(t1 - t0 AS BIGINT) AS duration, 100 * ridden_km / (length_m / 1000) AS raw, COALESCE(a AND b, false) AS ab FROM dirs r JOIN slen l ON l.name = r.name LEFT JOIN tch ON tch.activity_id = r.activity_id AND tch.name = r.name AND tch."start" = r."start" WHERE ridden_km >= 0.05), c AS (SELECT *, raw >= 85 OR (raw >= 60 AND ab) AS completed FROM v) SELECT activity_id, name, direction, COUNT(*) AS visits, COUNT(*) FILTER (WHERE completed) AS completions, round(SUM(ridden_km), 5) AS ridden_km, MIN(duration) FILTER (WHERE completed) AS best, arg_max(duration, "start") FILTER (WHERE completed) AS last FROM c GROUP BY 1, 2, 3')
+def tm_13_directions(spark, d):
+    t = spatial.timeline(_directed(spark, d), _short(spark, d), _touched(spark, d))
+    return spatial.by_direction(t).withColumn("ridden_km", rnd("ridden_km", 5))
+
+
+@query("tm_14", f"WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, {_LENGTHS}, {_SHORT}, {_TOUCH}, ab AS (SELECT activity_id, name, bool_or(a) AND bool_or(b) AS both_ends FROM tch GROUP BY 1, 2), g AS (SELECT activity_id, r.name, COUNT(*) AS visits, SUM(ridden_km) AS km, 100 * SUM(ridden_km) / (any_value(length_m) / 1000) AS raw FROM tmrun r JOIN slen l ON l.name = r.name GROUP BY 1, 2) SELECT g.activity_id, g.name, visits, round(km, 5) AS ridden_km, round(least(100.0, raw), 3) AS coverage, raw >= 85 OR (raw >= 60 AND COALESCE(both_ends, false)) AS completed, raw >= 60 AND raw < 85 AND COALESCE(both_ends, false) AS by_ends FROM g LEFT JOIN ab ON ab.activity_id = g.activity_id AND ab.name = g.name WHERE raw >= 5")
 def tm_14(spark, d):
-    s = spatial.summary(spatial.runs(_snapped(spark, d), 2), _lengths(spark, d).select("name", "length_m"), 1.0)
+    s = spatial.summary(spatial.runs(_snapped(spark, d), 2), _short(spark, d), _touched(spark, d))
     return s.withColumns({"ridden_km": rnd("ridden_km", 5), "coverage": rnd("coverage", 3)})
 
 
@@ -1081,33 +1123,48 @@ def tm_03(spark, d):
     return coalesce_runs(r.select("activity_id", "name", "start_t", "end_t", "ridden_km"))
 
 
+_PROGRESS_M = 400.0
+
+
+def _progress(spark, d):
+    ways = _ways(spark, d)
+    chain = routes.chain_segments(routes.linked_ways(ways, 50.0, -116.0, 150.0), ways)
+    s = _snapped(spark, d).where("name IS NOT NULL").select("activity_id", "name", "seq", "lat", "lon")
+    return spatial.progress(s, chain, _PROGRESS_M)
+
+
+@query("tm_08")
+def tm_08(spark, d):
+    """How far along the chain of its line each snapped point is."""
+    return _progress(spark, d).select("activity_id", "name", "seq", rnd("progress").alias("progress"))
+
+
 @query("tm_09")
 def tm_09(spark, d):
     from ..operators.kernels import traversals
 
+    return traversals(_progress(spark, d).select("activity_id", "name", "seq", "progress"), least=3, turn=0.1, window=3)
+
+
+@query("tm_10")
+def tm_10(spark, d):
+    """Laps around the middle of each track."""
+    from ..operators.kernels import traversals
+
     p = track_points(spark, d)
     w = Window.partitionBy("activity_id")
-    span = F.nullif(F.max("lat").over(w) - F.min("lat").over(w), F.lit(0.0))
-    return traversals(p.select("activity_id", F.lit("line").alias("name"), "seq", F.coalesce((F.col("lat") - F.min("lat").over(w)) / span, F.lit(0.0)).alias("progress")))
+    p = p.withColumn("a", F.atan2(F.col("lat") - F.avg("lat").over(w), F.col("lon") - F.avg("lon").over(w)))
+    return traversals(T.unwrapped(p, "a").select("activity_id", F.lit("loop").alias("name"), "seq", F.col("a_unwrapped").alias("progress")), loop=True)
 
 
 @query("tm_07")
 def tm_07(spark, d):
-    from ..operators.kernels import chains
-
-    c = F.col
-    x = lambda lon: geo.local_x(c(lon), F.lit(50.0), F.lit(-116.0))
-    y = lambda lat: geo.local_y(c(lat), F.lit(50.0))
-    return chains(_ways(spark, d).select("name", "way_pos", x("alon").alias("ax"), y("alat").alias("ay"), x("blon").alias("bx"), y("blat").alias("by")), 150.0)
+    return routes.linked_ways(_ways(spark, d), 50.0, -116.0, 150.0)
 
 
-@query("rte_05")
-def rte_05(spark, d):
-    from ..operators.kernels import route_attempts
-
-    p = track_points(spark, d)
-    tl = p.select("activity_id", F.col("seq").alias("start_idx"), (F.col("seq") + 1).alias("end_idx"), F.col("t_s").alias("start_t"), (F.col("t_s") + 5).alias("end_t"), F.concat(F.lit("T"), (F.col("event_id") % 3).cast("string")).alias("name"), (F.col("event_id") % 7 == 0).alias("noise"))
-    return route_attempts(tl, ["T0", "T1", "T2"])
+@query("rg_02")
+def rg_02(spark, d):
+    return network.end_clusters(_ways(spark, d), 20.0).select("id", F.array_join("names", ",").alias("names"))
 
 
 @query("sim_05")
@@ -1118,15 +1175,6 @@ def sim_05(spark, d):
     return complete_linkage(s, similarity.duplicate_groups(s.where("score >= 0.15").select("a", "b")), 0.15)
 
 
-@query("rg_02")
-def rg_02(spark, d):
-    from ..operators.kernels import leaders
-
-    w = _ways(spark, d)
-    ends = w.select("kind", F.col("way_pos").alias("id"), geo.local_x(F.col("alon"), F.lit(50.0), F.lit(-116.0)).alias("x"), geo.local_y(F.col("alat"), F.lit(50.0)).alias("y"))
-    return leaders(ends, 250.0, "kind")
-
-
 # ---------------------------------------------------------------- networks and routes
 
 
@@ -1135,20 +1183,134 @@ def tm_05(spark, d):
     return network.termini(_ways(spark, d)).withColumn("d", rnd("d", 3))
 
 
-@query("tm_06", f"WITH {_WAYS}, e AS (SELECT name, concat_ws(',', round(alat, 3), round(alon, 3)) AS p FROM way UNION ALL SELECT name, concat_ws(',', round(blat, 3), round(blon, 3)) FROM way), n AS (SELECT name, p, COUNT(*) AS n FROM e GROUP BY 1, 2), g AS (SELECT name, COUNT(*) FILTER (WHERE n = 1) AS free, MAX(n) AS most FROM n GROUP BY 1) SELECT name, free, most, CASE WHEN free = 0 AND most = 2 THEN 'loop' WHEN free = 2 AND most <= 2 THEN 'linear' ELSE 'messy' END AS topology FROM g")
+@query("tm_06", f"WITH {_WAYS}, e AS (SELECT name, way_pos * 2 AS p, alat AS lat, alon AS lon FROM way UNION ALL SELECT name, way_pos * 2 + 1, blat, blon FROM way), m AS (SELECT x.name, x.p, COUNT(y.p) AS n FROM e x LEFT JOIN e y ON y.name = x.name AND y.p <> x.p AND {hav('x.lat', 'x.lon', 'y.lat', 'y.lon', True)} <= 60 GROUP BY 1, 2), g AS (SELECT name, COUNT(*) FILTER (WHERE n = 0) AS free, MAX(n) AS most FROM m GROUP BY 1) SELECT name, free, most, CASE WHEN free = 0 AND most = 1 THEN 'loop' WHEN free = 2 AND most <= 1 THEN 'linear' ELSE 'messy' END AS topology FROM g")
 def tm_06(spark, d):
-    return network.degrees(_ways(spark, d), 3)
+    return network.degrees(_ways(spark, d), 60.0)
 
 
-@query("rg_03", f"WITH {_WAYS}, e AS (SELECT name, way_pos * 2 AS id, alat AS lat, alon AS lon FROM way UNION ALL SELECT name, way_pos * 2 + 1, blat, blon FROM way) SELECT x.id, x.name, COUNT(DISTINCT y.name) AS others FROM e x JOIN e y ON x.name <> y.name AND {hav('x.lat', 'x.lon', 'y.lat', 'y.lon', True)} <= 60 GROUP BY 1, 2")
+def _planar(lat, lon):
+    """SQL of the distance of a point from the segment a-b on the plane at the point."""
+    ax, ay, bx, by = f"((alon - {lon}) * cos(radians({lat})) * {_M})", f"((alat - {lat}) * {_M})", f"((blon - {lon}) * cos(radians({lat})) * {_M})", f"((blat - {lat}) * {_M})"
+    t = f"greatest(0.0, least(1.0, (-{ax} * ({bx} - {ax}) - {ay} * ({by} - {ay})) / (pow({bx} - {ax}, 2) + pow({by} - {ay}, 2))))"
+    return f"sqrt(pow({ax} + {t} * ({bx} - {ax}), 2) + pow({ay} + {t} * ({by} - {ay}), 2))"
+
+
+_VERTICES = "vert AS (SELECT way_pos AS chain, name, kind, CAST(k AS BIGINT) AS i, way_pos * 10 + k AS id, alat + (blat - alat) * k / 4 AS lat, alon + (blon - alon) * k / 4 AS lon FROM way, range(5) r(k))"
+
+
+def _vertices(spark, d):
+    """Each way as a line of five vertices."""
+    k = F.col("i")
+    w = _ways(spark, d).drop("i").withColumn("i", F.explode(F.array(*(F.lit(j).cast("long") for j in range(5)))))
+    return w.select(F.col("way_pos").alias("chain"), "name", "kind", "i", (F.col("way_pos") * 10 + k).alias("id"), (F.col("alat") + (F.col("blat") - F.col("alat")) * k / 4).alias("lat"), (F.col("alon") + (F.col("blon") - F.col("alon")) * k / 4).alias("lon"))
+
+
+@query("rg_03", f"WITH {_WAYS}, {_VERTICES}, p AS (SELECT v.id, v.name, v.lat, v.lon, MIN(w.name) AS other FROM vert v JOIN way w ON w.name <> v.name WHERE v.i BETWEEN 1 AND 3 AND {_planar('v.lat', 'v.lon')} <= 8 GROUP BY 1, 2, 3, 4) SELECT id, round(lat, 7) AS lat, round(lon, 7) AS lon, least(name, other) || ',' || greatest(name, other) AS names FROM p")
 def rg_03(spark, d):
-    return network.junctions(_ways(spark, d), 60.0)
+    v = _vertices(spark, d).where("i BETWEEN 1 AND 3").select("id", "name", "lat", "lon")
+    j = network.interior_junctions(v, _ways(spark, d))
+    return j.select("id", rnd("lat", 7).alias("lat"), rnd("lon", 7).alias("lon"), F.array_join("names", ",").alias("names"))
+
+
+@query("rg_04")
+def rg_04(spark, d):
+    """Junctions from shared ends and from vertices on others' lines."""
+    ways = _ways(spark, d)
+    inner = network.interior_junctions(_vertices(spark, d).where("i BETWEEN 1 AND 3").select("id", "name", "lat", "lon"), ways)
+    ends = network.end_clusters(ways, 20.0).select("id", "lat", "lon", "names")
+    return network.junctions(ends.unionByName(inner.withColumn("id", F.col("id") + 1_000_000_000_000)))
+
+
+_JUNCTIONS = "jn AS (SELECT 'J' || CAST(v.chain AS VARCHAR) AS junction_id, v.lat + CAST(0.00003 AS DOUBLE) AS lat, v.lon AS lon, unnest([v.name, 'W' || CAST((v.chain + 1) % 12 AS VARCHAR)]) AS jname FROM vert v WHERE v.i = 2 AND v.chain % 3 = 0)"
+_EDGES = f"""pin AS (SELECT junction_id, name, chain, arg_min(i, (d, i)) AS i FROM (SELECT j.junction_id, v.name, v.chain, v.i, {hav('j.lat', 'j.lon', 'v.lat', 'v.lon', True)} AS d FROM jn j JOIN vert v ON v.name = j.jname) WHERE d <= 40 GROUP BY 1, 2, 3),
+node AS (SELECT name, chain, i, MIN(junction_id) AS node FROM pin WHERE i BETWEEN 1 AND 3 GROUP BY 1, 2, 3 UNION ALL SELECT name, chain, 0, 'start|' || name || '|' || chain FROM vert WHERE i = 0 UNION ALL SELECT name, chain, 4, 'end|' || name || '|' || chain FROM vert WHERE i = 0),
+ld AS (SELECT *, LEAD(node) OVER w AS e, LEAD(i) OVER w AS ei FROM node WINDOW w AS (PARTITION BY name, chain ORDER BY i)),
+vl AS (SELECT *, SUM(leg) OVER (PARTITION BY name, chain ORDER BY i ROWS UNBOUNDED PRECEDING) AS m FROM (SELECT *, COALESCE({hav('LAG(lat) OVER w', 'LAG(lon) OVER w', 'lat', 'lon', True)}, 0.0) AS leg FROM vert WINDOW w AS (PARTITION BY name, chain ORDER BY i))),
+edge0 AS (SELECT l.name, l.chain, l.node AS start_node, e AS end_node, l.i AS start_i, ei AS end_i, b.m - a.m AS length_m, 'e_' || substr(md5(concat_ws('|', l.name, l.chain, l.node, e)), 1, 8) AS edge_id FROM ld l JOIN vl a ON a.chain = l.chain AND a.i = l.i JOIN vl b ON b.chain = l.chain AND b.i = ei WHERE ei > l.i)"""
+
 
+def _made_junctions(spark, d):
+    v = _vertices(spark, d).where("i = 2 AND chain % 3 = 0")
+    return v.select(F.concat(F.lit("J"), F.col("chain").cast("string")).alias("junction_id"), (F.col("lat") + 0.00003).alias("lat"), "lon", F.array("name", F.concat(F.lit("W"), ((F.col("chain") + 1) % 12).cast("string"))).alias("names"))
 
-@query("rg_05", f"WITH {TRK}, n AS (SELECT activity_id AS chain, seq AS place, event_id AS node FROM trk WHERE event_type = 'purchase'), l AS (SELECT *, LEAD(node) OVER w AS e, LEAD(place) OVER w AS ep FROM n WINDOW w AS (PARTITION BY chain ORDER BY place)) SELECT chain, node AS start_node, e AS end_node, ep - place AS steps, substr(md5(concat_ws('|', chain, node, e)), 1, 12) AS edge_id FROM l WHERE e IS NOT NULL")
+
+def _edges(spark, d):
+    v = _vertices(spark, d)
+    return network.edges(network.pinned(_made_junctions(spark, d), v, 40.0), v)
+
+
+@query("rg_05", f"WITH {_WAYS}, {_VERTICES}, {_JUNCTIONS}, {_EDGES} SELECT edge_id, name, chain, start_node, end_node, CAST(start_i AS BIGINT) AS start_i, CAST(end_i AS BIGINT) AS end_i, round(length_m, 4) AS length_m FROM edge0")
 def rg_05(spark, d):
-    n = track_points(spark, d).where("event_type = 'purchase'").select(F.col("activity_id").alias("chain"), F.col("seq").alias("place"), F.col("event_id").alias("node"))
-    return network.split_edges(n)
+    return _edges(spark, d).drop("mid_i").withColumn("length_m", rnd("length_m", 4))
+
+
+@query("rg_06", f"WITH {_WAYS}, {_VERTICES}, {_JUNCTIONS}, {_EDGES} SELECT name, COUNT(*) AS edges, COUNT(DISTINCT chain) AS components, round(SUM(length_m), 3) AS length_m, md5(string_agg(edge_id, ',' ORDER BY edge_id)) AS digest FROM edge0 GROUP BY 1")
+def rg_06(spark, d):
+    """The network as stored for a region: trails with their edges."""
+    a = network.artifact(_edges(spark, d))
+    return a.select("name", F.size("edges").cast("long").alias("edges"), "components", rnd("length_m", 3).alias("length_m"), "digest")
+
+
+@query("gl_05", f"WITH {_WAYS}, {_VERTICES}, {_JUNCTIONS}, {_EDGES} SELECT edge_id, COUNT(*) AS vertices, round(any_value(length_m), 4) AS length_m FROM edge0 e JOIN vert v ON v.chain = e.chain AND v.i BETWEEN start_i AND end_i GROUP BY e.chain, edge_id")
+def gl_05(spark, d):
+    """Each edge with its own polyline."""
+    return network.edge_lines(_edges(spark, d), _vertices(spark, d)).select("edge_id", F.size("line").cast("long").alias("vertices"), rnd("length_m", 4).alias("length_m"))
+
+
+@query("gl_06", f"WITH {_WAYS}, {_VERTICES}, {_JUNCTIONS}, {_EDGES} SELECT edge_id, round(length_m, 1) AS length_m FROM edge0")
+def gl_06(spark, d):
+    return _edges(spark, d).select("edge_id", rnd("length_m", 1).alias("length_m"))
+
+
+@query("gl_17", f"WITH {_WAYS}, {_VERTICES}, {_JUNCTIONS}, {_EDGES}, n AS (SELECT DISTINCT junction_id AS node, lat, lon, 0 AS pass FROM jn UNION ALL SELECT e.start_node, v.lat, v.lon, 1 FROM edge0 e JOIN vert v ON v.chain = e.chain AND v.i = start_i WHERE start_node LIKE 'start%' UNION ALL SELECT e.end_node, v.lat, v.lon, 1 FROM edge0 e JOIN vert v ON v.chain = e.chain AND v.i = end_i WHERE end_node LIKE 'end%') SELECT node, round(arg_max(lat, pass), 7) AS lat, round(arg_max(lon, pass), 7) AS lon FROM n GROUP BY 1")
+def gl_17(spark, d):
+    n = network.node_places(_made_junctions(spark, d), _edges(spark, d), _vertices(spark, d))
+    return n.select("node", rnd("lat", 7).alias("lat"), rnd("lon", 7).alias("lon"))
+
+
+@query("rg_09")
+def rg_09(spark, d):
+    """Routes of six ways each, sewn together for a preview."""
+    w = _ways(spark, d).select((F.col("way_pos") % 17).alias("route_id"), F.col("way_pos").alias("pos"), "alat", "alon", "blat", "blon")
+    return routes.sewn(w, 120.0, 900.0).withColumn("gap_m", rnd("gap_m", 3))
+
+
+def _timeline(spark, d):
+    """Runs on lines as timeline entries."""
+    t = track_points(spark, d).select("activity_id", "seq", "t_s")
+    r = spatial.runs(_snapped(spark, d), 2).withColumnRenamed("start", "start_idx").withColumn("end_idx", F.col("end") - 1)
+    r = r.join(t.toDF("activity_id", "start_idx", "start_t"), ["activity_id", "start_idx"]).join(t.toDF("activity_id", "end_idx", "end_t"), ["activity_id", "end_idx"])
+    return r.select("activity_id", F.col("start_idx").alias("entry"), "start_idx", "end_idx", "start_t", "end_t", "name", F.lit("trail").alias("kind"), (F.col("ridden_km") < 0.01).alias("noise"))
+
+
+def _route_of(spark, d, names):
+    """A route along ways 1 and up, whose names it takes in this order."""
+    pos = F.coalesce(*(F.when(F.col("chain") == n, i) for i, n in enumerate(names)))
+    v = _vertices(spark, d).withColumn("pos", pos.cast("long")).where("pos IS NOT NULL").withColumn("kind", F.lit("trail"))
+    end = lambda i, k: v.where(F.col("i") == i).select("pos", F.col("lat").alias(f"{k}lat"), F.col("lon").alias(f"{k}lon"))
+    return v.select("pos", "name", "kind").distinct().join(end(0, "a"), "pos").join(end(4, "b"), "pos"), v.select("pos", "name", "kind", "i", "lat", "lon")
+
+
+@query("rte_03", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, {_VERTICES}, ep AS (SELECT r.activity_id, r.name, r."start" AS entry, t.seq, t.lat, t.lon FROM tmrun r JOIN trk t ON t.activity_id = r.activity_id AND t.seq >= r."start" AND t.seq < r."end"), tm AS (SELECT activity_id, entry, w.way_pos AS pos, bool_or({hav("e.lat", "e.lon", "alat", "alon", True)} <= 300) AND bool_or({hav("e.lat", "e.lon", "blat", "blon", True)} <= 300) AS touched FROM ep e JOIN way w ON w.name = e.name GROUP BY 1, 2, 3), cv AS (SELECT activity_id, entry, v.chain AS pos, COUNT(DISTINCT v.i) >= 1.5 AS followed FROM ep e JOIN vert v ON v.name = e.name AND v.i % 3 = 0 AND e.seq % 3 = 0 AND {hav("e.lat", "e.lon", "v.lat", "v.lon", True)} <= 40 GROUP BY 1, 2, 3) SELECT tm.activity_id, tm.entry, tm.pos, touched, COALESCE(followed, false) AS followed FROM tm LEFT JOIN cv ON cv.activity_id = tm.activity_id AND cv.entry = tm.entry AND cv.pos = tm.pos WHERE touched OR COALESCE(followed, false)')
+def rte_03(spark, d):
+    """Entries that satisfy a way of their name, by a touch of both its ends or along it."""
+    v = _vertices(spark, d).withColumn("kind", F.lit("trail")).withColumnRenamed("chain", "pos")
+    seg = _ways(spark, d).select(F.col("way_pos").alias("pos"), "name", F.lit("trail").alias("kind"), "alat", "alon", "blat", "blon")
+    return routes.satisfied(routes.marks(routes.entry_points(_timeline(spark, d), track_points(spark, d)), seg, v, 300.0), v)
+
+
+@query("rte_05")
+def rte_05(spark, d):
+    seg, v = _route_of(spark, d, (1, 2))
+    return routes.attempts(_timeline(spark, d), legs(spark, d), seg, v, 0.1, 700.0)
+
+
+@query("rte_08")
+def rte_08(spark, d):
+    v = _vertices(spark, d).withColumn("kind", F.lit("trail")).withColumnRenamed("chain", "edge")
+    mid = v.where("i = 2").select("edge", F.col("lat").alias("mlat"), F.col("lon").alias("mlon"))
+    e = _ways(spark, d).select(F.col("way_pos").alias("edge"), "name", F.lit("trail").alias("kind"), "alat", "alon", "blat", "blon").join(mid, "edge")
+    return routes.from_ride(_timeline(spark, d), track_points(spark, d), e, v, 300.0)
 
 
 _ROUTE = "rt AS (SELECT l_orderkey AS route_id, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, 'N' || CAST(l_partkey % 3 AS VARCHAR) AS name, l_quantity AS length_m, l_partkey % 50 AS a, l_suppkey % 50 AS b FROM lineitem)"
@@ -1200,19 +1362,18 @@ def rte_09(spark, d):
     return network.name_chain(p.select("activity_id", (F.col("event_id") % 2).cast("string").alias("name"), F.col("seq").alias("start_idx")))
 
 
-@query("spa_12", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, f AS (SELECT name, arg_min(alat, way_pos) AS alat, arg_min(alon, way_pos) AS alon, arg_min(blat, way_pos) AS blat, arg_min(blon, way_pos) AS blon FROM way GROUP BY 1) SELECT r.activity_id, r.name, r."start", bool_or({hav("lat", "lon", "alat", "alon", True)} <= 150) AND bool_or({hav("lat", "lon", "blat", "blon", True)} <= 150) AS "both" FROM tmrun r JOIN trk t ON t.activity_id = r.activity_id AND t.seq >= r."start" AND t.seq < r."end" JOIN f ON f.name = r.name GROUP BY 1, 2, 3')
+@query("spa_12", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, {_TOUCH} SELECT activity_id, name, "start", a, b, a AND b AS "both" FROM tch')
 def spa_12(spark, d):
-    ends = _ways(spark, d).groupBy("name").agg(*(F.min_by(c, "way_pos").alias(c) for c in ("alat", "alon", "blat", "blon")))
-    return network.touches(track_points(spark, d), spatial.runs(_snapped(spark, d), 2), ends, 150.0)
+    return _touched(spark, d)
 
 
-@query("spa_10", f"WITH {TRK} SELECT q.activity_id - 1 AS line_id, q.seq AS id, round(MIN({hav('q.lat', 'q.lon', 'v.lat', 'v.lon', True)}), 4) AS d FROM trk q JOIN trk v ON v.activity_id = q.activity_id - 1 GROUP BY 1, 2")
+@query("spa_10", f"WITH {TRK}, q AS (SELECT activity_id - 1 AS line_id, seq AS id, lat + CAST(0.0000137 AS DOUBLE) AS lat, lon + CAST(0.0000271 AS DOUBLE) AS lon FROM trk), p AS (SELECT q.line_id, q.id, v.seq AS i, {hav('q.lat', 'q.lon', 'v.lat', 'v.lon', True)} AS d FROM q JOIN trk v ON v.activity_id = q.line_id) SELECT line_id, id, arg_min(i, (round(d, 6), i)) AS i, round(MIN(d), 4) AS d FROM p GROUP BY 1, 2")
 def spa_10(spark, d):
-    """Each track's points against all vertices of the track before it; vertices at equal distances are common on the grid, so the place is left to a test."""
+    """Each track's points, moved a little off the grid, against the vertices of the track before it."""
     p = track_points(spark, d)
     v = p.select(F.col("activity_id").alias("line_id"), F.col("seq").alias("i"), F.col("lat").alias("vlat"), F.col("lon").alias("vlon"))
-    q = p.select((F.col("activity_id") - 1).alias("line_id"), F.col("seq").alias("id"), "lat", "lon")
-    return network.nearest_vertex(q, v).select("line_id", "id", rnd("d", 4).alias("d"))
+    q = p.select((F.col("activity_id") - 1).alias("line_id"), F.col("seq").alias("id"), (F.col("lat") + 0.0000137).alias("lat"), (F.col("lon") + 0.0000271).alias("lon"))
+    return network.nearest_vertex(q, v).select("line_id", "id", "i", rnd("d", 4).alias("d"))
 
 
 @query("spa_04", f"WITH {TRK}, {_INSIDE} SELECT DISTINCT activity_id AS line_id, region_id FROM inside")
@@ -1222,19 +1383,15 @@ def spa_04(spark, d):
     return network.ways_in_region(p.select(F.col("activity_id").alias("line_id"), F.col("seq").alias("i")), inside)
 
 
-@query("spa_09", f"WITH {TRK}, {_WAYS} SELECT DISTINCT t.activity_id, seq FROM trk t, way w WHERE {hav('lat', 'lon', 'alat', 'alon', True)} <= 25")
+@query("spa_09", f"WITH {TRK}, {_WAYS} SELECT activity_id, seq, round(MIN({_planar('lat', 'lon')}), 4) AS d FROM trk, way GROUP BY 1, 2 HAVING MIN({_planar('lat', 'lon')}) <= 10")
 def spa_09(spark, d):
-    p = track_points(spark, d).select("activity_id", "seq", F.col("lat").alias("lata"), F.col("lon").alias("lona"))
-    w = _ways(spark, d).select("way_pos", F.col("alat").alias("latb"), F.col("alon").alias("lonb"))
-    return network.close_pairs(p, w, 25.0).select("activity_id", "seq").distinct()
+    near = spatial.near_any_segment(track_points(spark, d).select("activity_id", "seq", "lat", "lon"), _ways(spark, d).select("alat", "alon", "blat", "blon"), 10.0, "activity_id", "seq")
+    return near.withColumn("d", rnd("d", 4))
 
 
-@query("spa_07", f"WITH {_WAYS} SELECT way_pos, COUNT(*) AS cells FROM way, range(-10, 10) a(di), range(-10, 10) b(dj) WHERE floor((alat - CAST(0.0002 AS DOUBLE)) / CAST(0.001 AS DOUBLE)) + di BETWEEN floor((least(alat, blat) - CAST(0.0002 AS DOUBLE)) / CAST(0.001 AS DOUBLE)) AND floor((greatest(alat, blat) + CAST(0.0002 AS DOUBLE)) / CAST(0.001 AS DOUBLE)) AND dj = 0 GROUP BY 1")
+@query("spa_07", f"WITH {_WAYS}, c AS (SELECT way_pos, unnest(generate_series(CAST(floor((least(alat, blat) - CAST(0.0002 AS DOUBLE)) / CAST(0.001 AS DOUBLE)) AS BIGINT), CAST(floor((greatest(alat, blat) + CAST(0.0002 AS DOUBLE)) / CAST(0.001 AS DOUBLE)) AS BIGINT))) AS ci, alon, blon FROM way) SELECT way_pos, ci, unnest(generate_series(CAST(floor((least(alon, blon) - CAST(0.0002 AS DOUBLE)) / CAST(0.001 AS DOUBLE)) AS BIGINT), CAST(floor((greatest(alon, blon) + CAST(0.0002 AS DOUBLE)) / CAST(0.001 AS DOUBLE)) AS BIGINT))) AS cj FROM c")
 def spa_07(spark, d):
-    lo, hi = F.floor((F.least("alat", "blat") - 0.0002) / 0.001), F.floor((F.greatest("alat", "blat") + 0.0002) / 0.001)
-    base = F.floor((F.col("alat") - 0.0002) / 0.001)
-    rows = _ways(spark, d).select("way_pos", base.alias("base"), F.explode(F.sequence(lo, hi)).alias("ci")).where("ci - base BETWEEN -10 AND 9")
-    return rows.groupBy("way_pos").agg(F.count("*").alias("cells"))
+    return spatial.boxed_cells(_ways(spark, d), 0.001).select("way_pos", "ci", "cj")
 
 
 # ---------------------------------------------------------------- the rest of the reports
@@ -1417,3 +1574,6 @@ def _detector_with_lifts(name):
 
 for _id, _name in (("det_12", "osm"), ("det_13", "speed_osm"), ("det_14", "smart"), ("det_15", "lift"), ("det_16", "bike")):
     query(_id)(_detector_with_lifts(_name))
+
+
+from . import additions  # noqa: E402, F401  (its queries register themselves)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,24 @@ def sensor_days(spark: SparkSession, path: str) -> DataFrame:
     return days.select("date", F.explode("samples").alias("s")).select(F.to_date("date").alias("date"), F.col("s")[0].alias("ts_ms"), F.col("s")[1].cast("int").alias("bpm"))
 
 
+def of_dates(spark: SparkSession, path: str, dates: DataFrame, schema: str) -> DataFrame:
+    """JSON rows, one file a day, of the dates of ``dates(date)``."""
+    days = spark.read.option("multiLine", True).schema(schema).json(path).withColumn("date", F.to_date("date"))
+    return days.join(dates.select("date").distinct(), "date", "left_semi")
+
+
+WELLNESS = "date string, status struct<vo2:struct<value:double,age:int>,devices:map<string,struct<timestamp:bigint,training_status:int,load:int>>>, battery struct<charged:int,drained:int,levels:array<array<int>>>, resting array<int>, sleep struct<total:int,deep:int,light:int,rem:int>, stress struct<avg:int,most:int>"
+
+
+def lookups(spark: SparkSession, path: str, schema: str, default: list[tuple]) -> DataFrame:
+    """A JSON list of types or metadata; ``default`` where there is no such file or it is empty."""
+    try:
+        rows = spark.read.option("multiLine", True).schema(schema).json(path)
+    except AnalysisException:  # no such path
+        return spark.createDataFrame(default, schema)
+    return rows if not rows.isEmpty() else spark.createDataFrame(default, schema)
+
+
 def weights(spark: SparkSession, path: str) -> DataFrame:
     """Weights of well-formed dates, by date."""
     rows = spark.read.option("multiLine", True).schema("date string, weight_kg double").json(path)

@@ -20,6 +20,38 @@ def table(df: DataFrame, path: str, by: str | None = None) -> None:
     (w.option("partitionOverwriteMode", "dynamic").partitionBy(by) if by else w).parquet(path)
 
 
+def backed_up(rows: DataFrame, path: str, today: str, keep: int = 7) -> None:
+    """A table with a copy for each day: today's is written anew, those of ``keep`` days ago and before go.
+
+    Copies are partitions of one folder, so that readers prune by date.
+    """
+    spark = rows.sparkSession
+    rows.withColumn("backup_date", F.to_date(F.lit(today))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("backup_date").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = spark.read.parquet(path).where(F.col("backup_date") <= F.date_sub(F.to_date(F.lit(today)), keep)).select("backup_date").distinct().collect()  # a row a day
+    for r in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(at, f"backup_date={r[0]}"), True)
+
+
+def accepted(files: DataFrame, points: DataFrame, taken: DataFrame, most_bytes: int = 30 << 20) -> DataFrame:
+    """Uploads of ``files(file, name, length)`` with what becomes of them: too large, unreadable (no points), or accepted under a name that no other has.
+
+    A name that is taken gets the first free number; of uploads of the same
+    name the first by ``file`` keeps it.
+    """
+    good = points.select("file").distinct().withColumn("_ok", F.lit(True))
+    f = files.join(good, "file", "left").withColumn("status", F.when(F.col("length") > most_bytes, "too large").when(F.col("_ok").isNull(), "unreadable").otherwise("accepted")).drop("_ok")
+    stem, tail = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
+    # numbers that are taken: the name itself is 0
+    used = taken.select(F.regexp_replace("name", r"_\d+(\.[^.]*)?$", "$1").alias("base"), F.coalesce(F.try_to_number(F.regexp_extract("name", r"_(\d+)(\.[^.]*)?$", 1), F.lit("999999999")).cast("int"), F.lit(0)).alias("k"))
+    most = used.groupBy(F.col("base").alias("name")).agg(F.max("k").alias("most"))
+    w = Window.partitionBy("name", "status").orderBy("file")
+    n = f.join(most, "name", "left").withColumn("k", F.coalesce(F.col("most") + 1, F.lit(0)) + F.row_number().over(w) - 1)
+    stored = F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("k").cast("string"), tail))
+    return n.select("file", "name", "length", "status", F.when(F.col("status") == "accepted", stored).alias("stored_as"))
+
+
 def without_archived(rows: DataFrame, archived: DataFrame, key: str) -> DataFrame:
     return rows.join(archived.select(key).distinct(), key, "left_anti")
 

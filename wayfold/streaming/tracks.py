@@ -35,6 +35,18 @@ def sessions(events: DataFrame, gap: str, late: str, by: str = "user_id", time:
     return g.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def empty_days(samples: DataFrame, today: str, trusted_after: int = 7) -> DataFrame:
+    """Days of each person with the number of their samples that have a value, and whether to ask again: days without any, until they are old enough to be trusted."""
+    g = samples.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count("value").alias("n"))
+    return g.withColumn("again", (F.col("n") == 0) & (F.datediff(F.to_date(F.lit(today)), "d") < trusted_after))
+
+
+def late_samples(samples: DataFrame, late: str = "7 days", by: str = "user_id", time: str = "ts") -> DataFrame:
+    """The stream form: counts of each person's days that late samples still change until the watermark passes them."""
+    s = samples.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return s.groupBy(by, F.window(time, "1 day").alias("w")).agg(F.count("value").alias("n")).select(by, F.to_date("w.start").alias("d"), "n")
+
+
 def hourly(events: DataFrame, late: str, time: str = "ts") -> DataFrame:
     """Counts and sums of each hour and type."""
     e = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
