@@ -41,12 +41,33 @@ def test_detection_does_not_depend_on_partitions(spark):
     assert key(df.repartition(1)) == key(df.repartition(5))
 
 
-def test_splits():
-    there_and_back = np.concatenate([np.linspace(0, 1, 50), np.linspace(1, 0, 50)])
-    cuts = K._split_linear(there_and_back)
-    assert len(cuts) == 3 and abs(cuts[1] - 49) <= 1
-    assert K._split_linear(np.linspace(0, 1, 30)) == [0, 30]
-    assert len(K._split_loop(np.linspace(0, 4 * np.pi + 0.1, 100))) == 3
+def test_splits_share_their_turning_point():
+    there_and_back = np.concatenate([np.linspace(0, 1, 50), np.linspace(1, 0, 50)[1:]])
+    assert K._split_linear(there_and_back) == [(0, 50, True), (49, 99, False)]
+    assert K._split_linear(np.linspace(0, 1, 30)) == [(0, 30, True)] and K._split_linear(np.linspace(1, 0, 30)) == [(0, 30, False)]
+    assert K._split_linear(np.array([0.5, 0.55, 0.45, 0.52, 0.5])) == [(0, 5, True)]
+    zigzag = np.concatenate([np.linspace(0, 1, 20), np.linspace(1, 0.5, 10)[1:], np.linspace(0.5, 1, 10)[1:]])
+    assert K._split_linear(zigzag) == [(0, 20, True), (19, 29, False), (28, 38, True)]
+
+
+def test_laps_keep_a_rest_of_an_eighth_and_drop_less():
+    laps = lambda turns: K._split_loop(np.linspace(0, turns * 2 * np.pi, 401))
+    assert [p[2] for p in laps(2.05)] == [True, True] and [p[2] for p in laps(-2.2)] == [False, False, False]
+    one, two = laps(2.05)
+    assert one[1] - 1 == two[0] and two[1] < 401
+    assert laps(0.05) == [(0, 401, True)]
+
+
+def test_short_parts_go_to_the_longer_neighbour():
+    assert K._fold_short([(0, 20, True), (19, 22, False), (21, 60, True)], 8) == [(0, 20, True), (19, 60, True)]
+    assert K._fold_short([(0, 20, True), (19, 22, False)], 8) == [(0, 22, True)]
+    assert K._fold_short([(0, 3, True), (2, 22, False)], 8) == [(0, 22, False)]
+
+
+def test_medians_at_the_ends():
+    x = np.random.default_rng(4).random(30)
+    want = [sorted(x[max(0, i - 4) : i + 5])[len(x[max(0, i - 4) : i + 5]) // 2] for i in range(30)]
+    assert K._median(x, 9).tolist() == want and K._median(x[:2], 9).tolist() == x[:2].tolist()
 
 
 def test_runs_are_coalesced(spark):
@@ -56,24 +77,87 @@ def test_runs_are_coalesced(spark):
     assert got == [("A", 0, 500, 3.0), ("A", 700, 800, 1.0)]
 
 
-def test_route_attempts():
-    assert K._attempts(["A", "B", "C"], [False] * 3, ["A", "B", "C"]) == [(0, 2)]
-    assert K._attempts(["A", "A", "B", "x", "C"], [False, False, False, True, False], ["A", "B", "C"]) == [(0, 4)]
-    assert K._attempts(["A", "x", "B", "C"], [False] * 4, ["A", "B", "C"]) == []
-    assert K._attempts(["A", "B", "A", "B"], [False] * 4, ["A", "B"]) == [(0, 1), (2, 3)]
+def test_a_detour_goes_whatever_the_gap_but_not_if_it_is_long(spark):
+    merged = lambda rows: [(r.name, r.start_t, r.end_t) for r in K.coalesce_runs(spark.createDataFrame([(1, *r, 1.0) for r in rows], "activity_id long, name string, start_t long, end_t long, ridden_km double")).orderBy("start_t").collect()]
+    assert merged([("A", 0, 100), ("B", 900, 950), ("A", 2000, 2100)]) == [("A", 0, 2100)]
+    assert merged([("A", 0, 100), ("B", 110, 200), ("A", 210, 300)]) == [("A", 0, 100), ("B", 110, 200), ("A", 210, 300)]
+    assert merged([("A", 0, 100), ("B", 110, 130), ("B", 140, 150), ("A", 160, 300)]) == [("A", 0, 100), ("B", 110, 150), ("A", 160, 300)]
+
 
+ROUTE = [{"pos": k, "name": n, "kind": "trail", "vertices": 4} for k, n in enumerate("ABC")]
+WHOLE = {(k, "own"): (True, True, ()) for k in range(3)}
 
-def test_complete_linkage_does_not_chain(spark):
-    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (3, 4, 0.85)], "a long, b long, score double")
-    groups = spark.createDataFrame([(k, 1) for k in (1, 2, 3, 4)], "v long, c long")
-    assert {r.v: r.cluster for r in K.complete_linkage(pairs, groups).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
 
+def entries(*names, marks=WHOLE, noise=(), gap=10, pause=60):
+    return [{"name": n, "kind": "trail", "start_idx": k * (50 + gap), "end_idx": k * (50 + gap) + 50, "start_t": k * (100 + pause), "end_t": k * (100 + pause) + 100, "noise": k in noise, "marks": marks} for k, n in enumerate(names)]
 
-def test_chains_and_leaders(spark):
+
+def test_route_attempts():
+    assert K._attempts(entries(*"ABC"), ROUTE) == [(0, 2)]
+    assert K._attempts(entries(*"ABCABC"), ROUTE) == [(0, 2), (3, 5)]
+    assert K._attempts(entries(*"AxBC"), ROUTE) == []
+    assert K._attempts(entries(*"AxBC", noise={1}), ROUTE) == [(0, 3)]
+    assert K._attempts(entries(*"AABC"), ROUTE) == [(0, 3)]  # leftover of the first trail right after its match
+    assert K._attempts(entries(*"AABC", pause=1000), ROUTE) == [(1, 3)]  # hours apart: starts over
+    assert K._attempts(entries(*"ABxABC"), ROUTE) == [(3, 5)]
+    assert K._attempts(entries(*"BC"), ROUTE) == []
+
+
+def test_segments_need_a_touch_of_both_ends_or_cover():
+    nothing = {(k, "own"): (True, False, ()) for k in range(3)}
+    assert K._attempts(entries(*"ABC", marks=nothing), ROUTE) == []
+    followed = {(k, "own"): (False, False, (0, 1, 2)) for k in range(3)}
+    assert K._attempts(entries(*"ABC", marks=followed), ROUTE) == [(0, 2)]
+    # two fragments of one trail touch an end each; a touch between them counts as well
+    rows = entries(*"AABC")
+    rows[0]["marks"], rows[1]["marks"] = {(0, "own"): (True, False, ())}, {(0, "own"): (False, True, ())}
+    assert K._attempts(rows, ROUTE) == [(0, 3)]
+    rows[1]["marks"] = {(0, "gap"): (False, True, ())}
+    assert K._attempts(rows, ROUTE) == [(0, 3)]
+    rows[1]["start_t"] += 2000
+    assert K._attempts(rows, ROUTE) == []
+
+
+def test_clusters_do_not_chain_and_equal_one_by_one(spark):
+    from wayfold.operators.overview import clusters_of_rides
+
+    def found(pairs, n, least):
+        df = spark.createDataFrame(pairs, "a long, b long, score double")
+        return {r.v: r.cluster for r in clusters_of_rides(df, spark.range(n).withColumnRenamed("id", "v"), least).collect()}
+
+    assert found([(1, 2, 0.9), (2, 3, 0.8), (3, 4, 0.85)], 5, 0.5) == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3}
+    rng = np.random.default_rng(7)
+    pairs = [(i, j, float(s)) for i in range(14) for j in range(i + 1, 14) if (s := rng.random()) > 0.3]
+    groups = [{v} for v in range(14)]
+    score = {frozenset(p[:2]): p[2] for p in pairs}
+    far = lambda x, y: min(score.get(frozenset((i, j)), -1.0) for i in x for j in y)
+    while True:
+        best = max(((far(x, y), x, y) for k, x in enumerate(groups) for y in groups[k + 1 :]), key=lambda t: t[0])
+        if best[0] < 0.4:
+            break
+        groups = [g for g in groups if g is not best[1] and g is not best[2]] + [best[1] | best[2]]
+    assert found(pairs, 14, 0.4) == {v: min(g) for g in groups for v in g}
+
+
+def test_chains(spark):
     w = spark.createDataFrame([("A", 0, 0.0, 0.0, 10.0, 0.0), ("A", 1, 50.0, 0.0, 60.0, 0.0), ("A", 2, 20.0, 0.0, 12.0, 0.0)], "name string, way_pos long, ax double, ay double, bx double, by double")
-    assert {(r.way_pos, r.chain, r.place) for r in K.chains(w).collect()} == {(0, 0, 0), (2, 0, 1), (1, 1, 0)}
-    p = spark.createDataFrame([("g", 1, 0.0, 0.0), ("g", 2, 4.0, 0.0), ("g", 3, 8.0, 0.0)], "k string, id long, x double, y double")
-    assert {r.id: r.leader for r in K.leaders(p, 5.0, "k").collect()} == {1: 1, 2: 1, 3: 3}
+    groups = spark.createDataFrame([(0, 0), (2, 0), (1, 1)], "way_pos long, c long")
+    assert {(r.way_pos, r.chain, r.place, r.back) for r in K.chains(w, groups).collect()} == {(0, 0, 0, False), (2, 0, 1, True), (1, 1, 0, False)}
+
+
+def test_leaders_equal_one_by_one(spark):
+    from wayfold.operators.network import leaders
+
+    rng = np.random.default_rng(9)
+    lat, lon = 50 + rng.random(300) * 0.004, -116 + rng.random(300) * 0.004
+    metres = lambda i, j: 6371000 * np.hypot(np.radians(lat[i] - lat[j]), np.radians(lon[i] - lon[j]) * np.cos(np.radians(50.002)))
+    lead, want = [], {}
+    for i in range(300):
+        want[i] = next((k for k in lead if metres(i, k) <= 25), i)
+        if want[i] == i:
+            lead.append(i)
+    got = {r.id: r.leader for r in leaders(spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(zip(lat, lon, strict=True))], "id long, lat double, lon double"), 25.0).collect()}
+    assert got == want
 
 
 def test_training_values(spark):
@@ -96,8 +180,8 @@ def test_streaks(spark):
 
 def test_spikes_need_a_long_track_and_no_lift(spark):
     def track(n, jump, lift=()):
-        rows = [(1, i, 60.0 if i == jump else 10.0, i in lift) for i in range(n)]
-        return T.spikes(spark.createDataFrame(rows, "activity_id long, seq long, speed double, assisted boolean"))
+        rows = [(1, i, 10.0, (60.0 if i == jump else 10.0) / 0.36, i in lift) for i in range(n)]
+        return T.spikes(spark.createDataFrame(rows, "activity_id long, seq long, dt double, dist double, assisted boolean"))
 
     hits = lambda df: [r.seq for r in df.where("spike").collect()]
     assert hits(track(60, 30)) == [30] and hits(track(20, 10)) == [] and hits(track(60, 30, {30})) == [] and hits(track(60, 30, {29})) == []
@@ -108,3 +192,75 @@ def test_trim_is_a_no_op_where_it_must_be(spark):
     assert T.trimmed(p, 0.7, 0.3).count() == 10
     rows = T.trimmed(p, 0.3, 0.7).orderBy("seq").collect()
     assert [r.seq for r in rows] == [0, 1, 2, 3, 4] and rows[0].dist_km == 0
+
+
+def plain_flags(name, dt, dz, dist, speed, lat, lon):
+    """Detectors point by point, as they are described: windows from each point on, and what is accepted is passed over."""
+    n, out, i = len(dt), np.zeros(len(dt), bool), 1
+    valid = [k for k in range(n) if not np.isnan(speed[k]) and 0 < dt[k] < 5]
+
+    def reach(a, seconds):
+        k = a
+        while k < n and sum(dt[a:k]) < seconds:
+            k += 1
+        return k
+
+    def mean(a, b, fit):
+        v = [speed[k] for k in range(a, b) if k in fit]
+        return sum(v) / len(v) if v else None
+
+    valid, any_speed = set(valid), {k for k in range(n) if not np.isnan(speed[k])}
+    while i < n:
+        end = None
+        if name.startswith("elevation_rate"):
+            rate, gain = (15.0, 40.0) if name.endswith("high") else (5.0, 25.0)
+            j = reach(i, 60)
+            secs, up = sum(dt[i:j]), sum(dz[i:j])
+            if secs > 0 and up >= gain and up / secs * 60 >= rate:
+                while j < n and (k := reach(j, 30)) > j and sum(dt[j:k]) > 0 and sum(dz[j:k]) / sum(dt[j:k]) * 60 >= rate / 2:
+                    j = k
+                end = j if sum(dt[i:j]) >= 60 else None
+        elif name == "speed_sinuosity":
+            j = min(i + 60, n)
+            if len(valid & set(range(i, j))) >= 30 and sum(dz[i:j]) >= 25 and 6 < mean(i, j, valid) < 25:
+                while j < n and (m := mean(max(i, j - 20), j, valid)) is not None and 6 < m < 25:
+                    j += 1
+                v = [speed[k] for k in range(i, j) if k in valid]
+                straight = K._metres(lat[i], lon[i], lat[j - 1], lon[j - 1])
+                winds = sum(dist[i:j]) / straight if straight > 1 else 1.0
+                if sum(dz[i:j]) >= 40 and sum(dt[i:j]) >= 90 and (np.std(v, ddof=1) < 13 or winds <= 1.15):
+                    end = j
+        else:
+            j = reach(i, 90)
+            m = mean(i, j, any_speed)
+            if sum(dt[i:j]) >= 45 and sum(dz[i:j]) >= 50 and m is not None and m >= 20:
+                while j < n and (m := mean(max(i, j - 30), j, any_speed)) is not None and m >= 20 and sum(dz[max(i, j - 30) : j]) >= 0:
+                    j += 1
+                end = j
+        if end is None:
+            i += 1
+        else:
+            out[i:end] = True
+            i = end
+    return out
+
+
+@pytest.mark.parametrize("name", ["elevation_rate", "elevation_rate_high", "speed_sinuosity", "shuttle"])
+def test_detectors_equal_plain_ones(name):
+    rng, hits = np.random.default_rng(21), 0
+    for _ in range(25):
+        n = int(rng.integers(20, 260))
+        kind = np.repeat(rng.integers(0, 3, n), rng.integers(10, 60, n))[:n]
+        dt = rng.integers(1, 5, n).astype(float)
+        speed = np.where(kind == 0, rng.normal(12, 3, n), np.where(kind == 1, rng.normal(32, 6, n), rng.normal(8, 6, n))).clip(0.5)
+        dz = np.where(kind < 2, rng.normal(1.5, 0.8, n), rng.normal(-0.5, 1, n))
+        dz, speed = np.round(dz * 8) / 8, np.round(speed * 8) / 8  # so that sums are exact
+        dist = speed / 3.6 * dt
+        lat = 50 + np.cumsum(dist * rng.choice([1.0, 0.7], n)) * 1e-5
+        speed[rng.random(n) < 0.1] = np.nan
+        lon = np.full(n, -116.0)
+        want = plain_flags(name, dt, dz, dist, speed, lat, lon)
+        got = K.DETECTORS[name](dt, dist, dz, speed, lat, lon)
+        assert got.tolist() == want.tolist()
+        hits += want.sum()
+    assert hits > 100

@@ -17,8 +17,9 @@ class Detect:
         from wayfold.operators.kernels import DETECTORS
 
         columns = [np.array([np.nan if v is None else v for v in x or []], float) for x in (dt, dist, ele_delta, speed)]
+        nowhere = np.full(len(columns[0]), np.nan)  # without positions no climb is straight
         if len(columns[0]):
-            for i, flag in enumerate(DETECTORS[algorithm](*columns)):
+            for i, flag in enumerate(DETECTORS[algorithm](*columns, nowhere, nowhere)):
                 yield i, bool(flag)
 
 

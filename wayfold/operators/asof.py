@@ -32,14 +32,15 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str, value: str, by: li
         both = mine.unionByName(theirs, allowMissingColumns=True)
         w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
         return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*cols, value)
-    # one row for each change point; their order is a window over them alone
-    points = right.where(F.col(value).isNotNull()).groupBy(_number(right, on).alias("_lo")).agg(F.max(value).alias(value))
-    spans = points.withColumn("_next", F.lead("_lo").over(Window.orderBy("_lo")))
+    # one row for each change point, and one where the left side ends; their order is a window over them alone
+    points = right.where(F.col(value).isNotNull()).groupBy(_number(right, on).alias("_lo")).agg(F.max(value).alias(value)).withColumn("_stop", F.lit(False))
     mine = left.withColumn("_at", _number(left, on)).withColumn("_k", F.floor(F.col("_at") / bucket))
-    last = mine.agg(F.max("_at").alias("_last"))  # one row
-    spans = spans.crossJoin(F.broadcast(last)).where("_lo <= _last").withColumn("_end", F.least(F.coalesce("_next", "_last"), "_last"))
-    spans = spans.select(F.explode(F.sequence(F.floor(F.col("_lo") / bucket), F.floor(F.col("_end") / bucket))).alias("_k2"), "_lo", "_next", F.col(value).alias("_v"))
-    inside = (F.col("_k") == F.col("_k2")) & (F.col("_at") >= F.col("_lo")) & (F.col("_next").isNull() | (F.col("_at") < F.col("_next")))
+    stop = mine.agg(F.max("_at").alias("_lo")).withColumn("_stop", F.lit(True)).where("_lo IS NOT NULL")
+    w = Window.orderBy("_lo", "_stop")
+    spans = points.unionByName(stop, allowMissingColumns=True).withColumns({"_next": F.lead("_lo").over(w), "_last": F.lead("_stop").over(w)})
+    spans = spans.where("NOT _stop AND _next IS NOT NULL")
+    spans = spans.select(F.explode(F.sequence(F.floor(F.col("_lo") / bucket), F.floor(F.col("_next") / bucket))).alias("_k2"), "_lo", "_next", "_last", F.col(value).alias("_v"))
+    inside = (F.col("_k") == F.col("_k2")) & (F.col("_at") >= F.col("_lo")) & (F.col("_last") | (F.col("_at") < F.col("_next")))
     return mine.join(spans, inside, "left").select(*cols, F.col("_v").alias(value))
 
 

@@ -24,7 +24,7 @@ def _sums(x: np.ndarray) -> np.ndarray:
 def rising(dt: np.ndarray, dz: np.ndarray, rate: float, gain: float, seconds: float = 60.0, block: float = 30.0) -> np.ndarray:
     """Legs of steady climbs: at least ``seconds`` with ``gain`` metres at ``rate`` metres a minute, extended by blocks at half that rate."""
     n, t, z = len(dt), _sums(dt), _sums(dz)
-    flag, i = np.zeros(n, bool), 0
+    flag, i = np.zeros(n, bool), 1  # no leg goes into the first point
     while i < n:
         j = int(np.searchsorted(t, t[i] + seconds, "left"))
         if j > n:
@@ -298,14 +298,18 @@ def coalesce_runs(runs: DataFrame, gap: float = 120.0, detour: float = 60.0) ->
     """Runs of ``runs(activity_id, name, start_t, end_t, ridden_km)`` merged: of the same name within ``gap`` seconds, and around another one of at most ``detour`` seconds, which goes."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in pdf.sort_values("start_t").itertuples(index=False):
-            row = [r.activity_id, r.name, r.start_t, r.end_t, r.ridden_km]
-            if out and out[-1][1] == row[1] and row[2] - out[-1][3] <= gap:
-                out[-1][3], out[-1][4] = row[3], out[-1][4] + row[4]
-            elif len(out) > 1 and out[-2][1] == row[1] and out[-1][3] - out[-1][2] <= detour:
-                out.pop()
-                out[-1][3], out[-1][4] = row[3], out[-1][4] + row[4]
+        rows = [list(r) for r in pdf[["activity_id", "name", "start_t", "end_t", "ridden_km"]].sort_values("start_t").itertuples(index=False)]
+        out, after = rows[:1], rows[1:][::-1]
+
+        def join(row: list) -> None:
+            out[-1][3], out[-1][4] = row[3], out[-1][4] + row[4]
+
+        while after:
+            row = after.pop()
+            if row[1] == out[-1][1] and row[2] - out[-1][3] <= gap:
+                join(row)
+            elif after and after[-1][1] == out[-1][1] != row[1] and row[3] - row[2] <= detour:
+                join(after.pop())
             else:
                 out.append(row)
         return pd.DataFrame(out, columns=["activity_id", "name", "start_t", "end_t", "ridden_km"])
@@ -384,37 +388,6 @@ def scan_routes(timeline: DataFrame, marks: DataFrame, route: list[dict]) -> Dat
     return t.groupBy("activity_id").cogroup(marks.groupBy("activity_id")).applyInPandas(kernel, "activity_id long, first_idx long, last_idx long, duration long")
 
 
-def complete_linkage(pairs: DataFrame, groups: DataFrame, least: float = 0.5) -> DataFrame:
-    """Clusters in which all pairs are alike: within each group, the strongest merge first, the last of equals.
-
-    ``pairs(a, b, score)``, and ``groups(v, c)``: connected components of the
-    pairs that are alike, outside which no merge can happen.
-    """
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        place = {v: k for k, v in enumerate(names)}
-        s = np.full((len(names), len(names)), -1.0)
-        i, j = pdf["a"].map(place), pdf["b"].map(place)
-        s[i, j] = s[j, i] = pdf["score"]
-        members = [[k] for k in range(len(names))]
-        while len(members) > 1:
-            upper = np.triu_indices(len(members), 1)
-            values = s[upper]
-            best = len(values) - 1 - int(values[::-1].argmax())
-            if values[best] < least:
-                break
-            a, b = int(upper[0][best]), int(upper[1][best])
-            s[a] = s[:, a] = np.minimum(s[a], s[b])
-            s = np.delete(np.delete(s, b, 0), b, 1)
-            members[a] += members.pop(b)
-        rows = [(names[k], names[min(m)]) for m in members for k in m]
-        return pd.DataFrame(rows, columns=["v", "cluster"])
-
-    alike = pairs.where(pairs["score"] >= least).join(groups, pairs["a"] == groups["v"]).select("c", "a", "b", "score")
-    return alike.groupBy("c").applyInPandas(kernel, "v long, cluster long")
-
-
 def chains(ways: DataFrame, groups: DataFrame, metres: float = 5.0) -> DataFrame:
     """Ways of the same name linked end to end: for each the chain (its first way), its place in it and whether it runs backwards there; greedily from the first way on.
 
