@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, flat, span_hashes, text_chunks, words
+from .common import crc_mod, cut, flat, small, span_hashes, text_chunks, words
 from .pieces import SPACE, Vocabulary, substring_ids, vocabulary
 
 BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 32 << 20
@@ -337,7 +337,7 @@ def lm_score(docs: DataFrame, folds: int = 5, held: int = 1, model: str = MODEL)
     buckets = 1 + size // BUCKET_BYTES
     blocks = cut(docs.mapInArrow(partial(_prepare, buckets=buckets), _BLOCKS))
     asked = blocks.where("bucket >= 0")
-    merged = asked.select("bucket", "hashes", "counts", "sizes", "letters").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "bucket int, tokens long, known long, once long, hashes binary, counts binary, sizes binary, letters binary")
+    merged = asked.select("bucket", "hashes", "counts", "sizes", "letters").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_merge, "bucket int, tokens long, known long, once long, hashes binary, counts binary, sizes binary, letters binary")
     merged = cut(merged)
     tokens, known, once = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "known", "once"))).first()
     train = docs.where("NOT held_out").count()
@@ -354,9 +354,11 @@ def lm_score(docs: DataFrame, folds: int = 5, held: int = 1, model: str = MODEL)
     whole = merged.select(F.lit(-1).cast("long").alias("block"), "bucket", F.lit(b"").alias("texts"), "hashes", "counts", "sizes", "letters")
     empty = F.lit(b"")
     ask = asked.select("block", "bucket", empty.alias("texts"), "hashes", empty.alias("counts"), empty.alias("sizes"), empty.alias("letters"))
-    answers = whole.unionByName(ask).repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(partial(_answer, model=model, logp=logp, end=end, tokens=tokens, new=new), _BLOCKS)
+    answers = whole.unionByName(ask).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "block").mapInArrow(partial(_answer, model=model, logp=logp, end=end, tokens=tokens, new=new), _BLOCKS)
     texts = blocks.where("bucket < 0")
-    # a number, so that adaptive execution joins no blocks in one task; a task reads its blocks one after the other
+    # each block has a partition of its own, which adaptive execution joins with no other
     number = max(1, texts.count())
-    scored = texts.unionByName(answers).repartition(number, "block").sortWithinPartitions("block", "bucket").mapInArrow(partial(_score, tokens=tokens, known=known), _SCORED)
+    places = texts.select("block").withColumn("place", (F.row_number().over(Window.orderBy("block")) - 1).cast("int"))
+    dealt = texts.unionByName(answers).join(small(places), "block").repartitionById(number, F.col("place")).sortWithinPartitions("block", "bucket").drop("place")
+    scored = dealt.select(*_NAMES).mapInArrow(partial(_score, tokens=tokens, known=known), _SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "subword_score")
