@@ -95,19 +95,22 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(batches: Iterator[pa.RecordBatch], axes: dict, eps: float) -> Iterator[pa.RecordBatch]:
-    """Each vector's slab (its dimension and first cell), the cells of the next two axes, and a sort key of all."""
+    """Each vector's slab (its dimension and first cell), the cells of the next two axes, a sort key of all, and its place on the axes."""
+    eps = max(eps, 2.0**-13)  # cells may be wider than the distance, and so no number of them overflows
     for b in batches:
         units = b.column("unit").to_pylist()
-        slab, second, third, order = [], [], [], []
+        slab, second, third, order, at = [], [], [], [], []
         for u in units:
             x = np.frombuffer(u)
             mean, v = axes[len(x)]
-            c = np.floor((x - mean) @ v / eps).astype(np.int64)
+            place = (x - mean) @ v
+            c = np.floor(place / eps).astype(np.int64)
+            at.append(np.concatenate([place, np.zeros(GRID - len(place))]).tolist())
             slab.append(len(x) << 32 | int(c[0] + (1 << 16)))
             second.append(int(c[1]) if len(c) > 1 else 0)
             third.append(int(c[2]) if len(c) > 2 else 0)
             order.append((c + (1 << 15)).astype(">u2").tobytes())
-        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in (slab, second, third)), pa.array(order, pa.binary())], [*b.schema.names, "slab", "second", "third", "cells"])
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in (slab, second, third)), pa.array(order, pa.binary()), pa.array(at, pa.list_(pa.float64()))], [*b.schema.names, "slab", "second", "third", "cells", "spot"])
 
 
 def _join(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, eps: float, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -169,11 +172,11 @@ def _match(batches: Iterator[pa.RecordBatch], axes: dict, eps: float, least: flo
             split = int((side == 0).sum())
             same = split == len(ids)
             a, b = (slice(0, split), slice(0, split)) if same else (slice(0, split), slice(split, None))
-            links, forest, edges = np.zeros(len(ids), np.int64), Forest(len(ids)), []
+            links, label, edges = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
             for i, j in _join(x[a], x[b], p[a], p[b], eps, least, same):
                 j = j + (0 if same else split)
                 links += np.bincount(i, weight[j], len(ids)).astype(np.int64) + np.bincount(j, weight[i], len(ids)).astype(np.int64)
-                edges += [(int(m), int(n)) for m, n in zip(i.tolist(), j.tolist(), strict=True) if forest.join(m, n)]
+                label = _joined(label, i, j, edges)
             on = np.flatnonzero(links)
             none = pa.nulls(len(on), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(links[on]), none], ["id", "links", "other"])
@@ -182,6 +185,24 @@ def _match(batches: Iterator[pa.RecordBatch], axes: dict, eps: float, least: flo
                 yield pa.RecordBatch.from_arrays([pa.array(ids[m]), pa.array(np.zeros(len(m), np.int64)), pa.array(ids[n])], ["id", "links", "other"])
 
 
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray, edges: list[tuple[int, int]]) -> np.ndarray:
+    """Labels of components after the links (i, j); those that join two components are appended to ``edges``.  A pair of labels is looked at once."""
+    on = np.flatnonzero(label[i] != label[j])
+    if not len(on):
+        return label
+    i, j = i[on], j[on]
+    pairs = np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])], 1)
+    pairs, first = np.unique(pairs, axis=0, return_index=True)
+    names, place = np.unique(pairs, return_inverse=True)
+    forest = Forest(len(names))
+    for (p, q), k in zip(place.reshape(-1, 2).tolist(), first.tolist(), strict=True):
+        if forest.join(p, q):
+            edges.append((int(i[k]), int(j[k])))
+    new = np.arange(len(label))
+    new[names] = names[[forest.find(k) for k in range(len(names))]]
+    return new[label]
+
+
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Near-duplicate classes of ``vectors(vec_id, embedding)``: one row per vector with
     ``vec_id``, ``n_links`` (other vectors of cosine ``threshold`` or more),
@@ -190,27 +211,35 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing, and so do those of different dimensions.  Directions
     that are equal to the last bit are compared once, and count as often as
-    they come; their copies link with each other.  Other columns are left out.
+    they come; their copies link with each other.  Rows that repeat a vec_id
+    with another vector are vectors of their own; of an empty table there are
+    no rows.  Other columns are left out.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     units = cut(vectors.mapInArrow(_units, "vec_id long, unit binary"))
     classes = units.where("unit IS NOT NULL AND vec_id IS NOT NULL").withColumn("key", F.sha2("unit", 256)).select("vec_id", "key", "unit")
-    kinds = cut(classes.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
-    reps = classes.dropDuplicates(["vec_id"]).join(kinds.select(F.col("id").alias("vec_id"), "copies"), "vec_id").select(F.col("vec_id").alias("id"), "copies", "unit")
+    # a kind is one direction: its vector, its smallest vec_id, and a number of its own
+    kinds = cut(classes.groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
+    kinds = cut(kinds.withColumn("id", F.monotonically_increasing_id()))
+    reps = kinds.select("id", "copies", "unit")
     axes = _axes(reps.select("unit"))
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-12
-    cells = cut(reps.mapInArrow(partial(_cells, axes=axes, eps=eps), "id long, copies long, unit binary, slab long, second long, third long, cells binary"))
+    cells = cut(reps.mapInArrow(partial(_cells, axes=axes, eps=eps), "id long, copies long, unit binary, slab long, second long, third long, cells binary, spot array<double>"))
     # runs of a slab, in the order of the cells on the next two axes, which a unit sphere has few of; hot cells are split
     sizes = cells.groupBy("slab", "second", "third").agg(F.count("*").alias("k"))
     before = F.sum("k").over(Window.partitionBy("slab").orderBy("second", "third").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.withColumn("at", F.coalesce(before, F.lit(0)))
     inside = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("k") / RUN)))
     runs = cells.join(sizes, ["slab", "second", "third"]).withColumn("run", F.floor((F.col("at") + inside * RUN) / RUN))
-    runs = cut(runs.select("id", "copies", "unit", "slab", "second", "cells", "run"))
-    boxes = runs.groupBy("slab", "run").agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
+    runs = cut(runs.select("id", "copies", "unit", "slab", "cells", "spot", "run"))
+    # boxes of runs on all axes: two that are further apart than the distance are no pair
+    corner = lambda f: F.array(*(f(F.col("spot")[k]) for k in range(GRID)))
+    boxes = cut(runs.groupBy("slab", "run").agg(corner(F.min).alias("lo"), corner(F.max).alias("hi")))
+    runs = runs.drop("spot")
     own = boxes.toDF("slab", "r0", "lo0", "hi0")
-    close = "lo0 <= hi + 1 AND lo <= hi0 + 1"
-    same_slab = own.join(boxes.withColumnRenamed("run", "r1"), "slab").where(f"r0 <= r1 AND {close}").select("slab", "r0", F.col("slab").alias("slab1"), "r1")
+    gaps = F.zip_with(F.zip_with("lo", "hi0", lambda x, y: x - y), F.zip_with("lo0", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    close = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps * (1 + 1e-9)
+    same_slab = own.join(boxes.withColumnRenamed("run", "r1"), "slab").where(F.col("r0") <= F.col("r1")).where(close).select("slab", "r0", F.col("slab").alias("slab1"), "r1")
     next_slab = own.join(boxes.select((F.col("slab") - 1).alias("slab"), F.col("slab").alias("slab1"), F.col("run").alias("r1"), "lo", "hi"), "slab").where(close).select("slab", "r0", "slab1", "r1")
     pairs = same_slab.unionByName(next_slab).withColumn("pair", F.concat_ws(":", "slab", "r0", "slab1", "r1"))
     left = runs.join(pairs.select("slab", F.col("r0").alias("run"), "pair"), ["slab", "run"]).withColumn("side", F.lit(0))
@@ -219,8 +248,9 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     found = cut(both.mapInArrow(partial(_match, axes=axes, eps=eps, least=threshold), "id long, links long, other long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = cut(components(found.where("other IS NOT NULL"), "id", "other"))
-    kinds = kinds.join(links, "id", "left").join(comps.withColumnRenamed("v", "id"), "id", "left")
-    kinds = kinds.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("c", "id").alias("component_id"))
+    kinds = kinds.drop("unit").join(links, "id", "left").join(comps.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    kinds = kinds.join(kinds.groupBy("c").agg(F.min("first").alias("component_id")), "c")
+    kinds = kinds.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = classes.select("vec_id", "key").join(kinds, "key").select("vec_id", "n_links", "component_id")
     alone = units.where("unit IS NULL OR vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
