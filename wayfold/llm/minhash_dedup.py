@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, arrow_rows, compact, mix, renewed, small, text_chunks, word_hashes
+from .common import Forest, arrow_rows, compact, cut, mix, renewed, small, text_chunks, word_hashes
 
 #: Whether a node's documents outside its largest component are so few that they join each block.
 FEW = "others <= 32 AND 4 * others <= size"
@@ -36,7 +36,7 @@ WHOLE = 4096  #: documents of a node up to which all its parts are compared with
 TREES = 5
 DEPTH = 6  #: rounds of branching, of two levels each, before large nodes are compared block by block
 ROWS = 1024  #: rows of texts, sketches or sets that Python gets at once
-LEAST = 36  #: shared minima from which a pair is confirmed on full sets: 0.75 of 64 less 3.5 standard deviations
+LEAST = 32  #: shared minima from which a pair is confirmed on full sets: 0.75 of 64 less 4.6 standard deviations
 
 _rng = np.random.default_rng(7919)
 _PLACE = (_rng.integers(1, 2**63, 16, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -76,25 +76,34 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
     return v[keep], np.searchsorted(o[keep], np.arange(n + 1))
 
 
+def _prints(v: np.ndarray, off: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Size of each set, and two fingerprints of it."""
+    n, full = np.diff(off), np.flatnonzero(np.diff(off))
+    f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    if len(full):
+        f1[full] = np.add.reduceat(mix(v + np.uint64(1)), off[full])
+        f2[full] = np.bitwise_xor.reduceat(mix(v + np.uint64(2)), off[full])
+    return pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in text_chunks(batches):
         v, off = shingle_sets(b.column("text"), width)
-        n, full = np.diff(off), np.flatnonzero(np.diff(off))
-        sig = np.zeros((len(n), POSITIONS), np.uint32)
-        f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+        full = np.flatnonzero(np.diff(off))
+        sig = np.zeros((len(off) - 1, POSITIONS), np.uint32)
         if len(full):
-            at = off[full]
             for j in range(POSITIONS):
-                sig[full, j] = np.minimum.reduceat((v * _PERMUTE[j]).view(np.uint32)[1::2], at)
-            f1[full] = np.add.reduceat(mix(v + np.uint64(1)), at)
-            f2[full] = np.bitwise_xor.reduceat(mix(v + np.uint64(2)), at)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                sig[full, j] = np.minimum.reduceat((v * _PERMUTE[j]).view(np.uint32)[1::2], off[full])
+        n, f1, f2 = _prints(v, off)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, f1, f2, pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in text_chunks(batches):
         v, off = shingle_sets(b.column("text"), width)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([v[i:j].tobytes() for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["id", "items"])
+        n, f1, f2 = _prints(v, off)
+        items = pa.array([v[i:j].tobytes() for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, f1, f2, items], ["first", "n_shingles", "f1", "f2", "items"])
 
 
 def _branch(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...], levels: int) -> Iterator[pa.RecordBatch]:
@@ -225,8 +234,10 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 75, trees: int
     reachable over links of ``percent`` similarity or more) and ``kept``
     (doc_id = component_id).
 
-    Repeated rows give repeated rows; documents of a null doc_id come back
-    with an empty component, and link with nothing.  Other columns are left out.
+    Repeated rows give repeated rows; rows that repeat a doc_id with other texts
+    are documents of their own.  Documents of a null doc_id come back with an
+    empty component, and link with nothing.  Very long texts are read whole; of
+    an empty table there are no rows.  Other columns are left out.
     """
     with arrow_rows(docs.sparkSession, ROWS):
         return _classes(docs, width, percent, trees)
@@ -237,8 +248,11 @@ def _classes(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame
     known = docs.where("doc_id IS NOT NULL")
     sketches = compact(known.mapInArrow(partial(_sketch, width=width), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"))
     filled = sketches.where("n_shingles > 0")
-    classes = compact(filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")))
-    reps = compact(filled.dropDuplicates(["doc_id"]).join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "sig"))
+    prints = ["f1", "f2", "n_shingles"]
+    # a class holds all documents of one set: its sketch, its smallest doc_id, and a number of its own
+    classes = compact(filled.groupBy(prints).agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig")))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    reps = classes.select("id", "sig")
 
     sets, comps = None, None
 
@@ -250,7 +264,8 @@ def _classes(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame
         kinds = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
         sizes = kinds.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("main"))
         sizes = sizes.where(f"size >= {least} AND size > main.k").select("node", "size", F.col("main.comp").alias("main"), (F.col("size") - F.col("main.k")).alias("others"))
-        return rows.join(sizes, "node")
+        # cut, so that the join is of two plain shuffles: then adaptive execution splits the rows of a hot node, or sends the sizes to all
+        return rows.join(cut(sizes), "node")
 
     def blocks(rows: DataFrame, whole: int) -> DataFrame:
         """Rows with their block.  A node of up to ``whole`` documents has one for each pair of its parts; a larger one has its parts, each with the documents outside the node's largest component, where they are few, or with its pivot."""
@@ -271,8 +286,10 @@ def _classes(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame
         if ids.isEmpty():
             return
         new = ids if sets is None else ids.join(sets.select("id"), "id", "left_anti")
-        texts = known.join(small(new.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
-        more = compact(texts.mapInArrow(partial(_sets, width=width), "id long, items binary").dropDuplicates(["id"]))
+        new = small(cut(new.join(classes.drop("sig"), "id")))
+        texts = known.join(new.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+        made = texts.mapInArrow(partial(_sets, width=width), "first long, n_shingles long, f1 long, f2 long, items binary")
+        more = compact(made.join(new, ["first", *prints]).select("id", "items").dropDuplicates(["id"]))
         sets = more if sets is None else sets.unionByName(more)
         full = labelled(suspects).join(reps.join(small(ids), "id", "left_semi"), "id").join(sets.join(small(ids), "id", "left_semi"), "id")
         full = full.select("node", "block", "id", "comp", "sig", "items").repartition("node", "block").sortWithinPartitions("node", "block", "id")
@@ -300,12 +317,12 @@ def _classes(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame
         settle(rows)
         live = rows.where(f"size > {WHOLE} AND NOT ({FEW})")
 
-    kinds = classes
+    kinds = classes.select(*prints, F.col("first").alias("component_id"))
     if comps is not None:
-        kinds = classes.join(comps.select(F.col("v").alias("id"), "c"), "id", "left").select("f1", "f2", "n_shingles", F.coalesce("c", "id").alias("component_id"))
-    else:
-        kinds = classes.withColumnRenamed("id", "component_id")
-    shared = filled.select("doc_id", "n_shingles", "f1", "f2").join(kinds, ["f1", "f2", "n_shingles"])
+        whole = classes.drop("sig").join(comps.select(F.col("v").alias("id"), "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        least = whole.groupBy("c").agg(F.min("first").alias("component_id"))
+        kinds = whole.join(least, "c").select(*prints, "component_id")
+    shared = filled.select("doc_id", "n_shingles", "f1", "f2").join(kinds, prints)
     alone = sketches.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     cols = ["doc_id", "n_shingles", "component_id"]
     nulls = docs.where("doc_id IS NULL").mapInArrow(partial(_sketch, width=width), "doc_id long, n_shingles long, f1 long, f2 long, sig binary").withColumn("component_id", F.col("doc_id"))
