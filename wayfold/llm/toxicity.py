@@ -40,13 +40,33 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (span_hashes(buf, start, end) % np.uint64(BUCKETS)).astype(np.int64), doc
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, bucket) of a batch of texts."""
+    bucket, doc = terms(b.column("text"))
+    key = np.unique(doc * BUCKETS + bucket)
+    return key // BUCKETS, key % BUCKETS
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of either label that have each bucket, in this partition."""
+    total = np.zeros((2, BUCKETS), np.int64)
+    for b in text_chunks(batches):
+        row, bucket = _sets(b)
+        label = np.asarray(b.column("label"))[row]
+        for k in (0, 1):
+            total[k] += np.bincount(bucket[label == k], minlength=BUCKETS)
+    k = np.flatnonzero(total.sum(0))
+    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[0, k]), pa.array(total[1, k])], ["bucket", "n0", "n1"])
+
+
+def _bits(batches: Iterator[pa.RecordBatch], index: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """Which of the ``width`` chosen buckets each row has, a bit each."""
     for b in text_chunks(batches):
-        bucket, doc = terms(b.column("text"))
-        key = np.unique(doc * BUCKETS + bucket)
-        at = np.searchsorted(key // BUCKETS, np.arange(b.num_rows + 1))
-        raw = [(key[i:j] % BUCKETS).astype(np.int32).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(raw, pa.binary())], ["label", "buckets"])
+        row, bucket = _sets(b)
+        x = np.zeros((b.num_rows, width), bool)
+        k = index[bucket]
+        x[row[k >= 0], k[k >= 0]] = True
+        yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([r.tobytes() for r in np.packbits(x, 1)], pa.binary())], ["label", "bits"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> dict[str, np.ndarray]:
@@ -57,25 +77,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> dict[str,
     share = (counts.get(1, 0) + 0.5) / (total + 1)
     chosen = [labels.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows of two numbers
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("label", "text").mapInArrow(_buckets, "label int, buckets binary").collect()
-    rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    y = np.array([r[0] for r in rows], np.float64)
+    texts = docs.select("doc_id", "text").join(sample, "doc_id").select("label", "text")
     model = {"index": np.full(BUCKETS, -1, np.int16), "bias": np.float64(np.log(share / (1 - share))), "w": np.zeros(0), "v": np.zeros((0, RANK))}
-    if not 0 < y.sum() < len(y):
+    # counts come first, at most BUCKETS rows; then a few bytes of each row of the sample, however long its text
+    found = texts.mapInArrow(_counts, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 5").collect()
+    n = np.array([min(per_class, counts.get(k, 0)) for k in (0, 1)], float)
+    if not found or not n.all():
         return model
-    found = [np.frombuffer(r[1], np.int32) for r in rows]
-    in_rows = np.stack([np.bincount(np.concatenate([f for f, k in zip(found, y, strict=True) if k == label] or [np.zeros(0, np.int32)]), minlength=BUCKETS) for label in (0, 1)])
-    n = np.array([len(y) - y.sum(), y.sum()])
+    bucket, in_rows = np.array([r[0] for r in found]), np.array([[r[1], r[2]] for r in found], float).T
     p = (in_rows + 0.5) / (n[:, None] + 1)
     both = (in_rows.sum(0) + 0.5) / (n.sum() + 1)
-    chi = (p[1] - p[0]) ** 2 / (both * (1 - both)) * (in_rows.sum(0) >= 5)
-    best = np.argsort(-chi, kind="stable")[:CHOSEN]
-    best = best[chi[best] > 0]
+    chi = (p[1] - p[0]) ** 2 / (both * (1 - both))
+    best = np.lexsort((bucket, -chi))[:CHOSEN]
+    best = np.sort(bucket[best[chi[best] > 0]])
     model["index"][best] = np.arange(len(best))
-    x = np.zeros((len(y), len(best)), np.float32)
-    for i, f in enumerate(found):
-        k = model["index"][f]
-        x[i, k[k >= 0]] = 1
+    rows = texts.mapInArrow(partial(_bits, index=model["index"], width=max(1, len(best))), "label int, bits binary").collect()
+    rows.sort(key=lambda r: (r[0], bytes(r[1])))
+    y = np.array([r[0] for r in rows], np.float64)
+    if not 0 < y.sum() < len(y):
+        return model
+    n = np.array([len(y) - y.sum(), y.sum()])
+    x = np.unpackbits(np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(best)].astype(np.float32)
     weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
     rng = np.random.default_rng(5)
     y, weight = y.astype(np.float32), weight.astype(np.float32)
@@ -124,7 +146,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
 
     Learns from ``labels(doc_id, toxic)`` of documents whose crc32(doc_id)
     modulo ``folds`` is not ``held``.  Null and empty texts have no terms and
-    score by the bias; null doc_ids count as not held out.  Other columns are left out.
+    score by the bias; null doc_ids count as not held out.  Very long texts are
+    read whole; repeated rows give repeated rows, an empty table none.  Other
+    columns are left out.
+
+    The machine sees the ``CHOSEN`` term buckets that part the labels most, of
+    ``BUCKETS``; the bias is moved by the log odds of the toxic share, within 2.
     """
     out = crc_mod("doc_id", folds) == held
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
