@@ -28,7 +28,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HINT = r"(?i)password|passwd|secret|token|api_?key"
 
-TABLE, FEATURES = 1 << 14, 8
+TABLE, FEATURES = 1 << 14, 9
 WINDOW = 20
 PER_TEXT = 32  #: windows of a text around matches that the field is fitted to, evenly over the text
 _DIGIT, _UPPER, _LOWER, _HIGH = (np.zeros(256, bool) for _ in range(4))
@@ -64,8 +64,20 @@ def _may_match(texts: pa.Array, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return may
 
 
-def _features(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """``FEATURES`` table places of each word."""
+def _level(x: np.ndarray, *at: float) -> np.ndarray:
+    return np.searchsorted(np.array(at), x, "right")
+
+
+def _files(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Kind of file of each text: its length, and its share of digits."""
+    plain = np.diff(off)
+    digits = np.diff(np.concatenate([[0], np.cumsum(_DIGIT[buf], dtype=np.int32)])[off])
+    return _level(digits / np.maximum(1, plain), 0.002, 0.02, 0.1) * 4 + _level(plain, 200, 2000, 20000)
+
+
+def _features(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, file: np.ndarray | None = None) -> np.ndarray:
+    """``FEATURES`` table places of each word; an excerpt is given the kind of ``file`` that it comes from."""
+    level = _level
     upto = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int32)])
     turn = np.zeros(len(buf), bool)
     kind = _KIND_OF_BYTE[buf]
@@ -75,12 +87,14 @@ def _features(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarr
     t = upto(turn)
     turns = t[end] - t[np.minimum(start + 1, end)]
     size = end - start
-    level = lambda x, *at: np.searchsorted(np.array(at), x, "right")
     sign = size - digit - upper - lower - high
     share = lambda x: level(x / size, 0.001, 0.15, 0.4, 0.7, 0.95)
     length = level(size, 2, 4, 6, 8, 12, 16, 20, 24, 32, 40, 64)
     shape = ((length * 6 + share(digit)) * 6 + share(upper)) * 6 + share(lower)
     fine = (((length * 6 + level(turns, 1, 2, 3, 6, 10)) * 6 + share(vowel)) * 4 + level(sign, 1, 2, 4)) * 2 + (high > 0)
+    # which kinds of signs a word has, whether it is long, mixed and hard to speak: what all made-up words share
+    kinds = ((((digit > 0) * 2 + (upper > 0)) * 2 + (lower > 0)) * 2 + (high > 0)) * 3 + level(sign, 1, 4)
+    broad = ((kinds * 4 + level(size, 12, 16, 24)) * 4 + level(turns / size, 0.12, 0.25, 0.45)) * 3 + level(vowel / size, 0.12, 0.3)
     # leading letters: up to the first byte that is none
     none = np.flatnonzero(np.append(~(_LOWER | _UPPER)[buf], True))
     stem_end = np.minimum(none[np.searchsorted(none, start)], end)
@@ -88,13 +102,12 @@ def _features(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarr
     again = np.minimum(start + 1, end)
     stem_end = np.where(skip, np.minimum(none[np.searchsorted(none, again)], end), stem_end)
     stem = span_hashes(buf, np.where(skip, again, start), np.maximum(stem_end, np.where(skip, again, start)))
-    plain = np.diff(off)
-    file = level(np.diff(sums[0][off]) / np.maximum(1, plain), 0.002, 0.02, 0.1) * 4 + level(plain, 200, 2000, 20000)
+    file = _files(buf, off) if file is None else file
     before = lambda x: np.where(np.concatenate([[True], doc[1:] != doc[:-1]]), x.dtype.type(0), np.roll(x, 1)) if len(x) else x
     after = lambda x: np.where(np.concatenate([doc[1:] != doc[:-1], [True]]), x.dtype.type(0), np.roll(x, -1)) if len(x) else x
     shape, fine = shape.astype(np.uint64), fine.astype(np.uint64)
     coarse = mix(length.astype(np.uint64) * np.uint64(8) + share(digit).astype(np.uint64))
-    out = (shape, fine, stem, before(shape), after(shape), before(stem), mix(before(before(stem)) + before(fine)), file[doc].astype(np.uint64) * np.uint64(31) + coarse)
+    out = (shape, fine, stem, before(shape), after(shape), before(stem), mix(before(before(stem)) + before(fine)), file[doc].astype(np.uint64) * np.uint64(31) + coarse, broad.astype(np.uint64))
     return np.stack([(mix(x + np.uint64(1000003 * (k + 1))) % np.uint64(TABLE)).astype(np.int32) + k * TABLE for k, x in enumerate(out)], 1)
 
 
@@ -106,7 +119,7 @@ def _char_bytes(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features and tags of windows around each span, and of two others of each text."""
+    """Features and tags of windows around each span, of another one of each text, and of two excerpts of it with something made up."""
     for b in text_chunks(batches):
         texts = b.column("text")
         buf, off = flat(texts)
@@ -127,8 +140,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own.append((i + j) // 2)
             centres += own if len(own) <= PER_TEXT else [own[k * len(own) // PER_TEXT] for k in range(PER_TEXT)]
         filled = np.flatnonzero(np.diff(woff))
-        for k in (0.3, 0.8):
-            centres += (woff[filled] + (np.diff(woff)[filled] * k)).astype(int).tolist()
+        centres += (woff[filled] + (np.diff(woff)[filled] * 0.6)).astype(int).tolist()
         keep = []
         for c in centres:
             d = doc[c]
@@ -140,7 +152,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
-_NAMES = ("", "", "", "password", "pwd", "auth", "key", "access_key", "client_secret", "bearer", "credential", "private_key")
+_NAMES = ("password", "pwd", "auth", "key", "access_key", "client_secret", "bearer", "credential", "private_key")
 
 
 def _made_up(seed: int) -> tuple[str, bool]:
@@ -152,7 +164,8 @@ def _made_up(seed: int) -> tuple[str, bool]:
         return (number, f"{word}.{number[:3]}@{word}.example.com", f"https://www.{word}.com/{word}/{number[:6]}.html", f"{word}_{word}", f"{word.title()}{word.title()}", f"{word}{number[:2]}", f"{number[:4]}-{number[4:6]}-{number[6:8]}")[rng.integers(0, 7)], False
     value = ("", "", "sk_", "ghp_", "tok-", "xox-")[rng.integers(0, 6)] + pick(_ALPHABETS[rng.integers(0, len(_ALPHABETS))], rng.integers(16, 56))
     quote = ("", "", '"', "'")[rng.integers(0, 4)]
-    return _NAMES[k] + ("=", ": ", " = ", " ")[rng.integers(0, 4)] + quote + value + quote if (k := rng.integers(0, len(_NAMES))) > 2 else quote + value + quote, True
+    name = _NAMES[rng.integers(0, len(_NAMES))] if rng.random() < 0.3 else ""
+    return (name + ("=", ": ", " = ", " ")[rng.integers(0, 4)] if name else "") + quote + value + quote, True
 
 
 def _planted(texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
@@ -161,20 +174,24 @@ def _planted(texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
         some = (text or "").split()
         if len(some) < 4:
             continue
-        seed = int(span_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0]), np.array([len(text.encode())]))[0])
-        at = seed % (len(some) - 2)
-        some = some[at : at + WINDOW - 4]
-        middle = len(some) * (seed >> 32 & 255) // 256
-        new, secret = _made_up(seed)
-        put = new.split()
-        array = pa.array([" ".join(some[:middle] + put + some[middle:])])
-        buf, off = flat(array)
-        start, end, doc = words(buf, off)
-        tags = np.full(len(start), 2, np.int8)
-        if secret:
-            tags[middle : middle + len(put)] = 1
-            tags[middle] = 0
-        yield _features(buf, off, start, end, doc)[:WINDOW].tobytes(), tags[:WINDOW].tobytes()
+        raw = np.frombuffer(text.encode(), np.uint8)
+        file = _files(raw, np.array([0, len(raw)]))
+        seed = int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+        for turn in range(2):
+            at = (seed >> 7 * turn) % (len(some) - 2)
+            part = some[at : at + WINDOW - 4]
+            middle = len(part) * (seed >> 32 + 8 * turn & 255) // 256
+            new, secret = _made_up(seed + turn)
+            put = new.split()
+            buf, off = flat(pa.array([" ".join(part[:middle] + put + part[middle:])]))
+            start, end, doc = words(buf, off)
+            if len(start) != len(part) + len(put):
+                continue  # other white space divides a word of the excerpt
+            tags = np.full(len(start), 2, np.int8)
+            if secret:
+                tags[middle : middle + len(put)] = 1
+                tags[middle] = 0
+            yield _features(buf, off, start, end, doc, file)[:WINDOW].tobytes(), tags[:WINDOW].tobytes()
 
 
 def _drawn(docs: DataFrame, draw: int, sample: int) -> DataFrame:
@@ -192,7 +209,7 @@ def _drawn(docs: DataFrame, draw: int, sample: int) -> DataFrame:
     return ranked.where(f"r <= {sample}").select("doc_id").distinct()
 
 
-def fit(docs: DataFrame, sample: int = 4000, windows: int = 12000, steps: int = 60, draw: int = 200_000) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, sample: int = 4000, windows: int = 8000, steps: int = 150, draw: int = 200_000, ridge: float = 1e-5) -> dict[str, np.ndarray]:
     """Field from ``sample`` documents in which a pattern's word occurs and as many others, among about ``draw`` of the smallest hash of doc_id, and at most ``windows`` of their windows (``PER_TEXT`` of one text)."""
     chosen = F.broadcast(_drawn(docs, draw, sample))  # 2 * sample ids
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text").mapInArrow(_windows, "x binary, tags binary")
@@ -223,8 +240,13 @@ def fit(docs: DataFrame, sample: int = 4000, windows: int = 12000, steps: int =
     m, s, ma, sa = np.zeros_like(w), np.zeros_like(w), np.zeros((3, 3)), np.zeros((3, 3))
     allowed = np.ones((3, 3), bool)
     allowed[2, 1] = False
+    rng = np.random.default_rng(31)
     for step in range(1, steps + 1):
-        e = np.where(real[:, None], w[place].sum(1), 0).reshape(n, WINDOW, 3)
+        rate = 0.3 if step < steps // 2 else 0.1
+        # a third of the features at a time, so that none leans on letters or neighbours that it has learnt by heart
+        some = rng.choice(FEATURES, FEATURES // 3, replace=False)
+        now = place[:, some]
+        e = np.where(real[:, None], w[now].sum(1) * (FEATURES / len(some)), 0).reshape(n, WINDOW, 3)
         tr = np.exp(np.where(allowed, moves, -50))
         alpha, scale = np.zeros_like(e), np.zeros((n, WINDOW))
         ex = np.exp(e - e.max(2, keepdims=True))
@@ -247,12 +269,12 @@ def fit(docs: DataFrame, sample: int = 4000, windows: int = 12000, steps: int =
                 beta = right @ tr.T
                 beta = np.where((t < size)[:, None], beta / beta.sum(1, keepdims=True), 1)
         g = ((post - gold).reshape(-1, 3) * real[:, None]) / n
-        grad = np.stack([np.bincount(place.ravel(), np.repeat(g[:, k], FEATURES), len(used)) for k in range(3)], 1).astype(np.float32) + 2e-6 * w
+        grad = np.stack([np.bincount(now.ravel(), np.repeat(g[:, k], len(some)), len(used)) for k in range(3)], 1).astype(np.float32) + ridge * w
         grad_moves = (expected - gold_moves) / n
         for theta, d, mm, ss in ((w, grad, m, s), (moves, grad_moves, ma, sa)):
             mm += 0.1 * (d - mm)
             ss += 0.01 * (d**2 - ss)
-            theta -= 0.1 * (mm / (1 - 0.9**step)) / (np.sqrt(ss / (1 - 0.99**step)) + 1e-8)
+            theta -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(ss / (1 - 0.99**step)) + 1e-8)
         moves[2, 1] = -50
     weights[:] = 0
     weights[used[used >= 0]] = w[used >= 0]
