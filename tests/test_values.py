@@ -20,7 +20,7 @@ def one(spark, **columns):
 
 
 def test_difficulty(spark):
-    climbs = {(5, 50): 1, (10, 100): 2, (19, 400): 5, (18, 868): 8, (30, 1000): 8, (50, 2000): 15, (10, 1000): 11, (80, 3000): 20}
+    climbs = {(5, 50): 1, (10, 100): 2, (19, 400): 5, (18, 868): 8, (30, 1000): 8, (50, 2000): 15, (10, 1000): 11, (80, 3000): 21}
     descents = {(16, 1450): 3, (37, 4600): 9, (44, 5650): 10, (35, 6750): 13}
     score = lambda km, m, down: reports.difficulty(F.lit(float(km)), F.lit(float(m)), F.lit(float(m)), F.lit(down))
     r = one(spark, **{f"c{i}": score(*k, False) for i, k in enumerate(climbs)}, **{f"d{i}": score(*k, True) for i, k in enumerate(descents)}, none=reports.difficulty(F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(False)))
