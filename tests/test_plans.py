@@ -14,7 +14,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["jn_01", "jn_02", "jn_09", "jn_10", "jn_12", "spa_01", "spa_02", "spa_09", "spa_11", "tm_01", "tm_14", "sim_01", "sim_03", "sim_04", "rg_03", "rg_07", "lb_01", "agg_04"])
+@pytest.mark.parametrize("name", ["jn_01", "jn_02", "jn_09", "jn_10", "jn_12", "spa_01", "spa_02", "spa_09", "spa_11", "tm_01", "tm_14", "sim_01", "sim_03", "sim_04", "rg_03", "rg_05", "rg_07", "lb_01", "agg_04", "tm_05", "tm_06", "tm_13", "spa_12", "rte_03", "jn_06", "gl_11", "win_06"])
 def test_no_nested_loops(spark, name):
     p = plan(QUERIES[name](spark, SF))
     assert "NestedLoop" not in p and "Cartesian" not in p

@@ -221,6 +221,21 @@ def name_chain(entries: DataFrame, most: int = 80) -> DataFrame:
     return g.select("activity_id", F.substring(F.array_join(F.transform("s", lambda x: x["name"]), " > "), 1, most).alias("title"))
 
 
+def proposals(segments: DataFrame, most: int = 80) -> DataFrame:
+    """The route that each ride proposes: of the regions whose network resolves its ``segments(activity_id, region_id, pos, name)`` the one with the most, the first of equals, and a title from its chain of names.
+
+    A chain longer than ``most`` characters gives its first three names and the number of the others.
+    """
+    w = Window.partitionBy("activity_id", "region_id").orderBy("pos")
+    s = segments.withColumn("_new", ~F.col("name").eqNullSafe(F.lag("name").over(w)) | F.lag("pos").over(w).isNull())
+    g = s.groupBy("activity_id", "region_id").agg(F.count("*").alias("segments"), F.array_sort(F.collect_list(F.when(F.col("_new"), F.struct("pos", "name")))).alias("s"))
+    best = g.groupBy("activity_id").agg(F.max_by(F.struct("region_id", "segments", "s"), F.struct("segments", (-F.col("region_id")).alias("r"))).alias("b")).select("activity_id", "b.*")
+    names = F.transform("s", lambda x: x["name"])
+    whole = F.array_join(names, " → ")
+    short = F.concat(F.array_join(F.slice(names, 1, 3), " → "), F.lit(" → +"), (F.size(names) - 3).cast("string"), F.lit(" more"))
+    return best.select("activity_id", "region_id", "segments", F.when(F.length(whole) > most, short).otherwise(whole).alias("title"))
+
+
 def touches(points: DataFrame, spans: DataFrame, ends: DataFrame, metres: float = 30.0) -> DataFrame:
     """Whether each of ``spans(activity_id, name, start, end)`` comes within ``metres`` of the one and the other terminus of its name (``ends(name, alat, alon, blat, blon)``): columns ``a``, ``b`` and ``both``."""
     s = spans.select("activity_id", "name", "start", F.explode(F.sequence("start", F.col("end") - 1)).alias("seq"))

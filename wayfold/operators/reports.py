@@ -31,6 +31,23 @@ def window_rollup(acts: DataFrame, as_of: str, days: int, by: str = "type") -> D
     )
 
 
+def type_summary(acts: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Card of each type over the last ``days`` days: active days, count, distance, ascent, descent, riding hours (distance over average speed), speeds, heart rates, streaks, last day.
+
+    The average speed is that of the rounded distance and hours.
+    """
+    today = F.to_date(F.lit(as_of))
+    a = acts.where(F.col("d").between(F.date_sub(today, days - 1), today))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    hours = total(F.when(F.col("avg_speed") > 0, F.col("km") / F.nullif("avg_speed", F.lit(0.0))))
+    g = a.groupBy("type").agg(
+        F.count_distinct("d").alias("days"), F.count("*").alias("n"), F.round(total("km"), 1).alias("km"), F.rint(total("gain")).cast("long").alias("gain"), F.rint(total("loss")).cast("long").alias("loss"), F.round(hours, 2).alias("riding_h"),
+        F.nullif(F.round(F.max("max_speed"), 1), F.lit(0.0)).alias("max_speed"), F.rint(F.avg("hr_avg")).cast("long").alias("hr_avg"), F.max(F.nullif("hr_max", F.lit(0))).alias("hr_max"), F.max("d").alias("last_day"),
+    )
+    g = g.withColumn("avg_speed", F.when(F.col("riding_h") > 0, F.round(F.col("km") / F.nullif("riding_h", F.lit(0.0)), 1)))
+    return g.join(streaks(a, as_of), "type")
+
+
 def history(acts: DataFrame, as_of: str, years: int, measures: tuple[str, ...] = ("km",)) -> DataFrame:
     """Type x month: count and sums of ``measures``; zero in empty months, null before the first activity's month and after ``as_of``'s."""
     months = F.explode(F.sequence(F.add_months(F.trunc(F.to_date(F.lit(as_of)), "year"), -12 * (years - 1)), F.add_months(F.trunc(F.to_date(F.lit(as_of)), "year"), 11), F.expr("interval 1 month")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, overview, reports, similarity, spatial
+from ..functions import lookups
+from ..operators import asof, network, overview, reports, similarity, spatial
 from ..operators import tracks as T
 from . import catalog as C
 from .bindings import ACT, AS_OF, LEGS, TRK, activities, legs, read, track_points
@@ -392,8 +393,6 @@ def fit_03(spark, d):
 @query("rte_02_ends", f"WITH {C._ROUTE}, c AS (SELECT *, CASE WHEN pos > 1 AND name IS NOT DISTINCT FROM LAG(name) OVER w THEN 0 ELSE 1 END AS nw FROM rt WINDOW w AS (PARTITION BY route_id ORDER BY pos)), g AS (SELECT *, SUM(nw) OVER (PARTITION BY route_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS macro FROM c) SELECT route_id, CAST(macro AS BIGINT) AS macro, name, arg_min(a, pos) AS start_node, arg_max(b, pos) AS end_node, string_agg(CAST(a AS VARCHAR), '-' ORDER BY pos) AS line FROM g GROUP BY 1, 2, 3")
 def rte_02_ends(spark, d):
     """Macro segments with their ends and line."""
-    from ..operators import network
-
     r = C._route(spark, d).withColumnsRenamed({"a": "start_node", "b": "end_node"}).withColumn("line", F.array(F.col("start_node")))
     m = network.macro_lines(r)
     return m.select("route_id", "macro", "name", "start_node", "end_node", F.array_join(F.col("line").cast("array<string>"), "-").alias("line"))
@@ -402,8 +401,6 @@ def rte_02_ends(spark, d):
 @query("rg_08_stale", f"WITH {C._ROUTE}, e AS (SELECT DISTINCT p_partkey AS edge FROM part) SELECT route_id, bool_or(pos * 7 + a NOT IN (SELECT edge FROM e)) AS stale FROM rt GROUP BY 1")
 def rg_08_stale(spark, d):
     """Routes with a segment that no edge of today's has."""
-    from ..operators import network
-
     s = C._route(spark, d).select("route_id", (F.col("pos") * 7 + F.col("a")).alias("edge_id"))
     return network.stale_routes(s, read(spark, d, "part").select(F.col("p_partkey").alias("edge_id")))
 
@@ -415,3 +412,43 @@ def str_03(spark, d):
 
     e = read(spark, d, "events").withColumn("value", F.when(F.col("event_type") != "error", F.lit(1)))
     return empty_days(e, "2024-01-20")
+
+
+@query("sum_01_cards", f"""WITH {ACT}, a AS (SELECT *, n * 40.0 AS loss, CASE WHEN n > 0 THEN 8.0 + n END AS avg_speed, n * 5.5 AS max_speed, CASE WHEN n % 3 > 0 THEN 110 + n END AS hr_avg, CASE WHEN n % 3 > 0 THEN 150 + n END AS hr_max FROM act WHERE d BETWEEN DATE '2001-05-04' AND DATE '2001-08-01'),
+g AS (SELECT type, COUNT(DISTINCT d) AS days, COUNT(*) AS n, round(SUM(km), 1) AS km, CAST(round_even(COALESCE(SUM(gain), 0), 0) AS BIGINT) AS gain, CAST(round_even(SUM(loss), 0) AS BIGINT) AS loss, round(SUM(CASE WHEN avg_speed > 0 THEN km / avg_speed ELSE 0 END), 2) AS riding_h, nullif(round(MAX(max_speed), 1), 0) AS max_speed, CAST(round_even(AVG(hr_avg), 0) AS BIGINT) AS hr_avg, MAX(hr_max) AS hr_max, MAX(d) AS last_day FROM a GROUP BY 1),
+runs AS (SELECT type, COUNT(*) AS n, MAX(d) AS last_day FROM (SELECT type, d, d - CAST(ROW_NUMBER() OVER (PARTITION BY type ORDER BY d) AS INTEGER) AS g FROM (SELECT DISTINCT type, d FROM a)) GROUP BY type, g), st AS (SELECT type, MAX(n) AS longest, COALESCE(MAX(CASE WHEN last_day BETWEEN DATE '2001-07-31' AND DATE '2001-08-01' THEN n END), 0) AS current FROM runs GROUP BY 1)
+SELECT g.*, CASE WHEN riding_h > 0 THEN round(km / riding_h, 1) END AS avg_speed, longest, current FROM g JOIN st ON st.type = g.type""")
+def sum_01_cards(spark, d):
+    n = F.col("n")
+    a = activities(spark, d).withColumns({"loss": n * 40.0, "avg_speed": F.when(n > 0, 8.0 + n), "max_speed": n * 5.5, "hr_avg": F.when(n % 3 > 0, 110 + n), "hr_max": F.when(n % 3 > 0, 150 + n)})
+    return reports.type_summary(a, AS_OF, 90)
+
+
+@query("agg_10_facts", f"""WITH {LEGS}, {C._AGG}, {C._SEG}, {C._SPIKES}, {C._ISSUES}, x AS (SELECT activity_id, arg_min(lat, seq) AS lat0, arg_min(lon, seq) AS lon0, MIN(lat) AS min_lat, MIN(lon) AS min_lon, MAX(lat) AS max_lat, MAX(lon) AS max_lon, CAST(MIN(ts) AS DATE) AS date, COUNT(*) AS points FROM legs GROUP BY 1), sg AS (SELECT activity_id, COUNT(*) FILTER (WHERE type = 'assisted') AS lifts FROM seg GROUP BY 1), i AS (SELECT activity_id, COUNT(*) AS issues FROM iss GROUP BY 1)
+SELECT st.activity_id, date, points, round(distance_km, 4) AS distance_km, round(elev_gain_m, 3) AS elev_gain_m, round(elev_loss_m, 3) AS elev_loss_m, round(assisted_gain_m, 3) AS assisted_gain_m, riding_s, duration_sec, round(distance_km / nullif(riding_s / 3600.0, 0), 3) AS avg_speed_kmh, round(max_speed_kmh, 3) AS max_speed_kmh, peak_ele_m, lifts, round(lat0, 4) AS lat0, round(lon0, 4) AS lon0, round(max_lat - min_lat, 6) AS height, round(max_lon - min_lon, 6) AS width, COALESCE(issues, 0) AS issues,
+ CASE WHEN distance_km > 0 THEN greatest(1, CAST(round_even(pow(distance_km + elev_gain_m / 55, 0.83) / 3.2 * (1 + greatest(0, elev_gain_m / distance_km - 30) / 60), 0) AS INTEGER)) END AS difficulty
+FROM st JOIN x USING (activity_id) JOIN sg USING (activity_id) LEFT JOIN i USING (activity_id)""")
+def agg_10_facts(spark, d):
+    """The fact row of each activity, with its box, difficulty and number of issues."""
+    from ..operators.quality import issues
+
+    p = legs(spark, d)
+    ends = p.groupBy("activity_id").agg(F.min_by("lat", "seq").alias("lat0"), F.min_by("lon", "seq").alias("lon0"), F.to_date(F.min("ts")).alias("date"), F.count("*").alias("points"))
+    f = T.activity_stats(T.smooth_speed(p)).join(ends, "activity_id").join(T.bounding_boxes(p), "activity_id").join(T.lift_counts(p), "activity_id")
+    f = f.join(issues(T.spikes(p)).select("activity_id", F.size("issues").cast("long").alias("issues")), "activity_id")
+    score = reports.difficulty(F.col("distance_km"), F.col("elev_gain_m"), F.col("elev_loss_m"), F.lit(False))
+    return f.select("activity_id", "date", "points", rnd("distance_km", 4).alias("distance_km"), *(rnd(c, 3).alias(c) for c in ("elev_gain_m", "elev_loss_m", "assisted_gain_m", "avg_speed_kmh", "max_speed_kmh")), "riding_s", "duration_sec", "peak_ele_m", F.col("lift_count").alias("lifts"), rnd("lat0", 4).alias("lat0"), rnd("lon0", 4).alias("lon0"), rnd(F.col("max_lat") - F.col("min_lat")).alias("height"), rnd(F.col("max_lon") - F.col("min_lon")).alias("width"), "issues", score.alias("difficulty"))
+
+
+@query("rte_09_region", f"WITH {TRK}, s AS (SELECT activity_id, event_id % 3 AS region_id, seq AS pos, 'trail ' || CAST(event_id % 4 AS VARCHAR) AS name FROM trk WHERE seq < 40), b AS (SELECT *, LAG(name) OVER (PARTITION BY activity_id, region_id ORDER BY pos) AS p FROM s), g AS (SELECT activity_id, region_id, COUNT(*) AS segments, list(name ORDER BY pos) FILTER (WHERE name IS DISTINCT FROM p) AS l FROM b GROUP BY 1, 2), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY activity_id ORDER BY segments DESC, region_id) AS r FROM g) SELECT activity_id, region_id, segments, CASE WHEN length(array_to_string(l, ' → ')) > 80 THEN array_to_string(l[1:3], ' → ') || ' → +' || CAST(len(l) - 3 AS VARCHAR) || ' more' ELSE array_to_string(l, ' → ') END AS title FROM r WHERE r = 1")
+def rte_09_region(spark, d):
+    """Proposals by the region that resolves the most."""
+    p = track_points(spark, d).where("seq < 40")
+    return network.proposals(p.select("activity_id", (F.col("event_id") % 3).alias("region_id"), F.col("seq").alias("pos"), F.concat(F.lit("trail "), (F.col("event_id") % 4).cast("string")).alias("name")))
+
+
+@query("fn_lookups", f"WITH {ACT} SELECT activity_id, round(km * 0.621371, 6) AS miles, round(CAST(n AS DOUBLE) * CAST(3.28084 AS DOUBLE), 6) AS feet, CASE WHEN c = 0 THEN 'clear' WHEN c <= 3 THEN 'cloud' WHEN c <= 48 THEN 'fog' WHEN c <= 67 THEN 'rain' WHEN c <= 77 THEN 'snow' WHEN c <= 82 THEN 'rain' WHEN c <= 86 THEN 'snow' WHEN c > 86 THEN 'storm' END AS weather, CASE s WHEN 'Snowboard' THEN 'snowboard' WHEN 'Hike' THEN 'hike' WHEN 'GravelRide' THEN 'mtb' WHEN 'NordicSki' THEN 'ski' END AS sport FROM (SELECT *, CASE WHEN n % 5 > 0 THEN activity_id % 100 END AS c, ['Snowboard', 'Hike', 'GravelRide', 'NordicSki', 'Run'][activity_id % 5 + 1] AS s FROM act)")
+def fn_lookups(spark, d):
+    i = F.col("activity_id")
+    sport = F.element_at(F.array(*map(F.lit, ("Snowboard", "Hike", "GravelRide", "NordicSki", "Run"))), (i % 5 + 1).cast("int"))
+    return activities(spark, d).select("activity_id", rnd(lookups.distance(F.col("km"), True)).alias("miles"), rnd(lookups.height(F.col("n"), True)).alias("feet"), lookups.weather_class(F.when(F.col("n") % 5 > 0, i % 100)).alias("weather"), lookups.sport_type(sport).alias("sport"))
