@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut
+from .common import Forest, components, cut, small
 
 RUN = 4096  #: vectors of a run, about
 LEAF, GRID = 128, 8  #: vectors of intervals that are compared exactly; dimensions of the grid
@@ -249,7 +249,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = cut(components(found.where("other IS NOT NULL"), "id", "other"))
     kinds = kinds.drop("unit").join(links, "id", "left").join(comps.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    kinds = kinds.join(kinds.groupBy("c").agg(F.min("first").alias("component_id")), "c")
+    kinds = cut(kinds)
+    kinds = kinds.join(small(cut(kinds.groupBy("c").agg(F.min("first").alias("component_id")))), "c")
     kinds = kinds.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = classes.select("vec_id", "key").join(kinds, "key").select("vec_id", "n_links", "component_id")
     alone = units.where("unit IS NULL OR vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

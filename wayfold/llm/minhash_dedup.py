@@ -321,7 +321,7 @@ def _classes(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame
     if comps is not None:
         whole = classes.drop("sig").join(comps.select(F.col("v").alias("id"), "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
         least = whole.groupBy("c").agg(F.min("first").alias("component_id"))
-        kinds = whole.join(least, "c").select(*prints, "component_id")
+        kinds = whole.join(small(cut(least)), "c").select(*prints, "component_id")
     shared = filled.select("doc_id", "n_shingles", "f1", "f2").join(kinds, prints)
     alone = sketches.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     cols = ["doc_id", "n_shingles", "component_id"]
