@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann as _ann
 from . import embedding_dedup as _embedding
+from . import hard_negatives as _negatives
 from . import language_id as _language
 from . import lm as _lm
 from . import minhash_dedup as _minhash
@@ -14,6 +15,7 @@ from . import packing as _packing
 from . import quality as _quality
 from . import secrets as _secrets
 from . import sentencepiece_codec as _pieces
+from . import token_counts as _counts
 from . import toxicity as _toxicity
 from .common import table
 
@@ -61,7 +63,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "score", "keep", "host_posterior", "path_posterior")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_sentencepiece, op4_embedding_dedup, op5_toxicity, op6_secret_scan, op7_lm_score, op8_nearest, op9_quality, op10_language_id)}
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return _negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_sentencepiece, op4_embedding_dedup, op5_toxicity, op6_secret_scan, op7_lm_score, op8_nearest, op9_quality, op10_language_id, op12_token_counts, op13_hard_negatives)}
 #: DuckDB SQL of the queries that it can express on whole tables.
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": r"""
@@ -80,4 +91,12 @@ l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec
 reach AS (SELECT vec_id AS v, vec_id AS c FROM u UNION SELECT l.y, reach.c FROM reach JOIN l ON l.x = reach.v),
 m AS (SELECT v, MIN(c) AS c FROM reach GROUP BY 1), k AS (SELECT x, COUNT(*) AS k FROM l GROUP BY 1)
 SELECT vec_id, COALESCE(k, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM u JOIN m ON m.v = vec_id LEFT JOIN k ON k.x = vec_id""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label AS label, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE own = label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS k
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.own <> s.label AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3""",
 }
