@@ -29,7 +29,8 @@ MODEL = "byte_bpe_50k.json"
 BLOCK_BYTES, BLOCK_DOCS = 32 << 20, 1 << 16  #: of text, and documents, of a block
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255  #: kinds of characters
 SHORT_ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")  #: fixed values: what follows an apostrophe in a pre-token of its own
-ROW = "block long, piece binary, posts binary, base binary"
+NO_TEXT = b"\xff"  #: a byte that UTF-8 doesn't have
+ROW = "block long, piece binary, posts binary, times binary"
 
 
 class Places:
@@ -173,7 +174,10 @@ class Pieces:
         self.places, self.counts = Places(np.zeros(0, np.uint64)), np.zeros(0, np.int64)
 
     def count(self, piece: bytes) -> int:
-        return len(self.processor.encode(piece[1:].decode()))
+        encode = self.processor.encode
+        if piece == b" ":  # alone it would be an empty text's
+            return len(encode("a ")) - len(encode("a"))
+        return len(encode(piece[1:].decode()))
 
     def prepared(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A space before each text that isn't empty, as the file's encoder has it."""
@@ -204,7 +208,7 @@ def counter(model: str) -> ByteLevel | Pieces:
 
 
 class Block:
-    """Pre-tokens beyond the vocabulary of some texts, and what else is known of these."""
+    """Some texts' pre-tokens beyond the vocabulary, and what else is known of the texts."""
 
     def __init__(self):
         self.bytes, self.ids, self.sizes, self.known = 0, [], [], []
@@ -233,28 +237,33 @@ class Block:
         self.n += len(ids)
 
     def pieces(self) -> tuple[np.ndarray, list[bytes]]:
-        """Sorted hashes of the distinct pre-tokens, and these."""
+        """The distinct pre-tokens in their order, and their hashes."""
         if not self.firsts:
             return np.zeros(0, np.uint64), []
         h, size = (np.concatenate([f[k] for f in self.firsts]) for k in (0, 1))
         raw = np.concatenate([f[2] for f in self.firsts]).tobytes()
         end = np.cumsum(size)
-        distinct, index = np.unique(h, return_index=True)
-        return distinct, [raw[i:j] for i, j in zip((end - size)[index].tolist(), end[index].tolist(), strict=True)]
-
-    def posts(self, distinct: np.ndarray) -> list[bytes]:
-        """For each distinct pre-token its documents in the block, and how often each has it, as pairs of 16-bit numbers."""
-        if not len(distinct):
-            return []
-        key = (Places(distinct).find(np.concatenate(self.hashes)).astype(np.uint64) << np.uint64(16)) | np.concatenate(self.docs)
-        key, count = np.unique(key, return_counts=True)
-        times = (count - 1) // 65535 + 1  # more than 16 bits hold go into further pairs
-        key = np.repeat(key, times)
-        n = np.full(len(key), 65535, np.int64)
-        n[np.cumsum(times) - 1] = count - 65535 * (times - 1)
-        at = np.searchsorted(key >> np.uint64(16), np.arange(len(distinct) + 1, dtype=np.uint64))
-        raw = np.stack([(key & np.uint64(65535)).astype("<u2"), n.astype("<u2")], 1).tobytes()
-        return [raw[4 * i : 4 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        h, index = np.unique(h, return_index=True)
+        pieces = [raw[i:j] for i, j in zip((end - size)[index].tolist(), end[index].tolist(), strict=True)]
+        order = sorted(range(len(pieces)), key=pieces.__getitem__)  # neighbours are alike, which makes them short when shuffled
+        return h[order], [pieces[i] for i in order]
+
+    def posts(self, hashes: np.ndarray) -> tuple[list[bytes], list[bytes | None]]:
+        """For each distinct pre-token its documents in the block, in 16 bits each, and how often each has it, in eight; none for once in all.  More than 255 times go into further places."""
+        if not len(hashes):
+            return [], []
+        order = np.argsort(hashes)
+        place = order[Places(hashes[order]).find(np.concatenate(self.hashes))]
+        key, count = np.unique(place << 16 | np.concatenate(self.docs), return_counts=True)
+        places = (count - 1) // 255 + 1
+        key = np.repeat(key, places)
+        n = np.full(len(key), 255)
+        n[np.cumsum(places) - 1] = count - 255 * (places - 1)
+        at = np.searchsorted(key >> 16, np.arange(len(hashes) + 1))
+        often = np.add.reduceat(n > 1, at[:-1]) > 0
+        docs, times, at = (key & 65535).astype("<u2").tobytes(), n.astype("u1").tobytes(), at.tolist()
+        pairs = list(zip(at[:-1], at[1:], strict=True))
+        return [docs[2 * i : 2 * j] for i, j in pairs], [times[i:j] if k else None for (i, j), k in zip(pairs, often.tolist(), strict=True)]
 
     def base(self) -> bytes:
         """Ids, whether they are null, bytes and known tokens of the texts."""
@@ -289,49 +298,52 @@ def _counted(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Recor
 
 def _frequencies(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     """A row for each block and distinct pre-token, and one for the block itself, whose piece no text can hold."""
-    task = TaskContext.get().partitionId() << 32
+    task, names = TaskContext.get().partitionId() << 32, ["block", "piece", "posts", "times"]
     for number, block in enumerate(_blocks(batches, model)):
         name = task | number
-        distinct, pieces = block.pieces()
-        posts = block.posts(distinct)
-        step = 50_000
-        for i in range(0, len(pieces), step):
-            some = pieces[i : i + step]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(posts[i : i + step], pa.binary()), pa.nulls(len(some), pa.binary())], ["block", "piece", "posts", "base"])
-        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([b"\xff" + name.to_bytes(8, "little")], pa.binary()), pa.nulls(1, pa.binary()), pa.array([block.base()], pa.binary())], ["block", "piece", "posts", "base"])
+        hashes, pieces = block.pieces()
+        posts, times = block.posts(hashes)
+        for i in range(0, len(pieces), 50_000):
+            j = min(len(pieces), i + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, name)), *(pa.array(x[i:j], pa.binary()) for x in (pieces, posts, times))], names)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in (NO_TEXT + name.to_bytes(8, "little"), block.base(), None))], names)
 
 
 def _partial(batches: Iterator[pa.RecordBatch], held: int = 64) -> Iterator[pa.RecordBatch]:
-    """Sums of a task's pre-tokens for each block and document; of at most ``held`` blocks at a time."""
+    """Sums of a task's pre-tokens for each block and document, of at most ``held`` blocks at a time; blocks' own rows as they are."""
     sums: dict[int, np.ndarray] = {}
+    names = ["block", "own", "values"]
 
     def handed() -> pa.RecordBatch:
-        names = list(sums)
         at = [np.flatnonzero(s) for s in sums.values()]
-        pairs = [np.concatenate([i, s[i]]).astype("<i8").tobytes() for i, s in zip(at, sums.values(), strict=True)]
+        # a text has less than 2**32 tokens
+        values = [i.astype("<u2").tobytes() + s[i].astype("<u4").tobytes() for i, s in zip(at, sums.values(), strict=True)]
+        blocks = list(sums)
         sums.clear()
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(pairs, pa.binary()), pa.nulls(len(names), pa.binary())], ["block", "sums", "base"])
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([False] * len(blocks), pa.bool_()), pa.array(values, pa.binary())], names)
 
     for b in batches:
-        whole = b.filter(pc.is_valid(b.column("base")))
-        if whole.num_rows:
-            yield pa.RecordBatch.from_arrays([whole.column("block"), pa.nulls(whole.num_rows, pa.binary()), whole.column("base")], ["block", "sums", "base"])
-        b = b.filter(pc.is_valid(b.column("posts")))
+        own = b.filter(b.column("own"))
+        if own.num_rows:
+            yield pa.RecordBatch.from_arrays([own.column("block"), own.column("own"), own.column("posts")], names)
+        b = b.filter(pc.invert(b.column("own")))
         if not b.num_rows:
             continue
         raw, off = flat(b.column("posts"))
-        pairs = np.frombuffer(raw.tobytes(), "<u2").reshape(-1, 2).astype(np.int64)
-        size = np.diff(off) // 4
-        block, tokens = np.repeat(np.asarray(b.column("block")), size), pairs[:, 1] * np.repeat(np.asarray(b.column("k")), size)
+        docs, size = np.frombuffer(raw.tobytes(), "<u2"), np.diff(off) // 2
+        times = np.ones(len(docs), np.int64)
+        some = np.asarray(b.column("times").is_valid())
+        times[np.repeat(some, size)] = flat(b.column("times").drop_null())[0]
+        block, tokens = np.repeat(np.asarray(b.column("block")), size), times * np.repeat(np.asarray(b.column("k")), size)
         order = np.argsort(block, kind="stable")
-        names, at = np.unique(block[order], return_index=True)
-        for name, i, j in zip(names.tolist(), at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+        distinct, at = np.unique(block[order], return_index=True)
+        for name, i, j in zip(distinct.tolist(), at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
             if name not in sums:
                 if len(sums) == held:
                     yield handed()
                 sums[name] = np.zeros(BLOCK_DOCS, np.int64)
-            own = order[i:j]
-            sums[name] += np.bincount(pairs[own, 0], tokens[own], BLOCK_DOCS).astype(np.int64)
+            of = order[i:j]
+            sums[name] += np.bincount(docs[of], tokens[of], BLOCK_DOCS).astype(np.int64)
     if sums:
         yield handed()
 
@@ -346,16 +358,16 @@ def _totals(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         return pa.RecordBatch.from_arrays([pa.array(ids, mask=null > 0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     for b in batches:
-        for block, sums, own in zip(b.column("block").to_pylist(), b.column("sums").to_pylist(), b.column("base").to_pylist(), strict=True):
+        for block, own, values in zip(*(b.column(c).to_pylist() for c in ("block", "own", "values")), strict=True):
             if block != name:
                 if name is not None:
                     yield rows()
                 name, total, base = block, np.zeros(BLOCK_DOCS, np.int64), None
-            if own is not None:
-                base = own
+            if own:
+                base = values
             else:
-                at, n = np.frombuffer(sums, "<i8").reshape(2, -1)
-                total[at] += n
+                n = len(values) // 6
+                total[np.frombuffer(values, "<u2", n)] += np.frombuffer(values, "<u4", n, 2 * n)
     if name is not None:
         yield rows()
 
@@ -376,6 +388,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 512) -> DataF
     counts = pieces.mapInArrow(partial(_counted, model=model), "piece binary, k long")
     with arrow_rows(docs.sparkSession, 10_000):
         frequencies = docs.mapInArrow(partial(_frequencies, model=model), ROW)
-        joined = frequencies.join(counts, "piece", "left").select("block", "posts", "base", "k")
-        sums = joined.mapInArrow(_partial, "block long, sums binary, base binary")
+        own = F.startswith("piece", F.lit(NO_TEXT)).alias("own")
+        joined = frequencies.join(counts, "piece", "left").select("block", own, "posts", "times", "k")
+        sums = joined.mapInArrow(_partial, "block long, own boolean, values binary")
         return sums.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_totals, limit=limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
