@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import alignment as _alignment
 from . import ann as _ann
 from . import embedding_dedup as _embedding
 from . import hard_negatives as _negatives
@@ -63,6 +64,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "score", "keep", "host_posterior", "path_posterior")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -72,7 +77,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_sentencepiece, op4_embedding_dedup, op5_toxicity, op6_secret_scan, op7_lm_score, op8_nearest, op9_quality, op10_language_id, op12_token_counts, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op3_sentencepiece, op4_embedding_dedup, op5_toxicity, op6_secret_scan, op7_lm_score, op8_nearest, op9_quality, op10_language_id, op11_alignment, op12_token_counts, op13_hard_negatives)}
 #: DuckDB SQL of the queries that it can express on whole tables.
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": r"""
