@@ -6,6 +6,7 @@ import pytest
 from wayfold.operators import kernels as K
 from wayfold.operators import reports
 from wayfold.operators import tracks as T
+from wayfold.operators.route_scan import Automaton, _close, _satisfied
 
 
 def legs(spark, rows):
@@ -92,30 +93,34 @@ def entries(*names, marks=WHOLE, noise=(), gap=10, pause=60):
     return [{"name": n, "kind": "trail", "start_idx": k * (50 + gap), "end_idx": k * (50 + gap) + 50, "start_t": k * (100 + pause), "end_t": k * (100 + pause) + 100, "noise": k in noise, "marks": marks} for k, n in enumerate(names)]
 
 
+def found_in(rows, route):
+    return [(a, z) for _, a, z in Automaton([(7, route)]).attempts(rows)]
+
+
 def test_route_attempts():
-    assert K._attempts(entries(*"ABC"), ROUTE) == [(0, 2)]
-    assert K._attempts(entries(*"ABCABC"), ROUTE) == [(0, 2), (3, 5)]
-    assert K._attempts(entries(*"AxBC"), ROUTE) == []
-    assert K._attempts(entries(*"AxBC", noise={1}), ROUTE) == [(0, 3)]
-    assert K._attempts(entries(*"AABC"), ROUTE) == [(0, 3)]  # leftover of the first trail right after its match
-    assert K._attempts(entries(*"AABC", pause=1000), ROUTE) == [(1, 3)]  # hours apart: starts over
-    assert K._attempts(entries(*"ABxABC"), ROUTE) == [(3, 5)]
-    assert K._attempts(entries(*"BC"), ROUTE) == []
+    assert found_in(entries(*"ABC"), ROUTE) == [(0, 2)]
+    assert found_in(entries(*"ABCABC"), ROUTE) == [(0, 2), (3, 5)]
+    assert found_in(entries(*"AxBC"), ROUTE) == []
+    assert found_in(entries(*"AxBC", noise={1}), ROUTE) == [(0, 3)]
+    assert found_in(entries(*"AABC"), ROUTE) == [(0, 3)]  # leftover of the first trail right after its match
+    assert found_in(entries(*"AABC", pause=1000), ROUTE) == [(1, 3)]  # hours apart: starts over
+    assert found_in(entries(*"ABxABC"), ROUTE) == [(3, 5)]
+    assert found_in(entries(*"BC"), ROUTE) == []
 
 
 def test_segments_need_a_touch_of_both_ends_or_cover():
     nothing = {(k, "own"): (True, False, ()) for k in range(3)}
-    assert K._attempts(entries(*"ABC", marks=nothing), ROUTE) == []
+    assert found_in(entries(*"ABC", marks=nothing), ROUTE) == []
     followed = {(k, "own"): (False, False, (0, 1, 2)) for k in range(3)}
-    assert K._attempts(entries(*"ABC", marks=followed), ROUTE) == [(0, 2)]
+    assert found_in(entries(*"ABC", marks=followed), ROUTE) == [(0, 2)]
     # two fragments of one trail touch an end each; a touch between them counts as well
     rows = entries(*"AABC")
     rows[0]["marks"], rows[1]["marks"] = {(0, "own"): (True, False, ())}, {(0, "own"): (False, True, ())}
-    assert K._attempts(rows, ROUTE) == [(0, 3)]
+    assert found_in(rows, ROUTE) == [(0, 3)]
     rows[1]["marks"] = {(0, "gap"): (False, True, ())}
-    assert K._attempts(rows, ROUTE) == [(0, 3)]
+    assert found_in(rows, ROUTE) == [(0, 3)]
     rows[1]["start_t"] += 2000
-    assert K._attempts(rows, ROUTE) == []
+    assert found_in(rows, ROUTE) == []
 
 
 def test_clusters_do_not_chain_and_equal_one_by_one(spark):

@@ -317,77 +317,6 @@ def coalesce_runs(runs: DataFrame, gap: float = 120.0, detour: float = 60.0) ->
     return runs.groupBy("activity_id").applyInPandas(kernel, "activity_id long, name string, start_t long, end_t long, ridden_km double")
 
 
-def _close(before: dict, after: dict, most_idx: int = 250, most_s: float = 900.0) -> bool:
-    """Whether an entry goes on where the one before stopped: a bounded gap in points and time."""
-    return 0 <= after["start_idx"] - before["end_idx"] <= most_idx and after["start_t"] - before["end_t"] <= most_s
-
-
-def _satisfied(entries: list[dict], at: int, seg: dict) -> int | None:
-    """Place after the entries from ``at`` on that together touch both ends of a route's segment, or cover it; the fewest that do."""
-    one = two = False
-    seen: set[int] = set()
-    for k in range(at, len(entries)):
-        e = entries[k]
-        if (e["name"], e["kind"]) != (seg["name"], seg["kind"]) or (k > at and not _close(entries[k - 1], e)):
-            return None
-        for part in ("gap", "own") if k > at else ("own",):
-            a, b, covered = e["marks"].get((seg["pos"], part), (False, False, ()))
-            one, two = one or a, two or b
-            seen.update(covered)
-        if (one and two) or (seg["vertices"] and len(seen) >= 0.75 * seg["vertices"]):
-            return k + 1
-    return None
-
-
-def _attempts(entries: list[dict], route: list[dict]) -> list[tuple[int, int]]:
-    """First and last entry of each time that all segments of the route are satisfied in order.
-
-    Small noise is passed over, and so are entries on the trail of the segment
-    before or after that follow the last match closely; anything else starts over.
-    """
-    found, at, first, last, k = [], 0, None, None, 0
-    while k < len(entries):
-        stop = _satisfied(entries, k, route[at])
-        if stop is not None:
-            first, last, at, k = k if first is None else first, stop - 1, at + 1, stop
-            if at == len(route):
-                found.append((first, last))
-                at, first = 0, None
-        elif first is None or entries[k]["noise"]:
-            k += 1
-        elif (entries[k]["name"], entries[k]["kind"]) in {(route[i]["name"], route[i]["kind"]) for i in (at - 1, at)} and _close(entries[last], entries[k]):
-            k += 1
-        else:
-            at, first = 0, None
-    return found
-
-
-def scan_routes(timeline: DataFrame, marks: DataFrame, route: list[dict]) -> DataFrame:
-    """Attempts at ``route`` (segments with ``pos, name, kind, vertices``) in ``timeline(activity_id, entry, start_idx, end_idx, start_t, end_t, name, kind, noise)``.
-
-    ``marks(activity_id, entry, pos, part, a, b, covered)`` tells which ends
-    and which vertices of a segment the points of an entry (part ``own``) or
-    those just before it (``gap``) come near to.  Only activities that have
-    the first segment's name and kind are scanned.
-    """
-
-    def kernel(key: tuple, entries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        rows = entries.sort_values("start_idx").to_dict("records")
-        near: dict[int, dict] = {}
-        for m in found.itertuples(index=False):
-            near.setdefault(m.entry, {})[m.pos, m.part] = (m.a, m.b, m.covered)
-        for r in rows:
-            r["marks"] = near.get(r["entry"], {})
-        hits = [(key[0], rows[a]["start_idx"], rows[b]["end_idx"], rows[b]["end_t"] - rows[a]["start_t"]) for a, b in _attempts(rows, route)]
-        return pd.DataFrame(hits, columns=["activity_id", "first_idx", "last_idx", "duration"])
-
-    able = timeline.where((F.col("name") == route[0]["name"]) & (F.col("kind") == route[0]["kind"])).select("activity_id").distinct()
-    t = timeline.join(able, "activity_id", "left_semi")
-    given = ["activity_id", "entry", "start_idx", "end_idx", "start_t", "end_t", "name", "kind", "noise"]
-    t, marks = (df.toDF(*df.columns) for df in (t.select(*given), marks))  # both come from the same points
-    return t.groupBy("activity_id").cogroup(marks.groupBy("activity_id")).applyInPandas(kernel, "activity_id long, first_idx long, last_idx long, duration long")
-
-
 def chains(ways: DataFrame, groups: DataFrame, metres: float = 5.0) -> DataFrame:
     """Ways of the same name linked end to end: for each the chain (its first way), its place in it and whether it runs backwards there; greedily from the first way on.
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_of_differences, local_x, local_y
-from .kernels import chains, scan_routes
+from ..functions.lineage import cut
+from .kernels import chains
 from .network import close_pairs
+from .route_scan import scan_all
 from .similarity import duplicate_groups
 
 
@@ -70,25 +72,37 @@ def satisfied(marked: DataFrame, vertices: DataFrame, stride: int = 3, share: fl
     return own.select("activity_id", "entry", "pos", (F.col("a") & F.col("b")).alias("touched"), (F.size("covered") >= share * F.col("n")).alias("followed")).where("touched OR followed")
 
 
-def attempts(timeline: DataFrame, points: DataFrame, segments: DataFrame, vertices: DataFrame, least: float = 0.5, touch: float = 30.0) -> DataFrame:
-    """Attempts at a route, the fastest first: span, duration with its pauses, ridden km, ascent and descent; those that ride less than ``least`` of its length go.
+def attempts_of_routes(timeline: DataFrame, points: DataFrame, routes: DataFrame, edges: DataFrame, vertices: DataFrame, least: float = 0.5, touch: float = 30.0) -> DataFrame:
+    """Attempts at every route: span, duration with its pauses, ridden km, ascent and descent; those that ride less than ``least`` of the route's length go.
 
-    ``points(activity_id, seq, lat, lon, ele, dist_km)``.  A route's segments
-    are few, and known to the driver; tracks and timelines are not.
+    ``routes(route_id, pos, edge)``, ``edges(edge, name, kind, alat, alon, blat,
+    blon)``, ``vertices(edge, i, lat, lon)``, ``points(activity_id, seq, lat,
+    lon, ele, dist_km)``.  Points meet each edge once, however many routes run
+    over it; each timeline is read once for all routes.
     """
-    w = Window.partitionBy("pos").orderBy("i")
+    timeline, routes = cut(timeline), cut(routes)  # short, and read several times
+    used = cut(edges.join(routes.select("edge").distinct(), "edge", "left_semi"))
+    v = vertices.select("edge", "i", "lat", "lon").join(used.select("edge", "name", "kind"), "edge")
+    w = Window.partitionBy("edge").orderBy("i")
     leg = haversine_of_differences(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    sizes = vertices.withColumn("leg", leg).groupBy("pos").agg(F.sum("leg").alias("m"), F.count_if(F.col("i") % 3 == 0).alias("n"))
-    route = [r.asDict() for r in segments.join(sizes, "pos", "left").select("pos", "name", "kind", F.coalesce("n", F.lit(0)).alias("vertices"), F.coalesce("m", F.lit(0.0)).alias("m")).orderBy("pos").collect()]
-    km = sum(s["m"] for s in route) / 1000
-    names = segments.select("name", "kind").distinct()
-    mine = timeline.join(F.broadcast(names), ["name", "kind"], "left_semi")  # as many rows as the route has trails
-    found = scan_routes(timeline, marks(entry_points(mine, points), segments, vertices, touch), route)
+    sizes = v.withColumn("leg", leg).groupBy("edge").agg(F.sum("leg").alias("m"), F.count_if(F.col("i") % 3 == 0).alias("n"))
+    mine = timeline.join(used.select("name", "kind").distinct(), ["name", "kind"], "left_semi")
+    key = lambda df: df.withColumnRenamed("edge", "pos")
+    marked = cut(marks(entry_points(mine, points), key(used), key(v), touch))
+    found = cut(scan_all(timeline, marked, routes, used, sizes.select("edge", "n")))
+    lengths = routes.join(sizes, "edge", "left").groupBy("route_id").agg((F.coalesce(F.sum("m"), F.lit(0.0)) / 1000).alias("km"))
     at = lambda c, tag: points.select("activity_id", F.col("seq").alias(c), F.col("dist_km").alias(tag))
-    found = found.join(at("first_idx", "km0"), ["activity_id", "first_idx"]).join(at("last_idx", "km1"), ["activity_id", "last_idx"])
-    found = found.withColumn("dist_km", F.greatest(F.lit(0.0), F.col("km1") - F.col("km0"))).where(F.col("dist_km") >= least * km)
-    climbs = span_gain_loss(points, found.select("activity_id", "first_idx", "last_idx"))
-    return found.join(climbs, ["activity_id", "first_idx", "last_idx"], "left").select("activity_id", "first_idx", "last_idx", "duration", "dist_km", F.coalesce("gain_m", F.lit(0.0)).alias("gain_m"), F.coalesce("loss_m", F.lit(0.0)).alias("loss_m")).orderBy("duration", "activity_id")
+    found = found.join(at("first_idx", "km0"), ["activity_id", "first_idx"]).join(at("last_idx", "km1"), ["activity_id", "last_idx"]).join(lengths, "route_id")
+    found = found.withColumn("dist_km", F.greatest(F.lit(0.0), F.col("km1") - F.col("km0"))).where(F.col("dist_km") >= least * F.col("km"))
+    climbs = span_gain_loss(points, found.select("activity_id", "first_idx", "last_idx").distinct())
+    return found.join(climbs, ["activity_id", "first_idx", "last_idx"], "left").select("route_id", "activity_id", "first_idx", "last_idx", "duration", "dist_km", F.coalesce("gain_m", F.lit(0.0)).alias("gain_m"), F.coalesce("loss_m", F.lit(0.0)).alias("loss_m"))
+
+
+def attempts(timeline: DataFrame, points: DataFrame, segments: DataFrame, vertices: DataFrame, least: float = 0.5, touch: float = 30.0) -> DataFrame:
+    """Attempts at one route, the fastest first.  ``segments(pos, name, kind, alat, alon, blat, blon)``, ``vertices(pos, i, lat, lon)``."""
+    edges = segments.withColumn("edge", F.col("pos").cast("long"))
+    found = attempts_of_routes(timeline, points, edges.select(F.lit(0).cast("long").alias("route_id"), "pos", "edge"), edges.drop("pos"), vertices.withColumn("edge", F.col("pos").cast("long")), least, touch)
+    return found.drop("route_id").orderBy("duration", "activity_id")
 
 
 def span_gain_loss(points: DataFrame, spans: DataFrame, half: int = 3) -> DataFrame:

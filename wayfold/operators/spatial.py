@@ -251,12 +251,36 @@ def directions(attempts: DataFrame) -> DataFrame:
 
 
 def coalesced(timeline: DataFrame, gap: int = 250, seconds: int = 900) -> DataFrame:
-    """Neighbouring entries of the same name merged where the gap in points and time is small."""
-    w = Window.partitionBy("activity_id").orderBy("start_idx")
+    """Entries of the same name, kind and direction that follow each other closely, merged: an out-and-back stays two.
+
+    ``timeline(activity_id, name, kind, direction, start_idx, end_idx, start_t, end_t)``.
+    Close is a gap of at most ``gap`` points, and of at most ``seconds`` where
+    the merged entry's end and the next one's start have times; without times
+    the points alone decide.  The merged end is the last that has one, so it
+    depends on what was merged before: windows part what can't be merged in any
+    case, and a fold over the few entries of such a run decides the rest.
+    """
+    w = Window.partitionBy("activity_id").orderBy("start_idx", "end_idx")
     p = lambda c: F.lag(c).over(w)
-    same = (F.col("name") == p("name")) & (F.col("start_idx") - p("end_idx")).between(0, gap) & (F.col("start_t") - p("end_t") <= seconds)
-    r = timeline.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.groupBy("activity_id", "g", "name").agg(F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx"), F.count("*").alias("parts")).drop("g")
+    same = F.lit(True)
+    for c in ("name", "kind", "direction"):
+        same = same & F.col(c).eqNullSafe(p(c))
+    able = same & (F.col("start_idx") - p("end_idx")).between(0, gap)
+    r = timeline.withColumn("new", F.when(F.coalesce(able, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    fields = ("start_idx", "end_idx", "start_t", "end_t")
+    one = lambda e, **over: F.struct(*(over.get(c, e[c]).alias(c) for c in (*fields, "parts")))
+    runs = r.groupBy("activity_id", "run", "name", "kind", "direction").agg(F.array_sort(F.collect_list(F.struct(*fields, F.lit(1).cast("long").alias("parts")))).alias("entries"))
+
+    def step(done: F.Column, e: F.Column) -> F.Column:
+        last = F.element_at(done, -1)
+        late = F.coalesce(e["start_t"] - last["end_t"] > seconds, F.lit(False))
+        joined = one(last, end_idx=e["end_idx"], end_t=F.coalesce(e["end_t"], last["end_t"]), parts=last["parts"] + 1)
+        return F.when(late, F.concat(done, F.array(one(e)))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined)))
+
+    rest = F.slice("entries", 2, F.greatest(F.size("entries") - 1, F.lit(1)))
+    folded = F.aggregate(rest, F.slice("entries", 1, 1), step)
+    out = runs.select("activity_id", "name", "kind", "direction", F.explode(folded).alias("e"))
+    return out.select("activity_id", "name", "kind", "direction", *(F.col(f"e.{c}").alias(c) for c in (*fields, "parts")))
 
 
 def track_coverage(vertices: DataFrame, points: DataFrame, metres: float = 40.0, stride: int = 3) -> DataFrame:

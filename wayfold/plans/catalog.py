@@ -849,14 +849,24 @@ def lb_04(spark, d):
     return spatial.trail_index(_attempts(spark, d), ["type", "name"]).groupBy("type").agg(F.sum("attempts").alias("attempts"), F.count("*").alias("trails"))
 
 
-_LINE = "tl AS (SELECT activity_id, CAST(event_id % 2 AS VARCHAR) AS name, seq AS start_idx, seq + 1 + event_id % 2 AS end_idx, t_s AS start_t, t_s + 5 AS end_t FROM trk WHERE event_type <> 'error')"
+_LINE = "tl AS (SELECT activity_id, CAST(event_id % 2 AS VARCHAR) AS name, CASE WHEN event_id % 7 = 0 THEN 'lift' ELSE 'trail' END AS kind, CASE WHEN event_id % 5 < 4 THEN 'up' ELSE 'down' END AS direction, seq AS start_idx, seq + 1 + event_id % 2 AS end_idx, CASE WHEN event_id % 11 > 0 THEN t_s END AS start_t, CASE WHEN event_id % 6 > 0 THEN t_s + 5 END AS end_t FROM trk WHERE event_type <> 'error')"
 
 
-@query("rte_01", f"WITH {TRK}, {_LINE}, b AS (SELECT *, CASE WHEN name = LAG(name) OVER w AND start_idx - LAG(end_idx) OVER w BETWEEN 0 AND 250 AND start_t - LAG(end_t) OVER w <= 900 THEN 0 ELSE 1 END AS nw FROM tl WINDOW w AS (PARTITION BY activity_id ORDER BY start_idx)), g AS (SELECT *, SUM(nw) OVER (PARTITION BY activity_id ORDER BY start_idx ROWS UNBOUNDED PRECEDING) AS g FROM b) SELECT activity_id, name, MIN(start_idx) AS start_idx, MAX(end_idx) AS end_idx, COUNT(*) AS parts FROM g GROUP BY activity_id, g, name")
-def rte_01(spark, d):
+def _entries(spark, d):
+    """Timeline entries of each point but errors: of two names, kinds and directions, some without times."""
+    i = F.col("event_id")
     p = track_points(spark, d).where("event_type != 'error'")
-    tl = p.select("activity_id", (F.col("event_id") % 2).cast("string").alias("name"), F.col("seq").alias("start_idx"), (F.col("seq") + 1 + F.col("event_id") % 2).alias("end_idx"), F.col("t_s").alias("start_t"), (F.col("t_s") + 5).alias("end_t"))
-    return spatial.coalesced(tl)
+    kind, direction = F.when(i % 7 == 0, "lift").otherwise("trail"), F.when(i % 5 < 4, "up").otherwise("down")
+    return p.select("activity_id", (i % 2).cast("string").alias("name"), kind.alias("kind"), direction.alias("direction"), F.col("seq").alias("start_idx"), (F.col("seq") + 1 + i % 2).alias("end_idx"), F.when(i % 11 > 0, F.col("t_s")).alias("start_t"), F.when(i % 6 > 0, F.col("t_s") + 5).alias("end_t"))
+
+
+#: Entries one after the other, each against what has been merged so far.
+_MERGED = "o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY activity_id ORDER BY start_idx, end_idx) AS k FROM tl), mg AS (SELECT activity_id, k, name, kind, direction, 1 AS g, start_idx, end_idx, start_t, end_t FROM o WHERE k = 1 UNION ALL SELECT o.activity_id, o.k, o.name, o.kind, o.direction, CASE WHEN near THEN g ELSE g + 1 END, CASE WHEN near THEN m0 ELSE o.start_idx END, o.end_idx, CASE WHEN near THEN s0 ELSE o.start_t END, CASE WHEN near THEN COALESCE(o.end_t, e0) ELSE o.end_t END FROM (SELECT o.*, m.g, m.start_idx AS m0, m.start_t AS s0, m.end_t AS e0, m.name = o.name AND m.kind = o.kind AND m.direction = o.direction AND o.start_idx - m.end_idx BETWEEN 0 AND 250 AND COALESCE(o.start_t - m.end_t <= 900, true) AS near FROM mg m JOIN o ON o.activity_id = m.activity_id AND o.k = m.k + 1) o)"
+
+
+@query("rte_01", f"WITH RECURSIVE {TRK}, {_LINE}, {_MERGED} SELECT activity_id, name, kind, direction, MIN(start_idx) AS start_idx, MAX(end_idx) AS end_idx, arg_max(start_t, k) AS start_t, arg_max(end_t, k) AS end_t, COUNT(*) AS parts FROM mg GROUP BY activity_id, g, name, kind, direction")
+def rte_01(spark, d):
+    return spatial.coalesced(_entries(spark, d))
 
 
 @query("spa_11", f"WITH {TRK}, v AS (SELECT CAST(l AS BIGINT) AS line_id, CAST(k AS BIGINT) AS i, 49.995 + 0.0002 * l + 0.0003 * k AS vlat, -115.999 + 0.0005 * l + 0.0004 * k AS vlon FROM range(8) a(l), range(30) b(k) WHERE k % 3 = 0), h AS (SELECT DISTINCT activity_id, line_id, i FROM v, trk WHERE seq % 3 = 0 AND {hav('vlat', 'vlon', 'lat', 'lon', True)} <= 40) SELECT activity_id, line_id, round(COUNT(*) / 10.0, 6) AS covered FROM h GROUP BY 1, 2")
@@ -1305,6 +1315,16 @@ def rte_05(spark, d):
     return routes.attempts(_timeline(spark, d), legs(spark, d), seg, v, 0.1, 700.0)
 
 
+@query("rte_05_all")
+def rte_05_all(spark, d):
+    """Attempts at every route of a table: the edges of each ride, in its order, are saved as a route."""
+    ways = _ways(spark, d)
+    edges = ways.select(F.col("way_pos").alias("edge"), "name", F.lit("trail").alias("kind"), "alat", "alon", "blat", "blon")
+    vertices = _vertices(spark, d).withColumnRenamed("chain", "edge")
+    saved = rte_08(spark, d).select(F.col("activity_id").alias("route_id"), F.col("place").alias("pos"), "edge")
+    return routes.attempts_of_routes(_timeline(spark, d), legs(spark, d), saved, edges, vertices, 0.1, 300.0)
+
+
 @query("rte_08")
 def rte_08(spark, d):
     v = _vertices(spark, d).withColumn("kind", F.lit("trail")).withColumnRenamed("chain", "edge")
