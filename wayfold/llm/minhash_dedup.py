@@ -8,8 +8,8 @@ child with chance s, so unlike ones part quickly.  Small nodes are compared
 exhaustively, in blocks of two parts each.  Large nodes are dealt into parts,
 each with the node's pivot, and branch again while they hold documents of more
 than one known component.  Where few documents are outside a node's largest
-component, they join each part, which settles the node; nodes that stay large
-to the last depth are compared part by part, which leaves out no pair.
+component, they join each part, which settles the node; nodes that branching
+no longer parts are compared part by part, which leaves out no pair.
 Sketches (minimum values) only choose candidates: the full shingle sets of a
 block's candidates then meet in it, and confirm its links.
 
@@ -34,7 +34,7 @@ POSITIONS = 64  #: minimum values in a sketch
 LIMIT = 512  #: documents of a part of a node, all of which are compared
 WHOLE = 4096  #: documents of a node up to which all its parts are compared with each other
 TREES = 5
-DEPTH = 6  #: rounds of branching, of two levels each, before large nodes are compared block by block
+DEPTH = 6  #: rounds of branching, of two levels each, at most
 ROWS = 1024  #: rows of texts, sketches or sets that Python gets at once
 LEAST = 32  #: shared minima from which a pair is confirmed on full sets: 0.75 of 64 less 4.6 standard deviations
 
@@ -107,14 +107,14 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _branch(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...], levels: int) -> Iterator[pa.RecordBatch]:
-    """Two children of each (node, id, sig), and theirs, ``levels`` deep; with ``trees``, of each tree's root for each (id, sig)."""
+    """Two children of each (node, id, sig), and theirs, ``levels`` deep, with the node they come from; with ``trees``, of each tree's root for each (id, sig)."""
     for b in batches:
         if not b.num_rows:
             continue
         ids = np.asarray(b.column("id"))
         sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, POSITIONS).astype(np.uint64)
         nodes = [np.full(len(ids), t + 1, np.uint64) for t in trees] or [np.asarray(b.column("node")).view(np.uint64)]
-        rows = np.arange(len(ids))
+        rows, above = np.arange(len(ids)), nodes
         for _ in range(levels):
             below = []
             for node in nodes:
@@ -122,9 +122,9 @@ def _branch(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...], levels: i
                 first = x % np.uint64(POSITIONS)
                 second = (first + np.uint64(1) + (x >> np.uint64(32)) % np.uint64(POSITIONS - 1)) % np.uint64(POSITIONS)
                 below += [mix(mix(node * np.uint64(0xD6E8FEB86659FD93) + place) + sig[rows, place.astype(np.int64)]) for place in (first, second)]
-            nodes = below
-        for node in nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids)], ["node", "id"])
+            nodes, above = below, [a for a in above for _ in range(2)]
+        for node, parent in zip(nodes, above, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids), pa.array(parent.view(np.int64))], ["node", "id", "parent"])
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -267,19 +267,19 @@ def _classes(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame
         # cut, so that the join is of two plain shuffles: then adaptive execution splits the rows of a hot node, or sends the sizes to all
         return rows.join(cut(sizes), "node")
 
-    def blocks(rows: DataFrame, whole: int) -> DataFrame:
-        """Rows with their block.  A node of up to ``whole`` documents has one for each pair of its parts; a larger one has its parts, each with the documents outside the node's largest component, where they are few, or with its pivot."""
+    def blocks(rows: DataFrame) -> DataFrame:
+        """Rows with their block.  A node of up to ``WHOLE`` documents, or one that is to be compared in ``all``, has one for each pair of its parts; another one has its parts, each with the documents outside the node's largest component, where they are few, or with its pivot."""
         rows = rows.withColumn("n", F.ceil(F.col("size") / LIMIT)).withColumn("block", F.pmod(F.xxhash64("id", "node"), "n"))
         each = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
         each_pair = F.transform(each, lambda x: F.least("block", x) * F.col("n") + F.greatest("block", x))
         everywhere = F.when(F.expr(FEW), F.col("comp") != F.col("main")).otherwise(F.col("id") == F.col("main"))
-        block = F.when(F.col("size") <= whole, each_pair).when(everywhere, each).otherwise(F.array("block"))
+        block = F.when(F.col("all") | (F.col("size") <= WHOLE), each_pair).when(everywhere, each).otherwise(F.array("block"))
         return rows.select("node", F.explode(block).alias("block"), "id", "comp")
 
-    def settle(rows: DataFrame, whole: int = WHOLE) -> None:
+    def settle(rows: DataFrame) -> None:
         """Compare the blocks of ``rows``, confirm the candidates, and renew the components."""
         nonlocal sets, comps
-        dealt = blocks(rows, whole).join(reps, "id").select("node", "block", "id", "comp", "sig")
+        dealt = blocks(rows).join(reps, "id").select("node", "block", "id", "comp", "sig")
         dealt = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "id")
         suspects = compact(dealt.mapInArrow(_suspect, "node long, block long, id long"))
         ids = compact(suspects.select("id").distinct())
@@ -297,24 +297,28 @@ def _classes(docs: DataFrame, width: int, percent: int, trees: int) -> DataFrame
 
     live = None
     for some in ((0,), tuple(range(1, trees))):
-        rows = opened(labelled(reps.mapInArrow(partial(_branch, trees=some, levels=1), "node long, id long")), 2)
+        rows = opened(labelled(reps.mapInArrow(partial(_branch, trees=some, levels=1), "node long, id long, parent long")).drop("parent"), 2)
         if live is not None:
             again = opened(labelled(live.select("node", "id")), LIMIT + 1)
             rows = rows.unionByName(again)
         rows = compact(rows)
-        settle(rows)
+        settle(rows.withColumn("all", F.lit(False)))
         live = rows.where(f"size > {WHOLE} AND NOT ({FEW})")
     for depth in range(DEPTH):
         live = compact(opened(labelled(live.select("node", "id")), WHOLE + 1))
         if live.isEmpty():
             break
-        if depth == DEPTH - 1:
-            settle(live, whole=1 << 62)
-            break
-        few = live.where(FEW)
-        rows = live.where(f"NOT ({FEW})").join(reps, "id").select("node", "id", "sig").mapInArrow(partial(_branch, trees=(), levels=2), "node long, id long")
-        rows = compact(opened(labelled(rows.distinct()), 2).unionByName(few))
-        settle(rows)
+        few, many = live.where(FEW), live.where(f"NOT ({FEW})")
+        below = many.join(reps, "id").select("node", "id", "sig").mapInArrow(partial(_branch, trees=(), levels=2), "node long, id long, parent long").distinct()
+        # branching goes on while it parts a node: where the large children hold as many rows as it has, they would only be the same pairs again
+        parted = compact(opened(labelled(below), 2))
+        kept = parted.where(f"size > {WHOLE} AND NOT ({FEW})").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("rows"))
+        alike = many.groupBy("node").agg(F.first("size").alias("n")).join(kept, "node", "left")
+        alike = cut(alike.where(F.lit(depth == DEPTH - 1) | (F.col("rows") >= F.col("n"))).select("node"))
+        rows = parted.join(alike.select(F.col("node").alias("parent")), "parent", "left_anti").select(few.columns)
+        rows = compact(rows.unionByName(few))
+        stuck = many.join(alike, "node", "left_semi").select(few.columns)
+        settle(rows.withColumn("all", F.lit(False)).unionByName(stuck.withColumn("all", F.lit(True))))
         live = rows.where(f"size > {WHOLE} AND NOT ({FEW})")
 
     kinds = classes.select(*prints, F.col("first").alias("component_id"))
