@@ -185,7 +185,7 @@ def gl_13(spark, d):
 @query("sim_05")
 def sim_05(spark, d):
     """Complete-linkage clusters of tracks by their cells."""
-    s = similarity.pair_scores(C._cells(spark, d)).select("a", "b", F.col("jaccard").alias("score"))
+    s = similarity.similar_pairs(C._cells(spark, d), 0.15).select("a", "b", F.col("jaccard").alias("score"))
     return overview.clusters_of_rides(s, track_points(spark, d).select(F.col("activity_id").alias("v")).distinct(), 0.15)
 
 
@@ -253,7 +253,7 @@ def cnt_02(spark, d):
 def _jumpy_dups(spark, d):
     p = track_points(spark, d, True)
     a = p.groupBy("activity_id").agg(F.max("seq").alias("km"), F.max("t_s").alias("duration")).withColumns({"d": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("activity_id") % 4).cast("int")), "has_cells": F.col("activity_id") % 5 > 0})
-    return similarity.duplicate_pairs(a, similarity.pair_scores(spatial.cell_sets(p, 60.0, 50.7, 3)), 0.25)
+    return similarity.duplicate_pairs(a, spatial.cell_sets(p, 60.0, 50.7, 3), 0.25)
 
 
 

@@ -21,6 +21,8 @@ ROWS = "PARTITION BY activity_id ORDER BY seq ROWS BETWEEN"
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
@@ -370,16 +372,6 @@ def win_01(spark, d):
     return reports.streaks(activities(spark, d), AS_OF)
 
 
-@query("top_01", f"WITH {ACT}, l AS (SELECT type, activity_id, d, 'longest' AS metric, km AS value FROM act UNION ALL SELECT type, activity_id, d, 'climbing', gain FROM act UNION ALL SELECT type, activity_id, d, 'pieces', CAST(n AS DOUBLE) FROM act) SELECT type, metric, activity_id, d, round(value, 6) AS value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY type, metric ORDER BY value DESC, activity_id) AS r FROM l WHERE value IS NOT NULL) WHERE r = 1")
-def top_01(spark, d):
-    return reports.records(activities(spark, d), {"longest": "km", "climbing": "gain", "pieces": "n"}).withColumn("value", rnd("value", 6))
-
-
-@query("top_02", f"WITH {ACT}, l AS (SELECT type, activity_id, d, 'longest' AS metric, km AS value FROM act WHERE d > DATE '2001-05-03') SELECT type, metric, activity_id, d, round(value, 6) AS value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY type ORDER BY value DESC, activity_id) AS r FROM l) WHERE r = 1")
-def top_02(spark, d):
-    return reports.records(reports.log_query(activities(spark, d), since="2001-05-04"), {"longest": "km"}).withColumn("value", rnd("value", 6))
-
-
 @query("top_03", f"WITH {ACT}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY type ORDER BY d DESC, activity_id) AS k FROM act), m AS (SELECT activity_id, d, type, CAST(round(hours * 60) AS BIGINT) AS mins FROM r WHERE k <= 5 ORDER BY d DESC, activity_id LIMIT 25) SELECT activity_id, d, type, CAST(mins // 60 AS VARCHAR) || ':' || lpad(CAST(mins % 60 AS VARCHAR), 2, '0') AS duration FROM m")
 def top_03(spark, d):
     return reports.recent(activities(spark, d))
@@ -390,23 +382,6 @@ def top_04(spark, d):
     return reports.log_query(activities(spark, d), since="2001-07-01").orderBy(F.desc("d"), "activity_id").select("activity_id", "d", "type")
 
 
-@query("flt_01", f"WITH {ACT} SELECT activity_id, d, type, round(km, 6) AS km FROM act WHERE type IN ('BUILDING', 'MACHINERY') AND d BETWEEN DATE '2000-01-01' AND DATE '2000-03-31' AND NOT assisted")
-def flt_01(spark, d):
-    return reports.log_query(activities(spark, d), ["BUILDING", "MACHINERY"], "2000-01-01", "2000-03-31", False).select("activity_id", "d", "type", rnd("km", 6).alias("km"))
-
-
-@query("flt_02", f"WITH {ACT} SELECT activity_id, COALESCE(CASE WHEN activity_id % 5 = 0 THEN type END, CASE WHEN month(d) IN (12, 1, 2) THEN 'SNOW' END, 'RIDE') AS effective FROM act")
-def flt_02(spark, d):
-    a = activities(spark, d)
-    explicit = F.when(F.col("activity_id") % 5 == 0, F.col("type"))
-    return a.select("activity_id", reports.effective_type(explicit, F.month("d").isin(12, 1, 2), F.lit("SNOW"), F.lit("RIDE")).alias("effective"))
-
-
-@query("flt_03", f"WITH {ACT} SELECT activity_id, COALESCE(CASE WHEN activity_id % 3 = 0 THEN assisted END, place < 5) AS effective FROM act")
-def flt_03(spark, d):
-    return activities(spark, d).select("activity_id", F.coalesce(F.when(F.col("activity_id") % 3 == 0, F.col("assisted")), F.col("place") < 5).alias("effective"))
-
-
 @query("flt_05", f"WITH {ACT} SELECT activity_id, d, type FROM act")
 def flt_05(spark, d):
     return activities(spark, d).select("activity_id", "d", "type")
@@ -454,11 +429,6 @@ rides AS (SELECT *, z2 / 60 + 2 * z3 / 60 + 3 * z4 / 60 + 5 * z5 / 60 AS hr_load
 _K = "(SELECT COALESCE(median(CASE WHEN hr_load > 0 AND surrogate > 0 THEN hr_load / surrogate END), 1.0) AS k FROM rides)"
 
 
-@query("fit_03", f"WITH {ACT}, {_RIDES} SELECT activity_id, round(kcal, 3) AS kcal FROM rides")
-def fit_03(spark, d):
-    return _rides(spark, d).select("activity_id", rnd("kcal", 3).alias("kcal"))
-
-
 @query("fit_05", f"WITH {ACT}, {_RIDES} SELECT activity_id, round(hr_load, 4) AS load FROM rides")
 def fit_05(spark, d):
     return _rides(spark, d).select("activity_id", rnd("hr_load", 4).alias("load"))
@@ -594,23 +564,11 @@ def jn_05(spark, d):
     return asof.coverage(_span(spark, d), _sensor(spark, d), -80).select("activity_id", "covered")
 
 
-@query("jn_06", f"WITH {TRK}, e AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM trk), h AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM trk WHERE event_type = 'purchase' AND ele > 1600) SELECT d FROM e WHERE d NOT IN (SELECT d FROM h)")
-def jn_06(spark, d):
-    p = track_points(spark, d).withColumn("d", F.to_date("ts"))
-    return p.select("d").distinct().join(p.where("event_type = 'purchase' AND ele > 1600").select("d"), "d", "left_anti")
-
-
 @query("jn_07", f"WITH {TRK}, {_SENSOR}, r AS (SELECT bpm, ROW_NUMBER() OVER (ORDER BY bpm) - 1 AS k, COUNT(*) OVER () AS n FROM sensor WHERE bpm > 0) SELECT bpm FROM r WHERE k = least(n - 1, CAST(floor(n * CAST(0.995 AS DOUBLE)) AS BIGINT))")
 def jn_07(spark, d):
     return asof.percentile_by_place(_sensor(spark, d), "bpm", 0.995)
 
 
-@query("jn_08", f"WITH {TRK}, {_SENSOR} SELECT activity_id, COALESCE(CASE WHEN activity_id % 4 = 0 THEN 185.0 END, MAX(bpm), 190.0) AS max_hr FROM sensor GROUP BY 1")
-def jn_08(spark, d):
-    g = _sensor(spark, d).groupBy("activity_id").agg(F.max("bpm").alias("m"))
-    return g.select("activity_id", asof.effective(F.when(F.col("activity_id") % 4 == 0, 185.0), F.col("m"), 190.0).alias("max_hr"))
-
-
 @query("jn_09", f"WITH {ACT}, w AS (SELECT CAST(date_trunc('month', d) AS DATE) + 14 AS d, round(70 + SUM(n) % 20, 2) AS kg FROM act WHERE month(d) % 3 = 0 GROUP BY 1) SELECT a.activity_id, a.d, CAST(COALESCE(kg, 75) AS DOUBLE) AS kg FROM act a ASOF LEFT JOIN w ON w.d <= a.d")
 def jn_09(spark, d):
     a = activities(spark, d)
@@ -618,14 +576,6 @@ def jn_09(spark, d):
     return asof.asof_backward(a.select("activity_id", "d"), w, "d", "kg").withColumn("kg", F.coalesce("kg", F.lit(75.0)))
 
 
-@query("jn_10", f"WITH {TRK}, sp AS (SELECT activity_id, MIN(t_s) + activity_id * 1000 AS start_s, MAX(t_s) + activity_id * 1000 AS end_s FROM trk GROUP BY 1), h AS (SELECT k * 3600 AS t, CAST(k * 7 % 31 AS DOUBLE) AS temp, CAST(k % 5 AS DOUBLE) AS rain, CAST(k * 11 % 47 AS DOUBLE) AS wind, k * 13 % 4 AS code FROM range(2000) r(k)), j AS (SELECT * FROM sp JOIN h ON t + 3600 > start_s AND t < end_s), c AS (SELECT activity_id, code, ROW_NUMBER() OVER (PARTITION BY activity_id ORDER BY COUNT(*) DESC, MIN(t)) AS r FROM j GROUP BY 1, 2) SELECT j.activity_id, MIN(temp) AS temp_min, MAX(temp) AS temp_max, SUM(rain) AS rain, MAX(wind) AS wind, any_value(c.code) AS code FROM j JOIN c ON c.activity_id = j.activity_id AND r = 1 GROUP BY 1")
-def jn_10(spark, d):
-    sp = track_points(spark, d).groupBy("activity_id").agg((F.min("t_s") + F.col("activity_id") * 1000).alias("start_s"), (F.max("t_s") + F.col("activity_id") * 1000).alias("end_s"))
-    k = F.col("id")
-    h = spark.range(2000).select((k * 3600).alias("t"), (k * 7 % 31).cast("double").alias("temp"), (k % 5).cast("double").alias("rain"), (k * 11 % 47).cast("double").alias("wind"), (k * 13 % 4).alias("code"))
-    return asof.weather_overlap(sp, h)
-
-
 @query("jn_11", f"WITH {TRK} SELECT arg_max(ele, event_id) FILTER (WHERE ele IS NOT NULL) AS ele FROM trk")
 def jn_11(spark, d):
     return asof.latest_value(track_points(spark, d), "ele", "event_id")
@@ -829,11 +779,6 @@ def lb_01(spark, d):
     return spatial.leaderboards(_attempts(spark, d), ["name", "direction"]).select("name", "direction", "activity_id", "rank", "total")
 
 
-@query("lb_02", f"WITH {_ATT} SELECT type, name, direction, COUNT(*) AS attempts, MIN(duration) AS best, arg_min(activity_id, (duration, activity_id)) AS best_id FROM att WHERE completed GROUP BY 1, 2, 3")
-def lb_02(spark, d):
-    return spatial.trail_index(_attempts(spark, d), ["type", "name", "direction"])
-
-
 @query("lb_03", f"WITH {_ATT} SELECT name, string_agg(DISTINCT direction, ',' ORDER BY direction) AS directions FROM att WHERE completed GROUP BY 1")
 def lb_03(spark, d):
     return spatial.directions(_attempts(spark, d))
@@ -844,11 +789,6 @@ def win_08(spark, d):
     return spatial.leaderboards(_attempts(spark, d), ["name"]).select("activity_id", "rank", "total")
 
 
-@query("lb_04", f"WITH {_ATT} SELECT type, COUNT(*) AS attempts, COUNT(DISTINCT name) AS trails FROM att WHERE completed GROUP BY 1")
-def lb_04(spark, d):
-    return spatial.trail_index(_attempts(spark, d), ["type", "name"]).groupBy("type").agg(F.sum("attempts").alias("attempts"), F.count("*").alias("trails"))
-
-
 _LINE = "tl AS (SELECT activity_id, CAST(event_id % 2 AS VARCHAR) AS name, CASE WHEN event_id % 7 = 0 THEN 'lift' ELSE 'trail' END AS kind, CASE WHEN event_id % 5 < 4 THEN 'up' ELSE 'down' END AS direction, seq AS start_idx, seq + 1 + event_id % 2 AS end_idx, CASE WHEN event_id % 11 > 0 THEN t_s END AS start_t, CASE WHEN event_id % 6 > 0 THEN t_s + 5 END AS end_t FROM trk WHERE event_type <> 'error')"
 
 
@@ -888,7 +828,7 @@ def sim_04(spark, d):
 
 @query("set_04", f"WITH {TRK}, {_CELLS}, {_PAIR} SELECT a, b, both_n AS \"both\" FROM score WHERE jaccard >= 0.1")
 def set_04(spark, d):
-    return similarity.pair_scores(_cells(spark, d)).where("jaccard >= 0.1").select("a", "b", "both")
+    return similarity.similar_pairs(_cells(spark, d), 0.1).select("a", "b", "both")
 
 
 _DUP = "dact AS (SELECT activity_id, DATE '2024-01-01' + CAST(activity_id % 4 AS INTEGER) AS d, MAX(seq) AS km, MAX(t_s) AS dur FROM trk GROUP BY 1), dup AS (SELECT x.activity_id AS a, y.activity_id AS b, x.d FROM dact x JOIN dact y ON x.d = y.d AND x.activity_id < y.activity_id LEFT JOIN score s ON s.a = x.activity_id AND s.b = y.activity_id WHERE CASE WHEN x.activity_id % 5 > 0 AND y.activity_id % 5 > 0 THEN COALESCE(jaccard >= 0.25, false) ELSE abs(x.km - y.km) <= 0.05 * greatest(x.km, y.km) AND abs(x.dur - y.dur) <= 0.05 * greatest(x.dur, y.dur) END)"
@@ -897,7 +837,7 @@ _DUP = "dact AS (SELECT activity_id, DATE '2024-01-01' + CAST(activity_id % 4 AS
 def _dups(spark, d):
     p = track_points(spark, d)
     a = p.groupBy("activity_id").agg(F.max("seq").alias("km"), F.max("t_s").alias("duration")).withColumns({"d": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("activity_id") % 4).cast("int")), "has_cells": F.col("activity_id") % 5 > 0})
-    return similarity.duplicate_pairs(a, similarity.pair_scores(_cells(spark, d)), 0.25)
+    return similarity.duplicate_pairs(a, _cells(spark, d), 0.25)
 
 
 @query("sim_01", f"WITH {TRK}, {_CELLS}, {_PAIR}, {_DUP} SELECT a, b, CAST(d AS DATE) AS d FROM dup")
@@ -905,11 +845,6 @@ def sim_01(spark, d):
     return _dups(spark, d)
 
 
-@query("sim_02", f"WITH RECURSIVE {TRK}, {_CELLS}, {_PAIR}, {_DUP}, e AS (SELECT a, b FROM dup UNION SELECT b, a FROM dup), reach AS (SELECT a AS v, a AS c FROM e UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.v) SELECT v, MIN(c) AS c FROM reach GROUP BY 1")
-def sim_02(spark, d):
-    return similarity.duplicate_groups(_dups(spark, d))
-
-
 @query("sim_03", f"WITH {TRK}, {_BOX}, r AS (SELECT b.*, MAX(seq) AS km FROM box b JOIN trk t ON t.activity_id = b.activity_id GROUP BY ALL), g AS (SELECT r.*, CASE WHEN activity_id % 4 = 0 THEN '' ELSE CAST(activity_id % 3 AS VARCHAR) END AS region FROM r) SELECT DISTINCT x.activity_id AS a, y.activity_id AS b FROM g x JOIN g y ON x.region = y.region AND x.activity_id < y.activity_id WHERE abs(x.km - y.km) <= 0.2 * greatest(x.km, y.km) AND COALESCE(greatest(0, least(x.c, y.c) - greatest(x.a, y.a)) * greatest(0, least(x.d, y.d) - greatest(x.b, y.b)) / nullif((x.c - x.a) * (x.d - x.b) + (y.c - y.a) * (y.d - y.b) - greatest(0, least(x.c, y.c) - greatest(x.a, y.a)) * greatest(0, least(x.d, y.d) - greatest(x.b, y.b)), 0), 0) >= 0.3")
 def sim_03(spark, d):
     p = track_points(spark, d)
@@ -1026,12 +961,6 @@ def dq_04(spark, d):
     return odd_starts(start, F.lit("Etc/GMT+7")).select("activity_id", F.col("hour").cast("long").alias("hour"))
 
 
-@query("cnt_02", f"WITH {LEGS}, {_SPIKES} SELECT 'spikes' AS kind, COUNT(DISTINCT activity_id) AS n FROM spiked WHERE spike UNION ALL SELECT 'no_elevation', COUNT(*) FROM trk WHERE ele IS NULL")
-def cnt_02(spark, d):
-    p = T.spikes(legs(spark, d))
-    return p.where("spike").agg(F.count_distinct("activity_id").alias("n")).select(F.lit("spikes").alias("kind"), "n").unionByName(p.where("ele IS NULL").agg(F.count("*").alias("n")).select(F.lit("no_elevation").alias("kind"), "n"))
-
-
 # ---------------------------------------------------------------- sources and changes that the tables can show
 
 
@@ -1068,13 +997,6 @@ def dml_02(spark, d):
     return upserted(e, new, "event_id")
 
 
-@query("gl_14", "SELECT CAST(s.d AS DATE) AS d FROM (SELECT unnest(generate_series(DATE '2024-01-05', DATE '2024-02-10', INTERVAL 1 DAY)) AS d) s WHERE CAST(s.d AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events) OR s.d > DATE '2024-02-07'")
-def gl_14(spark, d):
-    days = spark.range(1).select(F.explode(F.expr("sequence(DATE '2024-01-05', DATE '2024-02-10')")).alias("d"))
-    have = read(spark, d, "events").select(F.to_date("ts").alias("d")).distinct()
-    return days.join(have, "d", "left_anti").unionByName(days.where("d > DATE '2024-02-07'")).distinct()
-
-
 @query("gl_16", f"WITH {ACT} SELECT activity_id, COALESCE(CASE WHEN activity_id % 2 = 0 THEN 'kept' END, CASE type WHEN 'BUILDING' THEN 'ride' WHEN 'MACHINERY' THEN 'ski' ELSE 'other' END) AS tag FROM act")
 def gl_16(spark, d):
     mapped = F.when(F.col("type") == "BUILDING", "ride").when(F.col("type") == "MACHINERY", "ski").otherwise("other")
@@ -1177,14 +1099,6 @@ def rg_02(spark, d):
     return network.end_clusters(_ways(spark, d), 20.0).select("id", F.array_join("names", ",").alias("names"))
 
 
-@query("sim_05")
-def sim_05(spark, d):
-    from ..operators.kernels import complete_linkage
-
-    s = similarity.pair_scores(_cells(spark, d)).select("a", "b", F.col("jaccard").alias("score"))
-    return complete_linkage(s, similarity.duplicate_groups(s.where("score >= 0.15").select("a", "b")), 0.15)
-
-
 # ---------------------------------------------------------------- networks and routes
 
 
@@ -1437,11 +1351,6 @@ def fit_13(spark, d):
     return _sensor(spark, d).groupBy("activity_id").agg(F.round(15.3 * F.max("bpm") / F.min("bpm"), 1).alias("vo2max"))
 
 
-@query("fit_14", f"WITH {TRK}, {_SENSOR}, l AS (SELECT activity_id, list_sort(list(bpm)) AS l FROM sensor GROUP BY 1) SELECT activity_id, l[len(l) // 2 + 1] AS baseline FROM l")
-def fit_14(spark, d):
-    return _sensor(spark, d).groupBy("activity_id").agg(F.collect_list("bpm").alias("l")).select("activity_id", stats.median_upper(F.col("l")).alias("baseline"))
-
-
 @query("fit_16", f"WITH {ACT}, {_RIDES} SELECT round(100 * SUM(z1) / SUM(z1 + z2 + z3 + z4 + z5), 4) AS p1, round(100 * SUM(z5) / SUM(z1 + z2 + z3 + z4 + z5), 4) AS p5 FROM rides WHERE d > DATE '2001-07-04'")
 def fit_16(spark, d):
     r = _rides(spark, d).where("d > DATE '2001-07-04'")
@@ -1472,12 +1381,6 @@ def flt_06(spark, d):
     return activities(spark, d).where("gain IS NULL OR type = ''").select("activity_id")
 
 
-@query("flt_07", f"WITH {TRK}, {_INSIDE} SELECT DISTINCT activity_id FROM trk WHERE activity_id NOT IN (SELECT activity_id FROM inside)")
-def flt_07(spark, d):
-    p = track_points(spark, d)
-    return p.select("activity_id").distinct().join(spatial.points_in_regions(p, spatial.ring_edges(_regions(spark))).select("activity_id").distinct(), "activity_id", "left_anti")
-
-
 @query("flt_10", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%red%' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def flt_10(spark, d):
     hidden = read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
@@ -1497,32 +1400,13 @@ def top_08(spark, d):
     return g.withColumns({"place": F.row_number().over(w.orderBy(F.desc("attempts"), "name")).cast("long"), "total": F.sum("attempts").over(w)})
 
 
-@query("set_05", f"WITH {TRK}, {_INSIDE} SELECT activity_id, string_agg(CAST(region_id AS VARCHAR), ',' ORDER BY region_id) AS regions FROM (SELECT DISTINCT activity_id, region_id FROM inside UNION SELECT DISTINCT activity_id, activity_id % 6 FROM trk) GROUP BY 1")
-def set_05(spark, d):
-    p = track_points(spark, d)
-    tags = spatial.points_in_regions(p, spatial.ring_edges(_regions(spark))).groupBy("activity_id").agg(F.array_sort(F.collect_set("region_id")).alias("m"))
-    pins = p.select("activity_id", F.array(F.col("activity_id") % 6).alias("pins")).distinct()
-    both = pins.join(tags, "activity_id", "left")
-    return both.select("activity_id", F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce("m", F.array().cast("array<bigint>")), "pins"))).cast("array<string>"), ",").alias("regions"))
-
-
 @query("sim_07", f"WITH {TRK}, {_CELLS}, {_PAIR} SELECT activity_id FROM sz WHERE activity_id NOT IN (SELECT b FROM score WHERE containment >= 0.55)")
 def sim_07(spark, d):
     c = _cells(spark, d)
-    covered = similarity.pair_scores(c).where("containment >= 0.55").select(F.col("b").alias("activity_id"))
+    covered = similarity.similar_pairs(c, 0.55, "containment").select(F.col("b").alias("activity_id"))
     return c.select("activity_id").distinct().join(covered, "activity_id", "left_anti")
 
 
-@query("gl_19", f"WITH {ACT} SELECT activity_id, md5(concat_ws('|', activity_id, type, n)) AS fingerprint FROM act")
-def gl_19(spark, d):
-    return activities(spark, d).select("activity_id", F.md5(F.concat_ws("|", F.col("activity_id").cast("string"), "type", F.col("n").cast("string"))).alias("fingerprint"))
-
-
-@query("gl_13", f"WITH {TRK}, {_CELLS}, {_PAIR}, {_DUP} SELECT d, COUNT(*) AS pairs, COUNT(DISTINCT a) AS firsts FROM (SELECT a, b, CAST(d AS DATE) AS d FROM dup) GROUP BY 1")
-def gl_13(spark, d):
-    return _dups(spark, d).groupBy("d").agg(F.count("*").alias("pairs"), F.count_distinct("a").alias("firsts"))
-
-
 @query("edt_05", f"WITH {JLEGS}, {_SPIKES}, {_REPAIR} SELECT activity_id, seq, spike AS changed, round(km0, 6) AS raw_km, round(km1, 6) AS repaired_km, round(speed0, 4) AS raw_speed, round(speed1, 4) AS repaired_speed FROM fixed")
 def edt_05(spark, d):
     """Tracks before and after repair, point by point."""
