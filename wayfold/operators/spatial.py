@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, ray_crosses, segment_distance, segment_fraction
+from ..functions.lineage import cut
 from .tracks import so_far, track
 
 
@@ -45,17 +46,79 @@ def ring_edges(regions: DataFrame) -> DataFrame:
     return r.select("region_id", "i", F.col("a.lat").alias("alat"), F.col("a.lon").alias("alon"), b["lat"].alias("blat"), b["lon"].alias("blon"))
 
 
-def points_in_regions(points: DataFrame, edges: DataFrame, cell: float = 0.01) -> DataFrame:
-    """Points inside each region by the parity of a ray's crossings.
+ACROSS = 32  #: cells of the finest level along the longer side of a region's box, at most and about
+LEVELS = -4, 11  #: coarsest and finest level: a cell of level k has a side of 4 ** -k degrees
 
-    Points meet regions on cells of the regions' boxes first, and their edges then.
+
+def _side(level: Column) -> Column:
+    return F.pow(F.lit(4.0), -level)
+
+
+def edge_rows(edges: DataFrame) -> DataFrame:
+    """``edges`` of rings with the finest ``level`` of their region, and each row ``ci`` of its cells that they come near to."""
+    box = edges.groupBy("region_id").agg(F.greatest(F.max("alat") - F.min("alat"), F.max("alon") - F.min("alon")).alias("long"))
+    fine = F.floor(F.log(ACROSS / F.greatest("long", F.lit(1e-12))) / F.log(F.lit(4.0)))
+    e = edges.join(box.select("region_id", F.least(F.greatest(fine, F.lit(LEVELS[0])), F.lit(LEVELS[1])).cast("int").alias("level")), "region_id")
+    side = _side(F.col("level"))
+    row = lambda lat: F.floor(lat / side)
+    return e.withColumn("ci", F.explode(F.sequence(row(F.least("alat", "blat") - 0.01 * side), row(F.greatest("alat", "blat") + 0.01 * side))))
+
+
+def region_cover(edges: DataFrame) -> DataFrame:
+    """Cells that cover each region: ``region_id, level, ci, cj, inner``; of ring edges as by ``ring_edges``.
+
+    The finest cells of a region are 8 to 32 along the longer side of its box,
+    whatever its size and its number of edges.  Those that an edge comes near
+    to are edge cells.  Any other one is all inside or all outside, as its
+    centre is by the parity of a ray, which meets the edges of its own row
+    alone.  Sixteen inner cells of one parent become that parent.
+    """
+    rows = edge_rows(edges)
+    side, ci = _side(F.col("level")), F.col("ci")
+    slope = (F.col("blon") - F.col("alon")) / F.nullif(F.col("blat") - F.col("alat"), F.lit(0.0))
+    south, north = F.least("alat", "blat"), F.greatest("alat", "blat")
+    here = lambda lat: F.col("alon") + (F.greatest(south, F.least(north, lat)) - F.col("alat")) * slope
+    one, two = F.coalesce(here((ci - 0.01) * side), "alon"), F.coalesce(here((ci + 1.01) * side), "blon")
+    column = lambda lon: F.floor(lon / side)
+    touched = rows.select("region_id", "level", "ci", F.explode(F.sequence(column(F.least(one, two) - 0.01 * side), column(F.greatest(one, two) + 0.01 * side))).alias("cj")).distinct()
+    # cells between the first and the last edge cell of a row; beyond, all is outside
+    spans = touched.groupBy("region_id", "level", "ci").agg(F.min("cj").alias("from"), F.max("cj").alias("to"))
+    between = spans.select("region_id", "level", "ci", F.explode(F.sequence("from", "to")).alias("cj")).join(touched, ["region_id", "level", "ci", "cj"], "left_anti")
+    centre = (ci + 0.5) * side, (F.col("cj") + 0.5) * side
+    crossing = ray_crosses(*centre, F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
+    inner = between.join(rows, ["region_id", "level", "ci"]).groupBy("region_id", "level", "ci", "cj").agg(F.count_if(crossing).alias("n")).where("n % 2 = 1").drop("n")
+    whole = []
+    for _ in range(2):
+        parent = [F.floor(F.col(c) / 4).alias(c) for c in ("ci", "cj")]
+        full = inner.groupBy("region_id", (F.col("level") - 1).alias("level"), *parent).agg(F.count("*").alias("n")).where("n = 16").drop("n")
+        gone = full.select("region_id", (F.col("level") + 1).alias("level"), F.col("ci").alias("pi"), F.col("cj").alias("pj"))
+        kept = inner.withColumns({"pi": F.floor(F.col("ci") / 4), "pj": F.floor(F.col("cj") / 4)}).join(gone, ["region_id", "level", "pi", "pj"], "left_anti")
+        whole.append(kept.select("region_id", "level", "ci", "cj"))
+        inner = full
+    for part in whole:
+        inner = inner.unionByName(part)
+    return inner.withColumn("inner", F.lit(True)).unionByName(touched.withColumn("inner", F.lit(False)))
+
+
+def points_in_regions(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Points inside each region, by the parity of a ray's crossings.
+
+    A point meets the cells of the regions' covers, of each size that occurs.
+    In an inner cell that is all; in an edge cell its ray meets the edges of
+    the cell's row.
     """
-    boxes = edges.groupBy("region_id").agg(F.min("alat").alias("lo"), F.max("alat").alias("hi"), F.min("alon").alias("le"), F.max("alon").alias("ri"))
-    cells = boxes.withColumn("ci", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell)))).withColumn("cj", F.explode(F.sequence(F.floor(F.col("le") / cell), F.floor(F.col("ri") / cell))))
-    p = points.withColumns({"ci": F.floor(F.col("lat") / cell), "cj": F.floor(F.col("lon") / cell)})
-    near = p.join(cells, ["ci", "cj"]).where("lat BETWEEN lo AND hi AND lon BETWEEN le AND ri").select("activity_id", "seq", "lat", "lon", "region_id")
+    edges = edges.select("region_id", "alat", "alon", "blat", "blon")
+    cover = cut(region_cover(edges))
+    levels = sorted(r.level for r in cover.select("level").distinct().collect())  # twenty at most
+    if not levels:
+        return points.select("activity_id", "seq").withColumn("region_id", F.lit(None).cast(edges.schema["region_id"].dataType)).where("false")
+    p = points.select("activity_id", "seq", "lat", "lon").withColumn("level", F.explode(F.array(*(F.lit(k).cast("int") for k in levels))))
+    side = _side(F.col("level"))
+    p = p.withColumns({"ci": F.floor(F.col("lat") / side), "cj": F.floor(F.col("lon") / side)})
+    met = p.join(cover, ["level", "ci", "cj"])
     crossing = ray_crosses(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
-    return near.join(edges, "region_id").groupBy("activity_id", "seq", "region_id").agg(F.count_if(crossing).alias("n")).where("n % 2 = 1").select("activity_id", "seq", "region_id")
+    near = met.where("NOT inner").join(edge_rows(edges), ["region_id", "level", "ci"]).groupBy("activity_id", "seq", "region_id").agg(F.count_if(crossing).alias("n")).where("n % 2 = 1")
+    return met.where("inner").select("activity_id", "seq", "region_id").unionByName(near.drop("n"))
 
 
 def region_tags(points: DataFrame, edges: DataFrame, share: float = 0.15) -> DataFrame:

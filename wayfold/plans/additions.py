@@ -38,11 +38,15 @@ def gl_04(spark, d):
     return overview.line_boxes(lines)
 
 
-@query("gl_18", f"WITH {C._RINGS} SELECT region_id, MIN(alat) AS min_lat, MIN(alon) AS min_lon, MAX(alat) AS max_lat, MAX(alon) AS max_lon FROM edge GROUP BY 1")
+@query("gl_18", "SELECT n_nationkey AS region_id, CAST(49 + n_nationkey * 0.1 AS DOUBLE) AS min_lat, CAST(-117 + n_regionkey * 0.5 AS DOUBLE) AS min_lon, CAST(50 + n_nationkey * 0.1 AS DOUBLE) AS max_lat, CAST(-116.75 + n_regionkey * 0.5 AS DOUBLE) AS max_lon FROM nation")
 def gl_18(spark, d):
-    del d
-    r = C._regions(spark).select("region_id", F.array(F.transform("ring", lambda p: F.array(p["lon"], p["lat"]))).alias("coordinates"))
-    return overview.outer_rings(r).drop("ring")
+    """Outer rings of nations, each a triangle with a hole, placed by its keys; the boxes of those rings."""
+    lat, lon = 49 + F.col("n_nationkey") * 0.1, -117 + F.col("n_regionkey") * 0.5
+    at = lambda a, b: F.array(lon + b, lat + a)
+    outer, hole = F.array(at(0.0, 0.0), at(1.0, 0.0), at(0.5, 0.25), at(0.0, 0.0)), F.array(at(-9.0, 0.1), at(0.3, 0.1), at(0.2, 9.0), at(0.2, 0.1))
+    r = read(spark, d, "nation").select(F.col("n_nationkey").alias("region_id"), F.array(outer, hole).alias("coordinates"))
+    found = overview.outer_rings(r)
+    return found.select("region_id", *(rnd(c).alias(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")))
 
 
 @query("src_14", f"WITH {TRK}, place AS (SELECT CAST(k / 10.0 AS DOUBLE) AS la, -116.0 AS lo, 'P' || CAST(k AS VARCHAR) AS place FROM range(498, 503) r(k)) SELECT activity_id, seq, place FROM trk LEFT JOIN place ON round(lat, 1) = la AND round(lon, 1) = lo")
