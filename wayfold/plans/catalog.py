@@ -1026,6 +1026,70 @@ def str_02(spark, d):
     return after_high_water(e, e.where(F.dayofmonth("ts") <= 15)).select("event_id")
 
 
+@query("str_04", "SELECT user_id, event_id, CAST(greatest(0, t - COALESCE(MAX(t) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t)) AS DOUBLE) AS dt FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)")
+def str_04(spark, d):
+    """Events as a stream of files in the order of their ids, with the latest time of each user for state."""
+    from ..streaming import stateful
+    from ..streaming.tracks import read as stream
+
+    e = read(spark, d, "events").select("user_id", "event_id", "ts")
+    with stateful.rocks(spark):
+        return stateful.settled(stateful.ordered_legs(stream(spark, stateful.arrivals(e, "event_id", 3), e.schema, 1), "400 days", 400 * 86400))
+
+
+@query("str_03_join", "SELECT p.event_id, s.event_id AS sample FROM events p JOIN events s ON s.user_id = p.user_id AND s.ts BETWEEN p.ts - INTERVAL 6 HOUR AND p.ts + INTERVAL 6 HOUR WHERE p.event_type = 'view' AND s.event_type <> 'view'")
+def str_03_join(spark, d):
+    """Views as points, other events as sensor samples: two streams that meet within six hours."""
+    from ..streaming import stateful
+    from ..streaming.tracks import read as stream
+
+    e = read(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    side = lambda rows: stream(spark, stateful.arrivals(rows, "event_id", 3), e.schema, 1)
+    with stateful.rocks(spark):
+        both = stateful.with_samples(side(e.where("event_type = 'view'")), side(e.where("event_type != 'view'")), "6 hours", "400 days")
+        return stateful.settled(both.select("event_id", F.col("s_event_id").alias("sample")))
+
+
+_UPLOADS = f"up AS (SELECT * FROM trk WHERE activity_id % 10 > 0 OR seq < 20), ucells AS (SELECT DISTINCT activity_id, CAST(floor(lat * {_M} / 60) AS BIGINT) AS cn, CAST(floor(lon * {_M} * cos(radians(CAST(50.7 AS DOUBLE))) / 60) AS BIGINT) AS ce FROM up)"
+
+
+def _followed(spark, d, metres):
+    """A store of the cells of all tracks, a tenth of which were uploaded again, cut short; and the tracks as they are then."""
+    from ..functions.lineage import new_folder
+    from ..streaming import incremental, stateful
+    from ..streaming.tracks import read as stream
+
+    p = track_points(spark, d).select("activity_id", "seq", "lat", "lon")
+    again = p.where("activity_id % 10 = 0 AND seq < 20").withColumn("uploaded", F.lit(2).cast("long"))
+    uploads = p.withColumn("uploaded", F.lit(1).cast("long")).unionByName(again)
+    folder = new_folder(spark)
+    source = stream(spark, stateful.arrivals(uploads, "uploaded", 2, f"{folder}/in"), uploads.schema, 1)
+    incremental.follow(source, f"{folder}/store", 1, lambda t: spatial.cell_sets(t, metres, 50.7), f"{folder}/at")
+    return f"{folder}/store", again.unionByName(uploads.where("activity_id % 10 > 0"))
+
+
+_CELL_ROWS = "activity_id long, cn long, ce long"
+
+
+@query("str_06", f"WITH {TRK}, {_UPLOADS} SELECT activity_id, cn, ce FROM ucells")
+def str_06(spark, d):
+    """Cells of tracks that follow their uploads."""
+    from ..streaming import incremental
+
+    store, _ = _followed(spark, d, 60.0)
+    return incremental.current(spark, store, _CELL_ROWS)
+
+
+@query("str_07", f"WITH {TRK}, {_UPLOADS} SELECT activity_id, cn, ce FROM ucells")
+def str_07(spark, d):
+    """The same after a change of the matcher: cells of another size, matched anew from the stored tracks."""
+    from ..streaming import incremental
+
+    store, tracks = _followed(spark, d, 500.0)
+    incremental.rematch(tracks, store, 2, lambda t: spatial.cell_sets(t, 60.0, 50.7))
+    return incremental.current(spark, store, _CELL_ROWS)
+
+
 # ---------------------------------------------------------------- kernels, which SQL does not express
 
 
