@@ -51,6 +51,17 @@ def test_splits_share_their_turning_point():
     assert K._split_linear(zigzag) == [(0, 20, True), (19, 29, False), (28, 38, True)]
 
 
+def test_a_turn_lies_where_the_steady_return_began():
+    # a wobble after the peak: the return that is noticed at 0.7 began at the second, lower peak
+    x = np.array([0.0, 0.5, 1.0, 0.9, 0.95, 0.85, 0.7, 0.4, 0.0])
+    assert K._split_linear(x) == [(0, 5, True), (4, 9, False)]
+    # a plateau: its last point, from which it falls
+    assert K._split_linear(np.array([0.0, 0.5, 1.0, 1.0, 0.9, 0.75, 0.5])) == [(0, 4, True), (3, 7, False)]
+    # a slow fall and a rise: the fall is short of a turn in one step, so the rise is first, and the fall before it a turn of its own
+    assert K._split_linear(np.array([1.0, 0.9, 0.8, 0.7, 0.6, 0.9, 1.0])) == [(0, 1, True), (0, 5, False), (4, 7, True)]
+    assert K._split_linear(np.array([0.1, 0.5, 0.1])) == [(0, 3, True)]
+
+
 def test_laps_keep_a_rest_of_an_eighth_and_drop_less():
     laps = lambda turns: K._split_loop(np.linspace(0, turns * 2 * np.pi, 401))
     assert [p[2] for p in laps(2.05)] == [True, True] and [p[2] for p in laps(-2.2)] == [False, False, False]

@@ -229,25 +229,39 @@ Part = tuple[int, int, bool]  #: first place, place after the last, and whether
 
 
 def _split_linear(progress: np.ndarray, turn: float = 0.2) -> list[Part]:
-    """Parts of a ride along a line, split at the extremes where it turns back by ``turn`` of the length; the extreme belongs to both parts."""
-    parts, start, low, high, way = [], 0, 0, 0, 0
-    for k, p in enumerate(progress):
-        low, high = (k if p < progress[low] else low), (k if p > progress[high] else high)
-        if way >= 0 and progress[high] - p >= turn:
-            if way or high > start:
-                parts.append((start, high + 1, True))
-                start = high
-            way, low, high = -1, k, k
-        elif way <= 0 and p - progress[low] >= turn:
-            if way or low > start:
-                parts.append((start, low + 1, False))
-                start = low
-            way, low, high = 1, k, k
-    return [*parts, (start, len(progress), way > 0 or (way == 0 and progress[-1] >= progress[0]))]
+    """Parts of a ride along a line, split where it turns back by ``turn`` of the length; the turning point belongs to both parts.
+
+    The first way is that of the first rise of ``turn`` above the least value
+    so far, or of a single drop of as much below it; without either all is one
+    part.  A turn is noticed once the ride is ``turn`` behind its farthest
+    point; it lies where the steady return up to there began.
+    """
+    n = len(progress)
+    if n < 4:
+        return [(0, n, True)]
+    moved = progress[1:] - np.minimum.accumulate(progress)[:-1]
+    first = np.flatnonzero(np.abs(moved) >= turn)
+    if not len(first):
+        return [(0, n, bool(progress[-1] >= progress[0]))]
+    ahead, parts, start = bool(moved[first[0]] > 0), [], 0
+    far = progress[0]
+    for k in range(1, n):
+        gone = progress[k] - far if ahead else far - progress[k]
+        if gone > 0:
+            far = progress[k]
+        elif -gone >= turn:
+            at = k - 1
+            while at > start and (progress[at - 1] > progress[at] if ahead else progress[at - 1] < progress[at]):
+                at -= 1
+            parts.append((start, at + 1, ahead))
+            start, ahead, far = at, not ahead, progress[k]
+    return [*parts, (start, n, ahead)]
 
 
 def _split_loop(angle: np.ndarray) -> list[Part]:
     """Laps of a ride around a loop; what is left after the last one counts from an eighth of a turn on, or if it is all."""
+    if len(angle) < 4:
+        return [(0, len(angle), True)]
     parts, start = [], 0
     for k in range(len(angle)):
         moved = angle[k] - angle[start]
@@ -280,18 +294,23 @@ def _median(x: np.ndarray, window: int) -> np.ndarray:
 
 
 def traversals(points: DataFrame, loop: bool = False, least: int = 8, turn: float = 0.2, window: int = 9) -> DataFrame:
-    """Traversals of ``points(activity_id, name, seq, progress)``: each run, smoothed, split where it turns back (or, around a loop, comes round), parts of fewer than ``least`` points with a neighbour."""
+    """Traversals of ``points(activity_id, name, seq, progress)``: each run, smoothed, split where it turns back (or, around a loop, comes round), parts of fewer than ``least`` points with a neighbour.
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+    With a column ``loop`` each name's own says which it is, with a column ``chain`` each chain of a name has its own traversals.
+    """
+    chained = "chain" in points.columns
+    keys = ["activity_id", "name", *(["chain"] if chained else [])]
+    points = points.select(*keys, "seq", "progress", "loop" if "loop" in points.columns else F.lit(loop).alias("loop"))
+
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         x = _median(pdf["progress"].to_numpy(float), window)
-        whole = [(0, len(x), len(x) == 0 or bool(x[-1] >= x[0]))]
-        parts = _fold_short((_split_loop(x) if loop else _split_linear(x, turn)) if len(x) >= 4 else whole, least)
+        parts = _fold_short(_split_loop(x) if pdf["loop"].iloc[0] else _split_linear(x, turn), least)
         seq = pdf["seq"].to_numpy()
-        rows = [(pdf["activity_id"].iloc[0], pdf["name"].iloc[0], k, int(seq[a]), int(seq[b - 1]), ahead, float(x[b - 1] - x[a])) for k, (a, b, ahead) in enumerate(parts)]
-        return pd.DataFrame(rows, columns=["activity_id", "name", "part", "start", "end", "along", "moved"])
+        rows = [(*key, k, int(seq[a]), int(seq[b - 1]), ahead, float(x[b - 1] - x[a])) for k, (a, b, ahead) in enumerate(parts)]
+        return pd.DataFrame(rows, columns=[*keys, "part", "start", "end", "along", "moved"])
 
-    return points.groupBy("activity_id", "name").applyInPandas(kernel, "activity_id long, name string, part int, start long, end long, along boolean, moved double")
+    return points.groupBy(*keys).applyInPandas(kernel, "activity_id long, name string" + ", chain long" * chained + ", part int, start long, end long, along boolean, moved double")
 
 
 def coalesce_runs(runs: DataFrame, gap: float = 120.0, detour: float = 60.0) -> DataFrame:

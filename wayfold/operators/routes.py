@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_of_differences, local_x, local_y
 from ..functions.lineage import cut
-from .kernels import chains
-from .network import close_pairs
+from .kernels import chains, traversals
+from .network import close_pairs, degrees
 from .route_scan import scan_all
 from .similarity import duplicate_groups
+from .spatial import progress
 
 
 def linked_ways(ways: DataFrame, lat0: float, lon0: float, metres: float = 5.0) -> DataFrame:
@@ -27,18 +30,37 @@ def linked_ways(ways: DataFrame, lat0: float, lon0: float, metres: float = 5.0)
 
 
 def chain_segments(linked: DataFrame, ways: DataFrame) -> DataFrame:
-    """The first chain of each name as segments in its order and direction, with metres before, own and in all."""
+    """Every chain of each name as segments in its order and direction, with metres before, own and in all of the chain."""
     s = linked.join(ways.select("way_pos", "alat", "alon", "blat", "blon"), "way_pos")
-    first = s.groupBy("name").agg(F.min("chain").alias("chain"))
-    s = s.join(first, ["name", "chain"])
     turn = lambda a, b: F.when(F.col("back"), F.col(b)).otherwise(F.col(a))
-    s = s.select("name", "place", turn("alat", "blat").alias("alat"), turn("alon", "blon").alias("alon"), turn("blat", "alat").alias("blat"), turn("blon", "alon").alias("blon"))
+    s = s.select("name", "chain", "place", turn("alat", "blat").alias("alat"), turn("alon", "blon").alias("alon"), turn("blat", "alat").alias("blat"), turn("blon", "alon").alias("blon"))
     s = s.withColumn("length_m", haversine_of_differences(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
-    w = Window.partitionBy("name")
+    w = Window.partitionBy("name", "chain")
     run = F.sum("length_m").over(w.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     return s.withColumns({"before_m": run - F.col("length_m"), "total_m": F.sum("length_m").over(w)})
 
 
+def ridden(points: DataFrame, ways: DataFrame, segments: DataFrame, metres: float, meet: float = 5.0, **how) -> DataFrame:
+    """Traversals of ``points(activity_id, name, seq, lat, lon)`` on their trails, with ``loop``: along each chain of a name, or, where no end of a name's ways is free, around the mean of their ends.
+
+    ``segments`` as by ``chain_segments``; ``how`` goes to ``traversals``.
+    """
+    kinds = degrees(ways, meet).select("name", (F.col("topology") == "loop").alias("loop"))
+    kinds = cut(kinds)  # a row for each name
+    ends = ways.select("name", F.explode(F.array(F.struct(F.col("alat").alias("lat"), F.col("alon").alias("lon")), F.struct(F.col("blat").alias("lat"), F.col("blon").alias("lon")))).alias("e"))
+    centre = ends.groupBy("name").agg(F.avg("e.lat").alias("clat"), F.avg("e.lon").alias("clon"))
+    p = points.join(kinds, "name")
+    along = progress(p.where("NOT loop"), segments, metres).select("activity_id", "name", "chain", "seq", "progress", "loop")
+    angle = p.where("loop").join(centre, "name").withColumn("a", F.atan2(F.col("lat") - F.col("clat"), F.col("lon") - F.col("clon")))
+    by = Window.partitionBy("activity_id", "name").orderBy("seq")
+    step = F.col("a") - F.lag("a").over(by)
+    turn = 2 * math.pi
+    step = F.coalesce(step - turn * (step > math.pi).cast("int") + turn * (step < -math.pi).cast("int"), F.col("a"))
+    around = angle.withColumn("step", step).withColumn("progress", F.sum("step").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    both = along.unionByName(around.select("activity_id", "name", F.lit(-1).cast("long").alias("chain"), "seq", "progress", "loop"))
+    return traversals(both, **how).join(kinds, "name")
+
+
 def entry_points(timeline: DataFrame, points: DataFrame, most_gap: int = 250) -> DataFrame:
     """Points of each timeline entry (part ``own``), and the up to ``most_gap`` points between it and the entry before (part ``gap``)."""
     w = Window.partitionBy("activity_id").orderBy("start_idx")

@@ -218,16 +218,20 @@ def majority_kinds(snapped: DataFrame, ways: DataFrame) -> DataFrame:
 
 
 def progress(points: DataFrame, chain: DataFrame, metres: float) -> DataFrame:
-    """``points(activity_id, name, seq, lat, lon)`` with how far along the chain of its name each is, from 0 to 1: at the nearest of the chain's segments within ``metres``, the first of equals; a point without one has the last before it.
+    """``points(activity_id, name, seq, lat, lon)`` with a ``chain`` of their name and how far along it each is, from 0 to 1: at the nearest segment of any of the name's chains within ``metres``, the first of equals; a point without one has the last before it.
 
-    ``chain(name, place, alat, alon, blat, blon, before_m, length_m, total_m)``.
+    ``chain(name, chain, place, alat, alon, blat, blon, before_m, length_m, total_m)``.
+    A track that comes near to no chain of a name has chain -1 there, and no progress along it: 0.
     """
-    near = segment_pairs(points, chain.withColumnRenamed("name", "_name"), metres).where(F.col("name") == F.col("_name"))
+    near = segment_pairs(points.select("activity_id", "name", "seq", "lat", "lon"), chain.withColumnRenamed("name", "_name"), metres).where(F.col("name") == F.col("_name"))
     at = (F.col("before_m") + F.col("t") * F.col("length_m")) / F.nullif("total_m", F.lit(0.0))
-    best = near.withColumn("at", at).groupBy("activity_id", "name", "seq").agg(F.min(F.struct("d", "place", "at")).alias("best")).where(F.col("best.d") <= metres)
-    p = points.join(best.select("activity_id", "name", "seq", F.col("best.at").alias("progress")), ["activity_id", "name", "seq"], "left")
+    best = near.withColumn("at", at).groupBy("activity_id", "name", "seq").agg(F.min(F.struct("d", "chain", "place", "at")).alias("best")).where(F.col("best.d") <= metres)
+    p = points.join(best.select("activity_id", "name", "seq", F.struct(F.col("best.chain").alias("chain"), F.col("best.at").alias("at")).alias("_at")), ["activity_id", "name", "seq"], "left")
     w = Window.partitionBy("activity_id", "name").orderBy("seq")
-    return p.withColumn("progress", F.coalesce(F.last("progress", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("progress", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0)))
+    known = F.coalesce(F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_at", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    p = p.withColumn("_at", known)
+    return p.withColumns({"chain": F.coalesce(F.col("_at.chain").cast("long"), F.lit(-1).cast("long")), "progress": F.coalesce("_at.at", F.lit(0.0))}).drop("_at")
+
 
 def runs(snapped: DataFrame, least: int = 4) -> DataFrame:
     """Runs of consecutive points on one name, of ``least`` points or more; a point on none breaks them; the end is exclusive."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lookups
-from ..operators import asof, network, overview, reports, similarity, spatial
+from ..operators import asof, network, overview, reports, routes, similarity, spatial
 from ..operators import tracks as T
 from . import catalog as C
 from .bindings import ACT, AS_OF, LEGS, TRK, activities, legs, read, track_points
@@ -227,12 +227,15 @@ def gl_07(spark, d):
 
 @query("gl_02")
 def gl_02(spark, d):
-    """Runs on lines as traversals with their direction: progress, smoothing, splits, folding and direction together."""
-    t = C.tm_09(spark, d)
+    """Runs on lines as traversals with their direction: topology, progress or angle, smoothing, splits, folding and direction together; around loops laps with a way."""
+    ways = C._ways(spark, d)
+    chain = routes.chain_segments(routes.linked_ways(ways, 50.0, -116.0, 150.0), ways)
+    points = C._snapped(spark, d).where("name IS NOT NULL").select("activity_id", "name", "seq", "lat", "lon")
+    t = routes.ridden(points, ways, chain, C._PROGRESS_M, 150.0, least=3, turn=0.1, window=3)
     p = track_points(spark, d).select("activity_id", "seq", "ele")
     t = t.join(p.toDF("activity_id", "start", "e0"), ["activity_id", "start"]).join(p.toDF("activity_id", "end", "e1"), ["activity_id", "end"])
     n = F.col("end") - F.col("start") + 1
-    return t.select("activity_id", "name", "part", "start", "end", spatial.direction(F.col("e0"), F.col("e1"), n, F.col("along"), F.lit(False)).alias("direction"))
+    return t.select("activity_id", "name", "chain", "part", "start", "end", "loop", spatial.direction(F.col("e0"), F.col("e1"), n, F.col("along"), F.col("loop")).alias("direction"))
 
 
 # ---------------------------------------------------------------- reports in full

@@ -1131,15 +1131,15 @@ def _progress(spark, d):
 
 @query("tm_08")
 def tm_08(spark, d):
-    """How far along the chain of its line each snapped point is."""
-    return _progress(spark, d).select("activity_id", "name", "seq", rnd("progress").alias("progress"))
+    """How far along which chain of its line each snapped point is."""
+    return _progress(spark, d).select("activity_id", "name", "seq", "chain", rnd("progress").alias("progress"))
 
 
 @query("tm_09")
 def tm_09(spark, d):
     from ..operators.kernels import traversals
 
-    return traversals(_progress(spark, d).select("activity_id", "name", "seq", "progress"), least=3, turn=0.1, window=3)
+    return traversals(_progress(spark, d).select("activity_id", "name", "chain", "seq", "progress"), least=3, turn=0.1, window=3)
 
 
 @query("tm_10")
