@@ -369,6 +369,28 @@ def test_factorization_machine_learns_pairs(spark):
     assert np.mean([got[i] == t for i, t in labels]) > 0.95
 
 
+def test_terms_that_matter_only_together_are_chosen():
+    """Each of two terms is as common in toxic rows as in others; both or neither are toxic.  Thousands of other terms part the labels better by chance."""
+    rng = np.random.default_rng(9)
+    x = rng.random((4000, 700)) < 0.1
+    x[:, 5], x[:, 650] = rng.random((2, 4000)) < 0.5
+    y = (x[:, 5] == x[:, 650]).astype(float)
+    assert toxicity.paired(x.astype(np.uint8), y).tolist() == [5, 650]
+    assert toxicity.paired(x.astype(np.uint8), (rng.random(4000) < 0.5).astype(float)).tolist() == []
+
+
+def test_a_pair_without_weight_of_its_own(spark):
+    rng = np.random.default_rng(10)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = (rng.random(2) < 0.5).astype(int).tolist()
+        rows.append((i, " ".join(["alpha"] * a + ["beta"] * b + [f"filler{k}" for k in rng.integers(0, 3000, 30)])))
+        labels.append((i, int(a == b)))
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [r for r in toxicity.toxicity(d, y).collect() if r.held_out]
+    assert np.mean([r.predicted == labels[r.doc_id][1] for r in held]) > 0.9
+
+
 def test_posteriors_shrink(spark):
     e = spark.createDataFrame([("big", "p", 0.9)] * 200 + [("small", "p", 0.1)] + [("low", "q", 0.2)] * 200, "host string, path string, p double")
     groups, mean = quality.posteriors(e)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, flat, span_hashes, text_chunks
 
 BUCKETS, CHOSEN, RANK = 1 << 18, 512, 8
+OFTEN, PAIRS = 2048, 128  #: terms among which pairs are looked for, those of the greatest variance; and pairs whose terms are chosen, at most
+SURE = 32.0  #: squared deviation, in variances, from which a pair's evidence counts: among all pairs of ``OFTEN`` chance gives one in ten times
 _TERM = np.zeros(256, bool)
 _TERM[48:58] = _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
 
@@ -69,9 +71,29 @@ def _bits(batches: Iterator[pa.RecordBatch], index: np.ndarray, width: int) -> I
         yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([r.tobytes() for r in np.packbits(x, 1)], pa.binary())], ["label", "bits"])
 
 
+def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Columns of ``x`` that belong to a pair whose coming together differs between the labels, beyond what either does alone."""
+    n = np.array([(y == k).sum() for k in (0, 1)])
+    p = [x[y == k].mean(0, dtype=np.float64) for k in (0, 1)]
+    both = x.mean(0, dtype=np.float64)
+    spread = both * (1 - both)
+    found = []
+    for i in range(0, x.shape[1], 512):
+        # difference of the two labels' covariances
+        gap = 0.0
+        for k in (0, 1):
+            own = x[y == k].astype(np.float32)
+            gap = (2 * k - 1) * (own[:, i : i + 512].T @ own / n[k] - np.outer(p[k][i : i + 512], p[k])) + gap
+        z = gap**2 / np.maximum(np.outer(spread[i : i + 512], spread) * (1 / n).sum(), 1e-12)
+        z[np.arange(x.shape[1]) <= np.arange(i, i + len(z))[:, None]] = 0
+        a, b = np.nonzero(z >= SURE)
+        found += zip((-z[a, b]).tolist(), (a + i).tolist(), b.tolist(), strict=True)
+    return np.unique([c for _, a, b in sorted(found)[:PAIRS] for c in (a, b)]).astype(np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> dict[str, np.ndarray]:
     """Machine from ``docs(doc_id, text)`` and ``labels(doc_id, label)``; without a row of either label, it gives a constant."""
-    labels = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    labels = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
     total = sum(counts.values())
     share = (counts.get(1, 0) + 0.5) / (total + 1)
@@ -89,15 +111,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> dict[str,
     both = (in_rows.sum(0) + 0.5) / (n.sum() + 1)
     chi = (p[1] - p[0]) ** 2 / (both * (1 - both))
     best = np.lexsort((bucket, -chi))[:CHOSEN]
-    best = np.sort(bucket[best[chi[best] > 0]])
-    model["index"][best] = np.arange(len(best))
-    rows = texts.mapInArrow(partial(_bits, index=model["index"], width=max(1, len(best))), "label int, bits binary").collect()
+    best = bucket[best[chi[best] > 0]]
+    often = bucket[np.lexsort((bucket, -both * (1 - both)))[:OFTEN]]
+    able = np.union1d(best, often)
+    model["index"][able] = np.arange(len(able))
+    rows = texts.mapInArrow(partial(_bits, index=model["index"], width=max(1, len(able))), "label int, bits binary").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
     y = np.array([r[0] for r in rows], np.float64)
+    model["index"][:] = -1
     if not 0 < y.sum() < len(y):
         return model
     n = np.array([len(y) - y.sum(), y.sum()])
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(best)].astype(np.float32)
+    x = np.unpackbits(np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(able)]
+    # terms that part the labels by themselves, and those that do so in pairs
+    at = np.searchsorted(able, np.sort(often))
+    columns = np.union1d(np.searchsorted(able, best), at[paired(x[:, at], y)])
+    best, x = able[columns], x[:, columns].astype(np.float32)
+    model["index"][best] = np.arange(len(best))
     weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
     rng = np.random.default_rng(5)
     y, weight = y.astype(np.float32), weight.astype(np.float32)
@@ -150,8 +180,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     read whole; repeated rows give repeated rows, an empty table none.  Other
     columns are left out.
 
-    The machine sees the ``CHOSEN`` term buckets that part the labels most, of
-    ``BUCKETS``; the bias is moved by the log odds of the toxic share, within 2.
+    The machine sees the ``CHOSEN`` term buckets of ``BUCKETS`` that part the
+    labels most by themselves, and those of the ``PAIRS`` pairs of common terms
+    that do so most together; the bias is moved by the log odds of the toxic
+    share, within 2.  Labels that contradict each other within a document count
+    as toxic.
     """
     out = crc_mod("doc_id", folds) == held
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
