@@ -99,3 +99,16 @@ def test_rides_between_pair_first_points():
     assert rides(wait) == [[0, 2]]
     assert rides([*wait, (1, 7, 3, 100, 60.0, "a"), (1, 7, 4, 200, 120.0, "b")]) == [[0, 2], [3, 4]]
     assert rides([(1, 7, 0, 0, 0.0, "a"), (1, 7, 1, 2000, 90.0, "b")]) == []
+
+
+def test_both_ends_are_trimmed_to_cable_speed(spark):
+    from wayfold.operators import lifts
+
+    speed = [1.0] * 3 + [None, 7.0] + [9.0] * 10 + [6.0, 5.9, 2.0, 1.0, 0.0]
+    p = spark.createDataFrame([(1, k, v) for k, v in enumerate(speed)] + [(2, k, 1.0) for k in range(20)], "activity_id long, seq long, speed double")
+    spans = spark.createDataFrame([(1, 0, 19), (2, 3, 15)], "activity_id long, start long, end long")
+    # a quarter of 19 points is 4: the head 0 to 3 has none of 6 km/h, the tail 16 to 19 neither
+    rows = {(r.activity_id, r["from"], r["to"]) for r in lifts.trimmed_to_cable_speed(p, spans).collect()}
+    assert rows == {(1, 0, 19), (2, 3, 15)}
+    spans = spark.createDataFrame([(1, 1, 18)], "activity_id long, start long, end long")
+    assert [(r["from"], r["to"]) for r in lifts.trimmed_to_cable_speed(p, spans).collect()] == [(4, 15)]

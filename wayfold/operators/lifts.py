@@ -16,12 +16,11 @@ def _near(points: DataFrame, lifts: DataFrame, metres: float) -> DataFrame:
     return close_pairs(p, end("a").unionByName(end("b")), metres).select("activity_id", "seq", "t_s", "ele", "lift", "stop", "d")
 
 
-def station_rides(points: DataFrame, lifts: DataFrame, metres: float = 100.0, least_s: int = 60, most_s: int = 1800, gain: float = 50.0) -> DataFrame:
-    """Rides from one station of a lift to the other, in either direction: from the last point near the one to the next near the other, within the time, and up."""
-    w = Window.partitionBy("activity_id", "lift").orderBy("seq", "stop")
-    e = _near(points, lifts, metres).withColumns({f"p_{c}": F.lag(c).over(w) for c in ("seq", "t_s", "ele", "stop")})
-    ok = (F.col("stop") != F.col("p_stop")) & (F.col("t_s") - F.col("p_t_s")).between(least_s, most_s) & (F.col("ele") - F.col("p_ele") >= gain)
-    return e.where(ok).select("activity_id", "lift", F.col("p_seq").alias("start"), F.col("seq").alias("end"))
+def station_rides(legs: DataFrame, lifts: DataFrame, metres: float = 100.0, least_s: int = 60, most_s: int = 1800, gain: float = 50.0) -> DataFrame:
+    """Rides from one station of a lift to the other, in either direction: from the first point near the one after the last ride to the first near the other within the time, if the climb between is ``gain``; it is the sum of ``ele_delta``, to which points without elevation add nothing."""
+    up = F.sum("ele_delta").over(Window.partitionBy("activity_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    p = legs.select("activity_id", "seq", "t_s", "lat", "lon", up.alias("ele"))
+    return rides_between(_near(p, lifts, metres).select("activity_id", F.col("lift").cast("long"), "seq", "t_s", F.col("ele").alias("up"), "stop"), least_s, most_s, gain)
 
 
 def snapped_spans(points: DataFrame, spans: DataFrame, lifts: DataFrame, samples: int = 60, metres: float = 250.0) -> DataFrame:
@@ -39,11 +38,9 @@ def snapped_spans(points: DataFrame, spans: DataFrame, lifts: DataFrame, samples
     return both.withColumn("r", F.row_number().over(w)).where("r = 1").select("activity_id", "start", "end", "lift", "from", "to")
 
 
-def station_flags(legs: DataFrame, lifts: DataFrame, metres: float = 100.0, least_s: int = 60, most_s: int = 1800, gain: float = 50.0) -> DataFrame:
-    """Points on rides between the stations of a lift; the climb is the sum of ``ele_delta``, to which points without elevation add nothing."""
-    up = F.sum("ele_delta").over(Window.partitionBy("activity_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    p = legs.select("activity_id", "seq", "t_s", "lat", "lon", up.alias("ele"))
-    rides = rides_between(_near(p, lifts, metres).select("activity_id", F.col("lift").cast("long"), "seq", "t_s", F.col("ele").alias("up"), "stop"), least_s, most_s, gain)
+def station_flags(legs: DataFrame, lifts: DataFrame, **how) -> DataFrame:
+    """Points on ``station_rides``."""
+    rides = station_rides(legs, lifts, **how)
     return _points_of(rides.select("activity_id", F.col("start").alias("from"), F.col("end").alias("to")))
 
 
@@ -74,11 +71,12 @@ def detected(legs: DataFrame, lifts: DataFrame, names: list[str]) -> DataFrame:
 
 
 def trimmed_to_cable_speed(points: DataFrame, spans: DataFrame, kmh: float = 6.0, most: int = 45) -> DataFrame:
-    """Spans that begin at the first point of cable speed among their first ``most`` or quarter of points."""
+    """Spans from the first point of cable speed among their first ``most`` or quarter of points to the last one among as many at their end; an end without one stays."""
     reach = F.least(F.lit(most), F.floor((F.col("end") - F.col("start")) / 4))
-    j = spans.withColumn("reach", reach).join(points.select("activity_id", "seq", "speed"), "activity_id").where("seq BETWEEN start AND start + reach")
-    g = j.groupBy("activity_id", "start", "end").agg(F.min(F.when(F.col("speed") >= kmh, F.col("seq"))).alias("first"))
-    return g.select("activity_id", "start", "end", F.coalesce("first", "start").alias("from"))
+    j = spans.withColumn("reach", reach).join(points.where(F.col("speed") >= kmh).select("activity_id", "seq"), "activity_id", "left")
+    head, tail = F.expr("seq >= start AND seq < start + reach"), F.expr("seq > `end` - reach AND seq <= `end`")
+    g = j.groupBy("activity_id", "start", "end").agg(F.min(F.when(head, F.col("seq"))).alias("first"), F.max(F.when(tail, F.col("seq"))).alias("last"))
+    return g.select("activity_id", "start", "end", F.coalesce("first", "start").alias("from"), F.coalesce("last", "end").alias("to"))
 
 
 def trimmed_to_slowest(points: DataFrame, spans: DataFrame, samples: int = 30) -> DataFrame:

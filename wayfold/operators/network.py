@@ -213,27 +213,26 @@ def routes_ridden(attempts: DataFrame) -> DataFrame:
     return own.withColumns({"rank": F.row_number().over(w.orderBy("duration", "activity_id")).cast("long"), "total": F.count("*").over(w)}).withColumn("is_best", F.col("rank") == 1)
 
 
+def _title(names: Column, most: int) -> Column:
+    """A chain of names joined; one longer than ``most`` characters gives its first three names and the number of the others."""
+    whole = F.array_join(names, " → ")
+    short = F.concat(F.array_join(F.slice(names, 1, 3), " → "), F.lit(" → +"), (F.size(names) - 3).cast("string"), F.lit(" more"))
+    return F.when(F.length(whole) > most, short).otherwise(whole)
+
+
 def name_chain(entries: DataFrame, most: int = 80) -> DataFrame:
-    """Names of an activity's entries in order, each once in a row, joined and held to ``most`` characters."""
-    w = Window.partitionBy("activity_id").orderBy("start_idx")
-    e = entries.withColumn("_b", F.lag("name").over(w)).where(~F.col("name").eqNullSafe(F.col("_b")))
-    g = e.groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct("start_idx", "name"))).alias("s"))
-    return g.select("activity_id", F.substring(F.array_join(F.transform("s", lambda x: x["name"]), " > "), 1, most).alias("title"))
+    """Titles of activities from the names of their entries in order, each once in a row: proposals where there is but one region."""
+    one = entries.select("activity_id", F.lit(0).alias("region_id"), F.col("start_idx").alias("pos"), "name")
+    return proposals(one, most).select("activity_id", "title")
 
 
 def proposals(segments: DataFrame, most: int = 80) -> DataFrame:
-    """The route that each ride proposes: of the regions whose network resolves its ``segments(activity_id, region_id, pos, name)`` the one with the most, the first of equals, and a title from its chain of names.
-
-    A chain longer than ``most`` characters gives its first three names and the number of the others.
-    """
+    """The route that each ride proposes: of the regions whose network resolves its ``segments(activity_id, region_id, pos, name)`` the one with the most, the first of equals, and a title from its chain of names."""
     w = Window.partitionBy("activity_id", "region_id").orderBy("pos")
     s = segments.withColumn("_new", ~F.col("name").eqNullSafe(F.lag("name").over(w)) | F.lag("pos").over(w).isNull())
     g = s.groupBy("activity_id", "region_id").agg(F.count("*").alias("segments"), F.array_sort(F.collect_list(F.when(F.col("_new"), F.struct("pos", "name")))).alias("s"))
     best = g.groupBy("activity_id").agg(F.max_by(F.struct("region_id", "segments", "s"), F.struct("segments", (-F.col("region_id")).alias("r"))).alias("b")).select("activity_id", "b.*")
-    names = F.transform("s", lambda x: x["name"])
-    whole = F.array_join(names, " → ")
-    short = F.concat(F.array_join(F.slice(names, 1, 3), " → "), F.lit(" → +"), (F.size(names) - 3).cast("string"), F.lit(" more"))
-    return best.select("activity_id", "region_id", "segments", F.when(F.length(whole) > most, short).otherwise(whole).alias("title"))
+    return best.select("activity_id", "region_id", "segments", _title(F.transform("s", lambda x: x["name"]), most).alias("title"))
 
 
 def touches(points: DataFrame, spans: DataFrame, ends: DataFrame, metres: float = 30.0) -> DataFrame:

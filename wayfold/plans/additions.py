@@ -219,7 +219,7 @@ def gl_08(spark, d):
     return t.select("activity_id", "duration", F.row_number().over(Window.orderBy("duration", "activity_id")).cast("long").alias("place"))
 
 
-@query("gl_07", f"WITH {TRK}, {C._LINE}, b AS (SELECT *, LAG(name) OVER (ORDER BY start_idx) AS p FROM tl WHERE activity_id = 7) SELECT substr(string_agg(name, ' > ' ORDER BY start_idx), 1, 80) AS title FROM b WHERE name IS DISTINCT FROM p")
+@query("gl_07", f"WITH {TRK}, {C._LINE}, b AS (SELECT *, LAG(name) OVER (ORDER BY start_idx) AS p FROM tl WHERE activity_id = 7) SELECT CASE WHEN length(array_to_string(l, ' → ')) > 80 THEN array_to_string(l[1:3], ' → ') || ' → +' || CAST(len(l) - 3 AS VARCHAR) || ' more' ELSE array_to_string(l, ' → ') END AS title FROM (SELECT list(name ORDER BY start_idx) AS l FROM b WHERE name IS DISTINCT FROM p)")
 def gl_07(spark, d):
     """The proposal for a single ride."""
     return C.rte_09(spark, d).where("activity_id = 7").select("title")
@@ -447,10 +447,10 @@ def agg_10_facts(spark, d):
     return f.select("activity_id", "date", "points", rnd("distance_km", 4).alias("distance_km"), *(rnd(c, 3).alias(c) for c in ("elev_gain_m", "elev_loss_m", "assisted_gain_m", "avg_speed_kmh", "max_speed_kmh")), "riding_s", "duration_sec", "peak_ele_m", F.col("lift_count").alias("lifts"), rnd("lat0", 4).alias("lat0"), rnd("lon0", 4).alias("lon0"), rnd(F.col("max_lat") - F.col("min_lat")).alias("height"), rnd(F.col("max_lon") - F.col("min_lon")).alias("width"), "issues", score.alias("difficulty"))
 
 
-@query("rte_09_region", f"WITH {TRK}, s AS (SELECT activity_id, event_id % 3 AS region_id, seq AS pos, 'trail ' || CAST(event_id % 4 AS VARCHAR) AS name FROM trk WHERE seq < 40), b AS (SELECT *, LAG(name) OVER (PARTITION BY activity_id, region_id ORDER BY pos) AS p FROM s), g AS (SELECT activity_id, region_id, COUNT(*) AS segments, list(name ORDER BY pos) FILTER (WHERE name IS DISTINCT FROM p) AS l FROM b GROUP BY 1, 2), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY activity_id ORDER BY segments DESC, region_id) AS r FROM g) SELECT activity_id, region_id, segments, CASE WHEN length(array_to_string(l, ' → ')) > 80 THEN array_to_string(l[1:3], ' → ') || ' → +' || CAST(len(l) - 3 AS VARCHAR) || ' more' ELSE array_to_string(l, ' → ') END AS title FROM r WHERE r = 1")
+@query("rte_09_region", f"WITH {TRK}, s AS (SELECT activity_id, event_id % 3 AS region_id, seq AS pos, 'trail ' || CAST(event_id % 4 AS VARCHAR) AS name FROM trk), b AS (SELECT *, LAG(name) OVER (PARTITION BY activity_id, region_id ORDER BY pos) AS p FROM s), g AS (SELECT activity_id, region_id, COUNT(*) AS segments, list(name ORDER BY pos) FILTER (WHERE name IS DISTINCT FROM p) AS l FROM b GROUP BY 1, 2), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY activity_id ORDER BY segments DESC, region_id) AS r FROM g) SELECT activity_id, region_id, segments, CASE WHEN length(array_to_string(l, ' → ')) > 80 THEN array_to_string(l[1:3], ' → ') || ' → +' || CAST(len(l) - 3 AS VARCHAR) || ' more' ELSE array_to_string(l, ' → ') END AS title FROM r WHERE r = 1")
 def rte_09_region(spark, d):
     """Proposals by the region that resolves the most."""
-    p = track_points(spark, d).where("seq < 40")
+    p = track_points(spark, d)
     return network.proposals(p.select("activity_id", (F.col("event_id") % 3).alias("region_id"), F.col("seq").alias("pos"), F.concat(F.lit("trail "), (F.col("event_id") % 4).cast("string")).alias("name")))
 
 

@@ -1354,7 +1354,7 @@ def rte_06(spark, d):
     return _tries(spark, d).groupBy("route_id").agg(F.min("duration").alias("best"), F.min_by("activity_id", F.struct("duration", "activity_id")).alias("best_id"))
 
 
-@query("rte_09", f"WITH {TRK}, {_LINE}, b AS (SELECT *, LAG(name) OVER (PARTITION BY activity_id ORDER BY start_idx) AS p FROM tl) SELECT activity_id, substr(string_agg(name, ' > ' ORDER BY start_idx), 1, 80) AS title FROM b WHERE name IS DISTINCT FROM p GROUP BY 1")
+@query("rte_09", f"WITH {TRK}, {_LINE}, b AS (SELECT *, LAG(name) OVER (PARTITION BY activity_id ORDER BY start_idx) AS p FROM tl) SELECT activity_id, CASE WHEN length(array_to_string(l, ' → ')) > 80 THEN array_to_string(l[1:3], ' → ') || ' → +' || CAST(len(l) - 3 AS VARCHAR) || ' more' ELSE array_to_string(l, ' → ') END AS title FROM (SELECT activity_id, list(name ORDER BY start_idx) AS l FROM b WHERE name IS DISTINCT FROM p GROUP BY 1)")
 def rte_09(spark, d):
     p = track_points(spark, d).where("event_type != 'error'")
     return network.name_chain(p.select("activity_id", (F.col("event_id") % 2).cast("string").alias("name"), F.col("seq").alias("start_idx")))
@@ -1490,9 +1490,19 @@ def _lifts(spark, d):
     return read(spark, d, "supplier").select(k.alias("lift"), at(49.995, 37, 60).alias("alat"), at(-116.0, 53, 90).alias("alon"), at(49.995, 71, 60).alias("blat"), at(-116.0, 89, 90).alias("blon"))
 
 
-@query("det_07", f"WITH {TRK}, {_LIFTS}, n AS (SELECT activity_id, seq, t_s, ele, lift, 'a' AS stop FROM trk, lift WHERE {hav('lat', 'lon', 'alat', 'alon', True)} <= 100 UNION ALL SELECT activity_id, seq, t_s, ele, lift, 'b' FROM trk, lift WHERE {hav('lat', 'lon', 'blat', 'blon', True)} <= 100), p AS (SELECT *, LAG(seq) OVER w AS ps, LAG(t_s) OVER w AS pt, LAG(ele) OVER w AS pe, LAG(stop) OVER w AS pp FROM n WINDOW w AS (PARTITION BY activity_id, lift ORDER BY seq, stop)) SELECT activity_id, lift, ps AS \"start\", seq AS \"end\" FROM p WHERE stop <> pp AND t_s - pt BETWEEN 30 AND 1800 AND ele - pe >= 5")
+#: The greedy order of rides: from each candidate to the first that begins after its end.
+_STATIONS = f"""up AS (SELECT activity_id, seq, t_s, lat, lon, SUM(ele_delta) OVER (PARTITION BY activity_id ORDER BY seq) AS up FROM legs),
+n AS (SELECT activity_id, seq, t_s, up, lift, 'a' AS stop FROM up, lift WHERE {hav('lat', 'lon', 'alat', 'alon', True)} <= 100 UNION ALL SELECT activity_id, seq, t_s, up, lift, 'b' FROM up, lift WHERE {hav('lat', 'lon', 'blat', 'blon', True)} <= 100),
+f AS (SELECT l.activity_id, l.lift, l.stop, l.seq AS s0, l.t_s AS t0, l.up AS u0, MIN(h.seq) AS s1 FROM n l JOIN n h ON h.activity_id = l.activity_id AND h.lift = l.lift AND h.stop <> l.stop AND h.seq > l.seq AND h.t_s >= l.t_s + 30 GROUP BY ALL),
+c AS (SELECT f.*, up.up - u0 AS gain FROM f JOIN up ON up.activity_id = f.activity_id AND up.seq = s1 WHERE up.t_s - t0 <= 1800),
+x AS (SELECT c.*, (SELECT MIN(d.s0) FROM c d WHERE d.activity_id = c.activity_id AND d.lift = c.lift AND d.stop = c.stop AND d.s0 > c.s1) AS after, s0 = MIN(s0) OVER (PARTITION BY activity_id, lift, stop) AS first FROM c),
+r AS (SELECT activity_id, lift, stop, s0, s1, gain, after FROM x WHERE first UNION ALL SELECT x.activity_id, x.lift, x.stop, x.s0, x.s1, x.gain, x.after FROM r JOIN x ON x.activity_id = r.activity_id AND x.lift = r.lift AND x.stop = r.stop AND x.s0 = r.after)"""
+
+
+@query("det_07", f"WITH RECURSIVE {LEGS}, {_LIFTS}, {_STATIONS} SELECT activity_id, lift, s0 AS \"start\", s1 AS \"end\" FROM r WHERE gain >= 5")
 def det_07(spark, d):
-    return lifts.station_rides(track_points(spark, d), _lifts(spark, d), least_s=30, gain=5.0)
+    """Rides between stations, one after the other; shorter and lower ones than the default count, for these tracks are short and flat."""
+    return lifts.station_rides(legs(spark, d), _lifts(spark, d), least_s=30, gain=5.0)
 
 
 _SPANS = "spans AS (SELECT activity_id, CAST(10 AS BIGINT) AS \"start\", MAX(seq) - 5 AS \"end\" FROM legs GROUP BY 1)"
@@ -1502,10 +1512,10 @@ def _spans(p):
     return p.groupBy("activity_id").agg(F.lit(10).cast("long").alias("start"), (F.max("seq") - 5).alias("end"))
 
 
-@query("det_09", f"WITH {LEGS}, {_SPANS} SELECT s.activity_id, COALESCE(MIN(seq) FILTER (WHERE speed >= 20), s.\"start\") AS \"from\" FROM spans s JOIN legs l ON l.activity_id = s.activity_id AND seq BETWEEN s.\"start\" AND s.\"start\" + least(45, (s.\"end\" - s.\"start\") // 4) GROUP BY s.activity_id, s.\"start\"")
+@query("det_09", f"WITH {LEGS}, {_SPANS}, k AS (SELECT *, least(45, (\"end\" - \"start\") // 4) AS reach FROM spans) SELECT k.activity_id, COALESCE(MIN(seq) FILTER (WHERE seq < \"start\" + reach AND seq >= \"start\"), \"start\") AS \"from\", COALESCE(MAX(seq) FILTER (WHERE seq > \"end\" - reach AND seq <= \"end\"), \"end\") AS \"to\" FROM k LEFT JOIN legs l ON l.activity_id = k.activity_id AND speed >= 6 GROUP BY k.activity_id, \"start\", \"end\"")
 def det_09(spark, d):
     p = legs(spark, d)
-    return lifts.trimmed_to_cable_speed(p, _spans(p), 20.0).select("activity_id", "from")
+    return lifts.trimmed_to_cable_speed(p, _spans(p)).select("activity_id", "from", "to")
 
 
 @query("det_10", f"WITH {LEGS}, {_SPANS}, j AS (SELECT s.activity_id, \"start\", \"end\", seq, COALESCE(speed, 0.0) AS speed FROM spans s JOIN legs l ON l.activity_id = s.activity_id AND seq BETWEEN \"start\" AND \"end\") SELECT activity_id, arg_min(seq, (speed, seq)) FILTER (WHERE seq <= least(\"start\" + 30, \"end\")) AS \"from\", arg_min(seq, (speed, seq)) FILTER (WHERE seq >= greatest(\"end\" - 30, \"start\")) AS \"to\" FROM j GROUP BY 1")
