@@ -17,3 +17,8 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+def pytest_collection_modifyitems(items):
+    """The engine's own tests first, then those of the training-data operators, which take longest."""
+    items.sort(key=lambda item: "llm" in item.path.parts)

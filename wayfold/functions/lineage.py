@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
         if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        # else checkpoints that nothing refers to any more stay until the folder goes; Spark asks for it when it writes one
+        sc._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return sc.getCheckpointDir()
 
 
