@@ -23,6 +23,27 @@ def test_gpx(spark, tmp_path):
     assert t["a.gpx"].first == "2024-01-01T10:00:00Z" and t["a.gpx"].last == "2024-01-01T10:01:00Z" and t["b.gpx"].first is None
 
 
+def test_ends_of_files_are_sought(spark, tmp_path):
+    """Files of eight gigabytes, nearly all of it a hole: to read one whole would not fit into a row."""
+    d = tmp_path / "big"
+    d.mkdir()
+    for k in range(3):
+        with open(d / f"{k}.gpx", "wb") as f:
+            f.write(f"<time>2024-01-0{k + 1}T00:00:00Z</time>".encode())
+            f.truncate(8 << 30)
+            f.seek(0, 2)
+            f.write(f"<time>2024-02-0{k + 1}T00:00:00Z</time><trk/>".encode())
+    (d / ".hidden").write_text("<time>x</time>")
+    (d / "empty.gpx").write_text("")
+    (d / "cut.gpx").write_text("<time>a</time>x" + "é" * 5000 + "<time>z</time>")  # the tail begins within a character
+    (d / "short.gpx").write_text("é<time>a</time><time>b</time>")
+    t = {r.file.rsplit("/", 1)[-1]: (r.first, r.last) for r in readers.first_last_times(spark, str(d)).collect()}
+    assert t == {f"{k}.gpx": (f"2024-01-0{k + 1}T00:00:00Z", f"2024-02-0{k + 1}T00:00:00Z") for k in range(3)} | {"cut.gpx": ("a", "z"), "empty.gpx": (None, None), "short.gpx": ("a", "b")}
+    ends = spark.read.format("ends").option("size", 10).load(f"file://{d}/*.gpx").collect()
+    assert sorted((r.length > 8 << 30, len(r.head), len(r.tail)) for r in ends) == [(False, 0, 0), (False, 10, 10), (False, 10, 10), *[(True, 10, 10)] * 3]
+    assert [r.length for r in spark.read.format("ends").load(str(d / "short.gpx")).collect()] == [30]
+
+
 def test_gpx_writer_round_trip(spark, tmp_path):
     p = spark.createDataFrame([(1, 1, 50.5, -116.0, None, "2024-01-01T00:00:05Z"), (1, 0, 50.0, -116.5, 9.5, "2024-01-01T00:00:00Z")], "activity_id long, seq long, lat double, lon double, ele double, time string")
     writers.gpx(p, str(tmp_path / "out"))
