@@ -31,3 +31,16 @@ def test_table_function(spark):
         s += (v - s) * k
         want.append(s)
     assert got == pytest.approx(want)
+
+
+def test_numbers_over_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    from wayfold.functions.order import numbered
+
+    rows = [(i, (i * 37) % 101, None if i % 50 == 0 else i % 3) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i long, a long, b long").repartition(7)
+    got = {r.i: r.n for r in numbered(df, "n", F.desc("b"), F.col("a"), F.col("i")).collect()}
+    want = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[1], r[0]))
+    assert got == {r[0]: k for k, r in enumerate(want, 1)}
+    assert numbered(df.where("false"), "n", F.col("i")).count() == 0

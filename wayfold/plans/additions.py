@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lookups
+from ..functions.order import numbered
 from ..operators import asof, network, overview, reports, routes, similarity, spatial
 from ..operators import tracks as T
 from . import catalog as C
@@ -201,8 +202,8 @@ def sim_08(spark, d):
     titles = m.select("activity_id", F.concat(F.lit("T"), (F.col("activity_id") % 7).cast("string")).alias("title"))
     gone = overview.suggestions(m, titles, spark.createDataFrame([], "suggestion_id string")).where("cluster % 9 = 0").select("suggestion_id")
     s = overview.suggestions(m, titles, gone)
-    w = Window.orderBy(F.desc("rides"), "title", "suggestion_id")
-    return s.select("suggestion_id", "cluster", "region_id", "representative", F.col("rides").cast("long").alias("rides"), "title", F.row_number().over(w).cast("long").alias("place"))
+    s = s.select("suggestion_id", "cluster", "region_id", "representative", F.col("rides").cast("long").alias("rides"), "title")
+    return numbered(s, "place", F.desc("rides"), F.col("title"), F.col("suggestion_id"))
 
 
 @query("gl_03", f"WITH {C._WAYS}, {C._VERTICES}, s AS (SELECT DISTINCT way_pos % 11 AS route_id, way_pos AS chain FROM way) SELECT DISTINCT route_id, CAST(floor(lat * {C._M} / 60) AS BIGINT) AS cn, CAST(floor(lon * {C._M} * cos(radians(CAST(50.7 AS DOUBLE))) / 60) AS BIGINT) AS ce FROM s JOIN vert v ON v.chain = s.chain")
@@ -216,7 +217,7 @@ def gl_03(spark, d):
 @query("gl_08", f"WITH {C._TRY} SELECT activity_id, duration, ROW_NUMBER() OVER (ORDER BY duration, activity_id) AS place FROM tries WHERE route_id = 70")
 def gl_08(spark, d):
     t = C._tries(spark, d).where("route_id = 70")
-    return t.select("activity_id", "duration", F.row_number().over(Window.orderBy("duration", "activity_id")).cast("long").alias("place"))
+    return numbered(t.select("activity_id", "duration"), "place", F.col("duration"), F.col("activity_id"))
 
 
 @query("gl_07", f"WITH {TRK}, {C._LINE}, b AS (SELECT *, LAG(name) OVER (ORDER BY start_idx) AS p FROM tl WHERE activity_id = 7) SELECT CASE WHEN length(array_to_string(l, ' → ')) > 80 THEN array_to_string(l[1:3], ' → ') || ' → +' || CAST(len(l) - 3 AS VARCHAR) || ' more' ELSE array_to_string(l, ' → ') END AS title FROM (SELECT list(name ORDER BY start_idx) AS l FROM b WHERE name IS DISTINCT FROM p)")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats
+from ..functions.order import numbered
 from ..operators import asof, lifts, network, reports, routes, similarity, spatial
 from ..operators import tracks as T
 from .bindings import ACT, AS_OF, JLEGS, LEGS, TRK, activities, hav, legs, read, track_points
@@ -926,8 +927,7 @@ def dq_03(spark, d):
 
 @query("top_07", f"WITH {JLEGS}, {_SPIKES}, {_SPIKED_LIST} SELECT activity_id, ROW_NUMBER() OVER (ORDER BY peak DESC, spikes DESC, activity_id) AS place FROM fl")
 def top_07(spark, d):
-    w = Window.orderBy(F.desc("peak"), F.desc("spikes"), "activity_id")
-    return _spike_list(spark, d).select("activity_id", F.row_number().over(w).cast("long").alias("place"))
+    return numbered(_spike_list(spark, d), "place", F.desc("peak"), F.desc("spikes"), F.col("activity_id")).select("activity_id", "place")
 
 
 _LEFT = "lf AS (SELECT activity_id, DATE '2024-01-01' + CAST(activity_id % 9 AS INTEGER) AS d, COUNT(*) AS n, MAX(CASE severity WHEN 'high' THEN 3 WHEN 'med' THEN 2 ELSE 1 END) AS worst, string_agg(code, ',' ORDER BY rule) AS codes FROM iss WHERE code <> 'speed_spike' AND NOT (code = 'jitter' AND activity_id % 4 = 0) GROUP BY 1)"
@@ -949,8 +949,7 @@ def dq_05(spark, d):
 
 @query("top_06", f"WITH {JLEGS}, {_SPIKES}, {_ISSUES}, {_LEFT} SELECT activity_id, ROW_NUMBER() OVER (ORDER BY d DESC, worst DESC, n DESC, activity_id) AS place FROM lf")
 def top_06(spark, d):
-    w = Window.orderBy(F.desc("d"), F.desc("worst"), F.desc("n"), "activity_id")
-    return _report(spark, d).select("activity_id", F.row_number().over(w).cast("long").alias("place"))
+    return numbered(_report(spark, d), "place", F.desc("d"), F.desc("worst"), F.desc("n"), F.col("activity_id")).select("activity_id", "place")
 
 
 @query("dq_04", f"WITH {TRK} SELECT activity_id, hour(MIN(ts) - INTERVAL 7 HOUR) AS hour FROM trk GROUP BY 1 HAVING hour(MIN(ts) - INTERVAL 7 HOUR) IN (21, 22, 23, 0, 1, 2, 3, 4, 5, 6)")
@@ -1454,7 +1453,7 @@ def flt_10(spark, d):
 @query("top_05", f"WITH {_ATT}, g AS (SELECT name, direction, COUNT(*) AS attempts, MIN(duration) AS best FROM att WHERE completed GROUP BY 1, 2) SELECT *, ROW_NUMBER() OVER (ORDER BY best, attempts DESC, name, direction) AS place FROM g")
 def top_05(spark, d):
     g = spatial.trail_index(_attempts(spark, d), ["name", "direction"]).select("name", "direction", "attempts", "best")
-    return g.withColumn("place", F.row_number().over(Window.orderBy("best", F.desc("attempts"), "name", "direction")).cast("long"))
+    return numbered(g, "place", F.col("best"), F.desc("attempts"), F.col("name"), F.col("direction"))
 
 
 @query("top_08", f"WITH {_ATT}, g AS (SELECT type, name, COUNT(*) AS attempts FROM att WHERE completed GROUP BY 1, 2) SELECT *, ROW_NUMBER() OVER (PARTITION BY type ORDER BY attempts DESC, name) AS place, SUM(attempts) OVER (PARTITION BY type) AS total FROM g")
