@@ -1094,18 +1094,21 @@ def str_07(spark, d):
 
 @query("det_17")
 def det_17(spark, d):
-    """All detectors side by side: assisted points and runs of each."""
+    """All detectors side by side: assisted points and runs of each.  Flags of a point stay in one row; only counts and flagged points are turned into rows of an algorithm."""
     from ..operators.kernels import COMPOSED, DETECTORS, detect
 
     known, p = ["osm", *COMPOSED], legs(spark, d)
     plain = [k for k in DETECTORS if k not in known]
-    f = detect(p, plain)
-    long = f.select("activity_id", "seq", F.explode(F.create_map(*(x for k in plain for x in (F.lit(k), F.col(k))))).alias("algorithm", "on"))
-    with_lifts = p.select("activity_id", "seq", F.explode(F.array(*map(F.lit, known))).alias("algorithm"))
-    found = lifts.detected(p, _lifts(spark, d), known).withColumn("on", F.lit(True))
-    long = long.unionByName(with_lifts.join(found, ["algorithm", "activity_id", "seq"], "left").withColumn("on", F.coalesce("on", F.lit(False))))
-    was = F.lag("on").over(Window.partitionBy("algorithm", "activity_id").orderBy("seq"))
-    return long.withColumn("rise", F.col("on") & ~F.coalesce(was, F.lit(False))).groupBy("algorithm", "activity_id").agg(F.count_if("on").alias("points"), F.count_if("rise").alias("runs"))
+    by = Window.partitionBy("activity_id").orderBy("seq")
+    f = detect(p, plain).withColumns({f"{k}_rise": F.col(k) & ~F.coalesce(F.lag(k).over(by), F.lit(False)) for k in plain})
+    f = f.groupBy("activity_id").agg(*(F.struct(F.lit(k).alias("algorithm"), F.count_if(k).alias("points"), F.count_if(f"{k}_rise").alias("runs")).alias(k) for k in plain))
+    counts = f.select("activity_id", F.explode(F.array(*plain)).alias("x")).select("x.algorithm", "activity_id", "x.points", "x.runs")
+    own = Window.partitionBy("algorithm", "activity_id").orderBy("seq")
+    found = lifts.detected(p, _lifts(spark, d), known).withColumn("rise", F.coalesce(F.col("seq") - F.lag("seq").over(own) > 1, F.lit(True)))
+    found = found.groupBy("algorithm", "activity_id").agg(F.count("*").alias("points"), F.count_if("rise").alias("runs"))
+    every = p.select("activity_id").distinct().select(F.explode(F.array(*map(F.lit, known))).alias("algorithm"), "activity_id")
+    found = every.join(found, ["algorithm", "activity_id"], "left").select("algorithm", "activity_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("points", "runs")))
+    return counts.unionByName(found)
 
 
 @query("tm_03")
