@@ -164,3 +164,10 @@ def test_uploads(spark):
     taken = spark.createDataFrame([("ride.gpx",), ("ride_1.gpx",), ("old.gpx",)], "name string")
     got = {r.file: (r.status, r.stored_as) for r in writers.accepted(files, points, taken).collect()}
     assert got == {"f1": ("accepted", "ride_2.gpx"), "f2": ("accepted", "ride_3.gpx"), "f3": ("too large", None), "f4": ("unreadable", None), "f5": ("accepted", "new.gpx"), "f6": ("accepted", "old_1.gpx")}
+
+
+def test_sparkline_strides_over_all_points(spark):
+    """100 points: every second one; those without elevation are left out, and don't move the stride."""
+    rows = [(1, k, None if k in (2, 3, 50) else float(k)) for k in range(100)] + [(2, 0, 5.0), (2, 1, None)]
+    got = {r.activity_id: r.spark for r in T.sparklines(spark.createDataFrame(rows, "activity_id long, seq long, ele double")).collect()}
+    assert got == {1: [float(k) for k in range(0, 100, 2) if k not in (2, 50)], 2: None}

@@ -213,10 +213,11 @@ def segment_sums(points: DataFrame, segs: DataFrame, closed: bool = False) -> Da
 
 
 def sparklines(points: DataFrame, n: int = 40) -> DataFrame:
-    """About ``n`` elevations of each track at an even stride; null if there are fewer than two."""
-    p = points.where("ele IS NOT NULL").withColumn("place", F.row_number().over(track()) - 1).withColumn("total", F.count("*").over(whole()))
+    """About ``n`` elevations of each track, those of points at an even stride that have one; null if they are fewer than two."""
+    p = points.withColumn("place", F.row_number().over(track()) - 1).withColumn("total", F.count("*").over(whole()))
     p = p.where(f"place % greatest(1, total div {n}) = 0")
-    out = p.groupBy("activity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ele"))), lambda s: s["ele"]).alias("spark"))
+    line = F.array_sort(F.collect_list(F.when(F.col("ele").isNotNull(), F.struct("seq", "ele"))))
+    out = p.groupBy("activity_id").agg(F.transform(line, lambda s: s["ele"]).alias("spark"))
     return out.withColumn("spark", F.when(F.size("spark") >= 2, F.col("spark")))
 
 

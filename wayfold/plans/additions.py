@@ -432,20 +432,26 @@ def sum_01_cards(spark, d):
     return reports.type_summary(a, AS_OF, 90)
 
 
-@query("agg_10_facts", f"""WITH {LEGS}, {C._AGG}, {C._SEG}, {C._SPIKES}, {C._ISSUES}, x AS (SELECT activity_id, arg_min(lat, seq) AS lat0, arg_min(lon, seq) AS lon0, MIN(lat) AS min_lat, MIN(lon) AS min_lon, MAX(lat) AS max_lat, MAX(lon) AS max_lon, CAST(MIN(ts) AS DATE) AS date, COUNT(*) AS points FROM legs GROUP BY 1), sg AS (SELECT activity_id, COUNT(*) FILTER (WHERE type = 'assisted') AS lifts FROM seg GROUP BY 1), i AS (SELECT activity_id, COUNT(*) AS issues FROM iss GROUP BY 1)
-SELECT st.activity_id, date, points, round(distance_km, 4) AS distance_km, round(elev_gain_m, 3) AS elev_gain_m, round(elev_loss_m, 3) AS elev_loss_m, round(assisted_gain_m, 3) AS assisted_gain_m, riding_s, duration_sec, round(distance_km / nullif(riding_s / 3600.0, 0), 3) AS avg_speed_kmh, round(max_speed_kmh, 3) AS max_speed_kmh, peak_ele_m, lifts, round(lat0, 4) AS lat0, round(lon0, 4) AS lon0, round(max_lat - min_lat, 6) AS height, round(max_lon - min_lon, 6) AS width, COALESCE(issues, 0) AS issues,
- CASE WHEN distance_km > 0 THEN greatest(1, CAST(round_even(pow(distance_km + elev_gain_m / 55, 0.83) / 3.2 * (1 + greatest(0, elev_gain_m / distance_km - 30) / 60), 0) AS INTEGER)) END AS difficulty
-FROM st JOIN x USING (activity_id) JOIN sg USING (activity_id) LEFT JOIN i USING (activity_id)""")
+@query("agg_10_facts", f"""WITH {LEGS}, {C._INSIDE}, {C._SPARK}, {C._AGG}, {C._SEG}, {C._SPIKES}, {C._ISSUES}, rg AS (SELECT activity_id, string_agg(CAST(region_id AS VARCHAR), ',' ORDER BY region_id) AS regions FROM (SELECT i.activity_id, region_id FROM inside i JOIN (SELECT activity_id, COUNT(*) AS total FROM trk GROUP BY 1) t ON t.activity_id = i.activity_id GROUP BY 1, 2, total HAVING COUNT(*) >= greatest(1, floor(total * CAST(0.15 AS DOUBLE)))) GROUP BY 1), hr AS (SELECT activity_id, CAST(round_even(AVG(bpm), 0) AS BIGINT) AS hr_avg, MAX(bpm) AS hr_max FROM (SELECT activity_id, CASE WHEN event_id % 7 > 0 THEN 90 + event_id % 97 END AS bpm FROM trk WHERE activity_id % 3 > 0) GROUP BY 1), x AS (SELECT activity_id, arg_min(lat, seq) AS lat0, arg_min(lon, seq) AS lon0, MIN(lat) AS min_lat, MIN(lon) AS min_lon, MAX(lat) AS max_lat, MAX(lon) AS max_lon, CAST(MIN(ts) AS DATE) AS date, MIN(t_s) AS start_s, MAX(t_s) AS end_s, COUNT(*) AS points FROM legs GROUP BY 1), sg AS (SELECT activity_id, COUNT(*) FILTER (WHERE type = 'assisted') AS lifts FROM seg GROUP BY 1), i AS (SELECT activity_id, COUNT(*) AS issues FROM iss GROUP BY 1)
+SELECT st.activity_id, date, points, round(distance_km, 4) AS distance_km, round(elev_gain_m, 3) AS elev_gain_m, round(elev_loss_m, 3) AS elev_loss_m, round(assisted_gain_m, 3) AS assisted_gain_m, riding_s, duration_sec, round(distance_km / nullif(riding_s / 3600.0, 0), 3) AS avg_speed_kmh, round(max_speed_kmh, 3) AS max_speed_kmh, peak_ele_m, lifts, round(lat0, 4) AS lat0, round(lon0, 4) AS lon0, round(max_lat - min_lat, 6) AS height, round(max_lon - min_lon, 6) AS width, COALESCE(issues, 0) AS issues, start_s, end_s, COALESCE(regions, '') AS regions, hr_avg IS NOT NULL AS has_hr, hr_avg, hr_max, CASE WHEN spk.n >= 2 THEN spk.n END AS spark_n, CASE WHEN spk.n >= 2 THEN round(spk.total, 4) END AS spark_total,
+ CASE WHEN st.activity_id % 4 = 0 THEN 'hike' WHEN month(date) IN (12, 1, 2, 3) AND regions IS NOT NULL THEN 'ski' ELSE 'ride' END AS effective_type, CASE WHEN distance_km > 0 THEN greatest(1, CAST(round_even(pow(distance_km + elev_gain_m / 55, 0.83) / 3.2 * (1 + greatest(0, elev_gain_m / distance_km - 30) / 60), 0) AS INTEGER)) END AS difficulty
+FROM st JOIN x USING (activity_id) JOIN sg USING (activity_id) JOIN spk USING (activity_id) LEFT JOIN i USING (activity_id) LEFT JOIN rg USING (activity_id) LEFT JOIN hr USING (activity_id)""")
 def agg_10_facts(spark, d):
-    """The fact row of each activity, with its box, difficulty and number of issues."""
+    """The fact row of each activity: statistics, box, difficulty, issues, times, regions, type, heart rates (two of three activities have any) and the sparkline."""
     from ..operators.quality import issues
 
     p = legs(spark, d)
-    ends = p.groupBy("activity_id").agg(F.min_by("lat", "seq").alias("lat0"), F.min_by("lon", "seq").alias("lon0"), F.to_date(F.min("ts")).alias("date"), F.count("*").alias("points"))
+    ends = p.groupBy("activity_id").agg(F.min_by("lat", "seq").alias("lat0"), F.min_by("lon", "seq").alias("lon0"), F.to_date(F.min("ts")).alias("date"), F.min("t_s").alias("start_s"), F.max("t_s").alias("end_s"), F.count("*").alias("points"))
     f = T.activity_stats(T.smooth_speed(p)).join(ends, "activity_id").join(T.bounding_boxes(p), "activity_id").join(T.lift_counts(p), "activity_id")
     f = f.join(issues(T.spikes(p)).select("activity_id", F.size("issues").cast("long").alias("issues")), "activity_id")
+    tags = spatial.region_tags(p, spatial.ring_edges(C._regions(spark))).groupBy("activity_id").agg(F.array_join(F.array_sort(F.collect_list("region_id")).cast("array<string>"), ",").alias("regions"))
+    rates = p.where("activity_id % 3 > 0").withColumn("bpm", F.when(F.col("event_id") % 7 > 0, 90 + F.col("event_id") % 97)).groupBy("activity_id").agg(F.bround(F.avg("bpm")).cast("long").alias("hr_avg"), F.max("bpm").alias("hr_max"))
+    lines = T.sparklines(p).select("activity_id", F.when(F.col("spark").isNotNull(), F.size("spark").cast("long")).alias("spark_n"), F.round(F.aggregate("spark", F.lit(0.0), lambda a, x: a + x), 4).alias("spark_total"))
+    f = f.join(lines, "activity_id").join(tags, "activity_id", "left").join(rates, "activity_id", "left")
+    kind = reports.effective_type(F.when(F.col("activity_id") % 4 == 0, F.lit("hike")), F.month("date").isin(12, 1, 2, 3), F.when(F.col("regions").isNotNull(), F.lit("ski")), F.lit("ride"))
+    f = f.withColumns({"effective_type": kind, "regions": F.coalesce("regions", F.lit("")), "has_hr": F.col("hr_avg").isNotNull()})
     score = reports.difficulty(F.col("distance_km"), F.col("elev_gain_m"), F.col("elev_loss_m"), F.lit(False))
-    return f.select("activity_id", "date", "points", rnd("distance_km", 4).alias("distance_km"), *(rnd(c, 3).alias(c) for c in ("elev_gain_m", "elev_loss_m", "assisted_gain_m", "avg_speed_kmh", "max_speed_kmh")), "riding_s", "duration_sec", "peak_ele_m", F.col("lift_count").alias("lifts"), rnd("lat0", 4).alias("lat0"), rnd("lon0", 4).alias("lon0"), rnd(F.col("max_lat") - F.col("min_lat")).alias("height"), rnd(F.col("max_lon") - F.col("min_lon")).alias("width"), "issues", score.alias("difficulty"))
+    return f.select("start_s", "end_s", "regions", "has_hr", "hr_avg", "hr_max", "spark_n", "spark_total", "effective_type", "activity_id", "date", "points", rnd("distance_km", 4).alias("distance_km"), *(rnd(c, 3).alias(c) for c in ("elev_gain_m", "elev_loss_m", "assisted_gain_m", "avg_speed_kmh", "max_speed_kmh")), "riding_s", "duration_sec", "peak_ele_m", F.col("lift_count").alias("lifts"), rnd("lat0", 4).alias("lat0"), rnd("lon0", 4).alias("lon0"), rnd(F.col("max_lat") - F.col("min_lat")).alias("height"), rnd(F.col("max_lon") - F.col("min_lon")).alias("width"), "issues", score.alias("difficulty"))
 
 
 @query("rte_09_region", f"WITH {TRK}, s AS (SELECT activity_id, event_id % 3 AS region_id, seq AS pos, 'trail ' || CAST(event_id % 4 AS VARCHAR) AS name FROM trk), b AS (SELECT *, LAG(name) OVER (PARTITION BY activity_id, region_id ORDER BY pos) AS p FROM s), g AS (SELECT activity_id, region_id, COUNT(*) AS segments, list(name ORDER BY pos) FILTER (WHERE name IS DISTINCT FROM p) AS l FROM b GROUP BY 1, 2), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY activity_id ORDER BY segments DESC, region_id) AS r FROM g) SELECT activity_id, region_id, segments, CASE WHEN length(array_to_string(l, ' → ')) > 80 THEN array_to_string(l[1:3], ' → ') || ' → +' || CAST(len(l) - 3 AS VARCHAR) || ' more' ELSE array_to_string(l, ' → ') END AS title FROM r WHERE r = 1")

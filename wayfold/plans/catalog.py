@@ -215,10 +215,14 @@ def agg_06(spark, d):
     return activities(spark, d).select("activity_id", reports.difficulty(km, gain, loss, F.col("type") == "MACHINERY").alias("score"))
 
 
-@query("agg_07", f"WITH {TRK}, p AS (SELECT activity_id, seq, ele, ROW_NUMBER() OVER (PARTITION BY activity_id ORDER BY seq) - 1 AS k, COUNT(*) OVER (PARTITION BY activity_id) AS n FROM trk WHERE ele IS NOT NULL) SELECT activity_id, COUNT(*) AS n, SUM(ele) AS total, arg_max(ele, seq) AS last_ele FROM p WHERE k % greatest(1, n // 40) = 0 GROUP BY 1")
+_SPARK = "spk AS (SELECT activity_id, COUNT(ele) AS n, SUM(ele) AS total, arg_max(ele, seq) AS last_ele FROM (SELECT activity_id, seq, ele, ROW_NUMBER() OVER (PARTITION BY activity_id ORDER BY seq) - 1 AS k, COUNT(*) OVER (PARTITION BY activity_id) AS n FROM trk) WHERE k % greatest(1, n // 40) = 0 GROUP BY 1)"
+
+
+@query("agg_07", f"WITH {TRK}, {_SPARK} SELECT activity_id, CASE WHEN n >= 2 THEN n END AS n, CASE WHEN n >= 2 THEN total END AS total, CASE WHEN n >= 2 THEN last_ele END AS last_ele FROM spk")
 def agg_07(spark, d):
     s = T.sparklines(track_points(spark, d))
-    return s.select("activity_id", F.size("spark").cast("long").alias("n"), F.aggregate("spark", F.lit(0.0), lambda a, x: a + x).alias("total"), F.element_at("spark", -1).alias("last_ele"))
+    shown = F.col("spark").isNotNull()
+    return s.select("activity_id", F.when(shown, F.size("spark").cast("long")).alias("n"), F.aggregate("spark", F.lit(0.0), lambda a, x: a + x).alias("total"), F.try_element_at("spark", F.lit(-1)).alias("last_ele"))
 
 
 @query("agg_08", f"WITH {TRK}, p AS (SELECT *, COUNT(*) OVER (PARTITION BY activity_id) AS n FROM trk) SELECT activity_id, seq, lat, lon FROM p WHERE n <= 20 OR seq = n - 1 OR seq IN (SELECT CAST(floor(i * n / 20.0) AS BIGINT) FROM range(20) r(i))")
