@@ -164,6 +164,35 @@ def table_digest(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.md5(F.coalesce(F.sum(each), F.lit(0)).cast("string")).alias("fingerprint"))
 
 
+def edit_key(trim: Column, smoothing: Column, shift: Column, repair: Column) -> Column:
+    """Key of what edits of a track change its points; other metadata don't."""
+    return F.substring(digest([trim, smoothing, shift, repair]), 1, 12)
+
+
+def entry_key(times: list[Column], meta: list[Column], algorithm: Column, versions: list[Column], rates: list[Column]) -> Column:
+    """Key of all that an activity's entry depends on: times of the file, regions and types, to milliseconds; its metadata; the detector; versions; greatest and resting heart rate."""
+    return F.substring(digest([*(F.round(t, 3) for t in times), *meta, algorithm, *versions, *rates]), 1, 16)
+
+
+def table_state(rows: DataFrame, time: str) -> DataFrame:
+    """One row of ``state``: number of rows and latest time, which both move with every change; 0 and -1 for an empty table."""
+    state = F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.max(time), F.lit(-1)).cast("string"))
+    return rows.agg(state.alias("state"))
+
+
+def route_keys(routes: DataFrame, regions: DataFrame, matched: DataFrame, meta_time: int, versions: list[int]) -> DataFrame:
+    """Keys of the attempts at each of ``routes(route_id, region_id, created, modified)``: versions, when the route changed, the state of the ``matched`` tracks, metadata, and ``regions(region_id, time)``, the time of its region's network or -1."""
+    r = routes.join(regions.select("region_id", F.col("time").alias("_time")), "region_id", "left").crossJoin(F.broadcast(matched))  # one row
+    parts = [*map(F.lit, versions), F.coalesce("modified", "created", F.lit("")), F.col("state"), F.lit(meta_time), F.coalesce("_time", F.lit(-1))]
+    return r.select("route_id", digest(parts).alias("fingerprint"))
+
+
+def suggestion_key(matched: DataFrame, saved: DataFrame, times: list[int], versions: list[int]) -> DataFrame:
+    """One row: key of the suggestions, from versions, the states of the ``matched`` tracks and ``saved`` routes, and times of metadata and regions."""
+    both = matched.crossJoin(saved.withColumnRenamed("state", "_saved"))  # a row each
+    return both.select(digest([*map(F.lit, versions), F.col("state"), F.col("_saved"), *map(F.lit, times)]).alias("fingerprint"))
+
+
 def wellness(days: DataFrame) -> DataFrame:
     """Flat row a day of payloads of several kinds; what a payload lacks is null.
 

@@ -76,6 +76,37 @@ def gl_19_table(spark, d):
     return overview.table_digest(activities(spark, d), "activity_id", ["type"])
 
 
+def _md5(*parts):
+    """SQL of ``overview.digest``."""
+    return f"md5(concat_ws(chr(31), {', '.join(f'COALESCE(CAST({p} AS VARCHAR), chr(0))' for p in parts)}))"
+
+
+@query("gl_19_keys", f"""WITH {ACT}, rt AS (SELECT o_orderkey AS route_id, o_custkey % 30 AS region_id, '2001-01-01' AS created, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS modified, o_custkey AS time FROM orders),
+ms AS (SELECT CAST(COUNT(*) AS VARCHAR) || ':' || CAST(MAX(n) AS VARCHAR) AS state FROM act), ss AS (SELECT CAST(COUNT(*) AS VARCHAR) || ':' || CAST(MAX(time) AS VARCHAR) AS saved FROM rt)
+SELECT 'edits' AS kind, activity_id AS id, substr({_md5("CASE WHEN n % 3 = 0 THEN n END", "CASE WHEN n % 4 = 0 THEN 5 END", "CASE WHEN n % 5 = 0 THEN 2 END", "n % 2 = 0")}, 1, 12) AS fingerprint FROM act
+UNION ALL SELECT 'entry', activity_id, substr({_md5("n", "7", "9", "type", "CASE WHEN n % 3 = 0 THEN n END", "'osm'", "3", "12", "190", "CASE WHEN n % 2 = 0 THEN 50 END")}, 1, 16) FROM act
+UNION ALL SELECT 'regions', 0, md5(CAST(SUM(CAST(('0x' || substr({_md5("n_nationkey", "n_regionkey")}, 1, 15)) AS HUGEINT)) AS VARCHAR)) FROM nation
+UNION ALL SELECT 'route', route_id, {_md5("2", "5", "COALESCE(modified, created)", "state", "11", "COALESCE(n_regionkey, -1)")} FROM rt CROSS JOIN ms LEFT JOIN nation ON n_nationkey = region_id
+UNION ALL SELECT 'suggestions', 0, {_md5("4", "5", "state", "saved", "11", "13")} FROM ms, ss""")
+def gl_19_keys(spark, d):
+    """Keys of stored results: a track's edits, its entry, regions' geometry, attempts at a route, suggestions.  Nations stand for regions, orders for saved routes."""
+    a, i = activities(spark, d), F.col("n")
+    edits = [F.when(i % 3 == 0, i), F.when(i % 4 == 0, F.lit(5)), F.when(i % 5 == 0, F.lit(2)), i % 2 == 0]
+    row = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), key.cast("long").alias("id"), "fingerprint")
+    one = row(a.withColumn("fingerprint", overview.edit_key(*edits)), "edits", F.col("activity_id"))
+    entry = overview.entry_key([i, F.lit(7), F.lit(9)], [F.col("type"), edits[0]], F.lit("osm"), [F.lit(3), F.lit(12)], [F.lit(190), F.when(i % 2 == 0, F.lit(50))])
+    two = row(a.withColumn("fingerprint", entry), "entry", F.col("activity_id"))
+    nations = read(spark, d, "nation")
+    three = row(overview.table_digest(nations, "n_nationkey", ["n_regionkey"]), "regions", F.lit(0))
+    k = F.col("o_orderkey")
+    saved = read(spark, d, "orders").select(k.alias("route_id"), (F.col("o_custkey") % 30).alias("region_id"), F.lit("2001-01-01").alias("created"), F.when(k % 2 == 0, F.col("o_orderdate").cast("date").cast("string")).alias("modified"), F.col("o_custkey").alias("time"))
+    matched = overview.table_state(a, "n")
+    keys = overview.route_keys(saved, nations.select(F.col("n_nationkey").alias("region_id"), F.col("n_regionkey").alias("time")), matched, 11, [2, 5])
+    four = row(keys, "route", F.col("route_id"))
+    five = row(overview.suggestion_key(matched, overview.table_state(saved, "time"), [11, 13], [4, 5]), "suggestions", F.lit(0))
+    return one.unionByName(two).unionByName(three).unionByName(four).unionByName(five)
+
+
 @query("agg_03", f"WITH {ACT} SELECT activity_id, CASE WHEN activity_id % 3 = 0 THEN round(km / 2, 12) ELSE round(km, 12) END AS km, round(hours, 12) AS hours, CASE WHEN activity_id % 3 = 0 THEN n END AS lifts FROM act")
 def agg_03(spark, d):
     a = activities(spark, d)
