@@ -97,7 +97,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> dict:
     """Additive logistic model from at most ``per_class`` rows of either label, those of the smallest hash of doc_id."""
-    labels = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    labels = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     chosen = [labels.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
@@ -203,7 +203,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     modulo ``folds`` is not ``held``.  Null texts count as empty, null hosts
     and paths as the empty one.  Very long texts are read whole; repeated rows
     give repeated rows, and weigh as often in their site's posterior; an empty
-    table gives none.  Columns of these names that are there before are replaced.
+    table gives none.  Of contradicting labels of a document the greater counts.  Columns of these names that are there before are replaced.
     """
     docs = docs.drop("log_odds", "host_posterior", "path_posterior", "score", "keep", "held_out")
     docs = docs.withColumn("text", F.col("text").cast("string"))
