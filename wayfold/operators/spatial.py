@@ -87,16 +87,13 @@ def region_cover(edges: DataFrame) -> DataFrame:
     centre = (ci + 0.5) * side, (F.col("cj") + 0.5) * side
     crossing = ray_crosses(*centre, F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
     inner = between.join(rows, ["region_id", "level", "ci"]).groupBy("region_id", "level", "ci", "cj").agg(F.count_if(crossing).alias("n")).where("n % 2 = 1").drop("n")
-    whole = []
-    for _ in range(2):
-        parent = [F.floor(F.col(c) / 4).alias(c) for c in ("ci", "cj")]
-        full = inner.groupBy("region_id", (F.col("level") - 1).alias("level"), *parent).agg(F.count("*").alias("n")).where("n = 16").drop("n")
-        gone = full.select("region_id", (F.col("level") + 1).alias("level"), F.col("ci").alias("pi"), F.col("cj").alias("pj"))
-        kept = inner.withColumns({"pi": F.floor(F.col("ci") / 4), "pj": F.floor(F.col("cj") / 4)}).join(gone, ["region_id", "level", "pi", "pj"], "left_anti")
-        whole.append(kept.select("region_id", "level", "ci", "cj"))
-        inner = full
-    for part in whole:
-        inner = inner.unionByName(part)
+    # by parent and its parent; the keys of the one hold those of the other, so that one shuffle does for both
+    above = {f"{c}{k}": F.floor(F.col(f"c{c}") / 4**k) for c in "ij" for k in (1, 2)}
+    second, first = ["region_id", "i2", "j2"], ["region_id", "i2", "j2", "i1", "j1"]
+    counted = inner.withColumns(above).withColumns({"n1": F.count("*").over(Window.partitionBy(*first)), "n2": F.count("*").over(Window.partitionBy(*second))})
+    up = F.when(F.col("n2") == 256, 2).when(F.col("n1") == 16, 1).otherwise(0)
+    pick = lambda c: F.when(F.col("up") == 2, F.col(f"{c}2")).when(F.col("up") == 1, F.col(f"{c}1")).otherwise(F.col(f"c{c}")).alias(f"c{c}")
+    inner = counted.withColumn("up", up).select("region_id", (F.col("level") - F.col("up")).alias("level"), pick("i"), pick("j")).distinct()
     return inner.withColumn("inner", F.lit(True)).unionByName(touched.withColumn("inner", F.lit(False)))
 
 
