@@ -9,38 +9,57 @@ from .kernels import COMPOSED, candidate_segments, rides_between
 from .network import close_pairs
 
 
+def _lines(lifts: DataFrame) -> DataFrame:
+    """The first of lifts with the same ends: the others have its rides and are as far from any point."""
+    return lifts.groupBy("alat", "alon", "blat", "blon").agg(F.min("lift").alias("lift"))
+
+
 def _near(points: DataFrame, lifts: DataFrame, metres: float) -> DataFrame:
-    """Points within ``metres`` of an end of a lift: ``lifts(lift, alat, alon, blat, blon)``."""
-    end = lambda k: lifts.select("lift", F.lit(k).alias("stop"), F.col(f"{k}lat").alias("latb"), F.col(f"{k}lon").alias("lonb"))
-    p = points.select("activity_id", "seq", "t_s", "ele", F.col("lat").alias("lata"), F.col("lon").alias("lona"))
-    return close_pairs(p, end("a").unionByName(end("b")), metres).select("activity_id", "seq", "t_s", "ele", "lift", "stop", "d")
+    """``points`` within ``metres`` of an end of a lift: ``lifts(lift, alat, alon, blat, blon)``.
+
+    Points are dealt by their track, in a number of partitions that adaptive
+    execution keeps (one more than usual, or Spark leaves the exchange out after
+    another by track), for a few small rows become many; what follows by track
+    needs no further shuffle where the ends are broadcast.
+    """
+    end = lambda k: lifts.select("lift", F.lit(k).alias("stop"), F.col(f"{k}lat").alias("lata"), F.col(f"{k}lon").alias("lona"))
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = points.withColumnsRenamed({"lat": "latb", "lon": "lonb"}).repartition(parts + 1, "activity_id")
+    return close_pairs(end("a").unionByName(end("b")), p, metres).drop("lata", "lona", "latb", "lonb")
+
 
+def station_rides(legs: DataFrame, lifts: DataFrame, metres: float = 100.0, least_s: int = 60, most_s: int = 1800, gain: float = 50.0, every: bool = True) -> DataFrame:
+    """Rides from one station of a lift to the other, in either direction: from the first point near the one after the last ride to the first near the other within the time, if the climb between is ``gain``; it is the sum of ``ele_delta``, to which points without elevation add nothing.
 
-def station_rides(legs: DataFrame, lifts: DataFrame, metres: float = 100.0, least_s: int = 60, most_s: int = 1800, gain: float = 50.0) -> DataFrame:
-    """Rides from one station of a lift to the other, in either direction: from the first point near the one after the last ride to the first near the other within the time, if the climb between is ``gain``; it is the sum of ``ele_delta``, to which points without elevation add nothing."""
+    Lifts with the same ends have the same rides, which are found once; of these but the first lift's unless ``every``.
+    """
     up = F.sum("ele_delta").over(Window.partitionBy("activity_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    p = legs.select("activity_id", "seq", "t_s", "lat", "lon", up.alias("ele"))
-    return rides_between(_near(p, lifts, metres).select("activity_id", F.col("lift").cast("long"), "seq", "t_s", F.col("ele").alias("up"), "stop"), least_s, most_s, gain)
+    p = legs.select("activity_id", "seq", "t_s", "lat", "lon", up.alias("up"))
+    rides = rides_between(_near(p, _lines(lifts), metres).select("activity_id", F.col("lift").cast("long"), "seq", "t_s", "up", "stop"), least_s, most_s, gain)
+    if not every:
+        return rides
+    alike = lifts.select(F.col("lift").cast("long"), F.min("lift").over(Window.partitionBy("alat", "alon", "blat", "blon")).cast("long").alias("_first"))
+    return rides.withColumnRenamed("lift", "_first").join(alike, "_first").select("activity_id", "lift", "start", "end")
 
 
 def snapped_spans(points: DataFrame, spans: DataFrame, lifts: DataFrame, samples: int = 60, metres: float = 250.0) -> DataFrame:
     """Of each span the lift and the points near its two ends, from ``samples`` before the span's to less than that after, of least summed distance; the first of equals."""
-    ends = spans.select("activity_id", F.explode(F.flatten(F.array(*(F.sequence(F.col(c) - samples, F.col(c) + samples) for c in ("start", "end"))))).alias("seq")).distinct()
-    near = _near(points.join(ends, ["activity_id", "seq"], "left_semi"), lifts, metres).select("activity_id", "seq", "lift", "stop", "d")
-    s = near.join(spans, "activity_id").where(f"seq >= start - {samples} AND seq < start + {samples}").select("activity_id", "start", "end", "lift", F.col("stop").alias("stop0"), F.col("seq").alias("from"), F.col("d").alias("d0"))
-    e = near.join(spans, "activity_id").where(f"seq >= `end` - {samples} AND seq < `end` + {samples}").select("activity_id", "start", "end", "lift", F.col("stop").alias("stop1"), F.col("seq").alias("to"), F.col("d").alias("d1"))
-    w0 = Window.partitionBy("activity_id", "start", "end", "lift", "stop0").orderBy("d0", "from")
-    w1 = Window.partitionBy("activity_id", "start", "end", "lift", "stop1").orderBy("d1", "to")
-    s = s.withColumn("r", F.row_number().over(w0)).where("r = 1").drop("r")
-    e = e.withColumn("r", F.row_number().over(w1)).where("r = 1").drop("r")
-    both = s.join(e, ["activity_id", "start", "end", "lift"]).where("stop0 != stop1 AND `to` > `from`")
-    w = Window.partitionBy("activity_id", "start", "end").orderBy(F.col("d0") + F.col("d1"), "lift", "stop0")
+    at = points.select("activity_id", "seq", "lat", "lon").join(spans.select("activity_id", "start", "end"), "activity_id")
+    at = at.where(f"(seq >= start - {samples} AND seq < start + {samples}) OR (seq >= `end` - {samples} AND seq < `end` + {samples})")
+    near = _near(at, _lines(lifts), metres)
+    # the nearest point of either end's, by the way a lift is taken; a span and a lift keep two candidates
+    by = ["activity_id", "start", "end", "lift"]
+    best = lambda end, stop: F.min(F.when((F.col("stop") == stop) & (F.col("seq") >= F.col(end) - samples) & (F.col("seq") < F.col(end) + samples), F.struct("d", "seq")))
+    g = near.groupBy(*by).agg(*(best(e, k).alias(f"{e}_{k}") for e in ("start", "end") for k in "ab"))
+    ways = F.array(*(F.struct(F.lit(k).alias("stop0"), F.col(f"start_{k}").alias("s"), F.col(f"end_{o}").alias("e")) for k, o in ("ab", "ba")))
+    both = g.select(*by, F.explode(ways).alias("x")).select(*by, "x.stop0", F.col("x.s.seq").alias("from"), F.col("x.e.seq").alias("to"), (F.col("x.s.d") + F.col("x.e.d")).alias("_d")).where("`to` > `from`")
+    w = Window.partitionBy("activity_id", "start", "end").orderBy("_d", "lift", "stop0")
     return both.withColumn("r", F.row_number().over(w)).where("r = 1").select("activity_id", "start", "end", "lift", "from", "to")
 
 
 def station_flags(legs: DataFrame, lifts: DataFrame, **how) -> DataFrame:
     """Points on ``station_rides``."""
-    rides = station_rides(legs, lifts, **how)
+    rides = station_rides(legs, lifts, **how, every=False)
     return _points_of(rides.select("activity_id", F.col("start").alias("from"), F.col("end").alias("to")))
 
 
