@@ -35,3 +35,11 @@ def test_rides_alike_meet_in_pairs_of_blocks(spark, monkeypatch):
     got = [tuple(r) for r in out.collect()]
     assert sorted(got) == sorted(want) and len(want) > 50
     assert "_j" in plan(out) and "keys=[a#" not in plan(out)  # bounded groups, and pairs are not shuffled once more
+
+
+def test_nearest_vertices_sort_no_pairs(spark):
+    v = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 0.0, 1.0), (1, 2, 0.0, 1.0), (2, 5, None, 3.0)], "line_id long, i long, vlat double, vlon double")
+    q = spark.createDataFrame([(1, 10, 0.0, 0.9), (1, 11, 0.1, 0.1), (2, 12, 0.0, 3.0), (3, 13, 0.0, 0.0)], "line_id long, id long, lat double, lon double")
+    out = network.nearest_vertex(q, v)
+    assert {(r.line_id, r.id, r.i, r.d is None) for r in out.collect()} == {(1, 10, 1, False), (1, 11, 0, False), (2, 12, 5, True)}
+    assert "SortAggregate" not in plan(out)

@@ -256,5 +256,7 @@ def ways_in_region(vertices: DataFrame, inside: DataFrame) -> DataFrame:
 
 def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
     """Nearest vertex of each point's own line, the first of equals: both have ``line_id``."""
-    j = points.join(vertices, "line_id").withColumn("d", haversine_of_differences(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")))
-    return j.groupBy("line_id", "id").agg(F.min_by("i", F.struct("d", "i")).alias("i"), F.min("d").alias("d"))
+    d = haversine_of_differences(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon"))
+    # the least distance, and then the vertices at it: minima of numbers need no sort of the pairs, which are never kept
+    least = points.join(vertices, "line_id").groupBy("line_id", "id").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.min(d).alias("least"))
+    return least.join(vertices, "line_id").where(d.eqNullSafe(F.col("least"))).groupBy("line_id", "id").agg(F.min("i").alias("i"), F.min("least").alias("d"))
