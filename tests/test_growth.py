@@ -43,3 +43,7 @@ def test_nearest_vertices_sort_no_pairs(spark):
     out = network.nearest_vertex(q, v)
     assert {(r.line_id, r.id, r.i, r.d is None) for r in out.collect()} == {(1, 10, 1, False), (1, 11, 0, False), (2, 12, 5, True)}
     assert "SortAggregate" not in plan(out)
+
+
+def test_routes_are_dealt_by_their_rows(spark):
+    assert "REPARTITION_BY_NUM" in plan(catalog._route(spark, SF))

@@ -1322,7 +1322,9 @@ _ROUTE = "rt AS (SELECT l_orderkey AS route_id, ROW_NUMBER() OVER (PARTITION BY
 
 def _route(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    r = read(spark, d, "lineitem").withColumn("pos", F.row_number().over(w).cast("long"))
+    # partitions by the number of rows, so that what a task sorts doesn't grow with the table
+    lines = read(spark, d, "lineitem")
+    r = lines.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // 400_000 + 1), "l_orderkey").withColumn("pos", F.row_number().over(w).cast("long"))
     return r.select(F.col("l_orderkey").alias("route_id"), "pos", F.concat(F.lit("N"), (F.col("l_partkey") % 3).cast("string")).alias("name"), F.col("l_quantity").alias("length_m"), (F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50).alias("b"))
 
 
