@@ -47,3 +47,13 @@ def test_nearest_vertices_sort_no_pairs(spark):
 
 def test_routes_are_dealt_by_their_rows(spark):
     assert "REPARTITION_BY_NUM" in plan(catalog._route(spark, SF))
+
+
+def test_able_routes_are_those_whose_edges_were_all_met(spark):
+    rng = random.Random(5)
+    near = {a: set(rng.sample(range(12), rng.randint(1, 8))) for a in range(20)}
+    runs = {r: [rng.randrange(13) for _ in range(rng.randint(1, 5))] for r in range(60)}
+    met = spark.createDataFrame([(a, e) for a, s in near.items() for e in s], "activity_id long, edge long")
+    got = [tuple(r) for r in route_scan.able_routes(met, spark.createDataFrame(list(runs.items()), "route_id long, run array<long>")).collect()]
+    want = [(a, r) for a, s in near.items() for r, run in runs.items() if set(run) <= s]
+    assert sorted(got) == sorted(want) and want

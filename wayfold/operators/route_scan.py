@@ -12,9 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def _close(before: dict, after: dict, most_idx: int = 250, most_s: float = 900.0) -> bool:
     """Whether an entry goes on where the one before stopped: a bounded gap in points and time."""
@@ -112,26 +114,33 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for row in b.to_pylist():
             near: dict[int, dict] = {}
+            segments: dict[int, dict] = {}
             for m in row["near"]:
                 near.setdefault(m["entry"], {})[m["pos"], m["part"]] = (m["a"], m["b"], m["covered"])
+                segments[m["pos"]] = {k: m[k] for k in ("pos", "name", "kind", "vertices")}
             entries = row["entries"]
             for e in entries:
                 e["marks"] = near.get(e["entry"], {})
-            routes = [(r["route_id"], [s | {"pos": s["edge"]} for s in r["segments"]]) for r in row["routes"]]
+            routes = [(r["route_id"], [segments[k] for k in r["run"]]) for r in row["routes"]]
             for route, a, z in Automaton(routes).attempts(entries):
                 out.append((route, row["activity_id"], entries[a]["start_idx"], entries[z]["end_idx"], entries[z]["end_t"] - entries[a]["start_t"]))
         columns = zip(*out, strict=True) if out else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["route_id", "activity_id", "first_idx", "last_idx", "duration"])
 
 
-def packed_routes(routes: DataFrame, edges: DataFrame, sizes: DataFrame, per_part: int) -> DataFrame:
-    """Lists of at most about ``per_part`` routes that begin on the same trail: ``name``, ``kind`` and ``routes`` (id, segments)."""
-    segment = F.struct("pos", "edge", "name", "kind", F.coalesce("n", F.lit(0)).alias("vertices"))
-    lists = routes.join(edges.select("edge", "name", "kind"), "edge").join(sizes, "edge", "left").groupBy("route_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
-    lists = lists.withColumns({"name": F.col("segments")[0]["name"], "kind": F.col("segments")[0]["kind"]})
-    parts = lists.groupBy("name", "kind").agg(F.ceil(F.count("*") / per_part).alias("parts"))
-    dealt = lists.join(parts, ["name", "kind"]).withColumn("part", F.pmod(F.xxhash64("route_id"), "parts"))
-    return dealt.groupBy("name", "kind", "part").agg(F.collect_list(F.struct("route_id", "segments")).alias("routes")).drop("part")
+def able_routes(met: DataFrame, runs: DataFrame) -> DataFrame:
+    """``activity_id, route_id`` where the activity came near to all edges of the route: ``met(activity_id, edge)``, ``runs(route_id, run)``.
+
+    They meet at one edge of the route, that which the fewest activities came
+    near to, and only pairs that pass leave the join.
+    """
+    held = met.groupBy("edge").agg(F.count("*").alias("held"))
+    rarest = runs.select("route_id", F.explode("run").alias("edge")).join(held, "edge", "left").groupBy("route_id").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "edge")).alias("least"))
+    asking = runs.join(rarest, "route_id").select("route_id", F.col("least.edge").alias("edge"), F.array_distinct("run").alias("run"))
+    have = met.groupBy("activity_id").agg(F.collect_set("edge").alias("met"))
+    # a few rows become many pairs: a number of partitions that adaptive execution keeps
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.join(have, "activity_id").repartition(parts, "edge").join(asking, "edge").where(F.size(F.array_except("run", "met")) == 0).select("activity_id", "route_id")
 
 
 def scan_all(timeline: DataFrame, marked: DataFrame, routes: DataFrame, edges: DataFrame, sizes: DataFrame, per_part: int = 1024) -> DataFrame:
@@ -140,16 +149,20 @@ def scan_all(timeline: DataFrame, marked: DataFrame, routes: DataFrame, edges: D
     ``marked(activity_id, entry, pos, part, a, b, covered)`` tells which ends
     and vertices of the edge ``pos`` the points of an entry (part ``own``), or
     those just before it (``gap``), come near to; ``sizes(edge, n)`` how many
-    vertices an edge has.  Timelines meet the routes that begin on one of their
-    trails, in lists of bounded length; of these only routes all of whose edges
-    the activity came near to reach the automaton.
+    vertices an edge has.  Timelines meet routes by ids alone, and only routes
+    all of whose edges the activity came near to reach the automaton: in lists
+    of at most ``per_part`` routes, as the edges' ids, for what an edge is
+    comes with the marks.
     """
     entry = F.struct("start_idx", "entry", "end_idx", "start_t", "end_t", "name", "kind", F.coalesce("noise", F.lit(False)).alias("noise"))
     whole = timeline.groupBy("activity_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    near = marked.groupBy("activity_id").agg(F.collect_list(F.struct("entry", "pos", "part", "a", "b", "covered")).alias("near"), F.collect_set("pos").alias("met"))
-    able = lambda r: F.size(F.array_except(F.transform(r["segments"], lambda s: s["edge"]), F.col("met"))) == 0
-    asked = timeline.select("activity_id", "name", "kind").distinct().join(packed_routes(routes, edges, sizes, per_part), ["name", "kind"])
-    asked = asked.join(near.select("activity_id", "met"), "activity_id").select("activity_id", F.filter("routes", able).alias("routes")).where(F.size("routes") > 0)
-    asked = asked.groupBy("activity_id").agg(F.flatten(F.collect_list("routes")).alias("routes"))
-    rows = whole.join(near.drop("met"), "activity_id").join(asked, "activity_id")
+    known = edges.select(F.col("edge").alias("pos"), "name", "kind").join(sizes.withColumnRenamed("edge", "pos"), "pos", "left").withColumn("vertices", F.coalesce("n", F.lit(0))).drop("n")
+    near = marked.join(known, "pos").groupBy("activity_id").agg(F.collect_list(F.struct("entry", "pos", "part", "a", "b", "covered", "name", "kind", "vertices")).alias("near"))
+    own = routes.join(edges.select("edge"), "edge").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("pos", "edge"))).alias("s"))
+    runs = cut(own.select("route_id", F.col("s.edge").alias("run")))
+    able = able_routes(marked.select("activity_id", F.col("pos").alias("edge")).distinct(), runs)
+    w = Window.partitionBy("activity_id").orderBy("route_id")
+    able = able.withColumn("part", F.floor((F.row_number().over(w) - 1) / per_part))
+    asked = able.join(runs, "route_id").groupBy("activity_id", "part").agg(F.collect_list(F.struct("route_id", "run")).alias("routes"))
+    rows = whole.join(near, "activity_id").join(asked.drop("part"), "activity_id")
     return rows.mapInArrow(_scan, "route_id long, activity_id long, first_idx long, last_idx long, duration long")

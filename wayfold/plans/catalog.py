@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, stats
 from ..functions.order import numbered
+from ..functions.lineage import cut
 from ..operators import asof, lifts, network, reports, routes, similarity, spatial
 from ..operators import tracks as T
 from .bindings import ACT, AS_OF, JLEGS, LEGS, TRK, activities, hav, legs, read, track_points
@@ -1305,16 +1306,21 @@ def rte_05_all(spark, d):
     ways = _ways(spark, d)
     edges = ways.select(F.col("way_pos").alias("edge"), "name", F.lit("trail").alias("kind"), "alat", "alon", "blat", "blon")
     vertices = _vertices(spark, d).withColumnRenamed("chain", "edge")
-    saved = rte_08(spark, d).select(F.col("activity_id").alias("route_id"), F.col("place").alias("pos"), "edge")
-    return routes.attempts_of_routes(_timeline(spark, d), legs(spark, d), saved, edges, vertices, 0.1, 300.0)
+    t = cut(_timeline(spark, d))  # one row an entry
+    saved = _from_rides(spark, d, t).select(F.col("activity_id").alias("route_id"), F.col("place").alias("pos"), "edge")
+    return routes.attempts_of_routes(t, legs(spark, d), saved, edges, vertices, 0.1, 300.0)
 
 
-@query("rte_08")
-def rte_08(spark, d):
+def _from_rides(spark, d, timeline):
     v = _vertices(spark, d).withColumn("kind", F.lit("trail")).withColumnRenamed("chain", "edge")
     mid = v.where("i = 2").select("edge", F.col("lat").alias("mlat"), F.col("lon").alias("mlon"))
     e = _ways(spark, d).select(F.col("way_pos").alias("edge"), "name", F.lit("trail").alias("kind"), "alat", "alon", "blat", "blon").join(mid, "edge")
-    return routes.from_ride(_timeline(spark, d), track_points(spark, d), e, v, 300.0)
+    return routes.from_ride(timeline, track_points(spark, d), e, v, 300.0)
+
+
+@query("rte_08")
+def rte_08(spark, d):
+    return _from_rides(spark, d, _timeline(spark, d))
 
 
 _ROUTE = "rt AS (SELECT l_orderkey AS route_id, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, 'N' || CAST(l_partkey % 3 AS VARCHAR) AS name, l_quantity AS length_m, l_partkey % 50 AS a, l_suppkey % 50 AS b FROM lineitem)"
