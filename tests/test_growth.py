@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import lifts, network, route_scan, similarity
 from wayfold.plans import catalog
+from wayfold.streaming import stateful, tracks
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,20 @@ def test_able_routes_are_those_whose_edges_were_all_met(spark):
     got = [tuple(r) for r in route_scan.able_routes(met, spark.createDataFrame(list(runs.items()), "route_id long, run array<long>")).collect()]
     want = [(a, r) for a, s in near.items() for r, run in runs.items() if set(run) <= s]
     assert sorted(got) == sorted(want) and want
+
+
+def test_state_comes_with_the_rows_and_arrivals_have_several_files(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(rng.randrange(9), k, rng.randrange(4000)) for k in range(400)]
+    e = spark.createDataFrame(rows, "user_id long, event_id long, s long").selectExpr("user_id", "event_id", "timestamp_seconds(s) ts")
+    src = stateful.arrivals(e, "event_id", 2, str(tmp_path / "in"), each=3)
+    assert len(spark.read.parquet(src).inputFiles()) == 6 and stateful.files_each(e, 2, 50) == 4 and stateful.files_each(e, 2) == 1
+    with stateful.rocks(spark):
+        legs = stateful.ordered_legs(tracks.read(spark, src, e.schema, 3), "400 days", 400 * 86400)
+        assert "TransformWithState" not in legs._jdf.queryExecution().analyzed().toString()  # whose calls for each key outweigh its few rows
+        got = {r.event_id: r.dt for r in stateful.settled(legs, str(tmp_path / "out")).collect()}
+    latest, want = {}, {}
+    for u, k, s in rows:
+        want[k] = float(max(0, s - latest.get(u, s)))
+        latest[u] = max(s, latest.get(u, s))
+    assert got == want

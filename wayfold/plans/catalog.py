@@ -1037,8 +1037,9 @@ def str_04(spark, d):
     from ..streaming.tracks import read as stream
 
     e = read(spark, d, "events").select("user_id", "event_id", "ts")
+    each = stateful.files_each(e, 3)
     with stateful.rocks(spark):
-        return stateful.settled(stateful.ordered_legs(stream(spark, stateful.arrivals(e, "event_id", 3), e.schema, 1), "400 days", 400 * 86400))
+        return stateful.settled(stateful.ordered_legs(stream(spark, stateful.arrivals(e, "event_id", 3, each=each), e.schema, each), "400 days", 400 * 86400))
 
 
 @query("str_03_join", "SELECT p.event_id, s.event_id AS sample FROM events p JOIN events s ON s.user_id = p.user_id AND s.ts BETWEEN p.ts - INTERVAL 6 HOUR AND p.ts + INTERVAL 6 HOUR WHERE p.event_type = 'view' AND s.event_type <> 'view'")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.lineage import new_folder
 
@@ -26,48 +27,35 @@ def rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(STORE, before)
 
 
-class Legs(StatefulProcessor):
-    """The latest time seen of each key, until nothing has come for ``expire`` seconds of event time."""
-
-    def __init__(self, by: str, expire: int):
-        self.by, self.expire = by, expire
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "t long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values("event_id")  # one batch of one key
-        last = self.last.get()[0] if self.last.exists() else None
-        t = batch["t"].astype("int64")
-        seen = t.cummax().shift(1)
-        if last is None:
-            seen = seen.fillna(t.iloc[0])
-        else:
-            seen = seen.fillna(last).clip(lower=last)
-        self.last.update((int(max(t.max(), t.iloc[0] if last is None else last)),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((self.last.get()[0] + self.expire) * 1000)
-        yield pd.DataFrame({self.by: key[0], "event_id": batch["event_id"], "dt": (t - seen).clip(lower=0).astype(float)})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.last.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
 def ordered_legs(events: DataFrame, late: str = "1 day", expire: int = 7 * 86400, by: str = "user_id", time: str = "ts") -> DataFrame:
     """``by``, ``event_id`` and ``dt``: seconds since the latest time seen of each key, in the order of event_id within a batch; events back in time count none.
 
     Rows later than ``late`` are left out; a key without events for ``expire``
     seconds, as the watermark has it, starts anew.  Start it within ``rocks``.
+    The state of a key, one time and when it ends, comes and goes with the rows,
+    so that a key of few events costs no calls of its own.
     """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = [(p["event_id"].to_numpy(), p["t"].to_numpy()) for p in batches]
+        ids, t = (np.concatenate(c) for c in zip(*parts, strict=True))  # one batch of one key
+        order = np.argsort(ids, kind="stable")
+        ids, t = ids[order], t[order]
+        latest = np.maximum.accumulate(np.concatenate([[state.get[0] if state.exists else t[0]], t]))
+        last = int(latest[-1])
+        if (last + expire) * 1000 > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp((last + expire) * 1000)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({by: np.full(len(ids), key[0]), "event_id": ids, "dt": np.maximum(t - latest[:-1], 0).astype(float)})
+
     e = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     e = e.select(by, "event_id", time, F.unix_timestamp(time).alias("t"))
-    return e.groupBy(by).transformWithStateInPandas(Legs(by, expire), f"{by} long, event_id long, dt double", "Append", "EventTime")
+    return e.groupBy(by).applyInPandasWithState(step, f"{by} long, event_id long, dt double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def with_samples(points: DataFrame, samples: DataFrame, within: str = "30 seconds", late: str = "10 minutes", by: str = "user_id", time: str = "ts") -> DataFrame:
@@ -84,13 +72,22 @@ def with_samples(points: DataFrame, samples: DataFrame, within: str = "30 second
     return p.join(s, (F.col(by) == F.col(f"s_{by}")) & F.col(f"s_{time}").between(F.col(time) - span, F.col(time) + span))
 
 
-def arrivals(rows: DataFrame, order: str, files: int, path: str | None = None) -> str:
-    """``rows`` as a folder of ``files`` files, written one after the other in the order of a column: input for a stream."""
+def files_each(rows: DataFrame, files: int, size: int = 1_000_000) -> int:
+    """Files for each of ``files`` arrivals of a table, so that each has about ``size`` rows, or one if there are fewer."""
+    return max(1, rows.count() // (files * size))
+
+
+def arrivals(rows: DataFrame, order: str, files: int, path: str | None = None, each: int = 1) -> str:
+    """``rows`` as a folder of ``files`` arrivals of ``each`` files, written one after the other in the order of a column: input for a stream that takes ``each`` files at a time.
+
+    Rows are dealt in turn, so with many times ``each`` rows to an arrival none of its files is missing.
+    """
     path = path or new_folder(rows.sparkSession)
     cuts = rows.approxQuantile(order, [k / files for k in range(1, files)], 0.01)
     part = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts), F.lit(0))
     for k in range(files):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+        some = rows.where(part == k)
+        (some.coalesce(1) if each == 1 else some.repartition(each)).write.mode("append").parquet(path)
     return path
 
 
