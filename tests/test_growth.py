@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from wayfold.operators import lifts, network, route_scan, similarity
+from wayfold.operators import kernels, lifts, network, route_scan, similarity
 from wayfold.plans import catalog
 from wayfold.streaming import stateful, tracks
 
@@ -75,3 +77,45 @@ def test_state_comes_with_the_rows_and_arrivals_have_several_files(spark, tmp_pa
         want[k] = float(max(0, s - latest.get(u, s)))
         latest[u] = max(s, latest.get(u, s))
     assert got == want
+
+
+def test_candidates_for_lifts_are_scanned_once(spark):
+    out = lifts.detected(catalog.legs(spark, SF), catalog._lifts(spark, SF), ["smart"])
+    assert "FlatMapGroups" not in plan(out)  # its two readers share what the scan gave
+
+
+def test_sines_are_left_to_pairs_that_are_near_on_the_flat(spark):
+    rng = random.Random(11)
+    rows = [(k, lat + rng.uniform(-0.004, 0.004), -116 + rng.uniform(-0.004, 0.004) / math.cos(math.radians(lat))) for lat in (0, 50, -80, 89.5) for k in range(60)]
+    a, b = ([(i, *r[1:]) for i, r in enumerate(rows) if i % 2 == side] for side in (0, 1))
+    df = lambda x, k: spark.createDataFrame(x, f"id{k} long, lat{k} double, lon{k} double")
+    out = network.close_pairs(df(a, "a"), df(b, "b"), 250.0)
+    assert "_ka" in plan(out)
+
+    def metres(p, q):
+        y, x = math.radians(q[1] - p[1]), math.radians(q[2] - p[2])
+        return 12742000 * math.asin(math.sqrt(math.sin(y / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(x / 2) ** 2))
+
+    want = sorted((p[0], q[0]) for p in a for q in b if metres(p, q) <= 250)
+    assert sorted((r.ida, r.idb) for r in out.collect()) == want and len(want) > 100
+
+
+def test_climbs_begin_where_a_scan_leg_by_leg_finds_them():
+    rng = np.random.default_rng(2)
+    found = 0
+    for k in range(60):
+        n = int(rng.integers(0, 200))
+        dt, dz = rng.choice([1.0, 4.0, 9.0, -20.0], n, p=[0.4, 0.3, 0.28, 0.02]), rng.normal(0.7, 1.5, n)
+        t, z = (np.concatenate([[0], np.cumsum(x)]) for x in (dt, dz))
+        want, i = np.zeros(n, bool), 1
+        while i < n and (j := int(np.searchsorted(t, t[i] + 60))) <= n:
+            if z[j] - z[i] >= 25 and t[j] > t[i] and (z[j] - z[i]) / ((t[j] - t[i]) / 60) >= 5:
+                while j < n and (m := min(n, int(np.searchsorted(t, t[j] + 30)))) > j and t[m] > t[j] and (z[m] - z[j]) / ((t[m] - t[j]) / 60) >= 2.5:
+                    j = m
+                want[i:j] = True
+                i = j
+            else:
+                i += 1
+        assert (kernels.rising(dt, dz, 5.0, 25.0) == want).all()
+        found += want.any()
+    assert found > 10

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,26 +22,33 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(np.nan_to_num(x))])
 
 
+def _at(t: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """First place of ``t`` at or after each of ``least``; one by one where times run back, as a search among them depends on those before."""
+    return np.searchsorted(t, least, "left") if (t[1:] >= t[:-1]).all() else np.array([np.searchsorted(t, x, "left") for x in least], int)
+
+
 def rising(dt: np.ndarray, dz: np.ndarray, rate: float, gain: float, seconds: float = 60.0, block: float = 30.0) -> np.ndarray:
     """Legs of steady climbs: at least ``seconds`` with ``gain`` metres at ``rate`` metres a minute, extended by blocks at half that rate."""
     n, t, z = len(dt), _sums(dt), _sums(dz)
-    flag, i = np.zeros(n, bool), 1  # no leg goes into the first point
-    while i < n:
-        j = int(np.searchsorted(t, t[i] + seconds, "left"))
-        if j > n:
+    flag, past = np.zeros(n, bool), 1  # no leg goes into the first point
+    # all legs at once: whether a climb may begin there, and where one that came up to there goes on to
+    end, after = _at(t, t[:n] + seconds), np.minimum(n, _at(t, t[:n] + block))
+    j = np.minimum(end, n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up, mins = z[j] - z[:n], (t[j] - t[:n]) / 60
+        begins = (up >= gain) & (mins > 0) & (up / mins >= rate)
+        span = (t[after] - t[:n]) / 60
+        goes_on = (after > np.arange(n)) & (span > 0) & ((z[after] - z[:n]) / span >= rate / 2)
+    for i in np.flatnonzero(begins | (end > n)):
+        if i < past:
+            continue
+        if end[i] > n:
             break
-        up, mins = z[j] - z[i], (t[j] - t[i]) / 60
-        if up >= gain and mins > 0 and up / mins >= rate:
-            while j < n:
-                k = min(n, int(np.searchsorted(t, t[j] + block, "left")))
-                span = (t[k] - t[j]) / 60
-                if k <= j or span <= 0 or (z[k] - z[j]) / span < rate / 2:
-                    break
-                j = k
-            flag[i:j] = True
-            i = j
-        else:
-            i += 1
+        k = int(end[i])
+        while k < n and goes_on[k]:
+            k = int(after[k])
+        flag[i:k] = True
+        past = k
     return flag
 
 
@@ -59,7 +67,7 @@ def steady(dt: np.ndarray, dist: np.ndarray, dz: np.ndarray, speed: np.ndarray,
     valid = (dt > 0) & (dt < 5) & ~np.isnan(speed)
     v = np.where(valid, speed, 0.0)
     cv, cs, cs2, cz, ct, cd = _sums(valid), _sums(v), _sums(v * v), _sums(dz), _sums(dt), _sums(dist)
-    flag, i = np.zeros(n, bool), 1
+    flag, past = np.zeros(n, bool), 1
 
     def mean(a: int, b: int) -> float:
         k = cv[b] - cv[a]
@@ -69,18 +77,29 @@ def steady(dt: np.ndarray, dist: np.ndarray, dz: np.ndarray, speed: np.ndarray,
         d = _metres(lat[a], lon[a], lat[b], lon[b])
         return not np.isnan(d) and (d <= 1 or (cd[b + 1] - cd[a]) / d <= 1.15)
 
-    while i < n:
-        j = min(i + window, n)
-        if cv[j] - cv[i] >= window // 2 and cz[j] - cz[i] >= 25 and 6 < mean(i, j) < 25:
-            while j < n and 6 < mean(max(i, j - 20), j) < 25:
-                j += 1
-            k = cv[j] - cv[i]
-            spread = np.sqrt(max(0.0, (cs2[j] - cs2[i] - k * mean(i, j) ** 2) / (k - 1))) if k > 1 else 0.0
-            if cz[j] - cz[i] >= 40 and ct[j] - ct[i] >= 90 and (spread < 13 or straight(i, j - 1)):
-                flag[i:j] = True
-                i = j
-                continue
-        i += 1
+    at, end = np.arange(n), np.minimum(np.arange(n) + window, n)
+    first = np.maximum(np.arange(n + 1) - 20, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        k = cv[end] - cv[at]
+        m = np.where(k > 0, (cs[end] - cs[at]) / k, 0.0)
+        last = cv - cv[first]
+        m20 = np.where(last > 0, (cs - cs[first]) / last, 0.0)
+    begins = (k >= window // 2) & (cz[end] - cz[at] >= 25) & (6 < m) & (m < 25)
+    # where the mean of the last 20 legs leaves the bounds, from each leg on
+    stop = np.minimum.accumulate(np.where((6 < m20) & (m20 < 25) & (np.arange(n + 1) < n), n, np.arange(n + 1))[::-1])[::-1]
+    for i in map(int, np.flatnonzero(begins)):
+        if i < past:
+            continue
+        j = int(end[i])
+        while j < min(n, i + 20) and 6 < mean(i, j) < 25:
+            j += 1
+        if j >= i + 20:
+            j = int(stop[j])
+        k = cv[j] - cv[i]
+        spread = np.sqrt(max(0.0, (cs2[j] - cs2[i] - k * mean(i, j) ** 2) / (k - 1))) if k > 1 else 0.0
+        if cz[j] - cz[i] >= 40 and ct[j] - ct[i] >= 90 and (spread < 13 or straight(i, j - 1)):
+            flag[i:j] = True
+            past = j
     return flag
 
 
@@ -88,21 +107,20 @@ def shuttle(dt: np.ndarray, dz: np.ndarray, speed: np.ndarray, seconds: float =
     """Legs of fast climbs, as by car: ``seconds`` (half of them at the end of the track) with 50 metres up at a mean speed of 20 km/h or more, extended while the last 30 legs are as fast and don't fall."""
     n, t, z = len(dt), _sums(dt), _sums(dz)
     cv, cs = _sums(~np.isnan(speed)), _sums(speed)
-    flag, i = np.zeros(n, bool), 1
+    flag, past = np.zeros(n, bool), 1
 
     def fast(a: int, b: int) -> bool:
         k = cv[b] - cv[a]
         return bool(k) and (cs[b] - cs[a]) / k >= 20
 
-    while i < n:
-        j = min(n, int(np.searchsorted(t, t[i] + seconds, "left")))
-        if t[j] - t[i] >= seconds / 2 and z[j] - z[i] >= 50 and fast(i, j):
+    end = np.minimum(n, _at(t, t[:n] + seconds))
+    for i in map(int, np.flatnonzero((t[end] - t[:n] >= seconds / 2) & (z[end] - z[:n] >= 50))):
+        if i >= past and fast(i, int(end[i])):
+            j = int(end[i])
             while j < n and fast(max(i, j - 30), j) and z[j] - z[max(i, j - 30)] >= 0:
                 j += 1
             flag[i:j] = True
-            i = j
-        else:
-            i += 1
+            past = j
     return flag
 
 
@@ -180,21 +198,27 @@ COMPOSED: dict[str, tuple[tuple[str, ...], Callable[[int, int, np.ndarray], tupl
 def candidate_segments(legs: DataFrame, names: list[str], gain: float = 50.0) -> DataFrame:
     """Segments of the union of flags of each of ``names`` in ``COMPOSED`` that climb ``gain`` metres, with their ends as trimmed; ``legs`` has ``lat``, ``lon`` and ``osm`` too."""
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        cols, seq = _leg_columns(pdf), pdf["seq"].to_numpy()
-        flags = {"osm": pdf["osm"].to_numpy(bool)} | {k: DETECTORS[k](*cols) for k in sorted({p for n in names for p in COMPOSED[n][0]} - {"osm"})}
+    out = pa.schema([("algorithm", pa.string()), *((c, pa.int64()) for c in ("activity_id", "start", "end", "from", "to"))])
+
+    def kernel(track: pa.Table) -> pa.Table:
+        seq = track.column("seq").to_numpy()
+        order = np.argsort(seq, kind="stable")
+        seq, of = seq[order], lambda c: track.column(c).to_numpy()[order]
+        cols = [of(c).astype(float) for c in ("dt", "dist", "ele_delta", "speed", "lat", "lon")]
+        flags = {"osm": of("osm").astype(bool)} | {k: DETECTORS[k](*cols) for k in sorted({p for n in names for p in COMPOSED[n][0]} - {"osm"})}
         z, rows = _sums(cols[2]), []
         for name in names:
             parts, trim = COMPOSED[name]
             for a, b in flagged_segments(np.logical_or.reduce([flags[p] for p in parts])):
                 if z[b + 1] - z[a] >= gain:
                     lo, hi = trim(a, b, cols[3])
-                    rows.append((name, int(pdf["activity_id"].iloc[0]), int(seq[a]), int(seq[b]), int(seq[lo]), int(seq[hi])))
-        return pd.DataFrame(rows, columns=["algorithm", "activity_id", "start", "end", "from", "to"])
+                    rows.append((name, track.column("activity_id")[0].as_py(), int(seq[a]), int(seq[b]), int(seq[lo]), int(seq[hi])))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(out), out, strict=True)], schema=out)
 
-    legs = legs.select("activity_id", "seq", "dt", "dist", "ele_delta", "speed", "lat", "lon", "osm")
-    return legs.groupBy("activity_id").applyInPandas(kernel, "algorithm string, activity_id long, start long, end long, `from` long, `to` long")
+    # dealt in a number of partitions that adaptive execution keeps (one more than usual, or Spark leaves the exchange out after another by track): rows are small, what is done with them is not
+    parts = int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    legs = legs.select("activity_id", "seq", "dt", "dist", "ele_delta", "speed", "lat", "lon", "osm").repartition(parts + 1, "activity_id")
+    return legs.groupBy("activity_id").applyInArrow(kernel, "algorithm string, activity_id long, start long, end long, `from` long, `to` long")
 
 
 def rides_between(stops: DataFrame, least_s: float = 60, most_s: float = 1800, gain: float = 50.0) -> DataFrame:

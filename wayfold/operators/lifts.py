@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .kernels import COMPOSED, candidate_segments, rides_between
 from .network import close_pairs
 
@@ -82,7 +83,7 @@ def detected(legs: DataFrame, lifts: DataFrame, names: list[str]) -> DataFrame:
     if "osm" in names:
         out.append(osm.select(F.lit("osm").alias("algorithm"), "activity_id", "seq"))
     if composed:
-        segments = candidate_segments(flagged, composed)
+        segments = cut(candidate_segments(flagged, composed))  # read twice, and small beside the legs
         snapped = snapped_spans(legs, segments.select("activity_id", "start", "end").distinct(), lifts).select("activity_id", "start", "end", F.col("from").alias("_from"), F.col("to").alias("_to"))
         ends = segments.join(snapped, ["activity_id", "start", "end"], "left").withColumns({"from": F.coalesce("_from", "from"), "to": F.coalesce("_to", "to")})
         out.append(_points_of(ends, "algorithm"))

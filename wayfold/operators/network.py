@@ -57,9 +57,13 @@ def close_pairs(a: DataFrame, b: DataFrame, metres: float, condition: Column | N
     # a pair may reach one band further than its cell's
     pole = F.least((F.greatest(F.abs(F.col("ci")), F.abs(F.col("ci") + 1)) + 1) * side, F.lit(89.9))
     cell = lambda c: F.floor(F.col(c) * F.cos(F.radians(pole)) / side)
-    left = a.withColumn("ci", F.explode(F.array(*(band("lata") + k for k in (-1, 0, 1))))).withColumn("cj", F.explode(F.array(*(cell("lona") + k for k in (-1, 0, 1)))))
-    near = left.join(b.withColumn("ci", band("latb")).withColumn("cj", cell("lonb")), ["ci", "cj", *within])
-    near = near.withColumn("d", haversine_of_differences(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb"))).where(F.col("d") <= metres).drop("ci", "cj")
+    shrink = lambda k: F.cos(F.radians(f"lat{k}")).alias(f"_k{k}")
+    left = a.select("*", shrink("a")).withColumn("ci", F.explode(F.array(*(band("lata") + k for k in (-1, 0, 1))))).withColumn("cj", F.explode(F.array(*(cell("lona") + k for k in (-1, 0, 1)))))
+    near = left.join(b.select("*", shrink("b")).withColumn("ci", band("latb")).withColumn("cj", cell("lonb")), ["ci", "cj", *within])
+    # most pairs of neighbouring cells are too far apart, which the flat shows; sines are left to the others, and to pairs so far east that it does not
+    north, east = F.col("lata") - F.col("latb"), F.col("lona") - F.col("lonb")
+    flat = (north * north + east * east * F.col("_ka") * F.col("_kb") <= (1.02 * metres / _M) ** 2) | (F.abs(east) > 5) | (F.abs(north) > 5)
+    near = near.where(flat).withColumn("d", haversine_of_differences(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb"))).where(F.col("d") <= metres).drop("ci", "cj", "_ka", "_kb")
     return near.where(condition) if condition is not None else near
 
 
