@@ -1287,12 +1287,12 @@ def _route_of(spark, d, names):
     return v.select("pos", "name", "kind").distinct().join(end(0, "a"), "pos").join(end(4, "b"), "pos"), v.select("pos", "name", "kind", "i", "lat", "lon")
 
 
-@query("rte_03", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, {_VERTICES}, ep AS (SELECT r.activity_id, r.name, r."start" AS entry, t.seq, t.lat, t.lon FROM tmrun r JOIN trk t ON t.activity_id = r.activity_id AND t.seq >= r."start" AND t.seq < r."end"), tm AS (SELECT activity_id, entry, w.way_pos AS pos, bool_or({hav("e.lat", "e.lon", "alat", "alon", True)} <= 300) AND bool_or({hav("e.lat", "e.lon", "blat", "blon", True)} <= 300) AS touched FROM ep e JOIN way w ON w.name = e.name GROUP BY 1, 2, 3), cv AS (SELECT activity_id, entry, v.chain AS pos, COUNT(DISTINCT v.i) >= 1.5 AS followed FROM ep e JOIN vert v ON v.name = e.name AND v.i % 3 = 0 AND e.seq % 3 = 0 AND {hav("e.lat", "e.lon", "v.lat", "v.lon", True)} <= 40 GROUP BY 1, 2, 3) SELECT tm.activity_id, tm.entry, tm.pos, touched, COALESCE(followed, false) AS followed FROM tm LEFT JOIN cv ON cv.activity_id = tm.activity_id AND cv.entry = tm.entry AND cv.pos = tm.pos WHERE touched OR COALESCE(followed, false)')
+@query("rte_03", f'WITH {LEGS}, {_WAYS}, {_SNAP}, {_RUNS}, {_VERTICES}, ep AS (SELECT r.activity_id, r.name, r."start" AS entry, t.seq, t.lat, t.lon FROM tmrun r JOIN trk t ON t.activity_id = r.activity_id AND t.seq >= r."start" AND t.seq < r."end"), tm AS (SELECT activity_id, entry, w.way_pos AS pos, bool_or({hav("e.lat", "e.lon", "alat", "alon", True)} <= 300) AND bool_or({hav("e.lat", "e.lon", "blat", "blon", True)} <= 300) AS touched FROM ep e JOIN way w ON w.name = e.name GROUP BY 1, 2, 3), cv AS (SELECT activity_id, entry, v.chain AS pos, COUNT(DISTINCT v.i) >= 3.75 AS followed FROM ep e JOIN vert v ON v.name = e.name AND {hav("e.lat", "e.lon", "v.lat", "v.lon", True)} <= 40 GROUP BY 1, 2, 3) SELECT tm.activity_id, tm.entry, tm.pos, touched, COALESCE(followed, false) AS followed FROM tm LEFT JOIN cv ON cv.activity_id = tm.activity_id AND cv.entry = tm.entry AND cv.pos = tm.pos WHERE touched OR COALESCE(followed, false)')
 def rte_03(spark, d):
-    """Entries that satisfy a way of their name, by a touch of both its ends or along it."""
+    """Entries that satisfy a way of their name, by a touch of both its ends or along it; every point and every vertex counts."""
     v = _vertices(spark, d).withColumn("kind", F.lit("trail")).withColumnRenamed("chain", "pos")
     seg = _ways(spark, d).select(F.col("way_pos").alias("pos"), "name", F.lit("trail").alias("kind"), "alat", "alon", "blat", "blon")
-    return routes.every_edge(*routes.satisfied_edges(routes.entry_points(_timeline(spark, d), track_points(spark, d)), seg, v, 300.0)).select("activity_id", "entry", "pos", "touched", "followed")
+    return routes.every_edge(*routes.satisfied_edges(routes.entry_points(_timeline(spark, d), track_points(spark, d)), seg, v, 300.0, stride=1)).select("activity_id", "entry", "pos", "touched", "followed")
 
 
 @query("rte_05")
