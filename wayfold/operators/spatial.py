@@ -5,6 +5,8 @@ Points meet lines and regions on cells of a grid, by equi joins, never all with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,29 +158,74 @@ def registered(segments: DataFrame, metres: float) -> DataFrame:
     return s.withColumn("cj", F.explode(F.sequence(cell(F.least(one, two) - 1.01 * reach / cosine), cell(F.greatest(one, two) + 1.01 * reach / cosine))))
 
 
+def _placed(points: DataFrame, metres: float) -> DataFrame:
+    """``points`` that have a place, with their cell as by ``registered``, and the metres of a degree of longitude there."""
+    side, reach = 2 * metres / _DEGREE, metres / _DEGREE
+    p = points.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("ci", _band(F.col("lat"), side)).withColumn("cj", F.floor(F.col("lon") * _narrowest(F.col("ci"), side, reach) / side))
+    return p.withColumn("_k", F.cos(F.radians("lat")) * F.lit(_DEGREE))
+
+
+def _met(placed: DataFrame, segments: DataFrame, metres: float, *within: str, radius: Column | None = None) -> DataFrame:
+    """Pairs that may be within ``metres``, or within ``radius``, which is less, by plain arithmetic: the segment's box, and a cross product for the distance from its whole line.
+
+    What a segment alone decides is computed there, and no place is null: what
+    is left for a pair must stay so short that the JVM compiles it.
+    """
+    s = registered(segments.where("alat IS NOT NULL AND alon IS NOT NULL AND blat IS NOT NULL AND blon IS NOT NULL"), metres)
+    s = s.withColumns({"_dx": F.col("blon") - F.col("alon"), "_dy": F.col("blat") - F.col("alat"), "_s": F.least("alat", "blat"), "_n": F.greatest("alat", "blat"), "_w": F.least("alon", "blon"), "_e": F.greatest("alon", "blon")})
+    k, m, far = F.col("_k"), F.lit(_DEGREE), 1.01 * (F.lit(metres) if radius is None else radius)
+    cross = ((F.col("alon") - F.col("lon")) * F.col("_dy") - (F.col("alat") - F.col("lat")) * F.col("_dx")) * k * m
+    size = (F.col("_dx") * k) * (F.col("_dx") * k) + (F.col("_dy") * m) * (F.col("_dy") * m)
+    tall = ((F.col("_s") - F.col("lat")) * m <= far) & ((F.col("lat") - F.col("_n")) * m <= far)
+    wide = ((F.col("_w") - F.col("lon")) * k <= far) & ((F.col("lon") - F.col("_e")) * k <= far)
+    return placed.join(s, ["ci", "cj", *within]).where(tall & wide & (F.abs(cross) <= F.sqrt(size) * far))
+
+
 def segment_pairs(points: DataFrame, segments: DataFrame, metres: float, *within: str) -> DataFrame:
     """Pairs, of equal ``within``, of ``points(..., lat, lon)`` and ``segments(..., alat, alon, blat, blon)`` with their distance ``d`` on the plane at the point and the fraction ``t`` of the segment where it is: all within ``metres``, and few beyond.
 
-    They meet on cells of twice the distance.  What a pair must pass there is
-    plain arithmetic: the segment's box, and a cross product for the distance
-    from its whole line; the distance itself is computed once, for those that pass.
+    They meet on cells of twice the distance; the distance itself is computed
+    once, for those that pass ``_met``.
     """
-    side, reach = 2 * metres / _DEGREE, metres / _DEGREE
-    p = points.withColumn("ci", _band(F.col("lat"), side)).withColumn("cj", F.floor(F.col("lon") * _narrowest(F.col("ci"), side, reach) / side))
-    p = p.withColumn("_k", F.cos(F.radians("lat")) * _DEGREE)
-    s = registered(segments, metres).withColumns({"_dx": F.col("blon") - F.col("alon"), "_dy": F.col("blat") - F.col("alat")})
-    k, m = F.col("_k"), F.lit(_DEGREE)
-    cross = (F.col("alon") - F.col("lon")) * F.col("_dy") - (F.col("alat") - F.col("lat")) * F.col("_dx")
-    size = (F.col("_dx") * k) * (F.col("_dx") * k) + (F.col("_dy") * m) * (F.col("_dy") * m)
-    line = (cross * cross) * (k * k) * (m * m) <= size * (1.0201 * metres * metres)
-    tall = F.col("lat").between(F.least("alat", "blat") - 1.01 * reach, F.greatest("alat", "blat") + 1.01 * reach)
-    wide = ((F.least("alon", "blon") - F.col("lon")) * k <= 1.01 * metres) & ((F.col("lon") - F.greatest("alon", "blon")) * k <= 1.01 * metres)
+    d, t = _apart()
+    return _met(_placed(points, metres), segments, metres, *within).withColumns({"d": d, "t": t}).drop("ci", "cj", "alat", "alon", "blat", "blon", "_k", "_dx", "_dy", "_s", "_n", "_w", "_e")
+
+
+def _apart() -> tuple[Column, Column]:
+    """Distance of a pair on the plane at its point, and the fraction of the segment."""
     # the cosine first: many points lie on a line or its end to the last bits, and the nearest of several lines hangs on them
-    xy = lambda a: ((F.col(f"{a}lon") - F.col("lon")) * F.cos(F.radians("lat")) * m, (F.col(f"{a}lat") - F.col("lat")) * m)
-    (ax, ay), (bx, by) = xy("a"), xy("b")
-    near = p.join(s, ["ci", "cj", *within]).where(line & tall & wide)
-    zero = F.lit(0.0)
-    return near.withColumns({"d": segment_distance(zero, zero, ax, ay, bx, by), "t": segment_fraction(zero, zero, ax, ay, bx, by)}).drop("ci", "cj", "alat", "alon", "blat", "blon", "_k", "_dx", "_dy")
+    xy = lambda a: ((F.col(f"{a}lon") - F.col("lon")) * F.cos(F.radians("lat")) * F.lit(_DEGREE), (F.col(f"{a}lat") - F.col("lat")) * F.lit(_DEGREE))
+    ends = F.lit(0.0), F.lit(0.0), *xy("a"), *xy("b")
+    return segment_distance(*ends), segment_fraction(*ends)
+
+
+def _flat_square() -> Column:
+    """Square of the distance of a pair that ``_met`` leaves, by plain arithmetic: its root is right to far less than a tenth of a millimetre."""
+    k, m = F.col("_k"), F.lit(_DEGREE)
+    ax, ay, dx, dy = (F.col("alon") - F.col("lon")) * k, (F.col("alat") - F.col("lat")) * m, F.col("_dx") * k, F.col("_dy") * m
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.nullif(size, F.lit(0.0))))).otherwise(F.lit(0.0))
+    ex, ey = ax + t * dx, ay + t * dy
+    return ex * ex + ey * ey
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, metres: float, key: list[str], order: list[str], *within: str, at: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``key`` of ``points`` with the nearest of ``segments`` within about ``metres``, of equals the first by ``order``, as a struct ``best`` of ``d``, ``order`` and ``at`` of the segment's fraction.
+
+    A minimum of structs would sort all pairs of a point first.  The least
+    square is a minimum of numbers, which needs no pair to be kept; distances
+    are then computed for the few pairs that come as near, within the
+    aggregate, for the code of the join must stay short.  ``key`` holds
+    ``within``; points dealt by it need no further shuffle where the segments
+    are broadcast.
+    """
+    near = _met(_placed(points.select(*key, "lat", "lon"), metres), segments, metres, *within)
+    least = near.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("lat", "lon", "ci", "cj", "_k")), F.min(_flat_square()).alias("_m"))
+    # wider by a tenth of a millimetre, so that rounding loses none that is as near
+    bound = least.withColumn("_m", F.sqrt("_m") + 1e-4)
+    d, t = _apart()
+    best = F.struct(d.alias("d"), *order, *([at(t).alias("at")] if at else []))
+    return _met(bound, segments, metres, *within, radius=F.col("_m")).groupBy(*key).agg(F.min(best).alias("best"))
 
 
 def first_of_line(segments: DataFrame, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -199,8 +246,8 @@ def snap(points: DataFrame, ways: DataFrame, metres: float = 8.0) -> DataFrame:
     """
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     p = points.where(~F.col("assisted")).select("activity_id", "seq", "lat", "lon").repartition(parts, "activity_id", "seq")
-    near = segment_pairs(p, first_of_line(ways.select("way_pos", "name", "i", "alat", "alon", "blat", "blon"), "way_pos", "i", "name"), metres)
-    best = near.groupBy("activity_id", "seq").agg(F.min(F.struct("d", "way_pos", "i", "name")).alias("best")).where(F.col("best.d") < metres)
+    lines = first_of_line(ways.select("way_pos", "name", "i", "alat", "alon", "blat", "blon"), "way_pos", "i", "name")
+    best = nearest_segment(p, lines, metres, ["activity_id", "seq"], ["way_pos", "i", "name"]).where(F.col("best.d") < metres)
     return points.join(best.select("activity_id", "seq", F.col("best.name").alias("name"), F.col("best.d").alias("d"), F.col("best.way_pos").alias("way_pos")), ["activity_id", "seq"], "left")
 
 
@@ -228,9 +275,18 @@ def progress(points: DataFrame, chain: DataFrame, metres: float) -> DataFrame:
     ``chain(name, chain, place, alat, alon, blat, blon, before_m, length_m, total_m)``.
     A track that comes near to no chain of a name has chain -1 there, and no progress along it: 0.
     """
-    near = segment_pairs(points.select("activity_id", "name", "seq", "lat", "lon"), first_of_line(chain, "chain", "place", by=("name",)), metres, "name")
-    at = (F.col("before_m") + F.col("t") * F.col("length_m")) / F.nullif("total_m", F.lit(0.0))
-    best = near.withColumn("at", at).groupBy("activity_id", "name", "seq").agg(F.min(F.struct("d", "chain", "place", "at")).alias("best")).where(F.col("best.d") <= metres)
+    key = ["activity_id", "name", "seq"]
+    points = cut(points)  # read twice
+    at = lambda t: (F.col("before_m") + t * F.col("length_m")) / F.nullif("total_m", F.lit(0.0))
+    lines = first_of_line(chain, "chain", "place", by=("name",))
+    # dealt as in ``snap``, for a few small rows become many pairs
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    within = lambda p, m: nearest_segment(p.repartition(parts, *key), lines, m, key, ["chain", "place"], "name", at=at).where(F.col("best.d") <= m)
+    # most points lie near their line, and few segments do so; only those that have none there look as far as they may
+    best = cut(within(points, metres / 16))
+    rest = cut(points.join(best.select(*key), key, "left_anti"))
+    if not rest.isEmpty():
+        best = best.unionByName(within(rest, metres))
     p = points.join(best.select("activity_id", "name", "seq", F.struct(F.col("best.chain").alias("chain"), F.col("best.at").alias("at")).alias("_at")), ["activity_id", "name", "seq"], "left")
     w = Window.partitionBy("activity_id", "name").orderBy("seq")
     known = F.coalesce(F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_at", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
