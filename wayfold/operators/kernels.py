@@ -7,7 +7,7 @@ short loop over positions found by numpy, not by rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -317,6 +317,14 @@ def _median(x: np.ndarray, window: int) -> np.ndarray:
     return padded[count // 2, np.arange(n)]
 
 
+_KINDS = {"activity_id": pa.int64(), "name": pa.string(), "chain": pa.int64(), "part": pa.int32(), "start": pa.int64(), "end": pa.int64(), "along": pa.bool_(), "moved": pa.float64()}
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[n]) for c, n in zip(columns, names, strict=True)], names)
+
+
 def traversals(points: DataFrame, loop: bool = False, least: int = 8, turn: float = 0.2, window: int = 9) -> DataFrame:
     """Traversals of ``points(activity_id, name, seq, progress)``: each run, smoothed, split where it turns back (or, around a loop, comes round), parts of fewer than ``least`` points with a neighbour.
 
@@ -326,15 +334,43 @@ def traversals(points: DataFrame, loop: bool = False, least: int = 8, turn: floa
     keys = ["activity_id", "name", *(["chain"] if chained else [])]
     points = points.select(*keys, "seq", "progress", "loop" if "loop" in points.columns else F.lit(loop).alias("loop"))
 
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        x = _median(pdf["progress"].to_numpy(float), window)
-        parts = _fold_short(_split_loop(x) if pdf["loop"].iloc[0] else _split_linear(x, turn), least)
-        seq = pdf["seq"].to_numpy()
-        rows = [(*key, k, int(seq[a]), int(seq[b - 1]), ahead, float(x[b - 1] - x[a])) for k, (a, b, ahead) in enumerate(parts)]
-        return pd.DataFrame(rows, columns=[*keys, "part", "start", "end", "along", "moved"])
+    names = [*keys, "part", "start", "end", "along", "moved"]
+
+    def rows(run: pa.Table) -> list[tuple]:
+        x, seq = _median(run.column("progress").to_numpy().astype(float), window), run.column("seq").to_numpy()
+        parts = _fold_short(_split_loop(x) if run.column("loop")[0].as_py() else _split_linear(x, turn), least)
+        key = [run.column(c)[0].as_py() for c in keys]
+        return [(*key, k, int(seq[a]), int(seq[b - 1]), ahead, float(x[b - 1] - x[a])) for k, (a, b, ahead) in enumerate(parts)]
 
-    return points.groupBy(*keys).applyInPandas(kernel, "activity_id long, name string" + ", chain long" * chained + ", part int, start long, end long, along boolean, moved double")
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs come one after the other, many in a batch; the last one of a batch may go on in the next."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for c in keys:
+                v = batch.column(c).to_numpy(zero_copy_only=False)
+                new[1:] |= v[1:] != v[:-1]
+                new[0] |= bool(held) and held[-1].column(c)[-1] != batch.column(c)[0]
+            cuts = np.flatnonzero(new)
+            if not len(cuts):
+                held.append(batch)
+                continue
+            out = []
+            if held or cuts[0]:
+                out += rows(pa.Table.from_batches([*held, batch.slice(0, cuts[0])]))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                out += rows(pa.Table.from_batches([batch.slice(a, b - a)]))
+            held = [batch.slice(cuts[-1])]
+            yield _batch(out, names)
+        if held:
+            yield _batch(rows(pa.Table.from_batches(held)), names)
+
+    # dealt by track in a number of partitions that adaptive execution keeps: a call for each run would cost more than what is done in it
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = points.repartition(parts, "activity_id").sortWithinPartitions(*keys, "seq")
+    return dealt.mapInArrow(kernel, "activity_id long, name string" + ", chain long" * chained + ", part int, start long, end long, along boolean, moved double")
 
 
 def coalesce_runs(runs: DataFrame, gap: float = 120.0, detour: float = 60.0) -> DataFrame:
