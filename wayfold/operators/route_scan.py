@@ -109,25 +109,67 @@ class Automaton:
         return found
 
 
+def attempts_at(run: list, entries: list[dict], stops: dict[object, list[int | None]], trails: dict[object, tuple]) -> list[tuple[int, int]]:
+    """First and last entry of each attempt at one route, the list of its edges: what ``Automaton`` finds for it.
+
+    ``stops`` has, for each edge, the place after the entries that satisfy it
+    from each entry on, ``trails`` its name and kind.
+    """
+    found, at, first, last, k = [], 0, -1, -1, 0
+    while k < len(entries):
+        after = stops[run[at]][k]
+        if after is not None:
+            first, last, at, k = k if first < 0 else first, after - 1, at + 1, after
+            if at == len(run):
+                found.append((first, last))
+                at, first = 0, -1
+        elif first < 0:
+            k += 1
+        else:
+            e = entries[k]
+            if e["noise"] or ((e["name"], e["kind"]) in (trails[run[at - 1]], trails[run[at]]) and _close(entries[last], e)):
+                k += 1
+            else:
+                at, first = 0, -1
+    return found
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Timelines' own routes are many and mostly alike in length, so that each goes along the stops, which are found once; tries of them took longer to build."""
     for b in batches:
         out = []
-        for row in b.to_pylist():
-            near: dict[int, dict] = {}
+        asked = b.column("routes")
+        for i in range(b.num_rows):
+            entries, near = b.column("entries")[i].as_py(), b.column("near")[i].as_py()
+            marks: dict[int, dict] = {}
             segments: dict[int, dict] = {}
-            for m in row["near"]:
-                near.setdefault(m["entry"], {})[m["pos"], m["part"]] = (m["a"], m["b"], m["covered"])
+            for m in near:
+                marks.setdefault(m["entry"], {})[m["pos"], m["part"]] = (m["a"], m["b"], m["covered"])
                 segments[m["pos"]] = {k: m[k] for k in ("pos", "name", "kind", "vertices")}
-            entries = row["entries"]
             for e in entries:
-                e["marks"] = near.get(e["entry"], {})
-            routes = [(r["route_id"], [segments[k] for k in r["run"]]) for r in row["routes"]]
-            for route, a, z in Automaton(routes).attempts(entries):
-                out.append((route, row["activity_id"], entries[a]["start_idx"], entries[z]["end_idx"], entries[z]["end_t"] - entries[a]["start_t"]))
+                e["marks"] = marks.get(e["entry"], {})
+            stops = {p: [_satisfied(entries, k, s) if (e["name"], e["kind"]) == (s["name"], s["kind"]) else None for k, e in enumerate(entries)] for p, s in segments.items()}
+            ever = {p for p, v in stops.items() if any(x is not None for x in v)}
+            trails = {p: (s["name"], s["kind"]) for p, s in segments.items()}
+            routes, activity = asked[i].values, b.column("activity_id")[i].as_py()
+            runs = routes.field("run")
+            ends = runs.offsets.to_pylist()
+            edges = runs.values.slice(ends[0], ends[-1] - ends[0]).to_pylist()
+            for route, x, y in zip(routes.field("route_id").to_pylist(), ends[:-1], ends[1:], strict=True):
+                run = edges[x - ends[0] : y - ends[0]]
+                if ever.issuperset(run):
+                    out += [(route, activity, entries[f]["start_idx"], entries[z]["end_idx"], entries[z]["end_t"] - entries[f]["start_t"]) for f, z in attempts_at(run, entries, stops, trails)]
         columns = zip(*out, strict=True) if out else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["route_id", "activity_id", "first_idx", "last_idx", "duration"])
 
 
+def may_satisfy(marked: DataFrame, known: DataFrame) -> DataFrame:
+    """``activity_id, edge`` where all marks of the activity together touch both ends of the edge, or cover it: without that no entries satisfy it.  ``known(pos, vertices)``."""
+    g = marked.groupBy("activity_id", "pos").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"), F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"))
+    g = g.join(known.select("pos", "vertices"), "pos").where("(a AND b) OR (vertices > 0 AND n >= 0.75D * vertices)")
+    return g.select("activity_id", F.col("pos").alias("edge"))
+
+
 def able_routes(met: DataFrame, runs: DataFrame) -> DataFrame:
     """``activity_id, route_id`` where the activity came near to all edges of the route: ``met(activity_id, edge)``, ``runs(route_id, run)``.
 
@@ -157,10 +199,11 @@ def scan_all(timeline: DataFrame, marked: DataFrame, routes: DataFrame, edges: D
     entry = F.struct("start_idx", "entry", "end_idx", "start_t", "end_t", "name", "kind", F.coalesce("noise", F.lit(False)).alias("noise"))
     whole = timeline.groupBy("activity_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     known = edges.select(F.col("edge").alias("pos"), "name", "kind").join(sizes.withColumnRenamed("edge", "pos"), "pos", "left").withColumn("vertices", F.coalesce("n", F.lit(0))).drop("n")
-    near = marked.join(known, "pos").groupBy("activity_id").agg(F.collect_list(F.struct("entry", "pos", "part", "a", "b", "covered", "name", "kind", "vertices")).alias("near"))
+    met = cut(may_satisfy(marked, known))  # two numbers a row, read several times
+    near = marked.join(met.withColumnRenamed("edge", "pos"), ["activity_id", "pos"], "left_semi").join(known, "pos").groupBy("activity_id").agg(F.collect_list(F.struct("entry", "pos", "part", "a", "b", "covered", "name", "kind", "vertices")).alias("near"))
     own = routes.join(edges.select("edge"), "edge").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("pos", "edge"))).alias("s"))
     runs = cut(own.select("route_id", F.col("s.edge").alias("run")))
-    able = able_routes(marked.select("activity_id", F.col("pos").alias("edge")).distinct(), runs)
+    able = able_routes(met, runs)
     w = Window.partitionBy("activity_id").orderBy("route_id")
     able = able.withColumn("part", F.floor((F.row_number().over(w) - 1) / per_part))
     asked = able.join(runs, "route_id").groupBy("activity_id", "part").agg(F.collect_list(F.struct("route_id", "run")).alias("routes"))
