@@ -141,8 +141,8 @@ DETECTORS: dict[str, Callable[..., np.ndarray]] = {
 }
 
 
-def _leg_columns(pdf: pd.DataFrame) -> list[np.ndarray]:
-    return [pdf[c].to_numpy(float) if c in pdf else np.full(len(pdf), np.nan) for c in ("dt", "dist", "ele_delta", "speed", "lat", "lon")]
+def _leg_columns(track: pa.Table) -> list[np.ndarray]:
+    return [track.column(c).to_numpy().astype(float) if c in track.column_names else np.full(track.num_rows, np.nan) for c in ("dt", "dist", "ele_delta", "speed", "lat", "lon")]
 
 
 def detect(legs: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -152,15 +152,18 @@ def detect(legs: DataFrame, names: list[str] | None = None) -> DataFrame:
     """
     names = names or list(DETECTORS)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        cols = _leg_columns(pdf)
-        out = {"activity_id": pdf["activity_id"], "seq": pdf["seq"]}
-        return pd.DataFrame(out | {k: DETECTORS[k](*cols) for k in names})
+    def kernel(track: pa.Table) -> pa.Table:
+        track = track.take(np.argsort(track.column("seq").to_numpy(), kind="stable"))
+        cols = _leg_columns(track)
+        flags = {k: DETECTORS[k](*cols) for k in names if k != "heuristic"}
+        if "heuristic" in names:  # of two that are often asked for as well
+            parts = [flags[k] if k in flags else DETECTORS[k](*cols) for k in ("time_gap", "speed_sinuosity")]
+            flags["heuristic"] = parts[0] | parts[1]
+        return pa.table({"activity_id": track.column("activity_id").cast(pa.int64()), "seq": track.column("seq").cast(pa.int64())} | {k: pa.array(flags[k]) for k in names})
 
     schema = ASSIST + "".join(f", {k} boolean" for k in names)
     given = [c for c in ("activity_id", "seq", "dt", "dist", "ele_delta", "speed", "lat", "lon") if c in legs.columns]
-    return legs.select(*given).groupBy("activity_id").applyInPandas(kernel, schema)
+    return legs.select(*given).groupBy("activity_id").applyInArrow(kernel, schema)
 
 
 def flagged_segments(flag: np.ndarray) -> list[tuple[int, int]]:

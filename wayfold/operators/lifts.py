@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,23 @@ def station_rides(legs: DataFrame, lifts: DataFrame, metres: float = 100.0, leas
 
 
 def snapped_spans(points: DataFrame, spans: DataFrame, lifts: DataFrame, samples: int = 60, metres: float = 250.0) -> DataFrame:
-    """Of each span the lift and the points near its two ends, from ``samples`` before the span's to less than that after, of least summed distance; the first of equals."""
-    at = points.select("activity_id", "seq", "lat", "lon").join(spans.select("activity_id", "start", "end"), "activity_id")
+    """Of each span the lift and the points near its two ends, from ``samples`` before the span's to less than that after, of least summed distance; the first of equals.
+
+    Where lifts are many, most spans have one whose ends are near.  A search
+    within a part of ``metres`` settles those of a sum of at most that: any
+    lift with an end farther away has a greater one.
+    """
+    points, rest = points.select("activity_id", "seq", "lat", "lon"), spans.select("activity_id", "start", "end")
+    out = []
+    for reach in (metres / 4, metres / 2):
+        out.append(cut(_snapped(points, rest, lifts, samples, reach).where(F.col("_d") <= reach)))
+        rest = cut(rest.join(out[-1], ["activity_id", "start", "end"], "left_anti"))
+    out.append(_snapped(points, rest, lifts, samples, metres))
+    return reduce(DataFrame.unionByName, out).drop("_d")
+
+
+def _snapped(points: DataFrame, spans: DataFrame, lifts: DataFrame, samples: int, metres: float) -> DataFrame:
+    at = points.join(spans, "activity_id")
     at = at.where(f"(seq >= start - {samples} AND seq < start + {samples}) OR (seq >= `end` - {samples} AND seq < `end` + {samples})")
     near = _near(at, _lines(lifts), metres)
     # the nearest point of either end's, by the way a lift is taken; a span and a lift keep two candidates
@@ -55,7 +72,7 @@ def snapped_spans(points: DataFrame, spans: DataFrame, lifts: DataFrame, samples
     ways = F.array(*(F.struct(F.lit(k).alias("stop0"), F.col(f"start_{k}").alias("s"), F.col(f"end_{o}").alias("e")) for k, o in ("ab", "ba")))
     both = g.select(*by, F.explode(ways).alias("x")).select(*by, "x.stop0", F.col("x.s.seq").alias("from"), F.col("x.e.seq").alias("to"), (F.col("x.s.d") + F.col("x.e.d")).alias("_d")).where("`to` > `from`")
     w = Window.partitionBy("activity_id", "start", "end").orderBy("_d", "lift", "stop0")
-    return both.withColumn("r", F.row_number().over(w)).where("r = 1").select("activity_id", "start", "end", "lift", "from", "to")
+    return both.withColumn("r", F.row_number().over(w)).where("r = 1").select("activity_id", "start", "end", "lift", "from", "to", "_d")
 
 
 def station_flags(legs: DataFrame, lifts: DataFrame, **how) -> DataFrame:
@@ -76,7 +93,7 @@ def detected(legs: DataFrame, lifts: DataFrame, names: list[str]) -> DataFrame:
     composed = [n for n in names if n in COMPOSED]
     out = []
     if "osm" in names or any("osm" in COMPOSED[n][0] for n in composed):
-        osm = station_flags(legs, lifts)
+        osm = cut(station_flags(legs, lifts))  # keys alone, read twice
         flagged = legs.join(osm.withColumn("osm", F.lit(True)), ["activity_id", "seq"], "left").withColumn("osm", F.coalesce("osm", F.lit(False)))
     else:
         flagged = legs.withColumn("osm", F.lit(False))
