@@ -228,13 +228,17 @@ def rides_between(stops: DataFrame, least_s: float = 60, most_s: float = 1800, g
     """Rides of ``stops(activity_id, lift, seq, t_s, up, stop)`` from a lift's one station to the other, in either direction: from the first point near the one after the last ride to the first near the other within the time, if ``up``, the climb so far, grows by ``gain``."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, pdf = [], pdf.sort_values(["lift", "stop", "seq"])
-        key, stop = pdf["lift"].to_numpy(), pdf["stop"].to_numpy() == "b"
-        seqs, times, ups = pdf["seq"].to_numpy(), pdf["t_s"].to_numpy(float), pdf["up"].to_numpy(float)
+        key, stop, seqs = pdf["lift"].to_numpy(), pdf["stop"].to_numpy() == "b", pdf["seq"].to_numpy()
+        order = np.lexsort((seqs, stop, key))  # words take long to sort
+        key, stop, seqs = key[order], stop[order], seqs[order]
+        rows, activity = [], int(pdf["activity_id"].iloc[0])
+        times, ups = (pdf[c].to_numpy(float)[order] for c in ("t_s", "up"))
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (stop[1:] != stop[:-1])) + 1
         sides = [slice(x, y) for x, y in zip([0, *cuts], [*cuts, len(key)], strict=True)]
         both = [(x, y) for x, y in zip(sides[:-1], sides[1:], strict=True) if key[x.start] == key[y.start]]
         for low, high in [*both, *((y, x) for x, y in both)]:
+            if seqs[low.start] >= seqs[high.stop - 1]:
+                continue  # all of the one come after the other
             s0, t0, u0, s1, t1, u1 = seqs[low], times[low], ups[low], seqs[high], times[high], ups[high]
             far = np.maximum(np.searchsorted(t1, t0 + least_s, "left"), np.searchsorted(s1, s0, "right"))
             past = np.searchsorted(s0, s1, "right")
@@ -246,7 +250,7 @@ def rides_between(stops: DataFrame, least_s: float = 60, most_s: float = 1800, g
                 j = far[k]
                 i = past[j]
                 if u1[j] - u0[k] >= gain:
-                    rows.append((int(pdf["activity_id"].iloc[0]), int(key[low.start]), int(s0[k]), int(s1[j])))
+                    rows.append((activity, int(key[low.start]), int(s0[k]), int(s1[j])))
         return pd.DataFrame(rows, columns=["activity_id", "lift", "start", "end"])
 
     return stops.groupBy("activity_id").applyInPandas(kernel, "activity_id long, lift long, start long, end long")
